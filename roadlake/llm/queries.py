@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlake.llm import byte_bpe, quality_rules, secret_scan, simhash, token_counts
+from roadlake.llm import byte_bpe, decontamination, quality_rules, secret_scan, simhash, token_counts
 
 
 def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -43,8 +43,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op8_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
