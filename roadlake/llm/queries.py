@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlake.llm import byte_bpe, decontamination, quality_rules, secret_scan, simhash, token_counts
+from roadlake.llm import byte_bpe, decontamination, language_id, quality_knn, quality_rules, secret_scan, simhash, token_counts
 
 
 def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(modulus: int, value: int):
+    """Whether crc32 of the id, as text, leaves this remainder; a null id never does."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == value, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"), _remainder(4, 2))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lengths = docs.select(byte_bpe.token_lengths(spark, vocabulary_path(), F.col("text")).alias("n"))
@@ -39,6 +48,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(3, 1))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -48,7 +61,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op8_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op7_quality_knn, op8_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
