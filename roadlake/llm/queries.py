@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlake.llm import byte_bpe, decontamination, language_id, quality_knn, quality_rules, secret_scan, simhash, token_counts
+from roadlake.llm import byte_bpe, decontamination, language_id, quality_knn, quality_rules, repeated_strings, secret_scan, simhash, token_counts
 
 
 def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -48,6 +48,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(3, 1))
 
@@ -61,7 +65,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op7_quality_knn, op8_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op6_repeated_strings, op7_quality_knn, op8_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
