@@ -141,13 +141,13 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     row = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
     texts = docs.select(row.alias("row"), F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = removed_words(texts).withColumnRenamed("row", "_row")
+    gone = removed_words(texts).withColumnsRenamed({"row": "_row", "removed": "_removed"})
     own = docs.withColumn("_c", counted(F.col("text"))).withColumn("_row", row)
     joined = own.join(gone, "_row", "left")
-    left = F.col("_c.n_words") - F.coalesce("removed", F.lit(0))
+    left = F.col("_c.n_words") - F.coalesce("_removed", F.lit(0))
     failed = (F.col("_c.n_words") < MIN_WORDS) | (100 * F.col("_c.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_c.n_words"))
     depleted = (left < MIN_LEFT_WORDS) | (left < MIN_LEFT_SHARE * F.col("_c.n_words"))
-    return joined.withColumn("_q", F.struct("_c.*", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))).drop("_c", "_row", "removed")
+    return joined.withColumn("_q", F.struct("_c.*", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))).drop("_c", "_row", "_removed")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlake.llm import byte_bpe, decontamination, language_id, quality_knn, quality_rules, repeated_strings, secret_scan, simhash, token_counts
+from roadlake.llm import byte_bpe, decontamination, language_id, license_scan, quality_knn, quality_rules, repeated_strings, secret_scan, simhash, token_counts
 
 
 def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -64,8 +64,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op6_repeated_strings, op7_quality_knn, op8_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op6_repeated_strings, op7_quality_knn, op8_quality_rules, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

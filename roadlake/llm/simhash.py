@@ -112,10 +112,10 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp, component_id (and the columns ``carry``) for every row of ``docs``.
+    """doc_id, fp, root, component_id (and the columns ``carry``) for every row of ``docs``.
 
     Rows with equal fingerprints are one node; nodes within ``radius`` bits are linked, and
-    component_id is the smallest doc_id of all rows that are reachable. Null ids keep their
+    component_id is the smallest doc_id of all rows that are reachable; root names the component by one of its fingerprints. Null ids keep their
     rows but never name a component, unless all of its ids are null.
     """
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp"), *carry))
@@ -123,8 +123,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, carry: tup
     roots = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = written(placed.join(lowest, "root").select("fp", "component_id"))
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id", *carry)
+    of_print = written(placed.join(lowest, "root").select("fp", "root", "component_id"))
+    return prints.join(of_print, "fp").select("doc_id", "fp", "root", "component_id", *carry)
 
 
 def digests(docs: DataFrame) -> DataFrame:
