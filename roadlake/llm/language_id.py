@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.llm._batch import chunks, per_text, text_bytes, with_breaks
+from roadlake.llm._batch import chunks, text_bytes, with_breaks
 
 #: n-grams are UTF-8 trigrams of the lower-cased letters of a text, hashed to so many cells.
 CELLS = 1 << 15
@@ -32,8 +33,6 @@ def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
     Letters beyond ASCII are lower-cased as code points; a trigram of three spaces isn't counted.
     """
-    import pyarrow.compute as pc
-
     data, offsets = text_bytes(pc.utf8_lower(pc.fill_null(texts, "")))
     data, offsets = with_breaks(data, offsets)
     folded = FOLD[data].astype(np.uint32)
@@ -42,8 +41,9 @@ def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     gram = folded[:-2] << 16 | folded[1:-1] << 8 | folded[2:]
     blank = (folded[1:-1] == 0x20) & ((folded[:-2] == 0x20) | (folded[2:] == 0x20))
     cell = ((gram * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))[1:-1]
-    keys = np.sort((text_of * CELLS + cell)[~blank])
+    text_at = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    text_of = text_at[1:-1]
+    keys = np.sort((text_of * CELLS + cell)[~blank & (text_of == text_at[2:])])
     if not len(keys):
         return (np.zeros(0, np.int64),) * 3
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
