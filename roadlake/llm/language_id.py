@@ -43,7 +43,7 @@ def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     cell = ((gram * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
     text_at = np.repeat(np.arange(len(texts)), np.diff(offsets))
     text_of = text_at[1:-1]
-    keys = np.sort((text_of * CELLS + cell)[~blank & (text_of == text_at[2:])])
+    keys = np.sort((text_of * CELLS + cell)[~blank & (text_at[:-2] == text_at[2:])])
     if not len(keys):
         return (np.zeros(0, np.int64),) * 3
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
