@@ -12,6 +12,7 @@ from roadlake.functions.storage import written
 from roadlake.operators import congestion, graph, gravity, planning, scenario, selection, sequences, similarity
 from roadlake.operators.components import connected_components
 from roadlake.plans import views as v
+from roadlake.streaming import online
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -699,6 +700,25 @@ def ema_travel_time(spark, sf):
     return congestion.smoothed(v.dump(spark, sf))
 
 
+@query("select (floor(epoch(ts))::bigint // 900 * 900)::bigint as begin, user_id as edge_id, count(*) as n, sum(trunc(value * 1000)::bigint)::bigint as milli from events group by all")
+def stream_congestion(spark, sf):
+    stream = online.congestion_windows(online.event_stream(spark, f"{sf}/event[s].parquet"))
+    last = online.drained(stream, "update").groupBy("begin", "edge_id").agg(F.max_by(F.struct("n", "milli"), "batch").alias("v"))
+    return last.select("begin", "edge_id", "v.n", "v.milli")
+
+
+@query()
+def stream_vehicle_state(spark, sf):
+    return online.drained(online.vehicle_states(online.event_stream(spark, f"{sf}/event[s].parquet")), "append").drop("batch")
+
+
+@query("select user_id as edge_id, count(*) as n, floor(list_reduce(list(value order by ts, event_id), lambda t, x: (t + x) / 2) * 1000)::bigint as smooth_milli from events group by 1")
+def stream_smoothed(spark, sf):
+    rows = online.drained(online.smoothed_times(online.event_stream(spark, f"{sf}/event[s].parquet")), "update")
+    last = rows.groupBy("edge_id").agg(F.max_by(F.struct("n", "smooth"), "batch").alias("v"))
+    return last.select("edge_id", "v.n", F.floor(F.col("v.smooth") * 1000).alias("smooth_milli"))
+
+
 def top_congested(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
     """The flagship query: the edges of highest mean congestion."""
     return ci_mean_all_intervals(spark, sf).orderBy(F.desc("ci"), "edge_id").limit(n)
