@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task holds in expanded form at once; one longer text is its own chunk.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Byte classes of the word patterns: 0x20 and 0x09-0x0D separate words.
 SPACE = np.zeros(256, bool)

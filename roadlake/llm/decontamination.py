@@ -207,7 +207,7 @@ def searched(spark, text: Column, block: list[tuple[object, str | None]]) -> Col
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
-            for texts in chunks(batch, 16 << 20):
+            for texts in chunks(batch, 4 << 20):
                 counts, spans, found = hits(texts, sent.value)
                 rows += [{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i} for n, s, i in zip(counts.tolist(), spans, found, strict=True)]
             yield pa.array(rows, arrow)
