@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.functions.storage import written
+from roadlake.functions.storage import drop_written, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,8 +27,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         first = written(first.select("node", F.least("node", "low").alias("up")))
         hop = first.select(F.col("node").alias("up"), F.col("up").alias("top"))
         step = written(first.join(hop, "up").select("node", F.col("top").alias("root")))
+        old = [first, live] + ([step, found] if found is not None else [])
         found = step if found is None else written(_moved(found, step, "root").unionByName(step.join(found, "node", "left_anti")))
         live = written(_both_ways(_moved(_moved(live, step, "u"), step, "v")))
+        for table in old:
+            drop_written(table)
     if found is None:
         return loops.distinct().withColumn("root", F.col("node"))
     alone = loops.distinct().join(found, "node", "left_anti")

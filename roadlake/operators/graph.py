@@ -195,3 +195,55 @@ def network_summary(edges: DataFrame, name: str) -> DataFrame:
     n = junctions(edges).agg(F.count(F.lit(1)).alias("junctions"))
     sizes = edges.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum(F.floor(F.col("length") * 1000)), F.lit(0)).alias("milli"))
     return n.crossJoin(sizes).select(F.lit(name).alias("name"), "junctions", "edges", "milli")
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(junction, targets): ``target:edge`` of all edges that leave a junction, sorted; parallel edges stay."""
+    pairs = F.array_sort(F.collect_list(F.struct("tj", "edge_id")))
+    text = F.transform(pairs, lambda p: F.concat_ws(":", p["tj"].cast("string"), p["edge_id"].cast("string")))
+    return edges.groupBy(F.col("fj").alias("junction")).agg(F.array_join(text, " ").alias("targets"))
+
+
+def edges_of_walk(walks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(walk, path, complete): the edges between consecutive junctions of walks (walk, pos, junction).
+
+    The least edge id of parallel ones; ``path`` ends before the first step without an edge.
+    """
+    order = W.partitionBy("walk").orderBy("pos")
+    steps = walks.withColumn("next", F.lead("junction").over(order)).where("next is not null")
+    least = edges.groupBy("fj", "tj").agg(F.min("edge_id").alias("edge_id"))
+    placed = steps.join(least, (F.col("junction") == F.col("fj")) & (F.col("next") == F.col("tj")), "left")
+    gap = placed.withColumn("broken", F.max(F.col("edge_id").isNull().cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    kept = F.array_sort(F.collect_list(F.when(F.col("broken") == 0, F.struct("pos", "edge_id"))))
+    return gap.groupBy("walk").agg(F.array_join(F.transform(kept, lambda s: s["edge_id"].cast("string")), " ").alias("path"), (F.max("broken") == 0).alias("complete"))
+
+
+def rings(edges: DataFrame, size: int) -> DataFrame:
+    """(ring): cycles of ``size`` different junctions, as edge ids from the cycle's least junction on."""
+    step = edges.select("edge_id", "fj", "tj")
+    walk = step.where("fj <> tj").select(F.col("fj").alias("start"), F.col("tj").alias("at"), F.array("fj").alias("seen"), F.col("edge_id").cast("string").alias("ring"))
+    for k in range(1, size):
+        grown = walk.join(step, walk["at"] == step["fj"])
+        inside = (F.col("tj") > F.col("start")) & ~F.array_contains("seen", F.col("tj")) & (F.col("at") != F.col("tj"))
+        fits = (F.col("tj") == F.col("start")) if k == size - 1 else inside
+        grown = grown.where((F.col("at") > F.col("start")) & fits)
+        walk = grown.select("start", F.col("tj").alias("at"), F.concat("seen", F.array("fj")).alias("seen"), F.concat_ws(" ", "ring", F.col("edge_id").cast("string")).alias("ring"))
+    return walk.select("ring")
+
+
+def valid_ring(ring: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, valid): whether the edges of each named ring form one closed walk through all of its junctions.
+
+    ``ring`` has name, edge_id. Every junction of the ring has one successor in it, and following
+    them from the least junction comes back after as many steps as there are edges: the successor
+    table is one component and a permutation.
+    """
+    from roadlake.operators.components import connected_components
+
+    inside = written(ring.join(edges.select("edge_id", "fj", "tj"), "edge_id"))
+    counts = inside.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fj").alias("a"), F.count_distinct("tj").alias("b"))
+    key = lambda c: F.concat_ws("|", "name", F.col(c).cast("string"))
+    roots = connected_components(inside.select(key("fj").alias("a"), key("tj").alias("b")))
+    parts = roots.groupBy(F.substring_index("root", "|", 1).alias("name")).agg(F.count_distinct("root").alias("parts"), F.count(F.lit(1)).alias("nodes"))
+    ok = (F.col("n") == F.col("a")) & (F.col("n") == F.col("b")) & (F.col("n") == F.col("nodes")) & (F.col("parts") == 1)
+    return counts.withColumn("name", F.col("name").cast("string")).join(parts, "name").select("name", ok.alias("valid"))

@@ -97,3 +97,44 @@ def bottlenecks(route: DataFrame) -> DataFrame:
     fan = pairs.groupBy("from_edge").agg(F.count(F.lit(1)).alias("fan"))
     weight = pairs.join(fan, "from_edge").select("from_edge", "to_edge", (F.col("n") * F.col("fan")).alias("w"))
     return steps.join(weight, ["from_edge", "to_edge"]).groupBy("route_id").agg(F.sum("w").alias("score"))
+
+
+def entry_keys(route: DataFrame, region: DataFrame) -> DataFrame:
+    """(first_edge, last_edge, routes): the distinct ends of routes' runs in a region of three edges or more.
+
+    Alternative routes are sought once for each key and joined back to its routes.
+    """
+    from roadlake.operators.sequences import clipped
+
+    cut = clipped(route, region, 3)
+    ends = cut.groupBy("route_id").agg(F.min_by("edge_id", "pos").alias("first_edge"), F.max_by("edge_id", "pos").alias("last_edge"))
+    return ends.groupBy("first_edge", "last_edge").agg(F.count(F.lit(1)).alias("routes"))
+
+
+def eta_errors(planned: DataFrame) -> DataFrame:
+    """One row of counts by the size and the sign of ``arrived`` less ``eta``, in milliseconds."""
+    error = F.col("arrived") - F.col("eta")
+    count = lambda test: F.coalesce(F.sum(test.cast("bigint")), F.lit(0))
+    size = F.abs(error)
+    return planned.agg(
+        F.count(F.lit(1)).alias("vehicles"),
+        count(size < 10_000).alias("below_10"),
+        count((size >= 10_000) & (size < 20_000)).alias("below_20"),
+        count(size >= 20_000).alias("above"),
+        count(error > 0).alias("late"),
+        count(error < 0).alias("early"),
+    )
+
+
+def turn_penalties(route: DataFrame, edges: DataFrame, lights: DataFrame) -> DataFrame:
+    """(route_id, penalty): tenths for each turn: 10 less 3 a step of speed class, 2 less at a traffic light, at least 1.
+
+    ``edges`` has edge_id, tj, class; ``lights`` has junction.
+    """
+    from roadlake.operators.sequences import transitions
+
+    a = edges.select(F.col("edge_id").alias("from_edge"), F.col("tj").alias("junction"), F.col("class").alias("c"))
+    b = edges.select(F.col("edge_id").alias("to_edge"), F.col("class").alias("d"))
+    turns = transitions(route).join(a, "from_edge").join(b, "to_edge").join(lights.select("junction", F.lit(2).alias("off")), "junction", "left")
+    penalty = F.greatest(10 - 3 * F.abs(F.col("c") - F.col("d")) - F.coalesce("off", F.lit(0)), F.lit(1))
+    return turns.groupBy("route_id").agg(F.sum(penalty).alias("penalty"))

@@ -719,6 +719,100 @@ def stream_smoothed(spark, sf):
     return last.select("edge_id", "v.n", F.floor(F.col("v.smooth") * 1000).alias("smooth_milli"))
 
 
+@query(", p as (select fj as junction, string_agg(tj || ':' || edge_id, ' ' order by tj, edge_id) as targets from v_gedge group by 1) select * from p")
+def adjacency_map(spark, sf):
+    return graph.adjacency(v.graph_edge(spark, sf))
+
+
+@query("""select edge_id, (select count(distinct from_edge) from v_connection c where c.to_edge = e.edge_id) as n_in, (select count(distinct to_edge) from v_connection c where c.from_edge = e.edge_id) as n_out from v_gedge e""")
+def edge_neighbours(spark, sf):
+    edges = v.graph_edge(spark, sf)
+    con = graph.connections(edges)
+    into = con.groupBy(F.col("to_edge").alias("edge_id")).agg(F.count_distinct("from_edge").alias("n_in"))
+    out = con.groupBy(F.col("from_edge").alias("edge_id")).agg(F.count_distinct("to_edge").alias("n_out"))
+    return edges.select("edge_id").join(into, "edge_id", "left").join(out, "edge_id", "left").fillna(0, ["n_in", "n_out"])
+
+
+@query(""", walks as (select route_id as walk, pos, fj as junction from v_route r join v_gedge e using (edge_id) where route_id < 3000),
+s as (select walk, pos, junction, lead(junction) over (partition by walk order by pos) as nxt from walks), least_ as (select fj, tj, min(edge_id) as e from v_gedge group by all),
+p as (select s.*, e, max((e is null)::int) over (partition by walk order by pos) as broken from s left join least_ on junction = fj and nxt = tj where nxt is not null)
+select walk, coalesce(string_agg(e::varchar, ' ' order by pos) filter (where broken = 0), '') as path, max(broken) = 0 as complete from p group by walk""")
+def path_from_junctions(spark, sf):
+    edges = v.graph_edge(spark, sf)
+    walks = v.route(spark, sf).where("route_id < 3000").join(edges.select("edge_id", "fj"), "edge_id").select(F.col("route_id").alias("walk"), "pos", F.col("fj").alias("junction"))
+    return graph.edges_of_walk(walks, edges)
+
+
+RING = """, ring3 as (select a.edge_id || ' ' || b.edge_id || ' ' || c.edge_id as ring, a.edge_id as x, b.edge_id as y, c.edge_id as z from v_gedge a join v_gedge b on a.tj = b.fj join v_gedge c on b.tj = c.fj and c.tj = a.fj
+where a.fj < b.fj and a.fj < c.fj and b.fj <> c.fj) """
+
+
+@query(RING + "select ring from ring3")
+def rings(spark, sf):
+    return graph.rings(v.graph_edge(spark, sf), 3)
+
+
+@query(RING + "select ring as name, true as valid from ring3 union all select 'broken ' || ring, false from ring3")
+def ring_validity(spark, sf):
+    edges = v.graph_edge(spark, sf)
+    found = written(graph.rings(edges, 3))
+    rows = lambda part, name: found.select(name.alias("name"), F.explode(part).alias("e")).select("name", F.col("e").cast("bigint").alias("edge_id"))
+    parts = F.split("ring", " ")
+    return graph.valid_ring(rows(parts, F.col("ring")).unionByName(rows(F.slice(parts, 1, 2), F.concat(F.lit("broken "), "ring"))), edges)
+
+
+@query(RUNS + """, cut as (select route_id, arg_min(edge_id, pos) as first_edge, arg_max(edge_id, pos) as last_edge from v_route join runs using (route_id) where pos >= "left" and pos < "right" and "right" - "left" >= 3 group by 1)
+select first_edge, last_edge, count(*) as routes from cut group by all""")
+def entry_keys(spark, sf):
+    return scenario.entry_keys(v.route(spark, sf), v.region(spark, sf))
+
+
+ETA = """, p as (select r.route_id, r.pos, floor(e.length / e.speed * 1000)::bigint as ms, e.speed <= 26 as inside from v_route r join v_edge e using (edge_id)),
+b as (select *, coalesce(sum(ms) over (partition by route_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as before from p),
+f as (select route_id, arg_min(before, pos) as eta from b where inside group by 1) """
+
+
+@query(ETA + """, x as (select vehicle_id, eta, eta + (vehicle_id * 7919) % 50001 - 25000 as arrived from v_vehicle join f using (route_id))
+select count(*) as vehicles, (count(*) filter (where abs(arrived - eta) < 10000))::bigint as below_10, (count(*) filter (where abs(arrived - eta) >= 10000 and abs(arrived - eta) < 20000))::bigint as below_20,
+(count(*) filter (where abs(arrived - eta) >= 20000))::bigint as above, (count(*) filter (where arrived > eta))::bigint as late, (count(*) filter (where arrived < eta))::bigint as early from x""")
+def eta_errors(spark, sf):
+    found = scenario.eta(v.vehicle(spark, sf), v.route(spark, sf), v.edge(spark, sf), v.region(spark, sf))
+    return scenario.eta_errors(found.withColumn("arrived", F.col("eta") + F.col("vehicle_id") * 7919 % 50001 - 25000))
+
+
+@query(PAIRS + """, e as (select edge_id, tj, floor(speed / 15)::bigint as class from v_edge)
+select route_id, sum(greatest(10 - 3 * abs(a.class - b.class) - case when a.tj % 5 = 0 then 2 else 0 end, 1))::bigint as penalty from pairs p join e a on a.edge_id = p.from_edge join e b on b.edge_id = p.to_edge group by 1""")
+def turn_penalties(spark, sf):
+    edges = v.edge(spark, sf).select("edge_id", "tj", F.floor(F.col("speed") / 15).alias("class"))
+    lights = edges.where("tj % 5 = 0").select(F.col("tj").alias("junction")).distinct()
+    return scenario.turn_penalties(v.route(spark, sf), edges, lights)
+
+
+@query('select vtype, arg_min(vehicle_id, depart * 1000000 + vehicle_id) as "first", arg_max(vehicle_id, depart * 1000000 + vehicle_id) as "last" from v_vehicle group by 1')
+def first_and_last_departs(spark, sf):
+    at = F.struct("depart", "vehicle_id")
+    return v.vehicle(spark, sf).groupBy("vtype").agg(F.min(at).alias("a"), F.max(at).alias("b")).select("vtype", F.col("a.vehicle_id").alias("first"), F.col("b.vehicle_id").alias("last"))
+
+
+@query(LENGTHS + "select route_id, arg_min(fj, pos) as start, arg_max(tj, pos) as destination, arg_min(edge_id, pos) as first_edge, arg_max(edge_id, pos) as last_edge, (max(pos) + 1)::bigint as n_edges from placed group by 1")
+def route_endpoints(spark, sf):
+    placed = v.route(spark, sf).join(v.edge(spark, sf).select("edge_id", "fj", "tj"), "edge_id")
+    low, high = lambda c: F.min_by(c, "pos"), lambda c: F.max_by(c, "pos")
+    return placed.groupBy("route_id").agg(low("fj").alias("start"), high("tj").alias("destination"), low("edge_id").alias("first_edge"), high("edge_id").alias("last_edge"), (F.max("pos") + 1).alias("n_edges"))
+
+
+@query(", asked as (select range as pos, (range * 37) % 300 as edge_id from range(200)) select pos, a.edge_id, coalesce(e.fj, -1) as fj, coalesce(e.tj, -1) as tj from asked a left join v_gedge e using (edge_id)")
+def ordered_lookup(spark, sf):
+    asked = spark.range(200).select(F.col("id").alias("pos"), (F.col("id") * 37 % 300).alias("edge_id"))
+    return asked.join(v.graph_edge(spark, sf).select("edge_id", "fj", "tj"), "edge_id", "left").select("pos", "edge_id", "fj", "tj").fillna(-1)
+
+
+@query()
+def exponential_flow(spark, sf):
+    parts = [selection.random_flow(spark, k * 3600, (k + 1) * 3600, 300, low, high, 20 + k).select(F.lit(k).alias("phase"), "depart") for k, (low, high) in enumerate([(1, 4), (5, 9), (10, 20)])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def top_congested(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
     """The flagship query: the edges of highest mean congestion."""
     return ci_mean_all_intervals(spark, sf).orderBy(F.desc("ci"), "edge_id").limit(n)
