@@ -26,6 +26,15 @@ from roadlake.llm._batch import chunks, per_text, text_bytes
 #: Fixed value: White_Space of the Unicode Character Database.
 BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+#: Letters and digits that Unicode 16.0 added, first and last of each range. The
+#: library that the results must equal knows them; Python's tables may be older.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_DIGITS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+
 #: Rank files above this size are refused, since every worker holds one.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct pieces whose merges a worker remembers; more are merged again when met.
@@ -37,6 +46,9 @@ def class_table() -> np.ndarray:
     """Symbol of every code point without its neighbours."""
     groups = {"L": LETTER, "N": DIGIT}
     table = np.fromiter((groups.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    for symbol, ranges in ((LETTER, NEW_LETTERS), (DIGIT, NEW_DIGITS)):
+        for a, b in ranges:
+            table[a : b + 1] = symbol
     table[BLANKS] = BLANK_INSIDE
     table[ord("'")] = QUOTE
     for c in "stmd":

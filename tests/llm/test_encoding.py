@@ -45,6 +45,22 @@ def test_splits_like_the_pattern(library):
         at += n
 
 
+def test_classes_of_all_code_points():
+    """A code point joins the piece before it if that is of its class; merges of its first byte show it."""
+    ranks = {bytes([k]): k for k in range(256)}
+    for first in (b"a", b"1", b"!"):
+        for k in range(128, 256):
+            ranks[first + bytes([k])] = len(ranks)
+    library = tiktoken.Encoding("classes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table, names = byte_bpe.class_table(), [byte_bpe.LETTER, byte_bpe.DIGIT, byte_bpe.OTHER]
+    points = [c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and (c % 7 == 0 or c < 0x3000)]
+    points += [c for a, b in byte_bpe.NEW_LETTERS + byte_bpe.NEW_DIGITS for c in (a - 1, a, b, b + 1)]
+    for c in points:
+        size = len(chr(c).encode())
+        joined = [n for n, first in zip(names, "a1!", strict=True) if len(library.encode_ordinary(first + chr(c))) == size]
+        assert (joined or [byte_bpe.BLANK_INSIDE]) == [table[c]]
+
+
 def test_long_pieces_merge_like_short_ones():
     with open(vocabulary_path(), "rb") as f:
         words = byte_bpe.Vocabulary(f.read())
