@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from roadlake.llm.license_scan import CUE, FILE_NAME, FILE_SHARE, MIN_COSINE, TERM, _weights
 from roadlake.llm.quality_rules import MAX_LINE_DOCS, MAX_LINE_SHARE, MIN_LEFT_SHARE, MIN_LEFT_WORDS
 from roadlake.llm.secret_scan import LIMITS, WINDOW, _scaled
 
@@ -86,3 +87,30 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(
 from worded left join hit using (rid) left join listed using (rid)"""
 
 ORACLE = {"op4_secret_scan": SECRETS, "op6_repeated_strings": REPEATS, "op8_quality_rules": RULES, "op9_decontamination": CONTAMINATION}
+
+
+def _licenses() -> str:
+    vectors, idf, rare = _weights()
+    rows = ", ".join(f"({k}, '{name}', '{t}', {w}::double)" for k, (name, vector) in enumerate(vectors) for t, w in vector.items())
+    idfs = ", ".join(f"('{t}', {w}::double)" for t, w in idf.items())
+    words = r"[^\x20\x09-\x0D]+"
+    return f"""with weights(k, name, t, w) as (values {rows}), idfs(t, idf) as (values {idfs}),
+docs as (select doc_id, coalesce(text, '') as text, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(doc_id::varchar, '-')) as path, row_number() over () as rid from documents),
+parts as (select rid, unnest(string_split(regexp_replace(text, '([.!?;])[\\x20\\t]+', '\\1' || chr(10), 'g'), chr(10))) as p from docs),
+notices as (select rid, row_number() over () as nid, regexp_extract_all(lower(p), '{TERM}') as terms from parts where regexp_matches(p, '{CUE}')),
+counted as (select nid, t, count(*) as c from (select nid, unnest(terms) as t from notices) group by all),
+weighted as (select nid, t, c * coalesce(idf, {rare}::double) as w from counted left join idfs using (t)),
+norms as (select nid, sqrt(sum(w * w)) as norm from weighted group by nid),
+scores as (select a.nid, k, name, least(1.0, round(sum(a.w * b.w) / any_value(greatest(norm, 1e-9)), 5)) as score from weighted a join weights b using (t) join norms n on n.nid = a.nid group by a.nid, k, name),
+best as (select nid, name, score from scores qualify row_number() over (partition by nid order by score desc, name) = 1),
+matched as (select rid, name, score, len(terms) as n from best join notices using (nid) where score >= {MIN_COSINE}),
+own as (select rid, first(name order by score desc, name) as license, max(score)::double as score, sum(n) as n from matched group by rid),
+rated as (select d.*, o.license as own_license, coalesce(o.score, 0.0)::double as score, regexp_replace(path, '/?[^/]*$', '') as dir,
+  o.rid is not null and (regexp_matches(path, '{FILE_NAME}') or o.n >= {FILE_SHARE} * len(regexp_extract_all(text, '{words}'))) as is_file from docs d left join own o using (rid)),
+given as (select dir, own_license as license from rated where is_file group by dir, own_license qualify row_number() over (partition by dir order by count(*) desc, own_license) = 1),
+chain as (select distinct dir, unnest(range(len(string_split(dir, '/')) + 1)) as depth from rated),
+nearest as (select c.dir, g.dir as up, g.license from chain c join given g on g.dir = array_to_string(string_split(c.dir, '/')[1:c.depth], '/') qualify row_number() over (partition by c.dir order by c.depth desc) = 1)
+select doc_id, path, own_license, score, is_file as is_license_file, coalesce(own_license, n.license) as license, case when own_license is null then n.up end as inherited_from from rated r left join nearest n using (dir)"""
+
+
+ORACLE["op10_license_scan"] = _licenses()
