@@ -247,3 +247,26 @@ def valid_ring(ring: DataFrame, edges: DataFrame) -> DataFrame:
     parts = roots.groupBy(F.substring_index("root", "|", 1).alias("name")).agg(F.count_distinct("root").alias("parts"), F.count(F.lit(1)).alias("nodes"))
     ok = (F.col("n") == F.col("a")) & (F.col("n") == F.col("b")) & (F.col("n") == F.col("nodes")) & (F.col("parts") == 1)
     return counts.withColumn("name", F.col("name").cast("string")).join(parts, "name").select("name", ok.alias("valid"))
+
+
+def alternative_routes(keys: DataFrame, edges: DataFrame, connections_: DataFrame, hops: int, k: int, stretch: float) -> DataFrame:
+    """(first_edge, last_edge, rank, milli, path): the k shortest allowed ways between pairs of edges.
+
+    Ways follow turn permissions, use no edge twice, and have at most ``hops`` turns and
+    ``stretch`` times the shortest length. Each distinct key is sought once; callers join the
+    answers back to the routes that share it. A way that has reached its last edge isn't grown.
+    """
+    sized = edges.select("edge_id", F.floor(F.col("length") * 1000).alias("m"))
+    turns = connections_.select("from_edge", F.col("to_edge").alias("next"))
+    start = keys.select("first_edge", "last_edge").distinct().join(sized, F.col("first_edge") == F.col("edge_id"))
+    level = start.select("first_edge", "last_edge", F.col("edge_id").alias("at"), F.col("m").alias("milli"), F.array("edge_id").alias("seen"))
+    found = [level.where("at = last_edge")]
+    for _ in range(hops):
+        grown = level.where("at <> last_edge").join(turns, F.col("at") == F.col("from_edge")).where(~F.array_contains("seen", F.col("next")))
+        grown = grown.join(sized, F.col("next") == F.col("edge_id"))
+        level = grown.select("first_edge", "last_edge", F.col("next").alias("at"), (F.col("milli") + F.col("m")).alias("milli"), F.concat("seen", F.array("next")).alias("seen"))
+        found.append(level.where("at = last_edge"))
+    ways = reduce(DataFrame.unionByName, found).withColumn("path", F.array_join(F.transform("seen", lambda e: e.cast("string")), " "))
+    best = W.partitionBy("first_edge", "last_edge")
+    ranked = ways.withColumn("low", F.min("milli").over(best)).withColumn("rank", F.row_number().over(best.orderBy("milli", "path")).cast("bigint"))
+    return ranked.where((F.col("rank") <= k) & (F.col("milli") <= F.col("low") * stretch)).select("first_edge", "last_edge", "rank", "milli", "path")

@@ -813,6 +813,18 @@ def exponential_flow(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(""", keys as (select range as first_edge, (range * 7 + 3) % 200 as last_edge from range(20)),
+ways(first_edge, last_edge, at_, milli, path, seen, n) as (select first_edge, last_edge, first_edge, floor(length * 1000)::bigint, first_edge::varchar, ',' || first_edge || ',', 0 from keys join v_gedge on edge_id = first_edge
+union all select w.first_edge, w.last_edge, c.to_edge, milli + floor(e.length * 1000)::bigint, path || ' ' || c.to_edge, seen || c.to_edge || ',', n + 1 from ways w join v_connection c on c.from_edge = w.at_ join v_gedge e on e.edge_id = c.to_edge
+where n < 5 and w.at_ <> w.last_edge and not contains(seen, ',' || c.to_edge || ',')),
+r as (select *, min(milli) over (partition by first_edge, last_edge) as low, row_number() over (partition by first_edge, last_edge order by milli, path) as rank from ways where at_ = last_edge)
+select first_edge, last_edge, rank, milli, path from r where rank <= 4 and milli <= low * 1.5""")
+def alternative_routes(spark, sf):
+    edges = v.graph_edge(spark, sf)
+    keys = spark.range(20).select(F.col("id").alias("first_edge"), ((F.col("id") * 7 + 3) % 200).alias("last_edge"))
+    return graph.alternative_routes(keys, edges, graph.connections(edges), 5, 4, 1.5)
+
+
 def top_congested(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
     """The flagship query: the edges of highest mean congestion."""
     return ci_mean_all_intervals(spark, sf).orderBy(F.desc("ci"), "edge_id").limit(n)
