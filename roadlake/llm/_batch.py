@@ -40,6 +40,12 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
         at = to
 
 
+def each(batches: Iterator[pa.Array], limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
+    """The chunks of all batches; a function of columns may answer them one by one."""
+    for batch in batches:
+        yield from chunks(batch, limit)
+
+
 def with_breaks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes with a line feed after each text, and the shifted offsets."""
     return np.insert(data, offsets[1:], 0x0A), offsets + np.arange(len(offsets))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.llm._batch import chunks, per_text, text_bytes
+from roadlake.llm._batch import each, per_text, text_bytes
 
 # Symbols: what a code point is to the splitting pattern, the next code points included.
 (LETTER, LEAD_ONE, LEAD_TWO, DIGIT, OTHER, QUOTE, SPACE_LAST, BLANK_LAST, BLANK_INSIDE, STOP) = range(10)
@@ -38,7 +38,7 @@ NEW_DIGITS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x161
 #: Rank files above this size are refused, since every worker holds one.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct pieces whose merges a worker remembers; more are merged again when met.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 
 @cache
@@ -295,15 +295,12 @@ def encoded(spark, path: str, text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = vocabulary(ranks)
-        for batch in batches:
-            parts = []
-            for texts in chunks(batch):
-                got = words.encode(texts)
-                _, offsets = text_bytes(texts)
-                at = pa.array(np.concatenate(([0], np.cumsum(got.counts))), pa.int32())
-                ends = got.ends - np.repeat(offsets[:-1], got.counts)
-                parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(got.ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends, pa.int64()))], ["ids", "ends"]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64()))]))
+        for texts in each(batches):
+            got = words.encode(texts)
+            _, offsets = text_bytes(texts)
+            at = pa.array(np.concatenate(([0], np.cumsum(got.counts))), pa.int32())
+            ends = got.ends - np.repeat(offsets[:-1], got.counts)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(got.ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends, pa.int64()))], ["ids", "ends"])
 
     return F.arrow_udf(run, "ids array<int>, ends array<bigint>")(text)
 
@@ -329,20 +326,17 @@ def digested(spark, path: str, text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = vocabulary(ranks)
-        for batch in batches:
-            counts, hashes, backs = [], [], []
-            for texts in chunks(batch):
-                got = words.encode(texts)
-                ends = np.cumsum(got.counts)
-                ids = pa.array(got.ids)
-                listed, marks = text_bytes(words.decimals.take(ids))
-                back, cuts = text_bytes(words.tokens.take(ids))
-                for n, to in zip(got.counts.tolist(), ends.tolist(), strict=True):
-                    a, b = to - n, to
-                    hashes.append(hashlib.sha256(listed[marks[a] : max(marks[a], marks[b] - 1)]).hexdigest())
-                    backs.append(hashlib.sha256(back[cuts[a] : cuts[b]]).hexdigest())
-                counts.append(got.counts)
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        for texts in each(batches):
+            hashes, backs = [], []
+            got = words.encode(texts)
+            ids = pa.array(got.ids)
+            listed, marks = text_bytes(words.decimals.take(ids))
+            back, cuts = text_bytes(words.tokens.take(ids))
+            for n, b in zip(got.counts.tolist(), np.cumsum(got.counts).tolist(), strict=True):
+                a = b - n
+                hashes.append(hashlib.sha256(listed[marks[a] : max(marks[a], marks[b] - 1)]).hexdigest())
+                backs.append(hashlib.sha256(back[cuts[a] : cuts[b]]).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(got.counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return F.arrow_udf(run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")(text)
 
@@ -353,9 +347,8 @@ def token_lengths(spark, path: str, text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = vocabulary(ranks)
-        for batch in batches:
-            counts = [words.encode(texts).counts for texts in chunks(batch)]
-            yield pa.array(np.concatenate(counts) if counts else [], pa.int64())
+        for texts in each(batches):
+            yield pa.array(words.encode(texts).counts, pa.int64())
 
     return F.arrow_udf(run, "bigint")(text)
 

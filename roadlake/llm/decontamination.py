@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlake.llm._batch import LOWER, chunks, slices, text_bytes, with_breaks, word_bounds
+from roadlake.llm._batch import LOWER, each, slices, text_bytes, with_breaks, word_bounds
 
 #: Words of a window.
 WINDOW = 10
 #: Benchmark text that goes to every worker at once; a larger benchmark goes in several passes.
 BLOCK_BYTES = 8 << 20
+#: Text that one index covers, about.
+SHARD_BYTES = 4 << 20
 #: Every so many symbols of a shard have their place kept.
 SAMPLE = 8
 
@@ -205,14 +207,12 @@ def searched(spark, text: Column, block: list[tuple[object, str | None]]) -> Col
     arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = []
-            for texts in chunks(batch, 4 << 20):
-                counts, spans, found = hits(texts, sent.value)
-                rows += [{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i} for n, s, i in zip(counts.tolist(), spans, found, strict=True)]
-            yield pa.array(rows, arrow)
+        for texts in each(batches, SHARD_BYTES):
+            counts, spans, found = hits(texts, sent.value)
+            yield pa.array([{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i} for n, s, i in zip(counts.tolist(), spans, found, strict=True)], arrow)
 
-    return F.arrow_udf(run, RESULT)(text)
+    # so marked, a text is searched once, however many conditions use what was found
+    return F.arrow_udf(run, RESULT).asNondeterministic()(text)
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
@@ -241,7 +241,7 @@ def merged_spans(spans: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``_hits``: struct(n_words, spans, items) of each row against all items.
 
-    Each batch of a task is a shard with an index of its own. The benchmark is sent in blocks of
+    About ``SHARD_BYTES`` of a task's texts are a shard with an index of its own. The benchmark is sent in blocks of
     bounded size; each further block is one more pass over the text, and the passes' spans are
     joined. Null texts have no words, null items no windows; items with the same id count once.
     """

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.llm._batch import chunks, text_bytes, with_breaks
+from roadlake.llm._batch import chunks, each, text_bytes, with_breaks
 
 #: n-grams are UTF-8 trigrams of the lower-cased letters of a text, hashed to so many cells.
 CELLS = 1 << 15
@@ -152,16 +152,15 @@ def mixture(spark, model: Model, text: Column) -> Column:
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for texts in each(batches):
             out = []
-            for texts in chunks(batch, 1 << 20):
-                shares, totals = sent.value.mixtures(texts)
-                for row, n in zip(shares, totals.tolist(), strict=True):
-                    top = [k for k in np.argsort(-row, kind="stable").tolist() if row[k] > 0] if n else []
-                    if not top:
-                        out.append({"lang_pred": "und", "score": 0.0, "langs": [], "shares": []})
-                        continue
-                    out.append({"lang_pred": sent.value.langs[top[0]], "score": min(1.0, float(row[top[0]])), "langs": [sent.value.langs[k] for k in top], "shares": row[top].tolist()})
+            shares, totals = sent.value.mixtures(texts)
+            for row, n in zip(shares, totals.tolist(), strict=True):
+                top = [k for k in np.argsort(-row, kind="stable").tolist() if row[k] > 0] if n else []
+                if not top:
+                    out.append({"lang_pred": "und", "score": 0.0, "langs": [], "shares": []})
+                    continue
+                out.append({"lang_pred": sent.value.langs[top[0]], "score": min(1.0, float(row[top[0]])), "langs": [sent.value.langs[k] for k in top], "shares": row[top].tolist()})
             yield pa.array(out, kind)
 
     lettered = F.when(text.rlike(r"\p{L}"), text)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.llm._batch import chunks, text_bytes, with_breaks
+from roadlake.llm._batch import chunks, each, text_bytes, with_breaks
 
 #: Terms are byte trigrams, hashed to so many cells.
 TERMS = 2048
@@ -107,9 +107,9 @@ def score(spark, voters: Voters | None, text: Column) -> Column:
     sent = spark.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            parts = [sent.value.scores(some) for texts in chunks(batch, 1 << 20) for some in (texts.slice(k, 512) for k in range(0, len(texts), 512))]
-            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+        for texts in each(batches):
+            for k in range(0, len(texts), 512):
+                yield pa.array(sent.value.scores(texts.slice(k, 512)), pa.float64())
 
     return F.arrow_udf(run, "double")(text)
 

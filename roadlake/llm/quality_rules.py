@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.llm._batch import SPACE, chunks, per_text, slices, text_bytes, with_breaks, word_bounds
+from roadlake.llm._batch import SPACE, each, per_text, slices, text_bytes, with_breaks, word_bounds
 
 #: Fixed value: the symbols that are counted.
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
@@ -89,12 +89,11 @@ def counted(text: Column) -> Column:
     names = [part.split()[0] for part in COUNTS.split(", ")]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            parts = [base_counts(texts) for texts in chunks(batch)]
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [[]] * len(names)
-            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        for texts in each(batches):
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in base_counts(texts)], names)
 
-    return F.arrow_udf(run, COUNTS)(text)
+    # so marked, the counts are taken once, however many conditions use them
+    return F.arrow_udf(run, COUNTS).asNondeterministic()(text)
 
 
 def _words(line: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
-from roadlake.llm._batch import chunks, text_bytes
+from roadlake.llm._batch import chunks, each, text_bytes
 
 #: Bytes of a window, of an initial bucket's string, and of the first refinement.
 WINDOW, GRAM, STEP = 400, 200, 100
@@ -115,7 +115,7 @@ def _anchor_lists(text: Column) -> Column:
     kind = pa.struct([("gram", pa.int64()), ("around", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in each(batches, 8 << 20):
             columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for first, base, data, offsets in _pieces(batch):
                 text_, at, low, high, gram, around = anchors(data, offsets)

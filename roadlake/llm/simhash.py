@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
-from roadlake.llm._batch import LOWER, SPACE, chunks, per_text, text_bytes, with_breaks, word_bounds
+from roadlake.llm._batch import LOWER, SPACE, each, per_text, text_bytes, with_breaks, word_bounds
 from roadlake.operators.components import connected_components
 
 BITS = 64
@@ -53,9 +53,8 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     """The fingerprint of a text as bigint; null is empty."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            parts = [fingerprints(texts, words) for texts in chunks(batch, 1 << 20)]
-            yield pa.array(np.concatenate(parts) if parts else [], pa.int64())
+        for texts in each(batches):
+            yield pa.array(fingerprints(texts, words), pa.int64())
 
     return F.arrow_udf(run, "bigint")(text)
 
