@@ -72,11 +72,24 @@ class Voters:
         return ((weight * self.labels[who]).sum(1) / weight.sum(1)).astype(np.float64)
 
 
-def fitted(labelled: DataFrame) -> Voters | None:
-    """Voters from ``labelled`` (doc_id, text, label of 0 or 1); None without any.
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, label) of the labelled documents that vote: at most half of ``MAX_LABELLED`` of each label.
 
-    The sample is the rows of lowest hash of doc_id, at most ``MAX_LABELLED``, of each label at
-    most half; the driver gets their term counts only, in sparse form.
+    ``docs`` has doc_id and text, ``labels`` doc_id and label (0 or 1). Ids are chosen by their
+    lowest hash before any text is read, so few enough for a broadcast; of rows with the same id
+    the first text counts.
+    """
+    known = labels.where("label in (0, 1)").join(docs.select("doc_id"), "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    zero, one = (known.where(F.col("label") == k).orderBy(*order).limit(MAX_LABELLED // 2) for k in (0, 1))
+    chosen = zero.unionByName(one).select("doc_id", F.col("label").cast("int").alias("label"))
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+
+
+def fitted(sample: DataFrame) -> Voters | None:
+    """Voters from a bounded sample (text, label); None if it is empty.
+
+    The driver gets the texts' term counts only, in sparse form.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,17 +99,15 @@ def fitted(labelled: DataFrame) -> Voters | None:
                 counts = term_counts(texts)
                 own = labels[at : at + len(texts)]
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(c).astype(np.int16) for c in counts], pa.list_(pa.int16())), pa.array([c[c > 0] for c in counts], pa.list_(pa.float32())), pa.array(own, pa.int32())], ["terms", "counts", "label"])
+                columns = [pa.array([np.flatnonzero(c).astype(np.int16).tobytes() for c in counts], pa.binary()), pa.array([c[c > 0].tobytes() for c in counts], pa.binary()), pa.array(own, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["terms", "counts", "label"])
 
-    ranked = labelled.where("label in (0, 1)")
-    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")]
-    parts = [ranked.where(F.col("label") == k).orderBy(*order).limit(MAX_LABELLED // 2).select("text", F.col("label").cast("int").alias("label")) for k in (0, 1)]
-    rows = [r for part in parts for r in part.mapInArrow(run, "terms array<smallint>, counts array<float>, label int").collect()]
+    rows = sample.select("text", "label").mapInArrow(run, "terms binary, counts binary, label int").collect()
     if not rows:
         return None
     counts = np.zeros((len(rows), TERMS), np.float32)
     for k, r in enumerate(rows):
-        counts[k, r["terms"]] = r["counts"]
+        counts[k, np.frombuffer(r["terms"], np.int16)] = np.frombuffer(r["counts"], np.float32)
     return Voters(counts, np.array([r["label"] for r in rows]))
 
 
@@ -121,6 +132,6 @@ def predictions(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFra
     up from a half. Rows that are held out teach nothing.
     """
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    voters = fitted(docs.where(~held_out).select("doc_id", "text").join(own, "doc_id"))
+    voters = fitted(sampled(docs.where(~held_out).select("doc_id", "text"), own))
     found = docs.select("doc_id", held_out.alias("held_out"), score(docs.sparkSession, voters, F.col("text")).alias("score"))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
