@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlake.functions.storage import written
 from roadlake.llm import byte_bpe, decontamination, language_id, license_scan, quality_knn, quality_rules, repeated_strings, secret_scan, simhash, token_counts
 from roadlake.llm.oracles import ORACLE
 
@@ -34,7 +35,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lengths = docs.select(byte_bpe.token_lengths(spark, vocabulary_path(), F.col("text")).alias("n"))
-    return token_counts.context_limits(token_counts.length_histogram(lengths, F.col("n")))
+    return token_counts.context_limits(written(token_counts.length_histogram(lengths, F.col("n"))))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

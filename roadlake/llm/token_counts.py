@@ -23,7 +23,8 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     n_docs, n_tokens_total: of documents of exactly L tokens; docs_at_least, tokens_at_least:
     suffix sums from L on; docs_over, tokens_lost: documents longer than L and the tokens that
     truncation to L cuts; truncated_total: sum of min(length, L); quantile: share of documents
-    of at most L tokens. An empty histogram gives no rows. The suffix sums are taken within
+    of at most L tokens. An empty histogram gives no rows. The histogram is read several times,
+    so it should be a table and not recomputed from texts. The suffix sums are taken within
     blocks of lengths and over the blocks' totals, which are few.
     """
     block = F.floor(F.col("n_tokens") / BLOCK)
