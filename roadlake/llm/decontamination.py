@@ -124,7 +124,7 @@ class Phrases(NamedTuple):
     lengths: np.ndarray
     of_item: np.ndarray  # pairs of window and item
     item_of: np.ndarray
-    items: list[str]
+    items: list[str | None]
 
 
 def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
@@ -141,7 +141,7 @@ def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phr
         at += n
     table, which = np.unique(np.array(rows, np.int32).reshape(-1, window), axis=0, return_inverse=True)
     pairs = np.unique(np.stack((which.reshape(-1), np.array(owners, np.int64)), 1), axis=0)
-    return Phrases(coded.dictionary, table, (table > 0).sum(1), pairs[:, 0], pairs[:, 1], [str(i) for i, _ in items])
+    return Phrases(coded.dictionary, table, (table > 0).sum(1), pairs[:, 0], pairs[:, 1], [None if i is None else str(i) for i, _ in items])
 
 
 def hits(texts: pa.Array, block: Phrases) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
@@ -190,7 +190,7 @@ def hits(texts: pa.Array, block: Phrases) -> tuple[np.ndarray, list[list[tuple[i
     pairs = np.unique(np.stack((text_of[at], which), 1), axis=0)
     from_, to = np.searchsorted(block.of_item, pairs[:, 1]), np.searchsorted(block.of_item, pairs[:, 1], side="right")
     for k, a, b in zip(pairs[:, 0].tolist(), from_.tolist(), to.tolist(), strict=True):
-        found[k].extend(block.items[i] for i in block.item_of[a:b].tolist())
+        found[k].extend(block.items[i] for i in block.item_of[a:b].tolist() if block.items[i] is not None)
     return counts, spans, [sorted(set(x)) for x in found]
 
 
@@ -243,7 +243,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
     About ``SHARD_BYTES`` of a task's texts are a shard with an index of its own. The benchmark is sent in blocks of
     bounded size; each further block is one more pass over the text, and the passes' spans are
-    joined. Null texts have no words, null items no windows; items with the same id count once.
+    joined. Null texts have no words, null items no windows; items with the same id count once;
+    an item without an id marks its words and isn't listed.
     """
     out = docs
     passes = []

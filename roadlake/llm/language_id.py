@@ -82,6 +82,7 @@ class Model:
         self.langs = langs
         weight = counts + SMOOTHING
         self.given = np.ascontiguousarray((weight / weight.sum(1, keepdims=True)).T)  # [cell, language]
+        self.prior = counts.sum(1) / max(1, counts.sum())
 
     def mixtures(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """[text, language] proportions of the selected set, and how many n-grams a text has."""
@@ -145,8 +146,9 @@ def mixture(spark, model: Model, text: Column) -> Column:
     """struct(lang_pred, score, langs, shares) of a text.
 
     lang_pred is the language of the largest proportion and score that proportion; langs and
-    shares are the selected set, largest first. A null text, one without a letter, and any text
-    under a model without languages gives `und` with score 0.
+    shares are the selected set, largest first. A text with a letter but no n-gram has the most
+    frequent language, with its share of all n-grams. A null text, one without a letter, and any
+    text under a model without languages gives `und` with score 0.
     """
     sent = spark.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
@@ -155,8 +157,11 @@ def mixture(spark, model: Model, text: Column) -> Column:
         for texts in each(batches):
             out = []
             shares, totals = sent.value.mixtures(texts)
-            for row, n in zip(shares, totals.tolist(), strict=True):
-                top = [k for k in np.argsort(-row, kind="stable").tolist() if row[k] > 0] if n else []
+            bare = (totals == 0) & pc.is_valid(texts).to_numpy(zero_copy_only=False)
+            if bare.any() and len(sent.value.prior):
+                shares[bare, sent.value.prior.argmax()] = sent.value.prior.max()
+            for row in shares:
+                top = [k for k in np.argsort(-row, kind="stable").tolist() if row[k] > 0]
                 if not top:
                     out.append({"lang_pred": "und", "score": 0.0, "langs": [], "shares": []})
                     continue

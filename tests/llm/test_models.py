@@ -54,6 +54,16 @@ def test_texts_without_letters_are_undetermined(spark, docs, rows, no_docs):
     assert language_id.predictions(no_docs, F.lit(False)).count() == 0
 
 
+def test_short_texts_have_a_language(spark, labelled):
+    _, df = labelled
+    model = language_id.fitted(df.select("text", "lang"))
+    texts = [("a",), ("a1",), ("é",), ("7",), ("",), (None,)]
+    got = spark.createDataFrame(texts, "text string").select("text", language_id.mixture(spark, model, F.col("text")).alias("m"))
+    found = {r["text"]: r["m"] for r in got.collect()}
+    assert all(found[t]["lang_pred"] in model.langs and 0 < found[t]["score"] <= 1 for t in ("a", "a1", "é"))
+    assert all((found[t]["lang_pred"], found[t]["score"]) == ("und", 0.0) for t in ("7", "", None))
+
+
 def test_counts_are_those_of_all_trigrams(labelled):
     rows, df = labelled
     counted = sum(r["n"] for r in language_id.cell_totals(df).collect())

@@ -93,6 +93,15 @@ def test_decontamination(spark, docs, rows, block, monkeypatch):
     assert plain(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(hits(rows, items), key=repr)
 
 
+def test_items_without_ids_mark_their_words(spark):
+    words = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"zero {words} eleven"), (2, None), (3, words)], "doc_id bigint, text string")
+    for ids in ([None], [None, 7]):
+        items = spark.createDataFrame([(i, words) for i in ids], "item_id int, text string")
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.digests(docs, items).collect()}
+        assert got == {1: (10, len(ids) - 1, True), 2: (0, 0, False), 3: (10, len(ids) - 1, True)}
+
+
 def test_no_items_and_no_documents(spark, docs, no_docs, rows):
     none = spark.createDataFrame([], "item_id int, text string")
     assert plain(decontamination.digests(docs, none), "doc_id", "n_words", "n_hit") == sorted([h[:3] for h in hits(rows, [])], key=repr)
