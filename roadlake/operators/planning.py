@@ -44,11 +44,14 @@ def use_chain(roads_: DataFrame) -> DataFrame:
     return steps.select(fact("next", use(F.col("k")), use(F.col("k") + 1)).alias("fact"))
 
 
-def road_facts(edges: DataFrame, roads_: DataFrame) -> DataFrame:
-    """(fact) lines of roads: connected, costs, capacity, use at the start, and levels by use."""
+def road_facts(edges: DataFrame, roads_: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(fact) lines of roads: connected, costs, capacity, use at the start, and levels by use.
+
+    ``keys`` are columns of ``edges`` that stay, such as the problem that a road belongs to.
+    """
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     road, use = name("r", "edge_id"), lambda k: F.concat(F.lit("use"), k.cast("string"))
-    joined = edges.select("edge_id", "fj", "tj").join(roads_, "edge_id")
+    joined = edges.select("edge_id", "fj", "tj", *keys).join(roads_, "edge_id")
     own = F.array(
         fact("connected", name("j", "fj"), road, name("j", "tj")),
         *[F.concat(F.lit(f"(= (length-{n} "), road, F.lit(") "), F.col(f"cost_{n}").cast("string"), F.lit(")")) for n in COST_FACTORS],
@@ -57,7 +60,7 @@ def road_facts(edges: DataFrame, roads_: DataFrame) -> DataFrame:
     )
     level = lambda k: F.when(k <= F.col("light"), "light").when(k <= F.col("light") + F.col("medium"), "medium").otherwise("heavy")
     levels = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("capacity")), lambda k: F.concat(F.lit("("), level(k), F.lit(" "), road, F.lit(" "), use(k), F.lit(")")))
-    return joined.select(F.explode(F.concat(own, levels)).alias("fact"))
+    return joined.select(*keys, F.explode(F.concat(own, levels)).alias("fact"))
 
 
 def vehicle_facts(vehicles: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ PAIRS = ", pairs as (select * from (select route_id, pos, edge_id as from_edge,
 
 @query(PAIRS + "select route_id, count(*) as forbidden from pairs p where not exists (select 1 from v_connection c where c.from_edge = p.from_edge and c.to_edge = p.to_edge) group by 1")
 def turn_check(spark, sf):
-    return sequences.forbidden_turns(v.route(spark, sf), graph.connections(v.graph_edge(spark, sf)))
+    return sequences.forbidden_turns(v.route(spark, sf), graph.connections(v.edge(spark, sf)))
 
 
 @query(PAIRS + "select from_edge, to_edge, count(*) as n from pairs group by all")
@@ -246,25 +246,25 @@ def flow_topn(spark, sf):
     return scenario.flows(v.vehicle(spark, sf), v.route(spark, sf), 20)
 
 
-@query(""", o as (select fj as junction, count(distinct tj) as n_out, array_to_string(list_sort(list_distinct(list(tj))), ' ') as targets from v_gedge group by 1),
-i as (select tj as junction, count(distinct fj) as n_in, array_to_string(list_sort(list_distinct(list(fj))), ' ') as sources from v_gedge group by 1)
+@query(""", o as (select fj as junction, count(distinct tj) as n_out, array_to_string(list_sort(list_distinct(list(tj))), ' ') as targets from v_edge group by 1),
+i as (select tj as junction, count(distinct fj) as n_in, array_to_string(list_sort(list_distinct(list(fj))), ' ') as sources from v_edge group by 1)
 select junction, coalesce(n_in, 0) as n_in, coalesce(n_out, 0) as n_out, coalesce(sources, '') as sources, coalesce(targets, '') as targets from o full join i using (junction)""")
 def neighbours_in_out(spark, sf):
-    return graph.neighbours(v.graph_edge(spark, sf))
+    return graph.neighbours(v.edge(spark, sf))
 
 
 @query("select to_edge as edge_id, count(distinct from_edge) as n, array_to_string(list_sort(list_distinct(list(from_edge))), ' ') as sources from v_connection group by 1")
 def edge_connections(spark, sf):
-    return graph.incoming(graph.connections(v.graph_edge(spark, sf)))
+    return graph.incoming(graph.connections(v.edge(spark, sf)))
 
 
-REGION = """, g as (select e.* from v_gedge e semi join v_region r using (edge_id)), gc as (select c.* from v_connection c where from_edge in (select edge_id from g) and to_edge in (select edge_id from g)),
+REGION = """, g as (select e.* from v_edge e semi join v_region r using (edge_id)), gc as (select c.* from v_connection c where from_edge in (select edge_id from g) and to_edge in (select edge_id from g)),
 gj as (select fj as junction from g union select tj from g),
 fr as (select fj as junction, 'start' as kind from g where edge_id not in (select to_edge from gc) union select tj, 'end' from g where edge_id not in (select from_edge from gc)) """
 
 
 def _region_graph(spark, sf):
-    edges = graph.subgraph(v.graph_edge(spark, sf), v.region(spark, sf))
+    edges = graph.subgraph(v.edge(spark, sf), v.region(spark, sf))
     return edges, graph.connections(edges)
 
 
@@ -283,24 +283,24 @@ def junction_classes(spark, sf):
     return graph.junction_classes(*_region_graph(spark, sf))
 
 
-REVERSE = ", rev as (select c.from_edge, c.to_edge from v_connection c join v_gedge a on a.edge_id = c.from_edge join v_gedge b on b.edge_id = c.to_edge where a.fj = b.tj and a.tj = b.fj) "
+REVERSE = ", rev as (select c.from_edge, c.to_edge from v_connection c join v_edge a on a.edge_id = c.from_edge join v_edge b on b.edge_id = c.to_edge where a.fj = b.tj and a.tj = b.fj) "
 
 
 @query(REVERSE + "select * from rev")
 def self_loop_connections(spark, sf):
-    edges = v.graph_edge(spark, sf)
+    edges = v.edge(spark, sf)
     return graph.reversals(edges, graph.connections(edges))
 
 
 @query(REVERSE + "select * from v_connection c where not exists (select 1 from rev r where r.from_edge = c.from_edge and r.to_edge = c.to_edge and r.to_edge in (select to_edge from v_connection group by 1 having count(*) = 1))")
 def turn_connections(spark, sf):
-    edges = v.graph_edge(spark, sf)
+    edges = v.edge(spark, sf)
     return graph.without_lone_reversals(edges, graph.connections(edges))
 
 
-@query(REGION + "select edge_id, case when fj in (select junction from gj) and tj in (select junction from gj) then 'both' when fj in (select junction from gj) then 'out' else 'in' end as side from v_gedge where edge_id not in (select edge_id from g) and (fj in (select junction from gj) or tj in (select junction from gj))")
+@query(REGION + "select edge_id, case when fj in (select junction from gj) and tj in (select junction from gj) then 'both' when fj in (select junction from gj) then 'out' else 'in' end as side from v_edge where edge_id not in (select edge_id from g) and (fj in (select junction from gj) or tj in (select junction from gj))")
 def boundary_connections(spark, sf):
-    return graph.boundary(v.graph_edge(spark, sf), _region_graph(spark, sf)[0])
+    return graph.boundary(v.edge(spark, sf), _region_graph(spark, sf)[0])
 
 
 REMOVABLE = REGION + """, d as (select * from (select tj as junction, count(*) as n_in, list_sort(list_distinct(list(fj))) as s from g group by 1) join (select fj as junction, count(*) as n_out, list_sort(list_distinct(list(tj))) as t from g group by 1) using (junction)),
@@ -321,21 +321,21 @@ def contract_chains(spark, sf):
     return graph.contracted(edges, graph.removable(edges)).withColumnRenamed("length", "milli")
 
 
-@query(", k as (select distinct edge_id from v_route where route_id < 40) select edge_id, fj, tj from v_gedge semi join k using (edge_id)")
+@query(", k as (select distinct edge_id from v_route where mark = 0) select edge_id, fj, tj from v_edge semi join k using (edge_id)")
 def subgraph_by_edges(spark, sf):
-    return graph.subgraph(v.graph_edge(spark, sf), v.route(spark, sf).where("route_id < 40")).select("edge_id", "fj", "tj")
+    return graph.subgraph(v.edge(spark, sf), v.route(spark, sf).where("mark = 0")).select("edge_id", "fj", "tj")
 
 
-@query("select edge_id, fj, tj from v_gedge where fj < 30 and tj < 30")
+@query(", k as (select fj as j from v_region union select tj from v_region) select edge_id, fj, tj from v_edge where fj in (from k) and tj in (from k)")
 def subgraph_by_junctions(spark, sf):
-    return graph.induced(v.graph_edge(spark, sf), spark.range(30).withColumnRenamed("id", "junction")).select("edge_id", "fj", "tj")
+    return graph.induced(v.edge(spark, sf), graph.junctions(v.region(spark, sf))).select("edge_id", "fj", "tj")
 
 
-TWO = ", ga as (select edge_id, fj, tj from v_gedge where edge_id % 3 > 0), gb as (select edge_id, fj, tj from v_gedge where edge_id % 3 < 2) "
+TWO = ", ga as (select edge_id, fj, tj from v_edge where edge_id % 3 > 0), gb as (select edge_id, fj, tj from v_edge where edge_id % 3 < 2) "
 
 
 def _two(spark, sf):
-    edges = v.graph_edge(spark, sf).select("edge_id", "fj", "tj")
+    edges = v.edge(spark, sf).select("edge_id", "fj", "tj")
     return edges.where("edge_id % 3 > 0"), edges.where("edge_id % 3 < 2")
 
 
@@ -369,33 +369,33 @@ def graph_equality(spark, sf):
     return graph.equality(*_two(spark, sf))
 
 
-@query("""select 'missing_junction' as "check", count(*) as violations from (select fj as j from v_gedge union select tj from v_gedge) where j >= 55
-union all select 'unused_junction', count(*) from range(55) t(j) where j not in (select fj from v_gedge union select tj from v_gedge)
+@query("""select 'missing_junction' as "check", count(*) as violations from (select fj as j from v_edge union select tj from v_edge) where j not in (select fj from v_edge)
+union all select 'unused_junction', 0
 union all select 'unknown_edge', 0 union all select 'no_meeting', 0""")
 def graph_consistency(spark, sf):
-    edges = v.graph_edge(spark, sf)
-    return graph.consistency(edges, graph.connections(edges), spark.range(55).withColumnRenamed("id", "junction"))
+    edges = v.edge(spark, sf)
+    return graph.consistency(edges, graph.connections(edges), edges.select(F.col("fj").alias("junction")).distinct())
 
 
-@query(", j as (select fj as junction from v_gedge union select tj from v_gedge) select 'all' as name, (select count(*) from j) as junctions, count(*) as edges, sum(floor(length * 1000)::bigint)::bigint as milli from v_gedge")
+@query(", j as (select fj as junction from v_edge union select tj from v_edge) select 'all' as name, (select count(*) from j) as junctions, count(*) as edges, sum(floor(length * 1000)::bigint)::bigint as milli from v_edge")
 def network_summary(spark, sf):
-    return graph.network_summary(v.graph_edge(spark, sf), "all")
+    return graph.network_summary(v.edge(spark, sf), "all")
 
 
 PATHS = """, paths(target, n_edges, milli, path, seen) as (
-select tj, 1::bigint, floor(length * 1000)::bigint, edge_id::varchar, ',' || fj || ',' || tj || ',' from v_gedge where fj = 1 and fj <> tj
-union all select e.tj, n_edges + 1, milli + floor(e.length * 1000)::bigint, path || ' ' || e.edge_id, seen || e.tj || ',' from paths p join v_gedge e on p.target = e.fj where n_edges < 4 and not contains(seen, ',' || e.tj || ',')) """
+select tj, 1::bigint, floor(length * 1000)::bigint, edge_id::varchar, ',' || fj || ',' || tj || ',' from v_edge where fj <> tj
+union all select e.tj, n_edges + 1, milli + floor(e.length * 1000)::bigint, path || ' ' || e.edge_id, seen || e.tj || ',' from paths p join v_edge e on p.target = e.fj where n_edges < 4 and not contains(seen, ',' || e.tj || ',')) """
 
 
 @query(PATHS + "select target, n_edges, milli, path from paths")
 def bounded_paths(spark, sf):
-    return graph.bounded_paths(v.graph_edge(spark, sf), F.col("fj") == 1, 4)
+    return graph.bounded_paths(v.edge(spark, sf), F.lit(True), 4)
 
 
 @query(PATHS + """select target, rank, n_edges, milli, path from (select *, min(milli) over (partition by target) as low, row_number() over (partition by target order by milli, path) as rank from paths)
 where rank <= 3 and milli <= low * 1.3""")
 def topk_paths(spark, sf):
-    return graph.top_paths(graph.bounded_paths(v.graph_edge(spark, sf), F.col("fj") == 1, 4), 3, 1.3)
+    return graph.top_paths(graph.bounded_paths(v.edge(spark, sf), F.lit(True), 4), 3, 1.3)
 
 
 SETS = f""", sets as (select route_id, list_distinct(list(edge_id)) as s from v_route group by 1 having count(distinct edge_id) >= {LEAST_EDGES}),
@@ -491,29 +491,29 @@ def gravity_clusters(spark, sf):
     return gravity.sequential_clusters(v.point(spark, sf).withColumn("zone", F.col("w") % 5), 25.0, 10)
 
 
-BORDERS = """, lab as (select edge_id, edge_id % 12 as leader from v_gedge), x as (select c.*, a.leader as la, b.leader as lb from v_connection c join lab a on a.edge_id = from_edge join lab b on b.edge_id = to_edge where a.leader <> b.leader) """
+BORDERS = """, lab as (select edge_id, edge_id % 12 as leader from v_edge), x as (select c.*, a.leader as la, b.leader as lb from v_connection c join lab a on a.edge_id = from_edge join lab b on b.edge_id = to_edge where a.leader <> b.leader) """
 
 
 def _zones(spark, sf):
-    return v.graph_edge(spark, sf).select("edge_id", (F.col("edge_id") % 12).alias("leader"))
+    return v.edge(spark, sf).select("edge_id", (F.col("edge_id") % 12).alias("leader"))
 
 
 @query(BORDERS + "select leader, coalesce(i, 0) as in_edges, coalesce(o, 0) as out_edges from (select lb as leader, count(distinct to_edge) as i from x group by 1) full join (select la as leader, count(distinct from_edge) as o from x group by 1) using (leader)")
 def cluster_borders(spark, sf):
-    return gravity.cluster_borders(v.graph_edge(spark, sf), _zones(spark, sf))
+    return gravity.cluster_borders(v.edge(spark, sf), _zones(spark, sf))
 
 
-@query(""", z as (select fj // 4 as a, tj // 4 as b from v_gedge where edge_id % 9 = 0), e as (select a, b from z union select b, a from z), reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a)
+@query(""", z as (select fj // 6 as a, tj // 6 as b from v_region), e as (select a, b from z union select b, a from z), reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a)
 select a as node, least(a, min(b))::bigint as root from reach group by a""")
 def touching_clusters(spark, sf):
-    zone = lambda c: F.floor(F.col(c) / 4)
-    return connected_components(v.graph_edge(spark, sf).where("edge_id % 9 = 0").select(zone("fj").alias("a"), zone("tj").alias("b")))
+    zone = lambda c: F.floor(F.col(c) / 6)
+    return connected_components(v.region(spark, sf).select(zone("fj").alias("a"), zone("tj").alias("b")))
 
 
 OCCUPIED = ", occ as (select edge_id, count(distinct route_id) as routes from v_route group by 1) "
 
 
-@query(OCCUPIED + 'select rank, leader, edge_id, "left" from (select edge_id % 12 as leader, edge_id, routes as "left", row_number() over (partition by edge_id % 12 order by routes desc, edge_id) as rank from occ where edge_id < 200) where rank <= 3')
+@query(OCCUPIED + 'select rank, leader, edge_id, "left" from (select edge_id % 12 as leader, edge_id, routes as "left", row_number() over (partition by edge_id % 12 order by routes desc, edge_id) as rank from occ) where rank <= 3')
 def border_topn(spark, sf):
     rows = scenario.occupancy(v.route(spark, sf)).join(_zones(spark, sf), "edge_id").withColumnRenamed("routes", "left")
     return gravity.best_borders(rows, 3)
@@ -539,18 +539,18 @@ def penalized_costs(spark, sf):
     return planning.roads(v.edge(spark, sf)).select("edge_id", "cost_light", "cost_medium", "cost_heavy")
 
 
-@query(", o as (select fj as junction, count(*) as n from v_gedge group by 1), c as (select from_edge, to_edge from v_connection where (from_edge + to_edge) % 7 > 0), r as (select from_edge as edge_id, count(distinct to_edge) as k from c group by 1) select edge_id, e.tj as junction, row_number() over (partition by e.tj order by edge_id) - 1 as part from v_gedge e join o on o.junction = e.tj left join r using (edge_id) where coalesce(k, 0) < n")
+@query(", o as (select fj as junction, count(*) as n from v_edge group by 1), c as (select from_edge, to_edge from v_connection where (from_edge + to_edge) % 7 > 0), r as (select from_edge as edge_id, count(distinct to_edge) as k from c group by 1) select edge_id, e.tj as junction, row_number() over (partition by e.tj order by edge_id) - 1 as part from v_edge e join o on o.junction = e.tj left join r using (edge_id) where coalesce(k, 0) < n")
 def split_junctions(spark, sf):
-    edges = v.graph_edge(spark, sf)
+    edges = v.edge(spark, sf)
     return planning.split_junctions(edges, graph.connections(edges).where("(from_edge + to_edge) % 7 > 0"))
 
 
-@query(ROADS + """, p as (select 'r' || edge_id as r, fj, tj, roads.* from roads join v_gedge using (edge_id))
+@query(ROADS + """, p as (select 'r' || edge_id as r, fj, tj, roads.* from roads join v_edge using (edge_id))
 select '(connected j' || fj || ' ' || r || ' j' || tj || ')' as fact from p union all select '(= (length-light ' || r || ') ' || cost_light || ')' from p union all select '(= (length-medium ' || r || ') ' || cost_medium || ')' from p
 union all select '(= (length-heavy ' || r || ') ' || cost_heavy || ')' from p union all select '(cap ' || r || ' use' || capacity || ')' from p union all select '(using ' || r || ' use0)' from p
 union all select '(' || case when k <= light then 'light' when k <= light + medium then 'medium' else 'heavy' end || ' ' || r || ' use' || k || ')' from (select *, unnest(range(capacity + 1)) as k from p)""")
 def planning_facts(spark, sf):
-    edges = v.graph_edge(spark, sf)
+    edges = v.edge(spark, sf)
     return planning.road_facts(edges, planning.roads(edges))
 
 
@@ -559,30 +559,30 @@ def use_chain(spark, sf):
     return planning.use_chain(planning.roads(v.edge(spark, sf)))
 
 
-@query(", e as (select distinct route_id, edge_id from v_route where route_id < 500) select '(allowed v' || route_id || ' r' || edge_id || ')' as fact from e")
+@query(", e as (select distinct route_id, edge_id from v_route) select '(allowed v' || route_id || ' r' || edge_id || ')' as fact from e")
 def allowed_facts(spark, sf):
-    return planning.allowed_facts(v.route(spark, sf).where("route_id < 500"))
+    return planning.allowed_facts(v.route(spark, sf))
 
 
-@query(LENGTHS + "select 'drive-to-light' as verb, route_id as vehicle, 'j' || fj as from_j, edge_id as road, 'j' || tj as to_j from placed where route_id < 2000")
+@query(LENGTHS + "select 'drive-to-light' as verb, route_id as vehicle, 'j' || fj as from_j, edge_id as road, 'j' || tj as to_j from placed")
 def plan_line_parse(spark, sf):
-    placed = v.route(spark, sf).where("route_id < 2000").join(v.edge(spark, sf).select("edge_id", "fj", "tj"), "edge_id")
+    placed = v.route(spark, sf).join(v.edge(spark, sf).select("edge_id", "fj", "tj"), "edge_id")
     value = F.format_string("(drive-to-light v%d j%d r%d j%d use0 use1)", "route_id", "fj", "edge_id", "tj")
     return planning.parsed_plan(placed.select(value.alias("value")))
 
 
 @query()
 def plan_replay(spark, sf):
-    edges = v.graph_edge(spark, sf)
-    roads = written(planning.road_facts(edges, planning.roads(edges)))
-    zones = spark.range(8).select(F.col("id").cast("string").alias("problem"))
-    paths = graph.bounded_paths(edges, F.col("fj") < 8, 3).where("n_edges = 3").withColumn("v", F.split("path", " "))
+    block = lambda c: F.floor(F.col(c) / 6).cast("string")
+    edges = v.edge(spark, sf).where(block("fj") == block("tj")).withColumn("problem", block("fj"))
+    facts = planning.road_facts(edges, planning.roads(edges), ("problem",))
+    paths = graph.bounded_paths(edges, F.lit(True), 3).where("n_edges = 3").withColumn("v", F.split("path", " "))
     first = paths.withColumn("e", F.get("v", F.lit(0)).cast("bigint")).join(edges.select(F.col("edge_id").alias("e"), F.col("fj").alias("first")), "e")
-    cars = first.groupBy("first").agg(F.min(F.struct("milli", "path", "target")).alias("b")).select(F.col("first").cast("string").alias("problem"), F.concat(F.lit("v"), "first").alias("car"), F.col("first"), "b.path", "b.target")
+    cars = first.groupBy("first").agg(F.min(F.struct("milli", "path", "target")).alias("b")).select(block("first").alias("problem"), F.concat(F.lit("v"), "first").alias("car"), F.col("first"), "b.path", "b.target")
     steps = cars.select("problem", "car", F.posexplode(F.split("path", " ")).alias("step", "edge")).withColumn("edge_id", F.col("edge").cast("bigint")).join(edges.select("edge_id", "fj", "tj"), "edge_id")
     plans = steps.select("problem", "step", F.format_string("(drive-to-light %s j%d r%d j%d use0 use1)", "car", "fj", "edge_id", "tj").alias("value"))
     own = cars.select("problem", F.explode(F.array(F.format_string("(at %s j%d)", "car", "first"), F.format_string("(togo %s j%d)", "car", "target"))).alias("fact"))
-    return planning.replayed(zones.crossJoin(F.broadcast(roads)).unionByName(own), plans)
+    return planning.replayed(facts.unionByName(own), plans)
 
 
 @query(LISTS + ", d as (select * from plans where route_id % 3 = 0) select route_id, array_to_string(coalesce(d.edges, lists.edges), ' ') as edges, d.edges is not null as planned from lists left join d using (route_id)")
@@ -719,42 +719,42 @@ def stream_smoothed(spark, sf):
     return last.select("edge_id", "v.n", F.floor(F.col("v.smooth") * 1000).alias("smooth_milli"))
 
 
-@query(", p as (select fj as junction, string_agg(tj || ':' || edge_id, ' ' order by tj, edge_id) as targets from v_gedge group by 1) select * from p")
+@query(", p as (select fj as junction, string_agg(tj || ':' || edge_id, ' ' order by tj, edge_id) as targets from v_edge group by 1) select * from p")
 def adjacency_map(spark, sf):
-    return graph.adjacency(v.graph_edge(spark, sf))
+    return graph.adjacency(v.edge(spark, sf))
 
 
-@query("""select edge_id, (select count(distinct from_edge) from v_connection c where c.to_edge = e.edge_id) as n_in, (select count(distinct to_edge) from v_connection c where c.from_edge = e.edge_id) as n_out from v_gedge e""")
+@query("""select edge_id, (select count(distinct from_edge) from v_connection c where c.to_edge = e.edge_id) as n_in, (select count(distinct to_edge) from v_connection c where c.from_edge = e.edge_id) as n_out from v_edge e""")
 def edge_neighbours(spark, sf):
-    edges = v.graph_edge(spark, sf)
+    edges = v.edge(spark, sf)
     con = graph.connections(edges)
     into = con.groupBy(F.col("to_edge").alias("edge_id")).agg(F.count_distinct("from_edge").alias("n_in"))
     out = con.groupBy(F.col("from_edge").alias("edge_id")).agg(F.count_distinct("to_edge").alias("n_out"))
     return edges.select("edge_id").join(into, "edge_id", "left").join(out, "edge_id", "left").fillna(0, ["n_in", "n_out"])
 
 
-@query(""", walks as (select route_id as walk, pos, fj as junction from v_route r join v_gedge e using (edge_id) where route_id < 3000),
-s as (select walk, pos, junction, lead(junction) over (partition by walk order by pos) as nxt from walks), least_ as (select fj, tj, min(edge_id) as e from v_gedge group by all),
+@query(""", walks as (select route_id as walk, pos, fj as junction from v_route r join v_edge e using (edge_id)),
+s as (select walk, pos, junction, lead(junction) over (partition by walk order by pos) as nxt from walks), least_ as (select fj, tj, min(edge_id) as e from v_edge group by all),
 p as (select s.*, e, max((e is null)::int) over (partition by walk order by pos) as broken from s left join least_ on junction = fj and nxt = tj where nxt is not null)
 select walk, coalesce(string_agg(e::varchar, ' ' order by pos) filter (where broken = 0), '') as path, max(broken) = 0 as complete from p group by walk""")
 def path_from_junctions(spark, sf):
-    edges = v.graph_edge(spark, sf)
-    walks = v.route(spark, sf).where("route_id < 3000").join(edges.select("edge_id", "fj"), "edge_id").select(F.col("route_id").alias("walk"), "pos", F.col("fj").alias("junction"))
+    edges = v.edge(spark, sf)
+    walks = v.route(spark, sf).join(edges.select("edge_id", "fj"), "edge_id").select(F.col("route_id").alias("walk"), "pos", F.col("fj").alias("junction"))
     return graph.edges_of_walk(walks, edges)
 
 
-RING = """, ring3 as (select a.edge_id || ' ' || b.edge_id || ' ' || c.edge_id as ring, a.edge_id as x, b.edge_id as y, c.edge_id as z from v_gedge a join v_gedge b on a.tj = b.fj join v_gedge c on b.tj = c.fj and c.tj = a.fj
+RING = """, ring3 as (select a.edge_id || ' ' || b.edge_id || ' ' || c.edge_id as ring, a.edge_id as x, b.edge_id as y, c.edge_id as z from v_edge a join v_edge b on a.tj = b.fj join v_edge c on b.tj = c.fj and c.tj = a.fj
 where a.fj < b.fj and a.fj < c.fj and b.fj <> c.fj) """
 
 
 @query(RING + "select ring from ring3")
 def rings(spark, sf):
-    return graph.rings(v.graph_edge(spark, sf), 3)
+    return graph.rings(v.edge(spark, sf), 3)
 
 
 @query(RING + "select ring as name, true as valid from ring3 union all select 'broken ' || ring, false from ring3")
 def ring_validity(spark, sf):
-    edges = v.graph_edge(spark, sf)
+    edges = v.edge(spark, sf)
     found = written(graph.rings(edges, 3))
     rows = lambda part, name: found.select(name.alias("name"), F.explode(part).alias("e")).select("name", F.col("e").cast("bigint").alias("edge_id"))
     parts = F.split("ring", " ")
@@ -801,10 +801,10 @@ def route_endpoints(spark, sf):
     return placed.groupBy("route_id").agg(low("fj").alias("start"), high("tj").alias("destination"), low("edge_id").alias("first_edge"), high("edge_id").alias("last_edge"), (F.max("pos") + 1).alias("n_edges"))
 
 
-@query(", asked as (select range as pos, (range * 37) % 300 as edge_id from range(200)) select pos, a.edge_id, coalesce(e.fj, -1) as fj, coalesce(e.tj, -1) as tj from asked a left join v_gedge e using (edge_id)")
+@query(", asked as (select edge_id as pos, edge_id * 3 as edge_id from v_edge) select pos, a.edge_id, coalesce(e.fj, -1) as fj, coalesce(e.tj, -1) as tj from asked a left join v_edge e using (edge_id)")
 def ordered_lookup(spark, sf):
-    asked = spark.range(200).select(F.col("id").alias("pos"), (F.col("id") * 37 % 300).alias("edge_id"))
-    return asked.join(v.graph_edge(spark, sf).select("edge_id", "fj", "tj"), "edge_id", "left").select("pos", "edge_id", "fj", "tj").fillna(-1)
+    asked = v.edge(spark, sf).select(F.col("edge_id").alias("pos"), (F.col("edge_id") * 3).alias("edge_id"))
+    return asked.join(v.edge(spark, sf).select("edge_id", "fj", "tj"), "edge_id", "left").select("pos", "edge_id", "fj", "tj").fillna(-1)
 
 
 @query()
@@ -813,16 +813,16 @@ def exponential_flow(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(""", keys as (select range as first_edge, (range * 7 + 3) % 200 as last_edge from range(20)),
-ways(first_edge, last_edge, at_, milli, path, seen, n) as (select first_edge, last_edge, first_edge, floor(length * 1000)::bigint, first_edge::varchar, ',' || first_edge || ',', 0 from keys join v_gedge on edge_id = first_edge
-union all select w.first_edge, w.last_edge, c.to_edge, milli + floor(e.length * 1000)::bigint, path || ' ' || c.to_edge, seen || c.to_edge || ',', n + 1 from ways w join v_connection c on c.from_edge = w.at_ join v_gedge e on e.edge_id = c.to_edge
-where n < 5 and w.at_ <> w.last_edge and not contains(seen, ',' || c.to_edge || ',')),
+@query(""", keys as (select edge_id as first_edge, edge_id + 9 as last_edge from v_edge),
+ways(first_edge, last_edge, at_, milli, path, seen, n) as (select first_edge, last_edge, first_edge, floor(length * 1000)::bigint, first_edge::varchar, ',' || first_edge || ',', 0 from keys join v_edge on edge_id = first_edge
+union all select w.first_edge, w.last_edge, c.to_edge, milli + floor(e.length * 1000)::bigint, path || ' ' || c.to_edge, seen || c.to_edge || ',', n + 1 from ways w join v_connection c on c.from_edge = w.at_ join v_edge e on e.edge_id = c.to_edge
+where n < 4 and w.at_ <> w.last_edge and not contains(seen, ',' || c.to_edge || ',')),
 r as (select *, min(milli) over (partition by first_edge, last_edge) as low, row_number() over (partition by first_edge, last_edge order by milli, path) as rank from ways where at_ = last_edge)
 select first_edge, last_edge, rank, milli, path from r where rank <= 4 and milli <= low * 1.5""")
 def alternative_routes(spark, sf):
-    edges = v.graph_edge(spark, sf)
-    keys = spark.range(20).select(F.col("id").alias("first_edge"), ((F.col("id") * 7 + 3) % 200).alias("last_edge"))
-    return graph.alternative_routes(keys, edges, graph.connections(edges), 5, 4, 1.5)
+    edges = v.edge(spark, sf)
+    keys = edges.select(F.col("edge_id").alias("first_edge"), (F.col("edge_id") + 9).alias("last_edge"))
+    return graph.alternative_routes(keys, edges, graph.connections(edges), 4, 4, 1.5)
 
 
 def top_congested(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:

@@ -18,12 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Nine edges between six junctions make a block, and so many steps from its first junction an edge
+#: starts and ends: a ring of three, a road there and back, the ways to the next block and to the
+#: one before, an entry, an exit.
+STARTS, ENDS = [0, 1, 2, 0, 3, 0, 0, 4, 0], [1, 2, 0, 3, 0, 6, -6, 0, 5]
+
+
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
+    block, place = F.floor(k / 9) * 6, (k % 9 + 1).cast("int")
+    at = lambda steps: F.abs(block + F.element_at(F.array(*[F.lit(s) for s in steps]), place))
     return table(spark, sf_dir, "part").select(
         k.alias("edge_id"),
-        (k % 60).alias("fj"),
-        ((k * 7 + F.floor(k / 60) * 11 + 3) % 60).alias("tj"),
+        at(STARTS).alias("fj"),
+        at(ENDS).alias("tj"),
         F.col("p_retailprice").alias("length"),
         (F.col("p_size") + F.lit(1.0)).alias("speed"),
         (1 + k % 3).alias("lanes"),
@@ -31,10 +39,6 @@ def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def graph_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge(spark, sf_dir).where("edge_id < 200")
-
-
 def region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge(spark, sf_dir).where("speed <= 26")
 
@@ -86,12 +90,11 @@ def point(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = """with recursive v_edge as (
-  select p_partkey as edge_id, p_partkey % 60 as fj, (p_partkey * 7 + (p_partkey // 60) * 11 + 3) % 60 as tj,
+SQL = f"""with recursive v_edge as (
+  select p_partkey as edge_id, p_partkey // 9 * 6 + ({STARTS})[p_partkey % 9 + 1] as fj, abs(p_partkey // 9 * 6 + ({ENDS})[p_partkey % 9 + 1]) as tj,
     p_retailprice as length, p_size + 1.0::double as speed, 1 + p_partkey % 3 as lanes, p_brand as etype from part),
-v_gedge as (select * from v_edge where edge_id < 200),
 v_region as (select * from v_edge where speed <= 26),
-v_connection as (select e1.edge_id as from_edge, e2.edge_id as to_edge from v_gedge e1 join v_gedge e2 on e1.tj = e2.fj and e1.edge_id <> e2.edge_id),
+v_connection as (select e1.edge_id as from_edge, e2.edge_id as to_edge from v_edge e1 join v_edge e2 on e1.tj = e2.fj and e1.edge_id <> e2.edge_id),
 v_route as (
   select l_orderkey as route_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as pos,
     l_partkey as edge_id, l_suppkey % 10 as mark from lineitem),
