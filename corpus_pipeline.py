@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
-from roadlake.llm import byte_bpe, decontamination, quality_rules, secret_scan, simhash
+from roadlake.llm import byte_bpe, decontamination, near_copies, quality_rules, secret_scan
 from roadlake.llm.queries import table, vocabulary_path
 
 
@@ -22,7 +22,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without a doc_id stay only where their group has no other.
     """
     marked = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    groups = simhash.near_duplicates(marked.select("doc_id", "text", "_row"), carry=("_row",))
+    groups = near_copies.near_copies(marked.select("doc_id", "text", "_row"), "_row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
     chosen = groups.groupBy("root").agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_keep"))
     kept = marked.join(chosen, F.col("_row") == F.col("_keep"), "left_semi")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -79,3 +80,19 @@ def test_empty_documents(spark, docs, folder, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edited_copies_are_one_group(spark, folder, monkeypatch):
+    rnd = random.Random(3)
+    make = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    sets = lambda words: {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    alike = lambda a, b: len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b))
+    base, other = make(300), make(300)
+    texts = [base] + [base[:at] + make(n) + base[at + n :] for at, n in ((20, 20), (90, 25), (200, 28), (150, 60))] + [other[:150] + base[:150], other, make(3), make(4)]
+    tops = lowest_reachable(texts, alike)
+    assert any(alike(a, b) and (print_of(" ".join(a)) ^ print_of(" ".join(b))).bit_count() > 2 for a in texts for b in texts)
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for small in (24, 1):
+        monkeypatch.setattr(pipeline.near_copies, "SMALL_BUCKET", small)
+        got = pipeline.near_duplicate_stage(spark, docs, folder)
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted({tops.index(t) for t in tops})
