@@ -156,27 +156,27 @@ def contracted(edges: DataFrame, through: DataFrame, limit: int = 64) -> DataFra
 
 
 def bounded_paths(edges: DataFrame, start: Column, hops: int) -> DataFrame:
-    """(target, n_edges, milli, path): all loop-free paths of at most ``hops`` edges.
+    """(start, target, n_edges, milli, path): all loop-free paths of at most ``hops`` edges.
 
     ``start`` selects the junctions that paths begin at. Lengths are whole thousandths, so that
     sums agree in any order. Each hop is a join on the junction that the path has reached.
     """
     step = edges.select(F.col("edge_id"), F.col("fj"), F.col("tj"), F.floor(F.col("length") * 1000).alias("m"))
     first = step.where(start).where("fj <> tj")
-    level = first.select(F.col("tj").alias("target"), F.lit(1).cast("bigint").alias("n_edges"), F.col("m").alias("milli"), F.col("edge_id").cast("string").alias("path"), F.array("fj", "tj").alias("seen"))
+    level = first.select(F.col("fj").alias("start"), F.col("tj").alias("target"), F.lit(1).cast("bigint").alias("n_edges"), F.col("m").alias("milli"), F.col("edge_id").cast("string").alias("path"), F.array("fj", "tj").alias("seen"))
     levels = [level]
     for _ in range(hops - 1):
         grown = level.join(step, level["target"] == step["fj"]).where(~F.array_contains("seen", F.col("tj")))
-        level = grown.select(F.col("tj").alias("target"), (F.col("n_edges") + 1).alias("n_edges"), (F.col("milli") + F.col("m")).alias("milli"), F.concat_ws(" ", "path", F.col("edge_id").cast("string")).alias("path"), F.concat("seen", F.array("tj")).alias("seen"))
+        level = grown.select("start", F.col("tj").alias("target"), (F.col("n_edges") + 1).alias("n_edges"), (F.col("milli") + F.col("m")).alias("milli"), F.concat_ws(" ", "path", F.col("edge_id").cast("string")).alias("path"), F.concat("seen", F.array("tj")).alias("seen"))
         levels.append(level)
     return reduce(DataFrame.unionByName, levels).drop("seen")
 
 
-def top_paths(paths: DataFrame, k: int, stretch: float) -> DataFrame:
-    """The k shortest paths to each target that are at most ``stretch`` times the shortest."""
-    best = W.partitionBy("target")
+def top_paths(paths: DataFrame, k: int, stretch: float, by: tuple[str, ...] = ("start", "target")) -> DataFrame:
+    """The k shortest paths of each start and target (or of each ``by``) that are at most ``stretch`` times the shortest."""
+    best = W.partitionBy(*by)
     ranked = paths.withColumn("low", F.min("milli").over(best)).withColumn("rank", F.row_number().over(best.orderBy("milli", "path")).cast("bigint"))
-    return ranked.where((F.col("rank") <= k) & (F.col("milli") <= F.col("low") * stretch)).select("target", "rank", "n_edges", "milli", "path")
+    return ranked.where((F.col("rank") <= k) & (F.col("milli") <= F.col("low") * stretch)).select(*by, "rank", "n_edges", "milli", "path")
 
 
 def consistency(edges: DataFrame, connections_: DataFrame, junction_ids: DataFrame) -> DataFrame:

@@ -389,12 +389,21 @@ union all select e.tj, n_edges + 1, milli + floor(e.length * 1000)::bigint, path
 
 @query(PATHS + "select target, n_edges, milli, path from paths")
 def bounded_paths(spark, sf):
-    return graph.bounded_paths(v.edge(spark, sf), F.lit(True), 4)
+    return graph.bounded_paths(v.edge(spark, sf), F.lit(True), 4).drop("start")
 
 
 @query(PATHS + """select target, rank, n_edges, milli, path from (select *, min(milli) over (partition by target) as low, row_number() over (partition by target order by milli, path) as rank from paths)
 where rank <= 3 and milli <= low * 1.3""")
 def topk_paths(spark, sf):
+    return graph.top_paths(graph.bounded_paths(v.edge(spark, sf), F.lit(True), 4), 3, 1.3, ("target",))
+
+
+@query(""", paths(start, target, n_edges, milli, path, seen) as (
+select fj, tj, 1::bigint, floor(length * 1000)::bigint, edge_id::varchar, ',' || fj || ',' || tj || ',' from v_edge where fj <> tj
+union all select start, e.tj, n_edges + 1, milli + floor(e.length * 1000)::bigint, path || ' ' || e.edge_id, seen || e.tj || ',' from paths p join v_edge e on p.target = e.fj where n_edges < 4 and not contains(seen, ',' || e.tj || ','))
+select start, target, rank, n_edges, milli, path from (select *, min(milli) over (partition by start, target) as low, row_number() over (partition by start, target order by milli, path) as rank from paths)
+where rank <= 3 and milli <= low * 1.3""")
+def topk_paths_of_pairs(spark, sf):
     return graph.top_paths(graph.bounded_paths(v.edge(spark, sf), F.lit(True), 4), 3, 1.3)
 
 

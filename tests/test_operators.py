@@ -108,6 +108,11 @@ def test_paths_are_loop_free_and_complete(spark, tiny):
     assert rows(top.where("target = 3"), "rank", "path") == [(1, "1 2"), (2, "8")]
 
 
+def test_top_paths_of_each_start_and_target(spark, tiny):
+    top = graph.top_paths(graph.bounded_paths(tiny, F.col("fj").isin(1, 2), 3), 1, 1.3)
+    assert rows(top.where("target = 3"), "start", "rank", "path") == [(1, 1, "1 2"), (2, 1, "2")]
+
+
 def test_jaccard_same_as_all_pairs(spark):
     rnd = random.Random(2)
     sets = {f"r{k:02}": sorted(rnd.sample(range(12), rnd.randint(1, 6))) + [100] for k in range(40)}
