@@ -42,8 +42,12 @@ def mutual_neighbours(points: DataFrame, radius: int) -> DataFrame:
     """(a, b, d2): pairs a < b that are each other's nearest point within ``radius``.
 
     A point meets those of its own and the eight cells around it; cells are as wide as the
-    radius, so no closer point can lie elsewhere. Ties go to the lower id.
+    radius, so no closer point can lie elsewhere. Ties go to the lower id. Of one place only the
+    two lowest ids can be in a mutual pair, and no other point names more than the lowest, so a
+    cell holds at most two points for each place of the whole-number plane.
     """
+    place = W.partitionBy("x", "y").orderBy("id")
+    points = points.select("id", "x", "y").withColumn("_rank", F.row_number().over(place)).where("_rank <= 2")
     cell = lambda c: F.floor(F.col(c) / radius)
     here = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -62,19 +66,31 @@ def merged_pairs(points: DataFrame, pairs: DataFrame) -> DataFrame:
     return led.groupBy("id").agg(F.floor(F.avg("x")).alias("x"), F.floor(F.avg("y")).alias("y"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("size"))
 
 
-def grid_clusters(points: DataFrame, radius: int, rounds: int) -> DataFrame:
-    """(id, leader): clusters after some rounds of parallel merges; stops when nothing merges."""
-    from roadlake.functions.storage import written
+def grid_clusters(points: DataFrame, radius: int, rounds: int | None = None) -> DataFrame:
+    """(id, leader): clusters by parallel merges until nothing merges, or after ``rounds``.
 
-    now = points.select("id", "x", "y", "w")
-    member = points.select("id", F.col("id").alias("leader"))
-    for _ in range(rounds):
-        pairs = written(mutual_neighbours(now, radius))
-        if pairs.isEmpty():
+    Each round first makes one point of all at the same place, then merges mutual pairs. The
+    lowest id of those at the least distance is in such a pair, so that rounds end.
+    """
+    from roadlake.functions.storage import drop_written, written
+
+    now = written(points.select("id", "x", "y", "w"))
+    member = written(points.select("id", F.col("id").alias("leader")))
+    done = 0
+    while rounds is None or done < rounds:
+        places = written(now.groupBy("x", "y").agg(F.min("id").alias("id"), F.sum("w").alias("w")).select("id", "x", "y", "w"))
+        pairs = written(mutual_neighbours(places, radius))
+        at = places.select("x", "y", F.col("id").alias("up"))
+        same = now.join(at, ["x", "y"]).select("id", "up").join(pairs.select(F.col("b").alias("up"), "a"), "up", "left")
+        to = written(same.select(F.col("id").alias("leader"), F.coalesce("a", "up").alias("up")).where("leader <> up"))
+        if to.isEmpty():
             break
-        now = written(merged_pairs(now, pairs).select("id", "x", "y", "w"))
-        to = pairs.select(F.col("b").alias("leader"), F.col("a").alias("up"))
+        old = (now, member, places, pairs, to)
+        now = written(merged_pairs(places, pairs).select("id", "x", "y", "w"))
         member = written(member.join(to, "leader", "left").select("id", F.coalesce("up", "leader").alias("leader")))
+        for table in old:
+            drop_written(table)
+        done += 1
     return member
 
 

@@ -492,7 +492,7 @@ def gravity_grid_nn(spark, sf):
 
 @query()
 def gravity_grid_clusters(spark, sf):
-    return gravity.grid_clusters(v.point(spark, sf), 20, 4)
+    return gravity.grid_clusters(v.point(spark, sf), 20)
 
 
 @query()

@@ -139,6 +139,15 @@ def test_gravity(spark):
     assert rows(gravity.sequential_clusters(points.withColumn("zone", F.lit(0).cast("bigint")), 6.0, 5), "id", "leader") == [(1, 2), (2, 2), (3, 4), (4, 4), (5, 4)]
 
 
+def test_grid_clusters_merge_all_there_is(spark):
+    same = [(k, 5, 5, 1) for k in range(100)]
+    row = [(100 + k, 1000 + 3 * k, 0, 1) for k in range(40)]
+    points = spark.createDataFrame(same + row + [(200, 9000, 0, 1)], "id bigint, x bigint, y bigint, w bigint")
+    assert gravity.mutual_neighbours(points.where("id < 100"), 200).collect() == [(0, 1, 0)]
+    got = sorted(map(tuple, gravity.grid_clusters(points, 200).collect()))
+    assert got == [(k, 0) for k in range(100)] + [(k, 100) for k in range(100, 140)] + [(200, 200)]
+
+
 def test_plans_replay_with_costs(spark, tiny):
     facts = [("p", f) for f in ["(connected j1 r1 j2)", "(connected j2 r2 j3)", "(= (length-light r1) 7)", "(= (length-medium r1) 70)", "(= (length-light r2) 5)", "(cap r1 use2)", "(cap r2 use1)", "(using r1 use0)", "(using r2 use0)", "(light r1 use0)", "(medium r1 use1)", "(light r2 use0)", "(at v1 j1)", "(at v2 j1)", "(togo v1 j3)", "(togo v2 j3)"]]
     steps = ["(drive-to-light v1 j1 r1 j2 use0 use1)", "(drive-to-medium v2 j1 r1 j2 use1 use2)", "(drive-to-light v1 j2 r2 j3 use0 use1)", "(drive-to-congested v2 j2 r2 j3 use1)"]
