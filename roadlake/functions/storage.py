@@ -2,35 +2,67 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Folders of the tables that were written and not dropped yet, in order.
+_kept: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine gets a folder of its own; on a cluster that is
+    an error, since no executor could read another's local files.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="roadlake-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once as Parquet to the shared folder and read back.
 
-    Later stages restart from these files if executors are lost.
+    Later stages restart from these files if executors are lost. The files stay until
+    ``drop_written`` or the end of the ``scope`` in which they were written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a table that ``written`` returned and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if "/tables/" in folder.toString():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` returned and that nothing reads any more."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            folder = name.rsplit("/", 1)[0]
+            if "/tables/" in folder:
+                _delete(df.sparkSession, folder)
+                _kept[:] = [k for k in _kept if k.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that were written inside; results must be read or saved by then."""
+    before = set(_kept)
+    try:
+        yield
+    finally:
+        for path in [k for k in _kept if k not in before]:
+            _delete(spark, path)
+            _kept.remove(path)
