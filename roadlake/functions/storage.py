@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 _kept: list[str] = []
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="roadlake-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
@@ -23,8 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="roadlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own_folder()
     return named.rstrip("/")
 
 
