@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds in expanded form at once; one longer text is its own chunk.
 CHUNK_BYTES = 1 << 20
@@ -81,3 +83,8 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     np.cumsum(values, out=total[1:])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def identity(*values: Column) -> Column:
+    """128 bits that tell rows apart by some values; nulls differ from any value."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)]))))

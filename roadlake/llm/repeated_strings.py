@@ -1,12 +1,13 @@
 """Long strings that occur twice or more in a corpus, by refinement of q-gram buckets.
 
-The identifier of a bucket is a hash of the string that its members share, so all tasks name
-buckets alike. Each 400-byte window is dealt to one 200-byte string in it, the one of the lowest
-identifier; equal windows are dealt alike. Buckets of such strings are the initial buckets. A
-member that is alone leaves. Members whose whole surroundings agree are done together, and one of
-them goes on for all. The rest are refined by the identifiers of the bytes at later offsets:
-first by 100 bytes more on the side that their windows share, then to whole windows; each
-refinement starts from the buckets that the last one left.
+Each 400-byte window is dealt to one 200-byte string in it, the one of the lowest identifier;
+equal windows are dealt alike, so only these strings stand for the windows around them. Strings of
+one identifier are the initial buckets. A member that is alone leaves; members whose whole
+surroundings agree are done together, and one of them goes on for all. The rest are refined:
+first by the identifier of 300 bytes that half of their windows share, then, byte by byte to
+either side, by pairs of the own bucket's identifier and the symbol at the next offset. Each round
+starts from the identifiers that the last one left, and rounds end when no bucket has two members.
+A window occurs twice if two members are in one bucket to its left end and to its right end.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
-from roadlake.llm._batch import chunks, each, text_bytes
+from roadlake.llm._batch import chunks, each, identity, text_bytes
 
-#: Bytes of a window, of an initial bucket's string, and of the first refinement.
-WINDOW, GRAM, STEP = 400, 200, 100
+#: Bytes of a window, and of an initial bucket's string.
+WINDOW, GRAM = 400, 200
 SPREAD = WINDOW - GRAM + 1
+#: Windows by how many bytes before the string they start, first and last of each half.
+HALVES = ((0, 100), (101, 200))
 #: Window starts that are handled at once in a long text.
 PIECE = 1 << 20
 #: Buckets with more members are refined by a shuffle of their windows, others inside a task.
@@ -129,13 +132,13 @@ def _anchor_lists(text: Column) -> Column:
 
 
 def _surroundings(text: Column, members: Column) -> Column:
-    """For each (at, low, high): the two halves of its windows, as (key, start, windows, bytes).
+    """For each (at, low, high): the halves of its windows, as (half, key, at, low, high, bytes).
 
-    Windows that start at most ``STEP`` bytes before the string share ``STEP`` bytes after it, the
-    others as many before it; ``key`` identifies that longer string, ``start`` is where the first
-    window starts and ``windows`` their number; ``bytes`` are those of all of them.
+    ``key`` identifies the bytes that all windows of the half share, ``low`` and ``high`` are how
+    many bytes before ``at`` the last and the first of this member's windows start, and ``bytes``
+    are those of all of them.
     """
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())]))
+    kind = pa.list_(pa.struct([("half", pa.int32()), ("key", pa.binary()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary())]))
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lists in batches:
@@ -145,62 +148,96 @@ def _surroundings(text: Column, members: Column) -> Column:
                 rows = []
                 for m in members_ or ():
                     at = m["at"]
-                    for low, high, a, b in ((m["low"], min(m["high"], STEP), at, at + GRAM + STEP), (max(m["low"], STEP + 1), m["high"], at - STEP, at + GRAM)):
+                    for half, (first, last) in enumerate(HALVES):
+                        low, high = max(m["low"], first), min(m["high"], last)
                         if low <= high:
-                            key = int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little", signed=True)
-                            rows.append({"key": key, "start": at - high, "windows": high - low + 1, "bytes": data[at - high : at + WINDOW - low].tobytes()})
+                            key = hashlib.blake2b(data[at - first : at + WINDOW - last], digest_size=16, salt=bytes([half])).digest()
+                            rows.append({"half": half, "key": key, "at": at, "low": low, "high": high, "bytes": data[at - high : at + WINDOW - low].tobytes()})
                 out.append(rows)
             yield pa.array(out, kind)
 
-    return F.arrow_udf(run, "array<struct<key:bigint,start:bigint,windows:int,bytes:binary>>")(text, members)
+    return F.arrow_udf(run, "array<struct<half:int,key:binary,at:bigint,low:int,high:int,bytes:binary>>")(text, members)
 
 
-def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, start in the text, identifier) of all windows of a batch of surroundings."""
-    data, offsets = text_bytes(batch.column("bytes"))
-    each = batch.column("windows").to_numpy().astype(np.int64)
-    member = np.repeat(np.arange(len(each)), each)
-    step = np.arange(len(member)) - np.repeat(np.cumsum(each) - each, each)
-    place = offsets[:-1][member] + step
-    return member, batch.column("start").to_numpy()[member] + step, Rolling(data)(place, place + WINDOW)
+def _split(bucket: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Identifiers of the buckets after one refinement: members stay together if they also agree in ``symbol``."""
+    return np.unique(bucket * 257 + symbol, return_inverse=True)[1].astype(np.int64)
+
+
+def _refined(bucket: np.ndarray, data: np.ndarray, place: np.ndarray, step: int, reach: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Bucket identifiers after 0, 1, … ``width`` bytes from ``place`` on in steps of 1 or -1.
+
+    Member k has ``reach[k]`` bytes there; beyond, its symbol is one that no byte has.
+    """
+    yield bucket
+    for k in range(width):
+        if bucket.max() + 1 < len(bucket):
+            inside = reach > k
+            bucket = _split(bucket, np.where(inside, data[np.where(inside, place + step * k, 0)], 256).astype(np.int64))
+        yield bucket
+
+
+def _repeated_windows(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(member, distance before its string) of the windows that two members of a bucket have."""
+    members, distances = [], []
+    keys = np.unique(np.array(batch.column("key").to_pylist(), "S16"), return_inverse=True)[1].astype(np.int64)
+    column = lambda c: batch.column(c).to_numpy().astype(np.int64)
+    half, low, high = column("half"), column("low"), column("high")
+    data, offsets = text_bytes(batch.column("bytes").combine_chunks())
+    for k, (first, last) in enumerate(HALVES):
+        own = np.flatnonzero(half == k)
+        if not len(own):
+            continue
+        bucket = np.unique(keys[own], return_inverse=True)[1].astype(np.int64)
+        begin, lo, hi = offsets[own], low[own], high[own]
+        width = last - first
+        left = list(_refined(bucket, data, begin + hi - first - 1, -1, hi - first, width))
+        right = list(_refined(bucket, data, begin + hi + WINDOW - last, 1, last - lo, width))
+        for d in range(first, last + 1):
+            here = np.flatnonzero((lo <= d) & (d <= hi))
+            _, which, times = np.unique(left[d - first][here] * (len(own) + 1) + right[last - d][here], return_inverse=True, return_counts=True)
+            twice = here[times[which] > 1] if len(here) else here
+            members.append(own[twice])
+            distances.append(np.full(len(twice), d))
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *members]), np.concatenate([empty, *distances])
 
 
 def _refined_in_task(table: pa.Table) -> pa.Table:
     """Spans of the windows that occur twice among the members of a task's buckets."""
-    batch = table.combine_chunks().to_batches()[0] if len(table) else None
-    empty = pa.table({"row": pa.array([], pa.int64()), "from": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-    if batch is None:
-        return empty
-    member, start, name = _windows(batch)
-    row = batch.column("row").to_numpy()[member]
-    order = np.lexsort((start, row, name))
-    name, row, start = name[order], row[order], start[order]
-    fresh = np.concatenate(([True], (name[1:] != name[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1])))
-    name, row, start = name[fresh], row[fresh], start[fresh]
-    same = np.concatenate(([False], name[1:] == name[:-1]))
-    twice = same | np.concatenate((same[1:], [False]))
-    row, start = row[twice], start[twice]
-    if not len(row):
-        return empty
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1))))
-    last = np.append(first[1:], len(row)) - 1
-    return pa.table({"row": row[first], "from": start[first], "to": start[last] + WINDOW})
+    member, distance = _repeated_windows(table)
+    at = table.column("at").to_numpy()[member] - distance
+    order = np.lexsort((at, member))
+    member, at = member[order], at[order]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (member[1:] != member[:-1]) | (at[1:] > at[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return pa.table({"row": table.column("row").take(pa.array(member[first])), "from": at[first], "to": at[last] + WINDOW})
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, name, row, start): the windows of members of large buckets by their identifiers."""
     for batch in batches:
         for k in range(0, len(batch), 500):
             some = batch.slice(k, 500)
-            member, start, name = _windows(some)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(some.column("row").to_numpy()[member]), pa.array(start)], ["name", "row", "start"])
+            data, offsets = text_bytes(some.column("bytes"))
+            low, high = (some.column(c).to_numpy().astype(np.int64) for c in ("low", "high"))
+            each_ = high - low + 1
+            member = np.repeat(np.arange(len(each_)), each_)
+            step = np.arange(len(member)) - np.repeat(np.cumsum(each_) - each_, each_)
+            place = offsets[:-1][member] + step
+            name = Rolling(data)(place, place + WINDOW)
+            index = pa.array(member)
+            yield pa.RecordBatch.from_arrays([some.column("key").take(index), pa.array(name.view(np.int64)), some.column("row").take(index), pa.array((some.column("at").to_numpy() - high)[member] + step)], ["key", "name", "row", "start"])
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(row, from, to): byte spans of each row's text that windows occurring elsewhere cover.
 
-    ``texts`` has row (bigint) and text; rows of one id must be copies of each other.
+    ``texts`` has row (binary) and text; rows of one id must be copies of each other. Buckets of
+    at most ``MAX_IN_TASK`` members are refined inside tasks, by bytes; larger ones by a shuffle
+    of their windows, of which two are equal if bucket (128 bits) and identifier (64) are.
     """
     found = written(texts.select("row", F.explode(_anchor_lists(F.col("text"))).alias("a")).select("row", "a.*"))
     cells = found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "low", "high")).alias("first"))
@@ -211,18 +248,17 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     differing = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
     members = cells.join(differing, "gram").select("first.*")
     lists = members.groupBy("row").agg(F.collect_list(F.struct("at", "low", "high")).alias("members"))
-    sides = texts.join(lists, "row").select("row", F.explode(_surroundings(F.col("text"), F.col("members"))).alias("s")).select("row", "s.*").dropDuplicates(["row", "start", "windows"])
+    sides = texts.join(lists, "row").select("row", F.explode(_surroundings(F.col("text"), F.col("members"))).alias("s")).select("row", "s.*").dropDuplicates(["row", "half", "at", "high"])
     sides = written(sides)
     keys = written(sides.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = sides.count()
-    parts = max(1, -(-total // TASK_MEMBERS))
+    parts = max(1, -(-sides.count() // TASK_MEMBERS))
     left = sides.join(keys, "key")
     within = left.where(F.col("n") <= MAX_IN_TASK).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    within = within.select("part", "row", "start", "windows", "bytes").groupBy("part").applyInArrow(_refined_in_task, "row bigint, from bigint, to bigint")
-    names = left.where(F.col("n") > MAX_IN_TASK).select("row", "start", "windows", "bytes").mapInArrow(_window_rows, "name bigint, row bigint, start bigint")
+    within = within.select("part", "row", "half", "key", "at", "low", "high", "bytes").groupBy("part").applyInArrow(_refined_in_task, "row binary, from bigint, to bigint")
+    names = left.where(F.col("n") > MAX_IN_TASK).select("key", "row", "at", "low", "high", "bytes").mapInArrow(_window_rows, "key binary, name bigint, row binary, start bigint")
     pair = F.struct("row", "start")
-    twice = names.groupBy("name").agg(F.min(pair).alias("a"), F.max(pair).alias("b")).where("a <> b").select("name")
-    across = names.join(twice, "name").select("row", F.col("start").alias("from"), (F.col("start") + WINDOW).alias("to"))
+    twice = names.groupBy("key", "name").agg(F.min(pair).alias("a"), F.max(pair).alias("b")).where("a <> b").select("key", "name")
+    across = names.join(twice, ["key", "name"]).select("row", F.col("start").alias("from"), (F.col("start") + WINDOW).alias("to"))
     return whole.unionByName(within).unionByName(across)
 
 
@@ -257,16 +293,17 @@ def _cut(text: Column, spans: Column) -> Column:
     return F.arrow_udf(run, "n_bytes bigint, n_removed bigint, spans array<struct<from:bigint,to:bigint>>, kept binary")(text, spans)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with ``_r``: struct(n_bytes, n_removed, spans, kept) of each text.
+def without_repeats(docs: DataFrame, into: str = "_r") -> DataFrame:
+    """``docs`` (all columns) with ``into``: struct(n_bytes, n_removed, spans, kept) of each text.
 
-    A null text is empty. Rows with the same doc_id and text are copies of each other: what
-    they hold is repeated, as it is for copies under different ids.
+    A null text is empty, and an empty table gives no rows. Rows with the same doc_id and text are
+    copies of each other: what they hold is repeated, as it is for copies under different ids.
     """
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
+    row = identity(F.col("doc_id"), F.col("text"))
     texts = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(texts).groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("from", "to")).alias("_spans"))
-    return docs.withColumn("_row", row).join(spans, "_row", "left").withColumn("_r", _cut(F.col("text"), F.col("_spans"))).drop("_row", "_spans")
+    spans = repeated_spans(texts).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    all_ = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row")).join(spans, "row", "left")
+    return all_.select("doc.*", _cut(F.col("doc.text"), F.col("spans")).alias(into))
 
 
 def digests(docs: DataFrame) -> DataFrame:
