@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlake.llm._batch import LOWER, each, slices, text_bytes, with_breaks, word_bounds
+from roadlake.functions.storage import written
+from roadlake.llm._batch import LOWER, each, identity, slices, text_bytes, with_breaks, word_bounds
 
 #: Words of a window.
 WINDOW = 10
 #: Benchmark text that goes to every worker at once; a larger benchmark goes in several passes.
 BLOCK_BYTES = 8 << 20
 #: Text that one index covers, about.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Every so many symbols of a shard have their place kept.
 SAMPLE = 8
 
@@ -132,15 +133,15 @@ def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phr
     words, counts = words_of(pa.array([t for _, t in items], pa.string()))
     coded = words.dictionary_encode()
     numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1
-    rows, owners, at = [], [], 0
-    for k, n in enumerate(counts.tolist()):
-        for start in range(max(n - window, 0) + 1 if n else 0):
-            part = numbers[at + start : at + min(start + window, n)]
-            rows.append(np.concatenate((np.zeros(window - len(part), np.int32), part)))
-            owners.append(k)
-        at += n
-    table, which = np.unique(np.array(rows, np.int32).reshape(-1, window), axis=0, return_inverse=True)
-    pairs = np.unique(np.stack((which.reshape(-1), np.array(owners, np.int64)), 1), axis=0)
+    each_ = np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0)
+    owners = np.repeat(np.arange(len(counts)), each_)
+    begin = np.cumsum(counts) - counts
+    first = begin[owners] + np.arange(len(owners)) - np.repeat(np.cumsum(each_) - each_, each_)
+    place = first[:, None] + np.arange(-window, 0) + np.minimum(counts[owners], window)[:, None]
+    inside = place >= first[:, None]  # a shorter item's words stand at the right end
+    rows = np.where(inside, numbers[np.where(inside, place, 0)] if len(numbers) else 0, 0).astype(np.int32)
+    table, which = np.unique(rows.reshape(-1, window), axis=0, return_inverse=True)
+    pairs = np.unique(np.stack((which.reshape(-1), owners), 1), axis=0)
     return Phrases(coded.dictionary, table, (table > 0).sum(1), pairs[:, 0], pairs[:, 1], [None if i is None else str(i) for i, _ in items])
 
 
@@ -201,9 +202,8 @@ RESULT = T.StructType([
 ])
 
 
-def searched(spark, text: Column, block: list[tuple[object, str | None]]) -> Column:
-    """struct(n_words, spans, items) of a text against one block of items; spans count words."""
-    sent = spark.sparkContext.broadcast(phrases(block))
+def searched(sent, text: Column) -> Column:
+    """struct(n_words, spans, items) of a text against a broadcast block of items; spans count words."""
     arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -215,6 +215,14 @@ def searched(spark, text: Column, block: list[tuple[object, str | None]]) -> Col
     return F.arrow_udf(run, RESULT).asNondeterministic()(text)
 
 
+def word_count(text: Column) -> Column:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in each(batches, SHARD_BYTES):
+            yield pa.array(words_of(texts)[1], pa.int64())
+
+    return F.arrow_udf(run, "bigint")(text)
+
+
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
     """The benchmark's rows in blocks of at most ``limit`` bytes of text, or of one row."""
     block, size = [], 0
@@ -239,23 +247,32 @@ def merged_spans(spans: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_hits``: struct(n_words, spans, items) of each row against all items.
+    """(doc, hits): every row's columns, and struct(n_words, spans, items) of its text against all items.
 
-    About ``SHARD_BYTES`` of a task's texts are a shard with an index of its own. The benchmark is sent in blocks of
-    bounded size; each further block is one more pass over the text, and the passes' spans are
-    joined. Null texts have no words, null items no windows; items with the same id count once;
-    an item without an id marks its words and isn't listed.
+    About ``SHARD_BYTES`` of a task's texts are a shard with an index of its own. The benchmark is
+    sent in blocks of bounded size, one at a time: what a further block finds in a pass over the
+    texts is written, the block is taken back from the workers, and all passes' finds are joined
+    by row. Null texts have no words, null items no windows; items with the same id count once; an
+    item without an id marks its words and isn't listed; an empty table gives no rows.
     """
-    out = docs
-    passes = []
-    for k, block in enumerate(blocks(benchmark, block_bytes)):
-        passes.append(f"_hits{k}")
-        out = out.withColumn(passes[-1], searched(docs.sparkSession, F.col("text"), block))
-    if len(passes) == 1:
-        return out.withColumnRenamed(passes[0], "_hits")
-    spans = merged_spans(F.flatten(F.array(*[F.col(f"{p}.spans") for p in passes])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in passes]))))
-    return out.withColumn("_hits", F.struct(F.col("_hits0.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))).drop(*passes)
+    spark = docs.sparkSession
+    found, todo = None, blocks(benchmark, block_bytes)
+    block, following = next(todo), next(todo, None)
+    whole = F.struct(*docs.columns).alias("doc")
+    if following is None:
+        return docs.select(whole, searched(spark.sparkContext.broadcast(phrases(block)), F.col("text")).alias("hits"))
+    row = identity(F.col("doc_id"), F.col("text")).alias("row")
+    while block is not None:
+        sent = spark.sparkContext.broadcast(phrases(block))
+        part = written(docs.select(row, searched(sent, F.col("text")).alias("h")).where(F.size("h.spans") > 0))
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+        block, following = following, next(todo, None)
+    lists = found.groupBy("row").agg(F.collect_list("h.spans").alias("spans"), F.collect_list("h.items").alias("items"))
+    joined = docs.select(whole, row, word_count(F.col("text")).alias("n")).join(lists, "row", "left")
+    spans = F.coalesce(merged_spans(F.flatten("spans")), F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    items = F.coalesce(F.array_sort(F.array_distinct(F.flatten("items"))), F.array().cast("array<string>"))
+    return joined.select("doc", F.struct(F.col("n").alias("n_words"), spans.alias("spans"), items.alias("items")).alias("hits"))
 
 
 def without_spans(text: Column, spans: Column) -> Column:
@@ -286,12 +303,12 @@ def without_spans(text: Column, spans: Column) -> Column:
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
     found = contaminated(docs.select("doc_id", "text"), benchmark)
-    n_hit = F.aggregate("_hits.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    n_hit = F.aggregate("hits.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        "doc_id",
-        "_hits.n_words",
+        "doc.doc_id",
+        "hits.n_words",
         n_hit.alias("n_hit"),
-        F.size("_hits.items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("_hits.items", ","), 256).alias("items_sha256"),
+        F.size("hits.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )

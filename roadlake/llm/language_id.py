@@ -18,10 +18,8 @@ CELLS = 1 << 15
 SMOOTHING = 0.5
 #: Steps of expectation-maximisation for each set of languages.
 STEPS = 8
-#: Languages of the model; beyond these (the most frequent stay) a table of cells has no bound.
-MAX_LANGUAGES = 256
-#: Languages that one document may mix; sets grow by one while the penalised likelihood does.
-MAX_MIXED = 6
+#: Table entries that one step of a fit holds at once: n-grams of texts times languages.
+BLOCK_ENTRIES = 1 << 21
 
 #: ASCII that isn't a letter becomes a space; other bytes stay.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -76,16 +74,34 @@ def cell_totals(labelled: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Probabilities of cells in each language."""
+    """Probabilities of cells in each language: 128 KB a language, however many there are."""
 
     def __init__(self, langs: list[str], counts: np.ndarray) -> None:
         self.langs = langs
         weight = counts + SMOOTHING
-        self.given = np.ascontiguousarray((weight / weight.sum(1, keepdims=True)).T)  # [cell, language]
+        self.given = np.ascontiguousarray((weight / weight.sum(1, keepdims=True)).T.astype(np.float32))  # [cell, language]
         self.prior = counts.sum(1) / max(1, counts.sum())
 
+    def _full(self, cell: np.ndarray, count: np.ndarray, starts: np.ndarray, of: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """[text, language] proportions over all languages, in blocks of languages."""
+        k = len(self.langs)
+        width = max(1, BLOCK_ENTRIES // max(1, len(cell)))
+        parts = [slice(a, min(a + width, k)) for a in range(0, k, width)]
+        pi = np.full((len(starts), k), 1 / k)
+        for _ in range(STEPS):
+            total = np.zeros(len(cell))
+            for p in parts:
+                total += (self.given[cell, p] * pi[of, p]).sum(1)
+            for p in parts:
+                pi[:, p] = np.add.reduceat(self.given[cell, p] * pi[of, p] * (count / total)[:, None], starts) / mass[:, None]
+        return pi
+
     def mixtures(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """[text, language] proportions of the selected set, and how many n-grams a text has."""
+        """[text, language] proportions of the selected set, and how many n-grams a text has.
+
+        A text's set starts with the language of its largest proportion and takes in the next
+        one as long as its own penalised likelihood grows, whatever the other texts do.
+        """
         n, k = len(texts), len(self.langs)
         text, cell, count = trigram_counts(texts)
         sizes = np.bincount(text, minlength=n)
@@ -94,48 +110,42 @@ class Model:
         totals = np.bincount(text, count, n)
         if not len(has) or not k:
             return share, totals
-        given, weight = self.given[cell], count.astype(float)
-        starts = (np.cumsum(sizes) - sizes)[has]
-        of = np.repeat(np.arange(len(has)), sizes[has])
-        mass = totals[has, None]
-
-        def fit(pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-            """Proportions after some steps, and the log-likelihood before the last."""
-            for _ in range(steps):
+        begin = (np.cumsum(sizes) - sizes)[has]
+        full = self._full(cell, count.astype(float), begin, np.repeat(np.arange(len(has)), sizes[has]), totals[has])
+        order = np.argsort(-full, 1, kind="stable")
+        active, score = np.arange(len(has)), np.full(len(has), -np.inf)
+        for size in range(1, k + 1):
+            own = sizes[has[active]]
+            of = np.repeat(np.arange(len(active)), own)
+            at = np.repeat(begin[active] - (np.cumsum(own) - own), own) + np.arange(len(of))
+            starts, mass, weight = np.cumsum(own) - own, totals[has[active]], count[at].astype(float)
+            chosen = order[active, :size]
+            pi = np.take_along_axis(full[active], chosen, 1) + 1e-6
+            pi /= pi.sum(1, keepdims=True)
+            given = self.given[cell[at][:, None], chosen[of]]
+            for _ in range(1 if size == 1 else STEPS):
                 joint = given * pi[of]
                 total = joint.sum(1)
                 likelihood = np.add.reduceat(weight * np.log(total), starts)
-                pi = np.add.reduceat(joint * (weight / total)[:, None], starts) / mass
-            return pi, likelihood
-
-        full, _ = fit(np.full((len(has), k), 1 / k), STEPS)
-        order = np.argsort(-full, 1, kind="stable")
-        best, score = None, None
-        for size in range(1, min(k, MAX_MIXED) + 1):
-            chosen = np.zeros_like(full)
-            np.put_along_axis(chosen, order[:, :size], 1.0, 1)
-            pi = (full + 1e-6) * chosen
-            pi, likelihood = fit(pi / pi.sum(1, keepdims=True), 1 if size == 1 else STEPS)
-            penalised = likelihood - 0.5 * (size - 1) * np.log(np.maximum(mass[:, 0], 2))
-            if best is None:
-                best, score = pi, penalised
-                continue
-            better = penalised > score
-            best[better], score = pi[better], np.maximum(score, penalised)
-            if not better.any():
+                pi = np.add.reduceat(joint * (weight / total)[:, None], starts) / mass[:, None]
+            penalised = likelihood - 0.5 * (size - 1) * np.log(np.maximum(mass, 2))
+            better = penalised > score[active]
+            active, chosen, pi = active[better], chosen[better], pi[better]
+            if not len(active):
                 break
-        share[has] = best
+            score[active] = penalised[better]
+            share[has[active]] = 0
+            share[has[active][:, None], chosen] = pi
         return share, totals
 
 
 def fitted(labelled: DataFrame) -> Model:
     """A model of every language in ``labelled`` (text, lang not null), over all of its rows.
 
-    What comes to the driver is one count for each cell of at most ``MAX_LANGUAGES`` languages.
+    What comes to the driver is one count for each cell of each language.
     """
     totals = cell_totals(labelled.where("lang is not null"))
-    rows = totals.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("n"), F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES).collect()
-    rows = sorted(rows, key=lambda r: r["lang"])
+    rows = totals.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("n")).orderBy("lang").collect()
     counts = np.zeros((len(rows), CELLS))
     for k, r in enumerate(rows):
         counts[k, r["cells"]] = r["n"]
@@ -173,7 +183,11 @@ def mixture(spark, model: Model, text: Column) -> Column:
 
 
 def predictions(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; the model learns from the other rows."""
+    """doc_id, held_out, lang_pred, score of every row; the model learns from the other rows.
+
+    Null langs teach nothing, repeated rows teach and are predicted as often as they stand there,
+    and an empty table gives no rows.
+    """
     model = fitted(docs.where(~held_out).select("text", "lang"))
     found = docs.select("doc_id", held_out.alias("held_out"), mixture(docs.sparkSession, model, F.col("text")).alias("_m"))
     return found.select("doc_id", "held_out", "_m.lang_pred", "_m.score")

@@ -1,96 +1,141 @@
-"""Licences of files: TF-IDF cosines of their notices to templates, then inheritance by directory."""
+"""Licences of files: TF-IDF cosines of headers and texts to templates, then inheritance by directory."""
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Notices that name a licence. A licence may have several.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the Apache License"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC0-1.0", "dedicated to the public domain under CC0 1.0"),
-]
-
-#: A notice is a line or sentence with one of these words; only notices are measured.
-CUE = r"(?i)licen[sc]e|copyright|redistribut|permission is|public domain|terms of the"
+from roadlake.llm._batch import identity
+from roadlake.llm.licenses import TEMPLATES
+
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Least cosine of a notice to a template.
+#: Weight of a term that no template has, each time it occurs.
+OTHER = 2.0
+#: Least cosine of a header or text to a template.
 MIN_COSINE = 0.7
-#: A file is a licence file if so large a share of its words is in notices that match, or by name.
+#: A file is a licence file if so large a share of its terms is in what matches best, or by name.
 FILE_SHARE = 0.3
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 
 
-def _weights() -> tuple[list[tuple[str, dict[str, float]]], dict[str, float], float]:
-    """Unit vectors of the templates, idf of their terms, and the idf of any other term."""
+@cache
+def template_weights() -> list[tuple[int, str, str, float, float]]:
+    """(template, licence, term, weight in the unit vector, idf) of the templates.
+
+    A term that occurs c times weighs (1 + ln c) ln((1 + n) / (1 + d)) before the vector is made a
+    unit, n being the templates and d those that have it; terms of all templates weigh nothing.
+    """
     terms = [re.findall(TERM, text.lower()) for _, text in TEMPLATES]
-    n = len(terms)
-    seen = {t: sum(t in own for own in terms) for own in terms for t in own}
-    idf = {t: round(math.log((1 + n) / (1 + k)) + 1, 6) for t, k in seen.items()}
-    vectors = []
-    for (name, _), own in zip(TEMPLATES, terms, strict=True):
-        raw = {t: own.count(t) * idf[t] for t in own}
+    held = {t: sum(t in own for own in terms) for own in terms for t in own}
+    idf = {t: math.log((1 + len(terms)) / (1 + d)) for t, d in held.items()}
+    out = []
+    for k, ((name, _), own) in enumerate(zip(TEMPLATES, terms, strict=True)):
+        raw = {t: (1 + math.log(own.count(t))) * idf[t] for t in dict.fromkeys(own) if idf[t] > 0}
         norm = math.sqrt(sum(w * w for w in raw.values()))
-        vectors.append((name, {t: round(w / norm, 6) for t, w in raw.items()}))
-    return vectors, idf, round(math.log(1 + n) + 1, 6)
+        out += [(k, name, t, w / norm, idf[t]) for t, w in raw.items()]
+    return out
+
+
+#: Templates of which so few terms can make a cosine of ``MIN_COSINE`` are sought by those terms.
+FEW = 6
+
+
+@cache
+def telling_terms() -> tuple[list[str], int]:
+    """(terms, number): what has none of the terms, and fewer known terms than the number, is like no template.
+
+    A cosine is at most the length of the part of the template's unit vector that is shared. So
+    ``MIN_COSINE`` takes at least as many terms as the heaviest that make a part of that length. Where
+    these are few, one of them must be there: those are heaviest whose absence leaves too short a rest.
+    """
+    out: set[str] = set()
+    number = len(template_weights())
+    for k in range(len(TEMPLATES)):
+        own = sorted(((w * w, t) for n, _, t, w, _ in template_weights() if n == k), reverse=True)
+        least = next(m for m in range(1, len(own) + 1) if sum(w for w, _ in own[:m]) > MIN_COSINE**2 - 1e-6)
+        if least <= FEW:
+            out |= {t for m, (_, t) in enumerate(own) if sum(w for w, _ in own[m:]) > MIN_COSINE**2 - 1e-6}
+        else:
+            number = min(number, least)
+    return sorted(out), number
 
 
-def notices(text: Column) -> Column:
-    """Lines and sentences of a text that hold a cue."""
-    parts = F.filter(F.split(text, r"\n|(?<=[.!?;])[\x20\t]+"), lambda p: p.rlike(CUE))
-    return F.when(text.rlike(CUE), parts).otherwise(F.array().cast("array<string>"))
+def _template_table(spark: SparkSession) -> DataFrame:
+    """``template_weights`` as a table; its size is that of the templates."""
+    made = F.from_json(F.lit(json.dumps(template_weights())), "array<array<string>>")
+    rows = spark.range(1).select(F.explode(made).alias("t"))
+    return rows.select(*[F.col("t")[k].cast(kind).alias(name) for k, (name, kind) in enumerate([("template", "int"), ("license", "string"), ("term", "string"), ("w", "double"), ("idf", "double")])])
 
 
-def best_template(notice: Column) -> Column:
-    """struct(score, license): the template of highest cosine, the first by name on ties."""
-    vectors, idf, rare = _weights()
-    idfs = F.create_map(*[x for t, w in idf.items() for x in (F.lit(t), F.lit(w))])
-    terms = F.regexp_extract_all(F.lower(notice), F.lit(f"({TERM})"), 1)
-    counted = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("t"), F.size(F.filter(terms, lambda u: u == t)).alias("k")))
-    weighted = F.transform(counted, lambda c: F.struct(c["t"].alias("t"), (c["k"] * F.coalesce(F.try_element_at(idfs, c["t"]), F.lit(rare))).alias("w")))
-    total = lambda array, of: F.aggregate(array, F.lit(0.0), lambda s, x: s + of(x))
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
 
-    def scores(own: Column) -> Column:
-        norm = F.sqrt(total(own, lambda x: x["w"] * x["w"]))
-        each = []
-        for name, vector in vectors:
-            map_ = F.create_map(*[x for t, w in vector.items() for x in (F.lit(t), F.lit(w))])
-            dot = total(own, lambda x, m=map_: x["w"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
-            each.append(F.struct((-F.least(F.lit(1.0), F.round(dot / F.greatest(norm, F.lit(1e-9)), 5))).alias("score"), F.lit(name).alias("license")))
-        return F.array_min(F.array(*each))
 
-    found = F.element_at(F.transform(F.array(weighted), scores), 1)
-    return F.struct((-found["score"]).alias("score"), found["license"].alias("license"), F.size(terms).alias("words"))
+def units(text: Column) -> Column:
+    """array<struct(n, others, terms)>: what is compared with the templates: the whole text, its paragraphs, its lines and sentences.
+
+    ``n`` counts all terms, ``others`` those that no template has; ``terms`` holds each known one
+    and its number. Only what can reach ``MIN_COSINE`` by ``telling_terms`` is listed.
+    """
+    wanted, number = telling_terms()
+    known = F.lit(sorted({t for _, _, t, _, _ in template_weights()}))
+    # an array of one element gives its value a name that is computed once
+    named = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+
+    def counted(terms: Column, own: Column) -> Column:
+        each = F.transform(F.array_intersect(terms, own), lambda t: F.struct(t.alias("term"), (F.size(terms) - F.size(F.array_remove(terms, t))).alias("c")))
+        return F.struct(F.size(terms).alias("n"), each.alias("terms"))
+
+    def listed(paragraphs: Column, own: Column) -> Column:
+        telling = F.array_intersect(own, F.lit(wanted))
+        like = lambda terms: F.arrays_overlap(terms, telling) | (F.size(F.array_intersect(terms, own)) >= number)
+        parts = F.concat(F.array(F.flatten(F.flatten(paragraphs))), F.transform(paragraphs, F.flatten), F.flatten(paragraphs))
+        chosen = F.transform(F.filter(parts, like), lambda terms: counted(terms, own))
+        return F.when((F.size(telling) > 0) | (F.size(own) >= number), chosen).otherwise(F.array().cast("array<struct<n:int,terms:array<struct<term:string,c:int>>>>"))
+
+    lines = lambda p: F.transform(F.split(p, r"\n|(?<=[.!?;])[\x20\t]+"), _terms)
+    split = F.transform(F.split(text, r"\n[\x20\t]*\n"), lines)
+    return named(split, lambda p: named(F.array_intersect(F.flatten(F.flatten(p)), known), lambda own: listed(p, own)))
+
+
+def matches(texts: DataFrame) -> DataFrame:
+    """(row, license, score, largest): the licence of each text that has one.
+
+    ``texts`` has row (the same for equal texts) and text. Terms are counted in their unit and
+    become rows, which join the weights of the templates; cosines are sums over them.
+    """
+    listed = texts.select("row", F.posexplode(units(F.coalesce("text", F.lit("")))).alias("unit", "u"))
+    others = F.col("u.n") - F.aggregate("u.terms", F.lit(0), lambda n, t: n + t["c"])
+    rows = listed.select("row", "unit", "u.n", others.alias("others"), F.explode("u.terms").alias("t"))
+    rows = rows.select("row", "unit", "n", "others", "t.term", (1 + F.log(F.col("t.c").cast("double"))).alias("tf")).distinct()
+    weights = F.broadcast(_template_table(texts.sparkSession))
+    idf = F.broadcast(_template_table(texts.sparkSession).select("term", "idf").distinct())
+    norms = rows.join(idf, "term").groupBy("row", "unit", "n").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2) + F.max("others") * OTHER**2).alias("norm"))
+    dots = rows.join(weights, "term").groupBy("row", "unit", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, ["row", "unit"]).withColumn("score", F.least(F.lit(1.0), F.round(F.col("dot") / F.col("norm"), 5))).where(F.col("score") >= MIN_COSINE)
+    best = F.struct((-F.col("score")).alias("score"), "license")
+    return scored.groupBy("row").agg(F.min(best).alias("b"), F.max("n").alias("largest")).select("row", "b.license", (-F.col("b.score")).alias("score"), "largest")
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
-    """``files`` (all columns; needs path and text) with ``_own``: struct(license, score, is_file).
+    """(doc, path, license, score, is_file) of every row of ``files``, which has path and text; doc holds its columns.
 
-    The licence of a file is that of its notice with the highest cosine, null below
-    ``MIN_COSINE``, and null for null and empty texts.
+    The licence of a file is that of the template with the highest cosine to its text or to a
+    header in it, the first by name on ties; null below ``MIN_COSINE``, and null for null and
+    empty texts. Repeated rows are answered alike; an empty table gives no rows.
     """
-    rated = files.withColumn("_n", F.filter(F.transform(notices(F.coalesce("text", F.lit(""))), best_template), lambda b: b["score"] >= MIN_COSINE))
-    best = F.array_min(F.transform("_n", lambda b: F.struct((-b["score"]).alias("score"), b["license"].alias("license"))))
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    noticed = F.aggregate("_n", F.lit(0), lambda n, b: n + b["words"])
-    is_file = (F.size("_n") > 0) & (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (noticed >= FILE_SHARE * words))
-    own = F.struct(best["license"].alias("license"), (-best["score"]).alias("score"), F.coalesce(is_file, F.lit(False)).alias("is_file"))
-    return rated.withColumn("_own", own).drop("_n")
+    keyed = files.select(F.struct(*files.columns).alias("doc"), "path", "text", identity(F.col("text")).alias("row"))
+    found = matches(keyed.select("row", "text"))
+    n = F.size(_terms(F.coalesce("text", F.lit(""))))
+    joined = keyed.select("doc", "path", "row", n.alias("n_terms")).join(found, "row", "left")
+    named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    is_file = F.col("license").isNotNull() & (named | (F.col("largest") >= FILE_SHARE * F.col("n_terms")))
+    return joined.select("doc", "path", "license", F.coalesce("score", F.lit(0.0)).alias("score"), is_file.alias("is_file"))
 
 
 def directory(path: Column) -> Column:
@@ -99,7 +144,7 @@ def directory(path: Column) -> Column:
 
 
 def with_licenses(files: DataFrame) -> DataFrame:
-    """``files`` with ``_license``: struct(license, inherited_from) besides ``_own``.
+    """(doc, path, own_license, score, is_license_file, license, inherited_from) of every row of ``files``.
 
     A file without a licence of its own has that of the nearest directory at or above it that
     holds a licence file; of several there, the most frequent licence, then the first by name.
@@ -108,19 +153,18 @@ def with_licenses(files: DataFrame) -> DataFrame:
     all files is one row until the last join, whose right side is one row a directory. A null
     path is in the root.
     """
-    rated = own_licenses(files).withColumn("_dir", directory(F.col("path")))
-    votes = rated.where("_own.is_file").groupBy("_dir", F.col("_own.license").alias("license")).agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy("_dir").orderBy(F.desc("n"), "license")
-    given = votes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(F.col("_dir").alias("_from"), "license")
-    folders = rated.groupBy("_dir").agg(F.count(F.lit(1)).alias("_k"))
-    parts = F.split("_dir", "/")
+    rated = own_licenses(files).withColumn("dir", directory(F.col("path")))
+    votes = rated.where("is_file").groupBy("dir", "license").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("dir").orderBy(F.desc("n"), "license")
+    given = votes.withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("dir").alias("from"), F.col("license").alias("given"))
+    folders = rated.groupBy("dir").agg(F.count(F.lit(1)).alias("k"))
+    parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("name"), k.alias("depth")))
-    chain = folders.select("_dir", F.explode(F.array_distinct(above)).alias("a")).select("_dir", F.col("a.name").alias("_from"), F.col("a.depth").alias("depth"))
-    nearest = chain.join(given, "_from").groupBy("_dir").agg(F.max(F.struct("depth", "_from", "license")).alias("_up")).select(F.col("_dir").alias("_of"), "_up")
-    joined = rated.join(nearest, F.col("_dir") == F.col("_of"), "left")
-    own = F.col("_own.license")
-    license_ = F.struct(F.coalesce(own, F.col("_up.license")).alias("license"), F.when(own.isNull(), F.col("_up._from")).alias("inherited_from"))
-    return joined.withColumn("_license", license_).drop("_dir", "_of", "_up")
+    chain = folders.select("dir", F.explode(F.array_distinct(above)).alias("a")).select("dir", F.col("a.name").alias("from"), F.col("a.depth").alias("depth"))
+    nearest = chain.join(given, "from").groupBy("dir").agg(F.max(F.struct("depth", "from", "given")).alias("up")).select(F.col("dir").alias("of"), "up")
+    joined = rated.join(nearest, F.col("dir") == F.col("of"), "left")
+    own = F.col("license")
+    return joined.select("doc", "path", own.alias("own_license"), "score", F.col("is_file").alias("is_license_file"), F.coalesce(own, F.col("up.given")).alias("license"), F.when(own.isNull(), F.col("up.from")).alias("inherited_from"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -129,5 +173,4 @@ def scan(docs: DataFrame) -> DataFrame:
     Documents carry no paths, so each is laid out as source/lang/doc_id.
     """
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    found = with_licenses(docs.select("doc_id", path.alias("path"), "text")).drop("text")
-    return found.select("doc_id", "path", F.col("_own.license").alias("own_license"), F.coalesce("_own.score", F.lit(0.0)).alias("score"), F.col("_own.is_file").alias("is_license_file"), "_license.license", "_license.inherited_from")
+    return with_licenses(docs.select("doc_id", path.alias("path"), "text")).select("doc.doc_id", "path", "own_license", "score", "is_license_file", "license", "inherited_from")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from roadlake.llm.license_scan import CUE, FILE_NAME, FILE_SHARE, MIN_COSINE, TERM, _weights
-from roadlake.llm.quality_rules import MAX_LINE_DOCS, MAX_LINE_SHARE, MIN_LEFT_SHARE, MIN_LEFT_WORDS
+from roadlake.llm.licenses import TEMPLATES
 from roadlake.llm.secret_scan import LIMITS, WINDOW, _scaled
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -66,13 +65,13 @@ covered as (select rid, count(distinct p) as n from (select rid, unnest(range(k,
 lines as (select rid, source, text, unnest(string_split(text, chr(10))) as line from docs),
 full_lines as (select *, trim(regexp_replace(translate(line, {LOWER}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as norm, len(regexp_extract_all(line, '{WORD}')) as n from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dups as (select rid, count(*) - count(distinct line) as n from full_lines group by rid),
-hosts as (select source, count(distinct text) as n from docs group by source),
-frequent as (select f.source, norm from full_lines f join hosts h on f.source is not distinct from h.source group by f.source, norm, h.n having count(distinct text) > {MAX_LINE_DOCS} and count(distinct text) > {MAX_LINE_SHARE} * h.n),
+hosts as (select source, count(*) as n from docs group by source),
+frequent as (select f.source, norm from full_lines f join hosts h on f.source is not distinct from h.source group by f.source, norm, h.n having count(distinct rid) > 50 and count(distinct rid) > 0.1 * h.n and count(distinct left(md5(text), 1)) > 8),
 gone as (select rid, sum(f.n) as n from full_lines f join frequent q on f.norm = q.norm and f.source is not distinct from q.source group by rid),
 counts as (select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
   coalesce(d.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, len(w) - coalesce(g.n, 0) as left_words from worded left join dups d using (rid) left join covered c using (rid) left join gone g using (rid)),
 judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts)
-select doc_id, n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and left_words >= {MIN_LEFT_WORDS} and left_words >= {MIN_LEFT_SHARE} * n_words as kept from judged"""
+select doc_id, n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and left_words >= 20 and left_words >= 0.3 * n_words as kept from judged"""
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAMINATION = f"""{DOCS}, worded as (select rid, doc_id, regexp_extract_all(translate(text, {LOWER}), '{TOKEN}') as w from docs),
@@ -90,23 +89,27 @@ ORACLE = {"op4_secret_scan": SECRETS, "op6_repeated_strings": REPEATS, "op8_qual
 
 
 def _licenses() -> str:
-    vectors, idf, rare = _weights()
-    rows = ", ".join(f"({k}, '{name}', '{t}', {w}::double)" for k, (name, vector) in enumerate(vectors) for t, w in vector.items())
-    idfs = ", ".join(f"('{t}', {w}::double)" for t, w in idf.items())
-    words = r"[^\x20\x09-\x0D]+"
-    return f"""with weights(k, name, t, w) as (values {rows}), idfs(t, idf) as (values {idfs}),
+    """Weights are worked out from the templates' texts here too."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
+    term = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+    return f"""with templates(k, name, text) as (values {rows}),
+template_terms as (select k, name, t, count(*) as c from (select k, name, unnest(regexp_extract_all(lower(text), '{term}')) as t from templates) group by all),
+idfs as (select t, ln((1 + {len(TEMPLATES)}) / (1 + count(*))::double) as idf from template_terms group by t having count(*) < {len(TEMPLATES)}),
+raw as (select k, name, t, (1 + ln(c)) * idf as w from template_terms join idfs using (t)),
+weights as (select k, name, t, w / sqrt(sum(w * w) over (partition by k)) as w from raw),
 docs as (select doc_id, coalesce(text, '') as text, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(doc_id::varchar, '-')) as path, row_number() over () as rid from documents),
-parts as (select rid, unnest(string_split(regexp_replace(text, '([.!?;])[\\x20\\t]+', '\\1' || chr(10), 'g'), chr(10))) as p from docs),
-notices as (select rid, row_number() over () as nid, regexp_extract_all(lower(p), '{TERM}') as terms from parts where regexp_matches(p, '{CUE}')),
-counted as (select nid, t, count(*) as c from (select nid, unnest(terms) as t from notices) group by all),
-weighted as (select nid, t, c * coalesce(idf, {rare}::double) as w from counted left join idfs using (t)),
-norms as (select nid, sqrt(sum(w * w)) as norm from weighted group by nid),
-scores as (select a.nid, k, name, least(1.0, round(sum(a.w * b.w) / any_value(greatest(norm, 1e-9)), 5)) as score from weighted a join weights b using (t) join norms n on n.nid = a.nid group by a.nid, k, name),
-best as (select nid, name, score from scores qualify row_number() over (partition by nid order by score desc, name) = 1),
-matched as (select rid, name, score, len(terms) as n from best join notices using (nid) where score >= {MIN_COSINE}),
-own as (select rid, first(name order by score desc, name) as license, max(score)::double as score, sum(n) as n from matched group by rid),
+parts as (select rid, text as p from docs union all select rid, unnest(string_split_regex(text, '\n[\x20\t]*\n')) from docs
+  union all select rid, unnest(string_split(regexp_replace(text, '([.!?;])[\x20\t]+', '\1' || chr(10), 'g'), chr(10))) from docs),
+units as (select rid, row_number() over () as nid, regexp_extract_all(lower(p), '{term}') as terms from parts),
+counted as (select nid, t, count(*) as c from (select nid, unnest(terms) as t from units) group by all),
+known as (select nid, t, c, (1 + ln(c)) * idf as w from counted join idfs using (t)),
+norms as (select nid, sqrt(sum(w * w) + 4.0 * (any_value(len(terms)) - sum(c))) as norm from known join units using (nid) group by nid),
+scores as (select a.nid, k, name, least(1.0, round(sum(a.w * b.w) / any_value(norm), 5)) as score from known a join weights b using (t) join norms n on n.nid = a.nid group by a.nid, k, name),
+matched as (select rid, name, score, len(terms) as n from scores join units using (nid) where score >= 0.7),
+own as (select rid, first(name order by score desc, name) as license, max(score)::double as score, max(n) as largest from matched group by rid),
 rated as (select d.*, o.license as own_license, coalesce(o.score, 0.0)::double as score, regexp_replace(path, '/?[^/]*$', '') as dir,
-  o.rid is not null and (regexp_matches(path, '{FILE_NAME}') or o.n >= {FILE_SHARE} * len(regexp_extract_all(text, '{words}'))) as is_file from docs d left join own o using (rid)),
+  o.rid is not null and (regexp_matches(path, '(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$') or o.largest >= 0.3 * len(regexp_extract_all(lower(text), '{term}'))) as is_file from docs d left join own o using (rid)),
 given as (select dir, own_license as license from rated where is_file group by dir, own_license qualify row_number() over (partition by dir order by count(*) desc, own_license) = 1),
 chain as (select distinct dir, unnest(range(len(string_split(dir, '/')) + 1)) as depth from rated),
 nearest as (select c.dir, g.dir as up, g.license from chain c join given g on g.dir = array_to_string(string_split(c.dir, '/')[1:c.depth], '/') qualify row_number() over (partition by c.dir order by c.depth desc) = 1)

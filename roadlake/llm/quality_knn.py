@@ -24,17 +24,17 @@ SHARPNESS = 4
 
 
 def term_counts(texts: pa.Array) -> np.ndarray:
-    """[text, term] counts, float32. Letters, digits and symbols all count; null is empty."""
+    """[text, term] counts. Letters, digits and symbols all count; null is empty."""
     data, offsets = text_bytes(texts)
     data, offsets = with_breaks(data, offsets)
     if len(data) < 3:
-        return np.zeros((len(texts), TERMS), np.float32)
+        return np.zeros((len(texts), TERMS))
     wide = data.astype(np.uint32)
     gram = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
     cell = ((gram * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))[1:-1]
-    inside = text_of == np.repeat(np.arange(len(texts)), np.diff(offsets))[2:]
-    return np.bincount((text_of * TERMS + cell)[inside], minlength=len(texts) * TERMS).reshape(-1, TERMS).astype(np.float32)
+    text_at = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    inside = text_at[:-2] == text_at[2:]
+    return np.bincount((text_at[:-2] * TERMS + cell)[inside], minlength=len(texts) * TERMS).reshape(-1, TERMS).astype(np.float64)
 
 
 def weighted(counts: np.ndarray) -> np.ndarray:
@@ -47,12 +47,12 @@ class Voters:
     """The space and the labelled vectors in it."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray) -> None:
-        self.labels = labels.astype(np.float32)
+        self.labels = labels.astype(np.float64)
         seen = (counts > 0).sum(0)
-        self.rarity = (np.log((1 + len(counts)) / (1 + seen)) + 1).astype(np.float32)
+        self.rarity = np.log((1 + len(counts)) / (1 + seen)) + 1
         rows = self._terms(counts)
-        values, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64))
-        self.basis = np.ascontiguousarray(vectors[:, np.argsort(-values)[:DIMENSIONS]].astype(np.float32))
+        values, vectors = np.linalg.eigh(rows.T @ rows)
+        self.basis = np.ascontiguousarray(vectors[:, np.argsort(-values)[:DIMENSIONS]])
         self.points = self._placed(rows)
 
     def _terms(self, counts: np.ndarray) -> np.ndarray:
@@ -64,16 +64,20 @@ class Voters:
         return at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-9)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """Share of label 1 among the nearest voters, weighted by similarity."""
+        """Share of label 1 among the nearest voters, weighted by similarity.
+
+        Similarities count to five digits, and voters as near as the last one all vote.
+        """
         near = self._placed(self._terms(term_counts(texts))) @ self.points.T
+        near = np.round(near, 5)
         k = min(NEIGHBOURS, near.shape[1])
-        who = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, who, 1), 0) ** SHARPNESS + 1e-9
-        return ((weight * self.labels[who]).sum(1) / weight.sum(1)).astype(np.float64)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        weight = np.where(near >= last, np.maximum(near, 0) ** SHARPNESS + 1e-9, 0)
+        return (weight * self.labels).sum(1) / weight.sum(1)
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the labelled documents that vote: at most half of ``MAX_LABELLED`` of each label.
+    """(doc_id, text, label) of the labelled documents that vote: at most half of ``MAX_LABELLED`` of each label.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and label (0 or 1). Ids are chosen by their
     lowest hash before any text is read, so few enough for a broadcast; of rows with the same id
@@ -83,29 +87,30 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = [F.xxhash64("doc_id"), "doc_id"]
     zero, one = (known.where(F.col("label") == k).orderBy(*order).limit(MAX_LABELLED // 2) for k in (0, 1))
     chosen = zero.unionByName(one).select("doc_id", F.col("label").cast("int").alias("label"))
-    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fitted(sample: DataFrame) -> Voters | None:
-    """Voters from a bounded sample (text, label); None if it is empty.
+    """Voters from a bounded sample (doc_id, text, label), in order of doc_id; None if it is empty.
 
     The driver gets the texts' term counts only, in sparse form.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, at = batch.column(1).to_pylist(), 0
-            for texts in chunks(batch.column(0), 1 << 20):
+            ids, labels, at = batch.column(0), batch.column(2).to_pylist(), 0
+            for texts in chunks(batch.column(1), 1 << 20):
                 counts = term_counts(texts)
                 own = labels[at : at + len(texts)]
                 at += len(texts)
-                columns = [pa.array([np.flatnonzero(c).astype(np.int16).tobytes() for c in counts], pa.binary()), pa.array([c[c > 0].tobytes() for c in counts], pa.binary()), pa.array(own, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["terms", "counts", "label"])
+                columns = [ids.slice(at - len(texts), len(texts)), pa.array([np.flatnonzero(c).astype(np.int16).tobytes() for c in counts], pa.binary()), pa.array([c[c > 0].astype(np.float32).tobytes() for c in counts], pa.binary()), pa.array(own, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "terms", "counts", "label"])
 
-    rows = sample.select("text", "label").mapInArrow(run, "terms binary, counts binary, label int").collect()
+    rows = sample.select(F.col("doc_id").cast("bigint"), "text", "label").mapInArrow(run, "id bigint, terms binary, counts binary, label int").collect()
+    rows.sort(key=lambda r: (r["id"], r["terms"], r["counts"], r["label"]))
     if not rows:
         return None
-    counts = np.zeros((len(rows), TERMS), np.float32)
+    counts = np.zeros((len(rows), TERMS))
     for k, r in enumerate(rows):
         counts[k, np.frombuffer(r["terms"], np.int16)] = np.frombuffer(r["counts"], np.float32)
     return Voters(counts, np.array([r["label"] for r in rows]))
@@ -129,7 +134,7 @@ def predictions(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFra
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
     ``labels`` has doc_id and quality; several labels of a document count by their mean, rounded
-    up from a half. Rows that are held out teach nothing.
+    up from a half. Rows that are held out teach nothing; an empty table gives no rows.
     """
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     voters = fitted(sampled(docs.where(~held_out).select("doc_id", "text"), own))

@@ -6,26 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.llm._batch import SPACE, each, per_text, slices, text_bytes, with_breaks, word_bounds
+from roadlake.functions.storage import written
+from roadlake.llm._batch import LOWER, SPACE, each, per_text, slices, text_bytes, with_breaks, word_bounds
 
 #: Fixed value: the symbols that are counted.
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is boilerplate of a host if more distinct documents than this, and more than this
-#: share of the host's, contain it.
+#: A line is boilerplate of a host if more documents than this, and more than this share of the
+#: host's, contain it, and the md5 sums of their texts begin with more different hex digits than
+#: this: so a line that only the many copies of a few texts hold isn't.
 MAX_LINE_DOCS = 50
 MAX_LINE_SHARE = 0.10
+MIN_LINE_DIGITS = 8
 #: A document is depleted if fewer words, or a smaller share of them, are left without such lines.
 MIN_LEFT_WORDS = 20
 MIN_LEFT_SHARE = 0.3
-#: Shares of a frequent line's rows, so that no task gets all rows of one line.
-SALTS = 32
-
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 
@@ -84,76 +85,96 @@ def base_counts(texts: pa.Array) -> list[np.ndarray]:
     return [counts, per_text(lead, sizes), per_text(symbol[data], sizes), dups, repeats]
 
 
-def counted(text: Column) -> Column:
-    """struct of ``COUNTS`` for a text."""
+def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, words): the distinct normalised lines of each text, and the words in all that are alike.
+
+    Words are ASCII lower-cased and stand one space apart; lines without a word aren't listed.
+    """
+    data, offsets = text_bytes(texts)
+    data, offsets = with_breaks(LOWER[data], offsets)
+    breaks = np.flatnonzero(data == 0x0A)
+    blank = SPACE[data]
+    starts, ends, _ = word_bounds(blank, offsets)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
+    keep = ~blank
+    keep[ends] = True
+    data[ends] = 0x20
+    packed = data[keep].tobytes()
+    stops = np.cumsum(ends - starts + 1) - 1
+    line = np.searchsorted(breaks, starts)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    last = np.append(first[1:], len(starts)) - 1
+    begins = stops - (ends - starts)
+    hashes = np.array([xxhash.xxh64_intdigest(packed[a:b]) for a, b in zip(begins[first].tolist(), stops[last].tolist(), strict=True)], np.uint64)
+    text = np.searchsorted(offsets, starts[first], side="right") - 1
+    order = np.lexsort((hashes, text))
+    hashes, text, words = hashes[order], text[order], (last - first + 1)[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    return text[at], hashes[at].view(np.int64), np.add.reduceat(words, at)
+
+
+MEASURED = COUNTS + ", lines array<struct<hash:bigint,n:bigint>>"
+
+
+def measured(text: Column) -> Column:
+    """struct of ``MEASURED`` for a text: its counts, and its distinct lines with their words."""
     names = [part.split()[0] for part in COUNTS.split(", ")]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in each(batches):
-            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in base_counts(texts)], names)
+            of, hashes, words = line_words(texts)
+            at = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32())
+            lines = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(words, pa.int64())], ["hash", "n"]))
+            yield pa.StructArray.from_arrays([*[pa.array(c, pa.int64()) for c in base_counts(texts)], lines], [*names, "lines"])
 
-    # so marked, the counts are taken once, however many conditions use them
-    return F.arrow_udf(run, COUNTS).asNondeterministic()(text)
-
-
-def _words(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-
-
-def line_words(docs: DataFrame) -> DataFrame:
-    """One row for each normalised line of a row: its place, its hash, its words.
-
-    ``docs`` has row, host, text. Lines are trimmed, spaces run together, ASCII letters
-    lower-cased; lines without a word aren't listed. The content hash lets exact copies count as
-    one document.
-    """
-    normal = F.trim(F.regexp_replace(F.translate(F.col("line"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    lines = docs.select("row", "host", F.xxhash64("text").alias("content"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.select("row", "host", "content", "place", normal.alias("line")).where("line <> ''")
-    return lines.select("row", "host", "content", "place", F.xxhash64("line").alias("hash"), _words(F.col("line")).alias("n"))
+    return F.arrow_udf(run, MEASURED)(text)
 
 
-def removed_words(docs: DataFrame) -> DataFrame:
-    """(row, removed): words of each row in lines that are too frequent at its host.
+def frequent_lines(texts: DataFrame) -> DataFrame:
+    """(host, frequent): the hashes of the lines that are boilerplate of each host that has any.
 
-    ``docs`` has row, host, text. Frequencies count distinct contents of a host; counting goes
-    through partial aggregates, and rows of a frequent line are dealt to ``SALTS`` tasks.
+    ``texts`` has host, digit (0 to 15) and lines. Every task counts its own rows before the
+    shuffle, so neither a host nor a line that a third of all rows share is one task's work. Each
+    such line is in over a tenth of the host's documents, so a host has at most ten times as many as
+    its documents have lines, on average.
     """
-    lines = line_words(docs)
-    frequent = lines.groupBy("host", "hash", "content").agg(F.count(F.lit(1)).alias("_k")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > MAX_LINE_DOCS)
-    hosts = docs.select("host", F.xxhash64("text").alias("content")).groupBy("host", "content").agg(F.count(F.lit(1)).alias("_k")).groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    above = frequent.join(hosts, frequent["host"].eqNullSafe(hosts["host"])).where(F.col("n_docs") > MAX_LINE_SHARE * F.col("n_host")).select(frequent["host"].alias("_h"), F.col("hash").alias("_x"))
-    above = above.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    hit = salted.join(above, F.col("host").eqNullSafe(F.col("_h")) & (F.col("hash") == F.col("_x")) & (F.col("_salt") == F.col("_s")), "left_semi")
-    return hit.select("row", "place", "n").distinct().groupBy("row").agg(F.sum("n").alias("removed"))
-
-
-def judged(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (all columns) with ``_q``: the counts, base_failed and kept.
-
-    A document fails by its own text (fewer than 20 words, or over 30 percent of its words in
-    repeated windows), or since too little is left of it without its host's frequent lines.
-    ``source`` is the host; a null source is a host of its own, a null or empty text fails. Rows
-    are told apart by doc_id and text, so repeated rows share one verdict. An empty table gives
-    no rows.
+    lines = texts.select("host", F.expr("shiftleft(1, digit)").alias("digits"), F.explode("lines.hash").alias("hash"))
+    lines = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs"), F.bit_count(F.bit_or("digits")).alias("n_digits")).where((F.col("n_docs") > MAX_LINE_DOCS) & (F.col("n_digits") > MIN_LINE_DIGITS))
+    hosts = texts.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("n_host"))
+    above = lines.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > MAX_LINE_SHARE * F.col("n_host"))
+    return above.groupBy("host").agg(F.collect_list("hash").alias("frequent"))
+
+
+def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc, q) of every row of ``docs``: its columns ``keep`` (all of them), and the verdict.
+
+    ``q`` holds the counts, base_failed and kept. A document fails by its own text (fewer than 20
+    words, or over 30 percent of its words in repeated windows), or since too little is left of it
+    without its host's frequent lines. ``source`` is the host; a null source is a host of its own,
+    a null or empty text fails, repeated rows are so many documents, and an empty table gives no
+    rows. Texts are read once: what is measured is written beside ``keep``, and the frequent lines
+    are joined by host, by whichever join their size calls for.
     """
-    row = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
-    texts = docs.select(row.alias("row"), F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = removed_words(texts).withColumnsRenamed({"row": "_row", "removed": "_removed"})
-    own = docs.withColumn("_c", counted(F.col("text"))).withColumn("_row", row)
-    joined = own.join(gone, "_row", "left")
-    left = F.col("_c.n_words") - F.coalesce("_removed", F.lit(0))
-    failed = (F.col("_c.n_words") < MIN_WORDS) | (100 * F.col("_c.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_c.n_words"))
-    depleted = (left < MIN_LEFT_WORDS) | (left < MIN_LEFT_SHARE * F.col("_c.n_words"))
-    return joined.withColumn("_q", F.struct("_c.*", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))).drop("_c", "_row", "_removed")
+    digit = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 1), 16, 10).cast("int")
+    texts = written(docs.select(F.struct(*(keep or docs.columns)).alias("doc"), F.col("source").alias("host"), digit.alias("digit"), measured(F.col("text")).alias("m")))
+    frequent = written(frequent_lines(texts.select("host", "digit", "m.lines"))).withColumnRenamed("host", "of")
+    joined = texts.join(frequent, F.col("host").eqNullSafe(F.col("of")), "left")
+    gone = F.aggregate(F.filter("m.lines", lambda line: F.array_contains("frequent", line["hash"])), F.lit(0).cast("bigint"), lambda n, line: n + line["n"])
+    left = F.col("m.n_words") - F.coalesce(gone, F.lit(0))
+    failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
+    depleted = (left < MIN_LEFT_WORDS) | (left < MIN_LEFT_SHARE * F.col("m.n_words"))
+    counts = [F.col(f"m.{part.split()[0]}") for part in COUNTS.split(", ")]
+    return joined.select("doc", F.struct(*counts, failed.alias("base_failed"), (~failed & ~depleted).alias("kept")).alias("q"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    return judged(docs).where("_q.kept").select(*docs.columns)
+    return judged(docs).where("q.kept").select("doc.*")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed and kept of every row of ``docs``."""
-    return judged(docs.select("doc_id", "text", "source")).select("doc_id", "_q.*")
+    return judged(docs, ["doc_id"]).select("doc.doc_id", "q.*")

@@ -29,7 +29,7 @@ SPREAD = WINDOW - GRAM + 1
 #: Windows by how many bytes before the string they start, first and last of each half.
 HALVES = ((0, 100), (101, 200))
 #: Window starts that are handled at once in a long text.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Buckets with more members are refined by a shuffle of their windows, others inside a task.
 MAX_IN_TASK = 1000
 #: Members that one task refines, about.
@@ -118,7 +118,7 @@ def _anchor_lists(text: Column) -> Column:
     kind = pa.struct([("gram", pa.int64()), ("around", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in each(batches, 8 << 20):
+        for batch in each(batches, 1 << 20):
             columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for first, base, data, offsets in _pieces(batch):
                 text_, at, low, high, gram, around = anchors(data, offsets)

@@ -90,23 +90,29 @@ def window_entropy(found: Column) -> Column:
     """Highest entropy over all windows of a candidate, in millionths of a bit a character.
 
     With c the count of each character, the entropy of a window of w characters is
-    log2(w) - sum(c log2 c) / w. A step by one character changes the counts of two characters
-    only, and the sum by table entries of those counts.
+    log2(w) - sum(c log2 c) / w. The candidate is cut into characters once; then a fold over the
+    characters that leave and enter the window carries the count of each and the sum, of which
+    one entry changes at a time. So time grows with the candidate's length.
     """
     table = F.array(*[F.lit(_scaled(c)).cast("bigint") for c in range(WINDOW + 2)])
-    count = lambda s, c: F.char_length(s) - F.char_length(F.replace(s, c, F.lit("")))
-    first = F.substring(found, 1, WINDOW)
-    start = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0).cast("bigint"), lambda s, c: s + F.when(c == "", F.lit(0)).otherwise(F.get(table, count(first, c))))
-
-    def move(acc: Column, k: Column) -> Column:
-        inner = found.substr(k + 1, F.lit(WINDOW - 1))  # what both windows share
-        gone, new = found.substr(k, F.lit(1)), found.substr(k + WINDOW, F.lit(1))
-        a, b = count(inner, gone), count(inner, new)
-        total = acc["sum"] - F.get(table, a + 1) + F.get(table, a) + F.get(table, b + 1) - F.get(table, b)
-        return F.struct(total.alias("sum"), F.least(acc["low"], total).alias("low"))
-
-    steps = F.when(F.char_length(found) > WINDOW, F.sequence(F.lit(1), F.char_length(found) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(steps, F.struct(start.alias("sum"), start.alias("low")), move, lambda acc: acc["low"])
+    first, last = ord("+"), ord("z")  # all characters of candidates lie between
+    # counts are the characters of a string, 0 as A: shorter to copy than an array
+    none = F.struct(F.lit("A" * (last - first + 1)).alias("counts"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sum"), F.lit(2**62).cast("bigint").alias("low"))
+    entry = lambda code, by: F.struct(code.alias("at"), F.lit(by).alias("by"))
+
+    def steps(codes: Column) -> Column:
+        return F.flatten(F.transform(codes, lambda c, k: F.when(k >= WINDOW, F.array(entry(F.get(codes, k - WINDOW), -1), entry(c, 1))).otherwise(F.array(entry(c, 1)))))
+
+    def move(acc: Column, step: Column) -> Column:
+        old = F.ascii(acc["counts"].substr(step["at"], F.lit(1))) - ord("A")
+        new, n = old + step["by"], acc["n"] + step["by"]
+        total = acc["sum"] + F.get(table, new) - F.get(table, old)
+        counts = F.overlay(acc["counts"], F.char(new + ord("A")), step["at"], F.lit(1))
+        return F.struct(counts.alias("counts"), n.alias("n"), total.alias("sum"), F.when(n == WINDOW, F.least(acc["low"], total)).otherwise(acc["low"]).alias("low"))
+
+    codes = F.transform(F.split(found, ""), lambda c: F.ascii(c) - (first - 1))
+    # an array of one element gives its value a name that is computed once
+    low = F.element_at(F.transform(F.array(codes), lambda c: F.aggregate(steps(c), none, move, lambda acc: acc["low"])), 1)
     return F.lit(_scaled(WINDOW) // WINDOW) - F.floor(low / WINDOW)
 
 
@@ -121,7 +127,8 @@ def secret_spans(text: Column) -> Column:
     made = lambda k: lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"))
     assign = F.filter(_matches(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 12)
     base = F.concat(F.transform(assign, made(0)), F.transform(_matches(text, ACCESS), made(1)), F.transform(_matches(text, HEX), made(2)))
-    measured = F.filter(_matches(text, CANDIDATE), lambda m: window_entropy(m["found"]) >= entropy_limit(m["found"]))
+    limited = F.filter(F.transform(_matches(text, CANDIDATE), lambda m: F.struct(m["start"], m["end"], m["found"], entropy_limit(m["found"]).alias("limit"))), lambda m: m["limit"].isNotNull())
+    measured = F.filter(limited, lambda m: window_entropy(m["found"]) >= m["limit"])
     return F.array_sort(F.concat(base, F.transform(measured, made(3))))
 
 

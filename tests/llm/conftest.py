@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: doc_id, text, lang, source, n_chars, and a column whose name operators use themselves.
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, fp string, hash string, row string, start string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, fp string, hash string, row string, start string, _row string, _c string, _q string, _removed string, _hits string, _secrets string, _new string, _e string, doc string, m string"
 
 
 def corpus(seed: int = 5) -> list[tuple]:
@@ -20,7 +20,7 @@ def corpus(seed: int = 5) -> list[tuple]:
     texts += [None, "", " \n\t ", "one", "one two", "ab" * 3000, "\x01\x02\x00", "same line\n" * 30, "12 34\r\n 'quote' ''s '", make(5000)]
     rows = [(k, t, rnd.choice(["en", "fr", None]), rnd.choice(["src0", "src0", "src1", None]), None if t is None else len(t)) for k, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, "no id here", "en", "src1", 10), (None, None, None, None, None)]
-    return [r + ("x", "y", "z", "w", "v") for r in rows]
+    return [r + ("x", "y", "z", "w", "v", *"abcdefghij") for r in rows]
 
 
 @pytest.fixture(scope="session")

@@ -33,6 +33,15 @@ def test_digests_are_the_librarys(docs, rows, library):
     assert plain(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
+def test_texts_above_a_chunk(spark, library):
+    """Batches of several chunks, and a text that is longer than one."""
+    rnd = random.Random(11)
+    make = lambda n: " ".join("".join(rnd.choices("abcdeé ", k=rnd.randint(1, 9))) for _ in range(n))
+    rows = [(k, make(n)) for k, n in enumerate([200_000, 30_000, 30_000, 5, 60_000])]
+    got = byte_bpe.encode_digests(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), vocabulary_path())
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {k: len(library.encode_ordinary(t)) for k, t in rows}
+
+
 def test_splits_like_the_pattern(library):
     with open(vocabulary_path(), "rb") as f:
         words = byte_bpe.Vocabulary(f.read())

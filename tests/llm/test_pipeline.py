@@ -8,6 +8,7 @@ pipeline = pytest.importorskip("corpus_pipeline")
 from roadlake.functions.storage import written  # noqa: E402
 
 from .conftest import corpus, plain  # noqa: E402
+from .test_encoding import library  # noqa: E402, F401
 from .test_duplicates import lowest_reachable, print_of  # noqa: E402
 from .test_rules import TOKEN, LOWER, hits, kept  # noqa: E402
 from .test_secrets import spans_of  # noqa: E402
@@ -17,12 +18,12 @@ from .test_secrets import spans_of  # noqa: E402
 def folder(spark, docs, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     texts = [r[1] for r in corpus() if r[1]]
-    docs.drop("n_words", "fp", "hash", "row", "start").write.parquet(f"{path}/documents.parquet")
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, texts[41][:150]), (2, texts[9][:90])], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
-def test_stages_agree_with_a_plain_version(spark, folder, docs):
+def test_stages_agree_with_a_plain_version(spark, folder, docs, library):
     own = ["doc_id", "text", "lang", "source", "n_chars"]
     now = spark.read.parquet(f"{folder}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
@@ -60,7 +61,17 @@ def test_stages_agree_with_a_plain_version(spark, folder, docs):
         assert not re.search("[0-9a-f]{16}", r["text"])
 
     last = pipeline.encoding_stage(spark, now, folder)
-    assert all(r["n_tokens"] == len(r["ids"]) for r in last.collect()) and last.count() == len(rows)
+    masked = {r["doc_id"]: r["text"] for r in now.collect()}
+    encode = library.encode_ordinary
+    got = {r["doc_id"]: r for r in last.collect()}
+    assert got.keys() == masked.keys() and all(got[k]["ids"] == encode(t) and got[k]["n_tokens"] == len(got[k]["ids"]) for k, t in masked.items())
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, folder):
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert {r["_row"] + r["_new"] + r["doc"] for r in out.collect()} == {"agi"}
 
 
 def test_run_and_names(spark, folder):

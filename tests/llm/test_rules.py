@@ -32,22 +32,24 @@ def base(text):
 
 def kept(rows):
     normal = lambda line: re.sub("[\x20\x09-\x0D]+", " ", line.translate(LOWER)).strip(" ")
-    contents, lines = {}, {}
+    sizes, holders, digits = Counter(), Counter(), {}
     for _, t, _, s, *_ in rows:
-        contents.setdefault(s, set()).add(t or "")
-        for line in (t or "").split("\n"):
-            if normal(line):
-                lines.setdefault((s, normal(line)), set()).add(t or "")
+        sizes[s] += 1
+        for line in {normal(x) for x in (t or "").split("\n")} - {""}:
+            holders[s, line] += 1
+            digits.setdefault((s, line), set()).add(hashlib.md5((t or "").encode()).hexdigest()[0])
     limits = quality_rules
+    common = lambda s, line: holders[s, line] > max(limits.MAX_LINE_DOCS, limits.MAX_LINE_SHARE * sizes[s]) and len(digits[s, line]) > limits.MIN_LINE_DIGITS
     for _, t, _, s, *_ in rows:
         n, *_, failed = base(t)
-        gone = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if normal(x) and len(lines[s, normal(x)]) > max(limits.MAX_LINE_DOCS, limits.MAX_LINE_SHARE * len(contents[s])))
+        gone = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if normal(x) and common(s, normal(x)))
         yield not failed and n - gone >= limits.MIN_LEFT_WORDS and n - gone >= limits.MIN_LEFT_SHARE * n
 
 
 @pytest.mark.parametrize("limit", [50, 2])
 def test_verdicts(docs, rows, monkeypatch, limit):
     monkeypatch.setattr(quality_rules, "MAX_LINE_DOCS", limit)
+    monkeypatch.setattr(quality_rules, "MIN_LINE_DIGITS", 1 if limit == 2 else 8)
     want = [(r[0], *base(r[1]), k) for r, k in zip(rows, kept(rows), strict=True)]
     got = quality_rules.verdicts(docs)
     assert plain(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == sorted(want, key=repr)
@@ -56,6 +58,7 @@ def test_verdicts(docs, rows, monkeypatch, limit):
 
 def test_frequent_lines_deplete(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "MAX_LINE_DOCS", 3)
+    monkeypatch.setattr(quality_rules, "MIN_LINE_DIGITS", 1)
     common = " ".join(f"menu{k}" for k in range(30))
     own = lambda k: "\n".join(f"w{k}a{j} w{k}b{j} w{k}c{j}" for j in range(12))
     rows = [(k, f"{common.upper()}  \n{'' if k % 2 else own(k)}\nlast {k}", None, "h" if k < 8 else "g", 1) for k in range(10)] + [(50, own(50), None, "h", 1), (51, own(50), None, "h", 1)]
@@ -64,6 +67,13 @@ def test_frequent_lines_deplete(spark, monkeypatch):
     assert got == {r[0]: k for r, k in zip(rows, kept(rows), strict=True)}
 
 
+def test_copies_do_not_make_their_own_lines_boilerplate(spark):
+    text = "\n".join(f"w{j} x{j} y{j} z{j}" for j in range(10))
+    rows = [(k, text, None, "h", 1) for k in range(200)]
+    assert quality_rules.kept_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).count() == 200
+    assert all(kept(rows))
+
+
 TOKEN = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -109,12 +119,37 @@ def test_no_items_and_no_documents(spark, docs, no_docs, rows):
     assert quality_rules.verdicts(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("size", [50, 5000])
+def test_answers_do_not_depend_on_chunks(spark, docs, rows, monkeypatch, size):
+    """Texts above and below the bytes that are handled at once, in a process of its own limits."""
+    import pyarrow as pa
+
+    from roadlake.llm import _batch, language_id, near_copies, quality_knn, simhash
+
+    texts = pa.array([r[1] for r in rows], pa.string())
+    parts = list(_batch.chunks(texts, size))
+    assert len(parts) > 5 and max(len(t or "") for t in texts.to_pylist()) > size
+    model = language_id.Model(["x", "y"], language_id.np.random.default_rng(1).integers(1, 50, (2, language_id.CELLS)).astype(float))
+    voters = quality_knn.Voters(quality_knn.term_counts(texts), language_id.np.arange(len(texts)) % 2)
+    phrases = decontamination.phrases([(1, rows[3][1]), (2, rows[41][1][:200])])
+    for f in (
+        lambda t: list(zip(*map(list, quality_rules.base_counts(t)), strict=True)),
+        lambda t: list(simhash.fingerprints(t)),
+        lambda t: list(near_copies.shingle_sets(t)[1]),
+        lambda t: [tuple(round(float(v), 9) for v in r) for r in model.mixtures(t)[0]],
+        lambda t: [round(float(v), 6) for v in voters.scores(t)],
+        lambda t: [(int(n), s, i) for n, s, i in zip(*decontamination.hits(t, phrases), strict=True)],
+        lambda t: [sorted((int(h), int(n)) for o, h, n in zip(*quality_rules.line_words(t), strict=True) if o == k) for k in range(len(t))],
+    ):
+        assert [x for p in parts for x in f(p)] == f(texts)
+
+
 def test_spans_are_cut_out_of_texts(spark):
     text = "Keep this. One two three four five six seven eight nine ten, and keep that"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id int, text string")
     found = decontamination.contaminated(docs, items)
-    got = found.select("doc_id", decontamination.without_spans(found["text"], found["_hits.spans"]).alias("t"))
+    got = found.select("doc.doc_id", decontamination.without_spans(found["doc.text"], found["hits.spans"]).alias("t"))
     assert plain(got, "doc_id", "t") == [(1, "Keep this. , and keep that"), (2, None), (3, "")]
 
 

@@ -60,6 +60,14 @@ def test_very_many_matches_in_one_text(spark):
     check(spark.createDataFrame(texts, "doc_id long, text string"), texts)
 
 
+def test_time_grows_with_the_length_of_a_candidate(spark):
+    rnd = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [(1, "".join(rnd.choices(letters, k=1_000_000))), (2, "xy1" * 300_000)]
+    got = {r["doc_id"]: r["spans"] for r in scan_digests(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: "entropy:0:1000000", 2: ""}
+
+
 def test_redaction_masks_runs_of_spans(docs):
     found = scanned(docs, "s").select("text", "s", redacted(F.col("text"), F.col("s")).alias("new"))
     for r in found.collect():
