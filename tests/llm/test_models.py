@@ -197,7 +197,7 @@ def test_licences_and_inheritance(spark):
         ("x/alone", "a licence to print money"),
         ("y/two", BSD_2),
         ("y/three", BSD_3),
-        ("z/header", notes + "\n\n" + "code code\n" * 400),
+        ("z/header", notes + "\n\n" + "zzz zzz\n" * 400),
         ("top", None),
         (None, ""),
         ("a/b/code", "nothing here"),
