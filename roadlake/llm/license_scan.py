@@ -10,6 +10,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadlake.functions.storage import written
 from roadlake.llm._batch import identity
 from roadlake.llm.licenses import TEMPLATES
 
@@ -76,11 +77,27 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
 
 
+def can_match(unit: Column) -> Column:
+    """False only for what can't reach ``MIN_COSINE``: a cosine is at most the share of known terms in the vector's length.
+
+    The idf of a known term is rounded up to that of its class: terms of few templates, of some,
+    and of many.
+    """
+    idf = {t: i for _, _, t, _, i in template_weights()}
+    steps = [0.9, 1.6]
+    low, middle = [[t for t, i in idf.items() if lower < i <= upper] for lower, upper in ((0, steps[0]), (steps[0], steps[1]))]
+    most = lambda t: F.when(t.isin(low), steps[0] ** 2).when(t.isin(middle), steps[1] ** 2).otherwise(max(idf.values()) ** 2)
+    tf = lambda c: 1 + F.log(c.cast("double"))
+    known = F.aggregate(unit["terms"], F.lit(0.0), lambda n, t: n + most(t["term"]) * tf(t["c"]) * tf(t["c"]))
+    others = unit["n"] - F.aggregate(unit["terms"], F.lit(0), lambda n, t: n + t["c"])
+    return known * (1 - MIN_COSINE**2) * 1.0001 >= others * (OTHER * MIN_COSINE) ** 2
+
+
 def units(text: Column) -> Column:
-    """array<struct(n, others, terms)>: what is compared with the templates: the whole text, its paragraphs, its lines and sentences.
+    """array<struct(n, terms)>: what is compared with the templates: the whole text, its paragraphs, its lines and sentences.
 
-    ``n`` counts all terms, ``others`` those that no template has; ``terms`` holds each known one
-    and its number. Only what can reach ``MIN_COSINE`` by ``telling_terms`` is listed.
+    ``n`` counts all terms; ``terms`` holds each known one and its number. Only what can reach
+    ``MIN_COSINE`` is listed: by ``telling_terms``, and by ``can_match``.
     """
     wanted, number = telling_terms()
     known = F.lit(sorted({t for _, _, t, _, _ in template_weights()}))
@@ -95,7 +112,7 @@ def units(text: Column) -> Column:
         telling = F.array_intersect(own, F.lit(wanted))
         like = lambda terms: F.arrays_overlap(terms, telling) | (F.size(F.array_intersect(terms, own)) >= number)
         parts = F.concat(F.array(F.flatten(F.flatten(paragraphs))), F.transform(paragraphs, F.flatten), F.flatten(paragraphs))
-        chosen = F.transform(F.filter(parts, like), lambda terms: counted(terms, own))
+        chosen = F.filter(F.transform(F.filter(parts, like), lambda terms: counted(terms, own)), can_match)
         return F.when((F.size(telling) > 0) | (F.size(own) >= number), chosen).otherwise(F.array().cast("array<struct<n:int,terms:array<struct<term:string,c:int>>>>"))
 
     lines = lambda p: F.transform(F.split(p, r"\n|(?<=[.!?;])[\x20\t]+"), _terms)
@@ -106,10 +123,10 @@ def units(text: Column) -> Column:
 def matches(texts: DataFrame) -> DataFrame:
     """(row, license, score, largest): the licence of each text that has one.
 
-    ``texts`` has row (the same for equal texts) and text. Terms are counted in their unit and
-    become rows, which join the weights of the templates; cosines are sums over them.
+    ``texts`` is a table of row (the same for equal texts) and units. Terms become rows, which join
+    the weights of the templates; cosines are sums over them.
     """
-    listed = texts.select("row", F.posexplode(units(F.coalesce("text", F.lit("")))).alias("unit", "u"))
+    listed = texts.select("row", F.posexplode("units").alias("unit", "u"))
     others = F.col("u.n") - F.aggregate("u.terms", F.lit(0), lambda n, t: n + t["c"])
     rows = listed.select("row", "unit", "u.n", others.alias("others"), F.explode("u.terms").alias("t"))
     rows = rows.select("row", "unit", "n", "others", "t.term", (1 + F.log(F.col("t.c").cast("double"))).alias("tf")).distinct()
@@ -122,17 +139,18 @@ def matches(texts: DataFrame) -> DataFrame:
     return scored.groupBy("row").agg(F.min(best).alias("b"), F.max("n").alias("largest")).select("row", "b.license", (-F.col("b.score")).alias("score"), "largest")
 
 
-def own_licenses(files: DataFrame) -> DataFrame:
-    """(doc, path, license, score, is_file) of every row of ``files``, which has path and text; doc holds its columns.
+def own_licenses(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc, path, license, score, is_file) of every row of ``files``, which has path and text; doc holds its columns ``keep`` (all).
 
     The licence of a file is that of the template with the highest cosine to its text or to a
     header in it, the first by name on ties; null below ``MIN_COSINE``, and null for null and
-    empty texts. Repeated rows are answered alike; an empty table gives no rows.
+    empty texts. Repeated rows are answered alike; an empty table gives no rows. Texts are read
+    once: what is compared is written beside ``keep``.
     """
-    keyed = files.select(F.struct(*files.columns).alias("doc"), "path", "text", identity(F.col("text")).alias("row"))
-    found = matches(keyed.select("row", "text"))
-    n = F.size(_terms(F.coalesce("text", F.lit(""))))
-    joined = keyed.select("doc", "path", "row", n.alias("n_terms")).join(found, "row", "left")
+    text = F.coalesce("text", F.lit(""))
+    keyed = written(files.select(F.struct(*(keep or files.columns)).alias("doc"), "path", identity(F.col("text")).alias("row"), F.size(_terms(text)).alias("n_terms"), units(text).alias("units")))
+    found = written(matches(keyed.where(F.size("units") > 0).select("row", "units")))
+    joined = keyed.select("doc", "path", "row", "n_terms").join(found, "row", "left")
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
     is_file = F.col("license").isNotNull() & (named | (F.col("largest") >= FILE_SHARE * F.col("n_terms")))
     return joined.select("doc", "path", "license", F.coalesce("score", F.lit(0.0)).alias("score"), is_file.alias("is_file"))
@@ -143,7 +161,7 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(F.coalesce(path, F.lit("")), "/?[^/]*$", "")
 
 
-def with_licenses(files: DataFrame) -> DataFrame:
+def with_licenses(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(doc, path, own_license, score, is_license_file, license, inherited_from) of every row of ``files``.
 
     A file without a licence of its own has that of the nearest directory at or above it that
@@ -153,7 +171,7 @@ def with_licenses(files: DataFrame) -> DataFrame:
     all files is one row until the last join, whose right side is one row a directory. A null
     path is in the root.
     """
-    rated = own_licenses(files).withColumn("dir", directory(F.col("path")))
+    rated = own_licenses(files, keep).withColumn("dir", directory(F.col("path")))
     votes = rated.where("is_file").groupBy("dir", "license").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("dir").orderBy(F.desc("n"), "license")
     given = votes.withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("dir").alias("from"), F.col("license").alias("given"))
@@ -173,4 +191,4 @@ def scan(docs: DataFrame) -> DataFrame:
     Documents carry no paths, so each is laid out as source/lang/doc_id.
     """
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    return with_licenses(docs.select("doc_id", path.alias("path"), "text")).select("doc.doc_id", "path", "own_license", "score", "is_license_file", "license", "inherited_from")
+    return with_licenses(docs.select("doc_id", path.alias("path"), "text"), ["doc_id"]).select("doc.doc_id", "path", "own_license", "score", "is_license_file", "license", "inherited_from")
