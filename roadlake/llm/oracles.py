@@ -109,7 +109,7 @@ scores as (select a.nid, k, name, least(1.0, round(sum(a.w * b.w) / any_value(no
 matched as (select rid, name, score, len(terms) as n from scores join units using (nid) where score >= 0.7),
 own as (select rid, first(name order by score desc, name) as license, max(score)::double as score, max(n) as largest from matched group by rid),
 rated as (select d.*, o.license as own_license, coalesce(o.score, 0.0)::double as score, regexp_replace(path, '/?[^/]*$', '') as dir,
-  o.rid is not null and (regexp_matches(path, '(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$') or o.largest >= 0.3 * len(regexp_extract_all(lower(text), '{term}'))) as is_file from docs d left join own o using (rid)),
+  o.rid is not null and (regexp_matches(path, '(?i)(^|/)(licen[sc]e|copying|notice)(\\.[a-z]+)?$') or o.largest >= 0.3 * len(regexp_extract_all(lower(text), '{term}'))) as is_file from docs d left join own o using (rid)),
 given as (select dir, own_license as license from rated where is_file group by dir, own_license qualify row_number() over (partition by dir order by count(*) desc, own_license) = 1),
 chain as (select distinct dir, unnest(range(len(string_split(dir, '/')) + 1)) as depth from rated),
 nearest as (select c.dir, g.dir as up, g.license from chain c join given g on g.dir = array_to_string(string_split(c.dir, '/')[1:c.depth], '/') qualify row_number() over (partition by c.dir order by c.depth desc) = 1)
