@@ -133,19 +133,19 @@ def removable(edges: DataFrame) -> DataFrame:
     return degrees(edges).where((one | two) & ~itself).select("junction")
 
 
-def contracted(edges: DataFrame, through: DataFrame, limit: int = 64) -> DataFrame:
+def contracted(edges: DataFrame, through: DataFrame) -> DataFrame:
     """(path, fj, tj, n_edges, length): chains of edges through junctions of ``through``.
 
     Each chain starts at an edge from another junction and is followed, without turning back,
     until it ends at one; the step table shrinks to nothing in as many rounds as the longest
-    chain has edges, at most ``limit``.
+    chain has edges. Rings of nothing but such junctions have no start and are left out.
     """
     pass_on = through.select(F.col("junction"))
     base = edges.select("edge_id", "fj", "tj", "length")
     open_ = base.join(pass_on, base["fj"] == pass_on["junction"], "left_anti").select(F.col("edge_id").cast("string").alias("path"), "fj", F.col("fj").alias("back"), "tj", F.lit(1).cast("bigint").alias("n_edges"), F.col("length"))
     done = []
     step = base.select(F.col("edge_id").alias("e"), F.col("fj").alias("at"), F.col("tj").alias("to"), F.col("length").alias("l"))
-    for _ in range(limit):
+    while True:
         done.append(open_.join(pass_on, open_["tj"] == pass_on["junction"], "left_anti").drop("back"))
         going = open_.join(pass_on, open_["tj"] == pass_on["junction"], "left_semi")
         grown = going.join(step, (going["tj"] == step["at"]) & (step["to"] != going["back"]))

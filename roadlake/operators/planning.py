@@ -148,3 +148,64 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
         at[vehicle] = end
     arrived = sum(at.get(v) == j for v, j in goal.items())
     return pd.DataFrame({"problem": [rows["problem"].iloc[0]], "steps": [steps], "cost": [total], "arrived": [arrived], "valid": [bool(valid)]})
+
+
+def numbered(vehicles: DataFrame, window: int) -> DataFrame:
+    """``vehicles`` with episode and name: v0, v1, … by depart and id among all vehicles of their window of time.
+
+    Names are given before any vehicle is left out, so the planned ones have gaps.
+    """
+    start = vehicles.agg(F.min("depart").alias("s"))
+    placed = vehicles.crossJoin(F.broadcast(start)).withColumn("episode", F.floor((F.col("depart") - F.col("s")) / window)).drop("s")
+    place = F.row_number().over(W.partitionBy("episode").orderBy("depart", "vehicle_id")) - 1
+    return placed.withColumn("name", F.concat(F.lit("v"), place.cast("string")))
+
+
+def problem(planned: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """(episode, section, fact): objects, initial state and goal of each episode's problem.
+
+    ``planned`` has episode, name, first_edge, last_edge. A vehicle starts on a junction of its
+    own before the first road and ends on one beyond the last: for each road of an episode that
+    is someone's first, someone's last, or both, the junctions are connected by it. ``facts``
+    (episode, fact) of the network are added to the initial state.
+    """
+    ends = edges.select(F.col("edge_id").alias("road"), F.col("fj").cast("string").alias("a"), F.col("tj").cast("string").alias("b"))
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    firsts = planned.select("episode", F.col("first_edge").alias("road")).distinct().join(ends, "road")
+    lasts = planned.select("episode", F.col("last_edge").alias("road")).distinct().join(ends, "road")
+    both = firsts.join(lasts.select("episode", "road"), ["episode", "road"])
+    link = lambda df, x, y: df.select("episode", fact("connected", x, text("r", "road"), y).alias("fact"))
+    init = link(firsts, text("s", "road"), text("j", "b")).unionByName(link(lasts, text("j", "a"), text("t", "road"))).unionByName(link(both, text("s", "road"), text("t", "road")))
+    cars = planned.select("episode", F.explode(F.array(fact("at", F.col("name"), text("s", "first_edge")), fact("togo", F.col("name"), text("t", "last_edge")))).alias("fact"))
+    total = planned.select("episode").distinct().withColumn("fact", F.lit("(= (total-cost) 0)"))
+    goal = planned.select("episode", F.lit("goal").alias("section"), fact("at", F.col("name"), text("t", "last_edge")).alias("fact"))
+    objects = planned.select("episode", F.concat("name", F.lit(" - vehicle")).alias("fact")).unionByName(firsts.select("episode", F.concat(text("s", "road"), F.lit(" - junction")).alias("fact"))).unionByName(lasts.select("episode", F.concat(text("t", "road"), F.lit(" - junction")).alias("fact")))
+    states = init.unionByName(cars).unionByName(total).unionByName(facts.select("episode", "fact"))
+    return objects.select("episode", F.lit("objects").alias("section"), "fact").unionByName(states.select("episode", F.lit("init").alias("section"), "fact")).unionByName(goal)
+
+
+def sections(problems: DataFrame) -> DataFrame:
+    """(episode, section, text): each section's facts, sorted, one a line, in its brackets."""
+    lines = F.array_join(F.array_sort(F.collect_list("fact")), "\n")
+    return problems.groupBy("episode", "section").agg(F.concat(F.lit("(:"), F.col("section"), F.lit("\n"), lines, F.lit("\n)")).alias("text"))
+
+
+def overridden(steps: DataFrame) -> DataFrame:
+    """(vehicle, step, road, file): of plan steps (file, vehicle, step, road) those of each vehicle's last file by name."""
+    last = steps.groupBy("vehicle").agg(F.max("file").alias("file"))
+    return steps.join(last, ["vehicle", "file"]).select("vehicle", "step", "road", "file")
+
+
+def checked(original: DataFrame, plan: DataFrame, connections: DataFrame, run: DataFrame) -> DataFrame:
+    """(route_id, edges, planned): each route with its run [left, right) replaced by the plan's edges, where that can be driven.
+
+    Every turn of the whole must be allowed; otherwise the original stays.
+    """
+    both = original.join(run, "route_id").join(plan.select("route_id", F.col("edges").alias("new")), "route_id")
+    left, right = F.col("left").cast("int"), F.col("right").cast("int")
+    whole = both.select("route_id", F.concat(F.slice("edges", F.lit(1), left), "new", F.slice("edges", right + 1, F.size("edges"))).alias("whole"))
+    turns = whole.select("route_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("whole") - 1), lambda k: F.struct(F.get("whole", k - 1).alias("from_edge"), F.get("whole", k).alias("to_edge")))).alias("t")).where(F.col("t.to_edge").isNotNull())
+    bad = turns.select("route_id", "t.*").join(connections, ["from_edge", "to_edge"], "left_anti").select("route_id").distinct()
+    good = whole.join(bad, "route_id", "left_anti")
+    joined = original.join(good, "route_id", "left")
+    return joined.select("route_id", F.coalesce("whole", "edges").alias("edges"), F.col("whole").isNotNull().alias("planned"))

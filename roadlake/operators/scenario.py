@@ -138,3 +138,33 @@ def turn_penalties(route: DataFrame, edges: DataFrame, lights: DataFrame) -> Dat
     turns = transitions(route).join(a, "from_edge").join(b, "to_edge").join(lights.select("junction", F.lit(2).alias("off")), "junction", "left")
     penalty = F.greatest(10 - 3 * F.abs(F.col("c") - F.col("d")) - F.coalesce("off", F.lit(0)), F.lit(1))
     return turns.groupBy("route_id").agg(F.sum(penalty).alias("penalty"))
+
+
+def penalised_bottlenecks(route: DataFrame, edges: DataFrame, lights: DataFrame) -> DataFrame:
+    """(route_id, score): ``bottlenecks`` with each transition's weight times its turn's penalty (see ``turn_penalties``)."""
+    from roadlake.operators.sequences import transitions
+
+    steps = transitions(route)
+    pairs = steps.groupBy("from_edge", "to_edge").agg(F.count(F.lit(1)).alias("n"))
+    fan = pairs.groupBy("from_edge").agg(F.count(F.lit(1)).alias("fan"))
+    a = edges.select(F.col("edge_id").alias("from_edge"), F.col("tj").alias("junction"), F.col("class").alias("c"))
+    b = edges.select(F.col("edge_id").alias("to_edge"), F.col("class").alias("d"))
+    turns = pairs.join(fan, "from_edge").join(a, "from_edge").join(b, "to_edge").join(lights.select("junction", F.lit(2).alias("off")), "junction", "left")
+    penalty = F.greatest(10 - 3 * F.abs(F.col("c") - F.col("d")) - F.coalesce("off", F.lit(0)), F.lit(1))
+    weight = turns.select("from_edge", "to_edge", (F.col("n") * F.col("fan") * penalty).alias("w"))
+    return steps.join(weight, ["from_edge", "to_edge"]).groupBy("route_id").agg(F.sum("w").alias("score"))
+
+
+def entering_runs(original: DataFrame, planned: DataFrame, region: DataFrame, edges: DataFrame) -> DataFrame:
+    """(route_id, left, right): the longest run of each planned route in a region that starts at the junction where the original's run does."""
+    from roadlake.operators.sequences import longest_run
+
+    ends = edges.select("edge_id", "fj")
+    runs = longest_run(original, region).where("right > left").select("route_id", F.col("left").alias("pos"))
+    entry = original.join(runs, ["route_id", "pos"]).join(ends, "edge_id").select("route_id", F.col("fj").alias("entry"))
+    inside = planned.join(region.select("edge_id").distinct(), "edge_id", "left_semi")
+    islands = inside.withColumn("island", F.col("pos") - F.row_number().over(W.partitionBy("route_id").orderBy("pos")))
+    found = islands.groupBy("route_id", "island").agg(F.min("pos").alias("left"), (F.max("pos") + 1).alias("right"), F.min_by("edge_id", "pos").alias("edge_id"))
+    fit = found.join(ends, "edge_id").join(entry, "route_id").where("fj = entry")
+    best = F.max(F.struct((F.col("right") - F.col("left")).alias("n"), (-F.col("left")).alias("l"), "right")).alias("b")
+    return fit.groupBy("route_id").agg(best).select("route_id", (-F.col("b.l")).alias("left"), F.col("b.right").alias("right"))

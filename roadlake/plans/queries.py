@@ -314,7 +314,7 @@ def removable_junctions(spark, sf):
 
 @query(REMOVABLE + """, chase(path, fj, back, tj, n_edges, milli) as (
 select edge_id::varchar, fj, fj, tj, 1::bigint, floor(length * 1000)::bigint from g where fj not in (select junction from rm)
-union all select path || ' ' || g.edge_id, c.fj, g.fj, g.tj, n_edges + 1, milli + floor(g.length * 1000)::bigint from chase c join g on c.tj = g.fj and g.tj <> c.back where c.tj in (select junction from rm) and n_edges < 64)
+union all select path || ' ' || g.edge_id, c.fj, g.fj, g.tj, n_edges + 1, milli + floor(g.length * 1000)::bigint from chase c join g on c.tj = g.fj and g.tj <> c.back where c.tj in (select junction from rm))
 select path, fj, tj, n_edges, milli from chase where tj not in (select junction from rm)""")
 def contract_chains(spark, sf):
     edges = _region_graph(spark, sf)[0].withColumn("length", F.floor(F.col("length") * 1000))
@@ -837,3 +837,6 @@ def alternative_routes(spark, sf):
 def top_congested(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
     """The flagship query: the edges of highest mean congestion."""
     return ci_mean_all_intervals(spark, sf).orderBy(F.desc("ci"), "edge_id").limit(n)
+
+
+from roadlake.plans import network_queries  # noqa: E402, F401
