@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder that isn't there yet, in the shared one; the ``scope`` deletes it too."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _kept.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once as Parquet to the shared folder and read back.
 
@@ -40,9 +47,8 @@ def written(df: DataFrame) -> DataFrame:
     ``drop_written`` or the end of the ``scope`` in which they were written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadlake.operators.records import draw
+
 
 def pareto_front(rows: DataFrame, first: str, second: str) -> DataFrame:
     """Rows that no other dominates in two objectives to minimise.
@@ -54,10 +56,33 @@ def uniform_flow(spark: SparkSession, start: int, end: int, count: int) -> DataF
 
 
 def random_flow(spark: SparkSession, start: int, end: int, period: int, low: int, high: int, seed: int) -> DataFrame:
-    """(vehicle_id, depart): in each period a random number of vehicles at random times."""
-    periods = spark.range((end - start) // period).withColumn("n", (low + F.floor(F.rand(seed) * (high - low + 1))).cast("int"))
-    rows = periods.where("n > 0").select("id", F.explode(F.sequence(F.lit(1), "n")).alias("k"))
-    return rows.select(F.concat_ws("-", "id", "k").alias("vehicle_id"), (start + F.col("id") * period + F.rand(seed + 1) * period).alias("depart"))
+    """(vehicle_id, depart): in each period a random number of vehicles at random times, in whole hundredths of a second.
+
+    Numbers are drawn from the seed, the period and the vehicle's place in it, so they are the same
+    on any cluster.
+    """
+    periods = spark.range((end - start) // period).withColumn("n", low + draw(seed, F.col("id")) % (high - low + 1))
+    rows = periods.where("n > 0").select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("k"))
+    depart = (start + F.col("id") * period) * 100 + draw(seed + 1, F.col("id"), F.col("k")) % (period * 100)
+    return rows.select(F.concat_ws("-", "id", "k").alias("vehicle_id"), depart.alias("depart"))
+
+
+#: Traffic of each third of an exponential flow, by least and most vehicles a period.
+LEVELS = {"light": (1, 4), "medium": (5, 9), "heavy": (10, 20), "congested": (25, 40)}
+
+
+def exponential_flow(spark: SparkSession, start: int, end: int, period: int, seed: int) -> DataFrame:
+    """(phase, vehicle_id, depart): thirds of light, medium and heavy traffic; a drawn tenth of the periods goes one level up."""
+    third = (end - start) // 3
+    names = list(LEVELS)
+    out = None
+    for k in range(3):
+        flows = [random_flow(spark, start + k * third, start + (k + 1) * third, period, *LEVELS[names[k + up]], seed + 2 * k + up) for up in (0, 1)]
+        rises = draw(seed, F.split("vehicle_id", "-")[0].cast("bigint"), F.lit(k)) % 10 == 0
+        for up, flow in enumerate(flows):
+            part = flow.where(rises if up else ~rises).select(F.lit(names[k + up]).alias("phase"), F.concat_ws("-", F.lit(str(k)), "vehicle_id").alias("vehicle_id"), "depart")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def unpivoted(matrix: DataFrame, key: str) -> DataFrame:

@@ -657,7 +657,22 @@ def uniform_flow(spark, sf):
     return selection.uniform_flow(spark, 25200, 28800, 1000)
 
 
-@query()
+def drawn(seed: str, *keys: str) -> str:
+    """``records.draw`` in SQL."""
+    value = seed
+    for factor, key in zip((48271, 69621, 16807), keys, strict=False):
+        value = f"(({value}) * {factor} + ({key}) * 7919 + 12345) % 2147483647"
+    return f"(({value}) * 48271) % 2147483647"
+
+
+FLOW = """(select p || '-' || k as vehicle_id, ({start} + p * {period}) * 100 + {second} % ({period} * 100) as depart, p from (select p, unnest(range(1, {low} + {number} % ({high} - {low} + 1) + 1)) as k from range({n}) t(p)))"""
+
+
+def flow_sql(start: int, end: int, period: int, low: int, high: int, seed: int) -> str:
+    return FLOW.format(start=start, period=period, low=low, high=high, n=(end - start) // period, number=drawn(str(seed), "p"), second=drawn(str(seed + 1), "p", "k"))
+
+
+@query(f"select vehicle_id, depart::bigint as depart from {flow_sql(25200, 32400, 300, 5, 15, 11)}")
 def random_flow(spark, sf):
     return selection.random_flow(spark, 25200, 32400, 300, 5, 15, 11)
 
@@ -816,10 +831,18 @@ def ordered_lookup(spark, sf):
     return asked.join(v.edge(spark, sf).select("edge_id", "fj", "tj"), "edge_id", "left").select("pos", "edge_id", "fj", "tj").fillna(-1)
 
 
-@query()
+def _exponential() -> str:
+    names, parts = list(selection.LEVELS), []
+    for k in range(3):
+        for up in (0, 1):
+            rises = f"{drawn('20', 'p', str(k))} % 10 {'=' if up else '<>'} 0"
+            parts.append(f"select '{names[k + up]}' as phase, '{k}-' || vehicle_id as vehicle_id, depart::bigint as depart from {flow_sql(k * 3600, (k + 1) * 3600, 300, *selection.LEVELS[names[k + up]], 20 + 2 * k + up)} where {rises}")
+    return " union all ".join(parts)
+
+
+@query(_exponential())
 def exponential_flow(spark, sf):
-    parts = [selection.random_flow(spark, k * 3600, (k + 1) * 3600, 300, low, high, 20 + k).select(F.lit(k).alias("phase"), "depart") for k, (low, high) in enumerate([(1, 4), (5, 9), (10, 20)])]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return selection.exponential_flow(spark, 0, 10800, 300, 20)
 
 
 @query(""", keys as (select edge_id as first_edge, edge_id + 9 as last_edge from v_edge),
@@ -839,4 +862,4 @@ def top_congested(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
     return ci_mean_all_intervals(spark, sf).orderBy(F.desc("ci"), "edge_id").limit(n)
 
 
-from roadlake.plans import network_queries  # noqa: E402, F401
+from roadlake.plans import network_queries, table_queries  # noqa: E402, F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 JUNCTION = "_id string, _type string, _x double, _y double"
@@ -120,3 +120,47 @@ def weight_matrix(spark: SparkSession, path: str) -> DataFrame:
     header = parts.where("line = 0").select(F.posexplode("p").alias("k", "origin"))
     rows = parts.where("line > 0").select(F.get("p", F.lit(0)).alias("destination"), F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("k", "weight"))
     return rows.join(header, "k").select("origin", "destination", F.col("weight").cast("bigint").alias("weight"))
+
+
+CONFIGURATION = "input struct<`net-file`:struct<_value:string>,`additional-files`:struct<_value:string>,`route-files`:struct<_value:string>>, time struct<begin:struct<_value:double>,end:struct<_value:double>,`step-length`:struct<_value:double>>"
+
+
+def configurations(spark: SparkSession, path: str) -> DataFrame:
+    """(network, additional, routes_file, routes, begin, end, step) of each simulation configuration.
+
+    additional is the list of further files; routes is the first of them that holds routes; the
+    step is 1 where none is given.
+    """
+    found = elements(spark, path, "configuration", CONFIGURATION)
+    files = F.transform(F.filter(F.split(F.coalesce("input.additional-files._value", F.lit("")), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+    listed = found.select(
+        F.col("input.net-file._value").alias("network"),
+        files.alias("additional"),
+        F.col("input.route-files._value").alias("routes_file"),
+        F.col("time.begin._value").alias("begin"),
+        F.col("time.end._value").alias("end"),
+        F.coalesce("time.step-length._value", F.lit(1.0)).alias("step"),
+    )
+    return listed.withColumn("routes", F.get(F.filter("additional", lambda x: x.endswith(".rou.xml")), F.lit(0)))
+
+
+def commands(spark: SparkSession, path: str) -> DataFrame:
+    """(name, arguments) of the lines of a command log."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parts = F.split("value", " ", 2)
+    return lines.select(F.get(parts, F.lit(0)).alias("name"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("arguments"))
+
+
+def argument_map(text: Column) -> Column:
+    """The map of ``key="value" key="value"``."""
+    return F.str_to_map(F.regexp_replace(text, '"', ""), F.lit(" "), F.lit("="))
+
+
+def documents(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """JSON documents, one a line or one a file; malformed ones are errors."""
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+
+
+def of_ids(found: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The elements whose id is in a set (id)."""
+    return found.join(ids.select(F.col("id").alias(column)).distinct(), column, "left_semi")

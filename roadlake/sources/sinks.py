@@ -30,3 +30,41 @@ def write_problems(facts: DataFrame, path: str) -> None:
 def write_report(rows: DataFrame, path: str) -> None:
     """A table as CSV with a header, in order of its first column."""
     rows.orderBy(rows.columns[0]).write.option("header", True).mode("errorifexists").csv(path)
+
+
+def write_elements(rows: DataFrame, path: str, root: str, tag: str) -> None:
+    """Rows as elements of a tag; columns that start with _ are attributes, structs and arrays of them elements within."""
+    rows.write.format("xml").option("rootTag", root).option("rowTag", tag).option("declaration", 'version="1.0" encoding="UTF-8"').mode("errorifexists").save(path)
+
+
+def write_network(edges: DataFrame, connections: DataFrame, junctions: DataFrame, path: str) -> None:
+    """edges, connections and junctions as elements in folders of ``path``; all lanes of an edge have its length and speed."""
+    lane = lambda k: F.struct(F.concat_ws("_", "edge_id", k.cast("string")).alias("_id"), F.col("length").alias("_length"), F.col("speed").alias("_speed"), F.lit("0,0 1,1").alias("_shape"))
+    lanes = F.transform(F.sequence(F.lit(0), F.col("lanes").cast("int") - 1), lane)
+    write_elements(edges.select(F.col("edge_id").alias("_id"), F.col("fj").alias("_from"), F.col("tj").alias("_to"), F.col("etype").alias("_type"), lanes.alias("lane")), f"{path}/edges", "net", "edge")
+    write_elements(connections.select(F.col("from_edge").alias("_from"), F.col("to_edge").alias("_to")), f"{path}/connections", "net", "connection")
+    write_elements(junctions.select(F.col("junction").alias("_id"), F.col("kind").alias("_type"), F.col("x").alias("_x"), F.col("y").alias("_y")), f"{path}/junctions", "net", "junction")
+
+
+def write_configuration(rows: DataFrame, path: str) -> None:
+    """(network, additional, begin, end) as simulation configurations."""
+    value = lambda c: F.struct(F.col(c).cast("string").alias("_value"))
+    inside = rows.select(F.struct(value("network").alias("net-file"), value("additional").alias("additional-files")).alias("input"), F.struct(value("begin").alias("begin"), value("end").alias("end")).alias("time"))
+    write_elements(inside, path, "configurations", "configuration")
+
+
+def write_scenario(vehicles: DataFrame, lists: DataFrame, configuration: DataFrame, path: str) -> None:
+    """Routes, vehicles and the configuration of a scenario in folders of ``path``."""
+    write_routes(lists, f"{path}/routes")
+    write_vehicles(vehicles, f"{path}/vehicles")
+    write_configuration(configuration, f"{path}/configuration")
+
+
+def write_documents(rows: DataFrame, path: str) -> None:
+    """Rows as JSON documents, one a line."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """A column of text as lines."""
+    rows.write.mode("errorifexists").text(path)

@@ -191,7 +191,7 @@ def test_tag_conditions(spark):
 def test_flows(spark):
     assert [r["depart"] for r in selection.uniform_flow(spark, 0, 10, 5).orderBy("vehicle_id").collect()] == [0, 250, 500, 750, 1000]
     got = selection.random_flow(spark, 0, 3000, 300, 2, 4, 1)
-    sizes = got.groupBy(F.floor(F.col("depart") / 300)).count().collect()
+    sizes = got.groupBy(F.floor(F.col("depart") / 30000)).count().collect()
     assert len(sizes) == 10 and all(2 <= r["count"] <= 4 for r in sizes)
 
 
