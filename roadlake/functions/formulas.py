@@ -33,10 +33,6 @@ def penalised_cost(cost: Column, factor: int) -> Column:
     return (cost * factor).cast("bigint")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-
-
 def distance(dx: Column, dy: Column) -> Column:
     return F.bround(F.sqrt(dx * dx + dy * dy), 3)
 

@@ -8,34 +8,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Points that may attract all others at once; more are refused.
-MAX_POINTS = 100_000
+from roadlake.functions.storage import drop_written, written
 
+#: Places that go to all tasks at once; more go in as many passes.
+BLOCK_PLACES = 50_000
+#: Points of a zone that one task can merge in order.
+MAX_POINTS = 5_000
 
-def moved(points: DataFrame) -> DataFrame:
+
+def moved(points: DataFrame, block: int = BLOCK_PLACES) -> DataFrame:
     """(id, dx, dy): the pull of all other points, in thousandths and truncated.
 
-    Each pair pulls with weight over squared distance, 1 for coincident points. Points of one
-    cell of the plane (same place) are summed first; the distinct places are at most
-    ``MAX_POINTS``, are checked to be, and go to every task.
+    Each pair pulls with weight over squared distance, 1 for coincident points. Points at the same
+    place are summed first. The places are written and sent in blocks of about ``block``, one
+    at a time; each pass over the points adds up one block's pull, and the passes' sums are
+    added by id.
     """
-    places = points.groupBy("x", "y").agg(F.sum("w").alias("w")).limit(MAX_POINTS + 1).collect()
-    if len(places) > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} places")
-    sent = points.sparkSession.sparkContext.broadcast(np.array([(p["x"], p["y"], p["w"]) for p in places], np.int64).reshape(-1, 3))
-
-    def pull(batches):
-        px, py, pw = sent.value.T
-        for batch in batches:
-            out = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                dx, dy = px - x, py - y
-                d2 = np.maximum(dx * dx + dy * dy, 1)
-                scale = lambda v: int((np.sign(v) * (np.abs(v) * pw * 1000 // d2)).sum())
-                out.append((scale(dx), scale(dy)))
-            yield pd.DataFrame({"id": batch["id"], "dx": [a for a, _ in out], "dy": [b for _, b in out]})
-
-    return points.select("id", "x", "y").mapInPandas(pull, "id bigint, dx bigint, dy bigint")
+    spark = points.sparkSession
+    places = written(points.groupBy("x", "y").agg(F.sum("w").alias("w")))
+    blocks = max(1, -(-places.count() // block))
+    placed = places.withColumn("b", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)))
+    parts = None
+    for k in range(blocks):
+        sent = spark.sparkContext.broadcast(placed.where(F.col("b") == k).select("x", "y", "w").toPandas().to_numpy(np.int64).reshape(-1, 3))
+
+        def pull(batches, sent=sent):
+            px, py, pw = sent.value.T
+            for batch in batches:
+                for at in range(0, len(batch), 64):
+                    some = batch.iloc[at : at + 64]
+                    dx, dy = px[None, :] - some["x"].to_numpy()[:, None], py[None, :] - some["y"].to_numpy()[:, None]
+                    d2 = np.maximum(dx * dx + dy * dy, 1)
+                    scale = lambda v: (np.sign(v) * (np.abs(v) * pw * 1000 // d2)).sum(1)  # noqa: B023, E731
+                    yield pd.DataFrame({"id": some["id"], "dx": scale(dx), "dy": scale(dy)})
+
+        part = points.select("id", "x", "y").mapInPandas(pull, "id bigint, dx bigint, dy bigint")
+        if blocks > 1:
+            part = written(part)
+            sent.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("id").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy")) if blocks > 1 else parts
 
 
 def mutual_neighbours(points: DataFrame, radius: int) -> DataFrame:
@@ -72,8 +84,6 @@ def grid_clusters(points: DataFrame, radius: int, rounds: int | None = None) ->
     Each round first makes one point of all at the same place, then merges mutual pairs. The
     lowest id of those at the least distance is in such a pair, so that rounds end.
     """
-    from roadlake.functions.storage import drop_written, written
-
     now = written(points.select("id", "x", "y", "w"))
     member = written(points.select("id", F.col("id").alias("leader")))
     done = 0
@@ -116,7 +126,7 @@ def sequential_clusters(points: DataFrame, radius: float, iterations: int, group
             at = at + np.round((d * (weight[None, :] / np.maximum(d2, 1e-12))[:, :, None]).sum(1), 5)
             k = 0
             while k < len(ids):
-                near = np.flatnonzero(((at - at[k]) ** 2).sum(1) <= radius * radius)
+                near = np.flatnonzero(((at - at[k]) ** 2).sum(1) < radius * radius)
                 if len(near) < 2:
                     k += 1
                     continue

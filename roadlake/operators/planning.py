@@ -63,13 +63,6 @@ def road_facts(edges: DataFrame, roads_: DataFrame, keys: tuple[str, ...] = ())
     return joined.select(*keys, F.explode(F.concat(own, levels)).alias("fact"))
 
 
-def vehicle_facts(vehicles: DataFrame) -> DataFrame:
-    """(fact) lines of vehicles: at its first junction, to go, and its last junction as the goal."""
-    v = F.concat(F.lit("v"), F.col("vehicle_id").cast("string"))
-    j = lambda c: F.concat(F.lit("j"), F.col(c).cast("string"))
-    return vehicles.select(F.explode(F.array(fact("at", v, j("first")), fact("togo", v, j("last")), fact("at-goal", v, j("last")))).alias("fact"))
-
-
 def allowed_facts(route: DataFrame) -> DataFrame:
     pairs = route.select("route_id", "edge_id").distinct()
     return pairs.select(fact("allowed", F.concat(F.lit("v"), F.col("route_id").cast("string")), F.concat(F.lit("r"), F.col("edge_id").cast("string"))).alias("fact"))

@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 
 
 def with_routes(vehicles: DataFrame, lists: DataFrame) -> DataFrame:
-    """Vehicles with the edges of their route; those without one go (see ``lost``)."""
+    """Vehicles with the edges of their route; those without one go."""
     return vehicles.join(lists.select("route_id", "edges"), "route_id")
 
 
-def lost(vehicles: DataFrame, lists: DataFrame) -> DataFrame:
-    return vehicles.join(lists.select("route_id"), "route_id", "left_anti")
-
-
 def merged(scenarios: list[DataFrame]) -> DataFrame:
     """All vehicles of some scenarios, (scenario, vehicle_id) as the key, with depart and edges."""
     parts = [s.select(F.lit(k).cast("bigint").alias("scenario"), "vehicle_id", "depart", "edges") for k, s in enumerate(scenarios)]

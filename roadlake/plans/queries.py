@@ -497,7 +497,7 @@ def gravity_grid_clusters(spark, sf):
 
 @query()
 def gravity_clusters(spark, sf):
-    return gravity.sequential_clusters(v.point(spark, sf).withColumn("zone", F.col("w") % 5), 25.0, 10)
+    return gravity.sequential_clusters(v.point(spark, sf).withColumn("zone", F.floor(F.col("x") / 100) * 1000000 + F.floor(F.col("y") / 100)), 25.0, 200)
 
 
 BORDERS = """, lab as (select edge_id, edge_id % 12 as leader from v_edge), x as (select c.*, a.leader as la, b.leader as lb from v_connection c join lab a on a.edge_id = from_edge join lab b on b.edge_id = to_edge where a.leader <> b.leader) """
@@ -700,9 +700,9 @@ def tag_count(spark, sf):
     return selection.tag_counts(_objects(spark, sf))
 
 
-@query("select edge_id as id, fj from v_edge where edge_id in (select edge_id from v_route where route_id % 10 = 0)")
+@query("select edge_id as id, fj from v_edge where edge_id in (select edge_id from v_route where route_id in (select route_id from v_route group by 1 having count(*) >= 6))")
 def dependency_closure(spark, sf):
-    ways = sequences.as_lists(v.route(spark, sf)).where("route_id % 10 = 0").withColumnRenamed("edges", "refs")
+    ways = sequences.as_lists(v.route(spark, sf)).where("size(edges) >= 6").withColumnRenamed("edges", "refs")
     return selection.needed_nodes(ways, v.edge(spark, sf).select(F.col("edge_id").alias("id"), "fj"))
 
 
@@ -726,7 +726,7 @@ def ema_travel_time(spark, sf):
 
 @query("select (floor(epoch(ts))::bigint // 900 * 900)::bigint as begin, user_id as edge_id, count(*) as n, sum(trunc(value * 1000)::bigint)::bigint as milli from events group by all")
 def stream_congestion(spark, sf):
-    stream = online.congestion_windows(online.event_stream(spark, f"{sf}/event[s].parquet"))
+    stream = online.congestion_windows(online.event_stream(spark, f"{sf}/event[s].parquet"), None)
     last = online.drained(stream, "update").groupBy("begin", "edge_id").agg(F.max_by(F.struct("n", "milli"), "batch").alias("v"))
     return last.select("begin", "edge_id", "v.n", "v.milli")
 
@@ -776,7 +776,8 @@ def rings(spark, sf):
     return graph.rings(v.edge(spark, sf), 3)
 
 
-@query(RING + "select ring as name, true as valid from ring3 union all select 'broken ' || ring, false from ring3")
+@query(RING + """, rows as (select ring as name, unnest([x, y, z]) as edge_id from ring3 union all select 'broken ' || ring, unnest([x, y]) from ring3)
+select name, count(distinct fj) = count(*) and count(distinct tj) = count(*) and list_sort(list(fj)) = list_sort(list(tj)) as valid from rows join v_edge using (edge_id) group by 1""")
 def ring_validity(spark, sf):
     edges = v.edge(spark, sf)
     found = written(graph.rings(edges, 3))

@@ -336,3 +336,13 @@ def map_file(spark, sf):
     rows = _tagged(spark, sf).where(selection.tag_condition("highway!=view")).select(F.col("id").alias("_id"), F.lit(1.5).alias("_lat"), F.lit(2.5).alias("_lon"), F.array(tag("highway"), tag("lanes")).alias("tag"))
     sinks.write_elements(rows, path, "osm", "node")
     return network.tagged(spark, path, "node").select("id", F.col("tags")["highway"].alias("highway"), F.col("tags")["lanes"].alias("lanes"))
+
+
+@query(""", net as (select edge_id, round_even(length / speed, 3)::double as free from v_edge), cells as (select begin, edge_id, sum(trunc(traveltime * 1000)::bigint)::double / count(traveltime) / 1000 as t from v_dump group by all)
+select begin, edge_id, case when t > free then round_even((1 - free / t) * 1000, 0)::bigint else 0 end as ci_milli from cells join net using (edge_id)""")
+def congestion_from_network(spark, sf):
+    """Measurements joined with the network that they were taken on; those of unknown edges are left out."""
+    edges = v.edge(spark, sf).select("edge_id", fm.free_flow_time(F.col("length"), F.col("speed")).alias("free_flow"))
+    cells = congestion.per_interval(v.dump(spark, sf).drop("free_flow").join(edges, "edge_id"))
+    index = F.when(F.col("traveltime") > F.col("free_flow"), F.bround((1 - F.col("free_flow") / F.col("traveltime")) * 1000).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return cells.join(edges, "edge_id").select("begin", "edge_id", index.alias("ci_milli"))

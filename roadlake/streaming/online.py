@@ -26,9 +26,13 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def congestion_windows(events: DataFrame, delay: str = "1 hour", width: str = "15 minutes") -> DataFrame:
-    """(begin, edge_id, n, milli): measurements by edge and event-time window; later ones than ``delay`` are lost."""
-    timed = events.withWatermark("ts", delay)
+def congestion_windows(events: DataFrame, delay: str | None = "1 hour", width: str = "15 minutes") -> DataFrame:
+    """(begin, edge_id, n, milli): measurements by edge and event-time window.
+
+    Those that come later than ``delay`` are lost. Without a delay, as for the replay of a bounded
+    history, nothing is lost in whatever order files are read, and all windows are kept as state.
+    """
+    timed = events.withWatermark("ts", delay) if delay else events
     sums = timed.groupBy(F.window("ts", width).alias("w"), F.col("user_id").alias("edge_id")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") * 1000).cast("bigint")).alias("milli"))
     return sums.select(F.unix_timestamp("w.start").alias("begin"), "edge_id", "n", "milli")
 

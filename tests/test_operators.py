@@ -207,3 +207,51 @@ def test_written_tables_can_be_dropped(spark):
     drop_written(df)
     with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
         df.count()
+
+
+def test_chains_of_any_length(spark):
+    """A road of 200 edges between two junctions where it ends."""
+    road = spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(200)] + [(500, 0, 900, 1.0), (501, 901, 0, 1.0), (502, 200, 902, 1.0), (503, 903, 200, 1.0)], "edge_id bigint, fj bigint, tj bigint, length double")
+    chains = {(r["fj"], r["tj"]): r["n_edges"] for r in graph.contracted(road, graph.removable(road)).collect()}
+    assert chains[(0, 200)] == 200
+
+
+def test_moves_in_blocks_are_those_of_all(spark):
+    rnd = random.Random(4)
+    points = spark.createDataFrame([(k, rnd.randint(0, 50), rnd.randint(0, 50), rnd.randint(1, 5)) for k in range(300)], "id bigint, x bigint, y bigint, w bigint")
+    assert rows(gravity.moved(points, 40)) == rows(gravity.moved(points))
+
+
+def test_best_ways_are_the_shortest_loop_free_ones(spark):
+    from roadlake.operators import paths
+
+    rnd = random.Random(9)
+    net = [(k, rnd.randint(0, 5), rnd.randint(0, 5), float(rnd.randint(1, 9))) for k in range(12)]
+    edges = spark.createDataFrame(net, "edge_id bigint, fj bigint, tj bigint, length double")
+    turns = {(a[0], b[0]) for a in net for b in net if a[2] == b[1] and a[0] != b[0]}
+    keys = [(rnd.randrange(12), rnd.randrange(12)) for _ in range(5)]
+
+    def ways(at, last, seen):
+        if at == last:
+            yield sum(net[e][3] for e in seen)
+            return
+        for a, b in turns:
+            if a == at and b not in seen:
+                yield from ways(b, last, [*seen, b])
+
+    got = {}
+    for r in paths.best_ways(spark.createDataFrame(keys, "first_edge bigint, last_edge bigint"), edges, graph.connections(edges)).collect():
+        got[r["first_edge"], r["last_edge"]] = r["milli"]
+        steps = list(map(int, r["path"].split()))
+        assert all(p in turns for p in zip(steps, steps[1:]))
+    want = {k: min(ways(k[0], k[1], [k[0]]), default=None) for k in keys}
+    assert got == {k: int(x * 1000) for k, x in want.items() if x is not None}
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    one = selection.random_flow(spark, 0, 3000, 300, 2, 4, 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert rows(one.repartition(7)) == rows(selection.random_flow(spark, 0, 3000, 300, 2, 4, 1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

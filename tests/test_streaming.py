@@ -38,3 +38,16 @@ def test_vehicles_arrive_or_fall_silent(spark, folder):
     assert {r["state"] for r in got} <= {"departed", "queued", "planned", "arrived", "silent"}
     assert {r["vehicle_id"] for r in got} == {0, 1, 2, 3}
     assert any(r["state"] == "arrived" for r in got)
+
+
+def test_files_out_of_order_lose_nothing(spark, tmp_path):
+    import datetime
+
+    from roadlake.streaming import online
+
+    base = datetime.datetime(2024, 1, 10)
+    for k, hours in enumerate((48, 0, 24)):
+        rows = [(k * 10 + j, base + datetime.timedelta(hours=hours, minutes=j), 1, "view", 1.0, "{}") for j in range(5)]
+        spark.createDataFrame(rows, online.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = online.drained(online.congestion_windows(online.event_stream(spark, str(tmp_path / "in")), None), "update")
+    assert sum(r["n"] for r in got.collect()) == 15
