@@ -15,13 +15,15 @@ def best_ways(keys: DataFrame, edges: DataFrame, connections: DataFrame, k: int
     A frontier of ways grows by one allowed turn a round. Of the ways of a pair that end on one
     edge only the k shortest go on, and none that is longer than ``stretch`` times the k-th way
     found for its pair; rounds end when no way is left. Each distinct pair is sought once, and
-    each round is joins and aggregates over a written table. Pairs without a way have no row.
+    each round is joins and aggregates over a written table. Pairs without a way have no row; for
+    them all that the first edge reaches is searched.
     """
     sized = edges.select(F.col("edge_id").alias("next"), F.floor(F.col("length") * 1000).alias("m"))
     turns = connections.select(F.col("from_edge").alias("at"), F.col("to_edge").alias("next")).join(sized, "next")
     pair, state = ("first_edge", "last_edge"), W.partitionBy("first_edge", "last_edge", "at").orderBy("milli", "path")
     first = sized.withColumnsRenamed({"next": "first_edge", "m": "milli"})
-    start = keys.select(*pair).distinct().join(first, "first_edge")
+    known = edges.select(F.col("edge_id").alias("last_edge"))
+    start = keys.select(*pair).distinct().join(first, "first_edge").join(known, "last_edge", "left_semi")
     front = written(start.select(*pair, F.col("first_edge").alias("at"), "milli", F.array("first_edge").alias("path")))
     best = front
     while True:
