@@ -16,12 +16,25 @@ def edge_sets(route: DataFrame) -> DataFrame:
     return distinct.join(distinct.groupBy("route_id").agg(F.count(F.lit(1)).alias("n")), "route_id")
 
 
+def equal_sets(route: DataFrame) -> DataFrame:
+    """(id, root): each route, and the lowest of the routes of the same set of edges."""
+    sets = route.groupBy(F.col("route_id").alias("id")).agg(F.array_sort(F.collect_set("edge_id")).alias("edges"))
+    roots = sets.groupBy("edges").agg(F.min("id").alias("root"))
+    return sets.join(roots, "edges").select("id", "root")
+
+
+def copies(equal: DataFrame) -> DataFrame:
+    """(id, n): each root, and how many routes have its set."""
+    return equal.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def jaccard_at_least(route: DataFrame, least: float) -> DataFrame:
     """(a, b, shared, total) of all route pairs a < b of Jaccard similarity ``least`` or more.
 
     Two such routes share one of the rarest edges of each: a route of n edges is listed only
     under its n - ceil(least * n) + 1 rarest. So an edge that every route uses lists no pairs,
-    unless routes have no other. Candidates are counted over whole sets.
+    unless routes have no other. Candidates are counted over whole sets. Routes of equal sets are
+    each other's pairs, so give one route of each set (``equal_sets``) where copies are many.
     """
     if not 0 < least <= 1:
         raise ValueError("least is above 0 and at most 1")
@@ -44,11 +57,13 @@ def density_clusters(ids: DataFrame, close: DataFrame, min_samples: int) -> Data
     """(id, label): density clusters over a table of close pairs (a, b); label is the least core id, -1 noise.
 
     A core has ``min_samples`` close points, itself included. Clusters are components of
-    cores; another point goes to the lowest label of its close cores.
+    cores; another point goes to the lowest label of its close cores. Where ``ids`` has a column
+    n, a point stands for so many at the same place.
     """
+    ids = ids.select("id", F.col("n") if "n" in ids.columns else F.lit(1).alias("n"))
     both = close.select("a", "b").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    counts = both.groupBy(F.col("a").alias("id")).agg((F.count(F.lit(1)) + 1).alias("n"))
-    cores = written(ids.select("id").join(counts, "id", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("id"))
+    counts = both.join(ids.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("near"))
+    cores = written(ids.join(counts, "id", "left").where(F.col("n") + F.coalesce("near", F.lit(0)) >= min_samples).select("id"))
     among = both.join(cores.select(F.col("id").alias("a")), "a", "left_semi").join(cores.select(F.col("id").alias("b")), "b", "left_semi")
     roots = connected_components(among).withColumnRenamed("node", "id")
     labels = cores.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
@@ -67,10 +82,15 @@ def round_robin(clustered: DataFrame, k: int) -> DataFrame:
 
 
 def average_similarity(clustered: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, label, inside, outside): sums of similarities, in millionths, to routes of the own and of other clusters."""
+    """(id, label, inside, outside): sums of similarities, in millionths, to routes of the own and of other clusters.
+
+    ``clustered`` has id, label and n, the number of routes of that set; its copies count as inside.
+    """
     sim = F.floor(F.col("shared") * 1_000_000 / F.col("total"))
     both = pairs.select("a", "b", sim.alias("s")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), sim.alias("s")))
     a = clustered.select(F.col("id").alias("a"), F.col("label").alias("la"))
-    b = clustered.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    sums = both.join(a, "a").join(b, "b").groupBy("a").agg(F.sum(F.when(F.col("la") == F.col("lb"), F.col("s")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("la") != F.col("lb"), F.col("s")).otherwise(0)).alias("outside"))
-    return clustered.select("id", "label").join(sums.withColumnRenamed("a", "id"), "id", "left").fillna(0, ["inside", "outside"])
+    b = clustered.select(F.col("id").alias("b"), F.col("label").alias("lb"), "n")
+    part = lambda own: F.sum(F.when(own, F.col("s") * F.col("n")).otherwise(0))
+    sums = both.join(a, "a").join(b, "b").groupBy(F.col("a").alias("id")).agg(part(F.col("la") == F.col("lb")).alias("inside"), part(F.col("la") != F.col("lb")).alias("outside"))
+    found = clustered.join(sums, "id", "left").fillna(0, ["inside", "outside"])
+    return found.select("id", "label", (F.col("inside") + (F.col("n") - 1) * 1_000_000).alias("inside"), "outside")

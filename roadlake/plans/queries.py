@@ -419,20 +419,36 @@ def _long_routes(spark, sf):
     return r.join(enough, "route_id", "left_semi")
 
 
-def _close(spark, sf):
-    return similarity.jaccard_at_least(_long_routes(spark, sf), 1 - EPS)
+def _equal(spark, sf):
+    """Long routes with their set's lowest route, the routes that are such, and the number of copies of each."""
+    long = _long_routes(spark, sf)
+    equal = written(similarity.equal_sets(long))
+    return equal, long.join(equal.where("id = root").select(F.col("id").alias("route_id")), "route_id", "left_semi"), similarity.copies(equal)
 
 
-@query(SETS + ", c as (select a, b, shared, na + nb - shared as total from shared) select a, b, shared, total from c where shared >= total * 0.25 - 1e-9")
+EQUAL = SETS + ", equal as (select route_id as id, min(route_id) over (partition by list_sort(s)) as root from sets), copies as (select root as id, count(*) as n from equal group by 1)"
+
+
+@query(EQUAL + "select id, root from equal")
+def equal_routes(spark, sf):
+    return similarity.equal_sets(_long_routes(spark, sf))
+
+
+@query(EQUAL + ", c as (select a, b, shared, na + nb - shared as total from shared) select a, b, x.n as copies_a, y.n as copies_b, shared, total from c join copies x on x.id = a join copies y on y.id = b where shared >= total * 0.25 - 1e-9")
 def route_jaccard(spark, sf):
-    return similarity.jaccard_at_least(_long_routes(spark, sf), 0.25)
+    _, roots, copies = _equal(spark, sf)
+    of = lambda side: copies.select(F.col("id").alias(side), F.col("n").alias(f"copies_{side}"))
+    return similarity.jaccard_at_least(roots, 0.25).join(of("a"), "a").join(of("b"), "b")
 
 
 @query(CLOSE + ", twofold as (select a, b from close union all select b, a from close) select a as id, count(*) + 1 as n from twofold group by 1 having count(*) + 1 >= 2")
 def dbscan_core_points(spark, sf):
-    pairs = _close(spark, sf)
+    equal, roots, copies = _equal(spark, sf)
+    pairs = written(similarity.jaccard_at_least(roots, 1 - EPS))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.groupBy(F.col("a").alias("id")).agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= MIN_SAMPLES)
+    near = both.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("root")).agg(F.sum("n").alias("near"))
+    all_ = copies.withColumnRenamed("id", "root").join(near, "root", "left").select("root", (F.col("n") + F.coalesce("near", F.lit(0))).alias("n"))
+    return equal.join(all_.where(F.col("n") >= MIN_SAMPLES), "root").select("id", "n")
 
 
 LABELS = CLOSE + """, twofold as (select a, b from close union select b, a from close), reach(a, b) as (select a, b from twofold union select r.a, t.b from reach r join twofold t on r.b = t.a),
@@ -441,9 +457,16 @@ lab as (select id, case when id in (select a from twofold) then label else -1 en
 
 
 def _labels(spark, sf):
-    pairs = written(_close(spark, sf))
-    ids = _long_routes(spark, sf).select(F.col("route_id").alias("id")).distinct()
-    return similarity.density_clusters(ids, pairs, MIN_SAMPLES), pairs
+    """Labels of all long routes; labels and copies of those that stand for equal ones; their close pairs; who is equal to whom."""
+    equal, roots, copies = _equal(spark, sf)
+    pairs = written(similarity.jaccard_at_least(roots, 1 - EPS))
+    of_roots = written(similarity.density_clusters(copies, pairs, MIN_SAMPLES).join(copies, "id"))
+    return _of_all(equal, of_roots.select("id", "label")), of_roots, pairs, equal
+
+
+def _of_all(equal, of_roots):
+    """``of_roots`` for each of the routes that have the same set."""
+    return equal.join(of_roots.withColumnRenamed("id", "root"), "root").drop("root")
 
 
 @query(LABELS + "select * from lab")
@@ -459,7 +482,7 @@ def cluster_size_filter(spark, sf):
 @query(LABELS + """, x as (select id, label, len(s) as score from lab join sets on route_id = id where label >= 0), r as (select *, row_number() over (partition by label order by score, id) as rank from x)
 select id, label, score, rank from r order by rank, label limit 15""")
 def pick_best_routes(spark, sf):
-    labels, _ = _labels(spark, sf)
+    labels = _labels(spark, sf)[0]
     sizes = v.route(spark, sf).groupBy(F.col("route_id").alias("id")).agg(F.count_distinct("edge_id").alias("score"))
     return similarity.round_robin(labels.where("label >= 0").join(sizes, "id").select("id", "label", "score"), 15)
 
@@ -471,7 +494,8 @@ select id, label, coalesce(inside, 0) as inside, coalesce(outside, 0) as outside
 
 @query(AVERAGE)
 def cluster_avg_similarity(spark, sf):
-    return similarity.average_similarity(*_labels(spark, sf))
+    _, of_roots, pairs, equal = _labels(spark, sf)
+    return _of_all(equal, similarity.average_similarity(of_roots, pairs))
 
 
 @query("""select p.id, sum(case when q.x >= p.x then 1 else -1 end * (abs(q.x - p.x) * q.w * 1000 // greatest((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y), 1)))::bigint as dx,

@@ -55,8 +55,8 @@ def route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The routes of a second scenario, in which every tenth position has another edge."""
-    other = F.when(F.col("mark") == 0, F.col("edge_id") * 7 % 200).otherwise(F.col("edge_id"))
+    """The routes of a second scenario, in which every tenth position has another edge of the same block."""
+    other = F.when(F.col("mark") == 0, F.floor(F.col("edge_id") / 9) * 9 + (F.col("edge_id") + 4) % 9).otherwise(F.col("edge_id"))
     return route(spark, sf_dir).withColumn("edge_id", other)
 
 
@@ -98,7 +98,7 @@ v_connection as (select e1.edge_id as from_edge, e2.edge_id as to_edge from v_ed
 v_route as (
   select l_orderkey as route_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as pos,
     l_partkey as edge_id, l_suppkey % 10 as mark from lineitem),
-v_planned as (select route_id, pos, case when mark = 0 then edge_id * 7 % 200 else edge_id end as edge_id, mark from v_route),
+v_planned as (select route_id, pos, case when mark = 0 then edge_id // 9 * 9 + (edge_id + 4) % 9 else edge_id end as edge_id, mark from v_route),
 v_vehicle as (select o_orderkey as vehicle_id, o_orderkey as route_id, epoch(o_orderdate)::bigint as depart, o_orderpriority as vtype from orders),
 v_dump as (
   select event_id, (floor(epoch(ts))::bigint // 900 * 900) as begin, user_id as edge_id, value as traveltime, (5 + user_id % 7)::double as free_flow from events),

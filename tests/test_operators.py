@@ -121,6 +121,21 @@ def test_jaccard_same_as_all_pairs(spark):
         assert rows(similarity.jaccard_at_least(routes(spark, **sets), least)) == want
 
 
+def test_equal_sets_stand_for_their_copies(spark):
+    rnd = random.Random(3)
+    sets = {k: sorted(rnd.sample(range(8), 4)) for k in range(60)}
+    long = spark.createDataFrame([(r, p, e) for r, s in sets.items() for p, e in enumerate(s + s[:1])], "route_id bigint, pos bigint, edge_id bigint")
+    equal = similarity.equal_sets(long)
+    root = {r: min(o for o, t in sets.items() if t == s) for r, s in sets.items()}
+    assert dict(rows(equal, "id", "root")) == root
+    ids = spark.createDataFrame([(r,) for r in sets], "id bigint")
+    for least, samples in ((0.6, 2), (0.6, 9), (1.0, 3)):
+        every = similarity.density_clusters(ids, similarity.jaccard_at_least(long, least), samples)
+        close = similarity.jaccard_at_least(long.join(equal.where("id = root").select(F.col("id").alias("route_id")), "route_id", "left_semi"), least)
+        few = dict(rows(similarity.density_clusters(similarity.copies(equal), close, samples), "id", "label"))
+        assert {r: few[o] for r, o in root.items()} == dict(rows(every, "id", "label"))
+
+
 def test_density_clusters(spark):
     ids = spark.range(10).withColumn("id", F.col("id"))
     close = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6), (6, 7), (5, 7)], "a bigint, b bigint")
