@@ -136,6 +136,16 @@ def test_equal_sets_stand_for_their_copies(spark):
         assert {r: few[o] for r, o in root.items()} == dict(rows(every, "id", "label"))
 
 
+def test_average_similarity_counts_copies(spark):
+    sets = {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2, 4], 4: [1, 2, 3], 5: [1, 2, 4]}
+    label = {1: 1, 2: 1, 3: -1, 4: 1, 5: -1}
+    roots = spark.createDataFrame([(1, 1, 3), (3, -1, 2)], "id bigint, label bigint, n bigint")
+    pairs = spark.createDataFrame([(1, 3, 2, 4)], "a bigint, b bigint, shared bigint, total bigint")
+    alike = lambda x, y: len({*sets[x]} & {*sets[y]}) * 1_000_000 // len({*sets[x]} | {*sets[y]})
+    want = [(k, label[k], *(sum(alike(k, o) for o in sets if o != k and (label[o] == label[k]) == same) for same in (True, False))) for k in (1, 3)]
+    assert rows(similarity.average_similarity(roots, pairs), "id", "label", "inside", "outside") == want
+
+
 def test_density_clusters(spark):
     ids = spark.range(10).withColumn("id", F.col("id"))
     close = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6), (6, 7), (5, 7)], "a bigint, b bigint")
