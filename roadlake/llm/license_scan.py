@@ -14,7 +14,8 @@ from roadlake.functions.storage import written
 from roadlake.llm._batch import identity
 from roadlake.llm.licenses import TEMPLATES
 
-TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Possessive: it matches the same, and a long dotted term doesn't exhaust the matcher's stack.
+TERM = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 #: Weight of a term that no template has, each time it occurs.
 OTHER = 2.0
 #: Least cosine of a header or text to a template.

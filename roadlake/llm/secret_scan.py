@@ -20,8 +20,9 @@ WINDOW = 20
 #: Least entropy of a window in millionths of a bit a character, by class: digits and a-f or A-F
 #: with both digits and letters; letters and digits of mixed kinds; others with + / = _ or -.
 LIMITS = {"hex": 3_000_000, "alnum": 3_500_000, "token": 3_600_000}
-#: Suppressed: placeholders, dashed or underscored words, and plain words or numbers.
-ALLOWED = [r"(?i)example|sample|dummy|placeholder|changeme|redacted", r"^[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*$", r"^[0-9]+([-_/][0-9]+)*$", r"(.)\1{7,}"]
+#: Suppressed: placeholders, dashed or underscored words, and plain words or numbers. Repeated groups
+#: are possessive: they match the same, and a long candidate doesn't exhaust the matcher's stack.
+ALLOWED = [r"(?i)example|sample|dummy|placeholder|changeme|redacted", r"^[A-Za-z]++(?:[-_/=+][A-Za-z]++)*+[-_/=+]*+$", r"^[0-9]++(?:[-_/][0-9]++)*+$", r"(.)\1{7,}"]
 
 #: Marks a match in a text; the text's own marks become another character of no class.
 MARK, SUBSTITUTE = "\x01", "\x02"

@@ -256,3 +256,9 @@ def test_licence_rows(docs, rows, no_docs):
     assert got.count() == len(rows)
     assert {(r["own_license"], r["is_license_file"]) for r in got.collect() if r["own_license"]} == {("MIT", True), ("CC-BY-NC-4.0", False)}
     assert license_scan.scan(no_docs).count() == 0
+
+
+def test_terms_of_many_parts(spark):
+    texts = [(1, "12." * 350_000 + "1", "s", "en"), (2, "ab-" * 350_000 + "1\nReleased under the MIT License.", "s", "en")]
+    got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string, source string, lang string"))
+    assert {(r["doc_id"], r["own_license"]) for r in got.collect()} == {(1, None), (2, "MIT")}

@@ -107,3 +107,9 @@ def test_edited_copies_are_one_group(spark, folder, monkeypatch):
         monkeypatch.setattr(pipeline.near_copies, "SMALL_BUCKET", small)
         got = pipeline.near_duplicate_stage(spark, docs, folder)
         assert sorted(r["doc_id"] for r in got.collect()) == sorted({tops.index(t) for t in tops})
+
+
+def test_secret_stage_takes_long_terms_of_many_parts(spark, folder):
+    texts = ["ab-" * 350_000 + "1", "12." * 350_000 + "1"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"]: r["text"] for r in pipeline.secret_stage(spark, docs, folder).collect()} == dict(enumerate(texts))

@@ -84,3 +84,9 @@ def test_redaction_masks_runs_of_spans(docs):
 
 def test_empty_table(no_docs):
     assert scan_digests(no_docs).count() == 0
+
+
+def test_long_candidates_of_many_parts(spark):
+    texts = [(1, "ab-" * 350_000 + "1"), (2, "12-" * 350_000 + "34"), (3, "a=" * 500_000)]
+    got = {r["doc_id"]: r["spans"] for r in scan_digests(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "", 3: ""}
