@@ -117,3 +117,77 @@ select doc_id, path, own_license, score, is_file as is_license_file, coalesce(ow
 
 
 ORACLE["op10_license_scan"] = _licenses()
+
+
+def _rounds() -> str:
+    """Six rounds over all pairs of points and entries, then the last assignment."""
+    apart = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = []
+    for k in range(7):
+        steps.append(f"""given{k} as materialized (select rid, p, x, e, d from (select rid, t.p, x, e, {apart} as d from points t join book{k} b on t.p = b.p) qualify row_number() over (partition by rid, p order by d, e) = 1)""")
+        if k < 6:
+            steps.append(f"""sums{k} as (select p, e, i, sum(x[i]) as s, count(*) as n from (select p, e, x, unnest(range(1, len(x) + 1)) as i from given{k}) group by all),
+means{k} as (select p, e, list((s - ((s % n) + n) % n) // n order by i) as c from sums{k} group by p, e),
+book{k + 1} as materialized (select b.p, b.e, coalesce(m.c, b.c) as c from book{k} b left join means{k} m using (p, e))""")
+    return f"""with kept as materialized (select vec_id, label, row_number() over (order by vec_id) as rid, list_transform(embedding, lambda x: floor(4096 * x::double)::hugeint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+points as materialized (select rid, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] as x from kept, range(8) r(p)),
+book0 as materialized (select p, rid - 1 as e, x as c from points where rid <= 16),
+{", ".join(steps)},
+digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as h from book6),
+coded as (select rid, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from given6 group by rid),
+labelled as (select vec_id, label, code, error, sum(error) over (partition by label)::bigint as label_error from kept join coded using (rid))
+select vec_id, code, error, label_error, h as codebooks_sha256 from labelled, digest"""
+
+
+ORACLE["op11_vector_codes"] = _rounds()
+
+ORACLE["op12_source_audit"] = rf"""with docs as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+occ as materialized (select rid, lang, source, unnest(regexp_extract_all(translate(text, {LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as materialized (select lang, term from occ group by all having count(distinct rid) >= 3),
+sizes as (select lang, count(*) as v from kept group by lang),
+groups as (select distinct lang, source from docs),
+counted as materialized (select lang, source, term, count(*) as n from occ semi join kept using (lang, term) group by all),
+totals as (select g.lang, g.source, coalesce(sum(n), 0) as t from groups g left join counted c using (lang, source) group by all),
+dense as materialized (select t.lang, t.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (t.t + s.v)::hugeint as p
+  from totals t join kept k using (lang) join sizes s using (lang) left join counted c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+whole as (select lang, term, 1 + 1000000000::hugeint * (sum(n) + 1) // (any_value(a.t) + any_value(s.v))::hugeint as q from dense join (select lang, sum(t) as t from totals group by lang) a using (lang) join sizes s using (lang) group by lang, term),
+apart as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select d.lang, d.source, 'term' as part, d.term as item, ((p - q) * (p - q) // q)::bigint as value from dense d join whole w using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pairs union all select * from terms) qualify part = 'pair' or rank <= 200"""
+
+
+def _personal() -> str:
+    """The kinds one by one: matches between marks, their checks, and the words in the text around them."""
+    luhn = "list_sum(list_transform(range(1, length(d) + 1), lambda i: case when i % 2 = 1 then reverse(d)[i]::int else 2 * reverse(d)[i]::int - case when reverse(d)[i]::int > 4 then 9 else 0 end end)) % 10 = 0"
+    account = "list_reduce(list_prepend(0, list_transform(string_split(d[5:] || d[1:4], ''), lambda c: case when c between '0' and '9' then c::int else ascii(c) - 55 end)), lambda a, v: (case when v >= 10 then 100 * a else 10 * a end + v) % 97) = 1"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 90, 10, "mail|e-mail|email|contact|write"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as bigint), 0) > 255)) = 0", 50, 20, "ip|host|server|address"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length(d) between 13 and 19 and {luhn}", 80, 10, "card|visa|mastercard|credit|payment"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) between 9 and 15", 60, 20, "phone|tel|call|mobile|fax"),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b", account, 90, 10, "iban|account|bank|transfer"),
+        ("national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "m[1:3] not in ('000', '666') and m[1:3] < '900' and m[5:6] <> '00' and m[8:11] <> '0000'", 40, 30, "ssn|social security|national id|insurance"),
+        ("local_phone", r"\b[0-9]{2,4}[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}\b", "true", 40, 30, "phone|tel|call|mobile|fax"),
+    ]
+    parts, taken = [], []
+    for k, (kind, pattern, check, base, more, words) in enumerate(kinds):
+        digits = "replace(m, ' ', '')" if kind == "iban" else "regexp_replace(m, '[^0-9]', '', 'g')"
+        near = f"translate(substring(text, greatest(s - 40, 0) + 1, least(s, 40)) || chr(10) || substring(text, e + 1, 20), {LOWER})"
+        points = rf"greatest(0, least(100, {base} + case when regexp_matches(near, '\b(?:{words})\b') then {more} else 0 end - case when regexp_matches(near, '\b(?:version|order|invoice|isbn|part no|page)\b') then 20 else 0 end))"
+        added = k >= 4
+        clear = "".join(f" and not exists (select 1 from {t} b where b.rid = g.rid and b.s < g.e and g.s < b.e)" for t in taken) if added else ""
+        parts.append(f"""found_{kind} as (select *, {digits} as d from {_found(kind, pattern, k)}),
+checked_{kind} as (select f.*, {near} as near from found_{kind} f join docs using (rid) where {check}),
+{kind} as materialized (select * from (select rid, rank, kind, s, e, {points} as points from checked_{kind}) g where {"points >= 60" if added else "true"}{clear})""")
+        taken.append(kind)
+    every = " union all ".join(f"select * from {t}" for t in taken)
+    line = "string_agg(kind || ':' || s || ':' || e, ',' order by rank, s)"
+    counts = ", ".join(f"count(*) filter (where rank = {k}) as n_{t}" for k, t in enumerate(taken[:4]))
+    return f"""{DOCS}, {", ".join(parts)}, spans as ({every}),
+listed as (select rid, {line} as spans, {line} filter (where rank < 4) as base, string_agg(points::varchar, ',' order by rank, s) as scores, {counts} from spans group by rid)
+select doc_id, {", ".join(f"coalesce(n_{t}, 0)::bigint as n_{t}" for t in taken[:4])}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores from docs left join listed using (rid)"""
+
+
+ORACLE["op13_personal_data"] = _personal()

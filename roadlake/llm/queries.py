@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
-from roadlake.llm import byte_bpe, decontamination, language_id, license_scan, quality_knn, quality_rules, repeated_strings, secret_scan, simhash, token_counts
+from roadlake.llm import byte_bpe, decontamination, language_id, license_scan, personal_data, quality_knn, quality_rules, repeated_strings, secret_scan, simhash, source_audit, token_counts, vector_codes
 from roadlake.llm.oracles import ORACLE
 
 
@@ -70,8 +70,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.scan_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op6_repeated_strings, op7_quality_knn, op8_quality_rules, op9_decontamination, op10_license_scan)}
+    first = (op1_language_id, op2_token_counts, op3_byte_bpe, op4_secret_scan, op5_simhash, op6_repeated_strings, op7_quality_knn)
+    return {f.__name__: f for f in (*first, op8_quality_rules, op9_decontamination, op10_license_scan, op11_vector_codes, op12_source_audit, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
