@@ -19,8 +19,10 @@ MIN_DOCS = 3
 #: Ranks of the part ``term``.
 TOP = 200
 UNIT = 1_000_000_000
-#: Bytes of text counted before they go into the tries, and leaves of a task's tries before they leave it.
-CHUNK, MAX_LEAVES = 1 << 22, 1 << 17
+#: Bytes of text between two looks at a task's counters, and how many it holds before they leave it as tries.
+CHUNK, MAX_COUNTERS = 1 << 20, 1 << 19
+#: Rows of a batch that leaves a task.
+ROWS = 1 << 14
 #: Sources whose sums a task holds at once, and the numbers that it compares at once.
 SOURCE_BLOCK, CELLS = 64, 1 << 18
 #: Fixed value: bytes of terms, A to Z in lower case; all others separate.
@@ -28,145 +30,167 @@ TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 LEAVES = "lang string, term string, n_docs bigint, counts array<struct<source:string,n:bigint>>"
 
 
-class Leaf:
-    """A term's number of documents, and its occurrences by source."""
-
-    __slots__ = ("counts", "n_docs")
-
-    def __init__(self) -> None:
-        self.n_docs, self.counts = 0, {}
-
-    def add(self, n_docs: int, counts) -> None:
-        self.n_docs += n_docs
-        for source, n in counts:
-            self.counts[source] = self.counts.get(source, 0) + n
-
-
 class Trie:
-    """A radix trie over bytes: an edge holds the longest run that all terms below it share."""
+    """A radix trie over bytes: an edge holds the longest run that all terms below it share.
+
+    A node is its edges by first byte, as (label, below); its own leaf is under ``OWN``. Below an edge
+    is a node or, where nothing branches, the number of the leaf alone.
+    """
 
     __slots__ = ("root", "size")
+    OWN = -1
 
     def __init__(self) -> None:
-        self.root, self.size = [{}, None], 0
+        self.root, self.size = {}, 0
+
+    def _new(self) -> int:
+        self.size += 1
+        return self.size - 1
 
-    def leaf(self, term: bytes) -> Leaf:
-        """The leaf of a term, made if it isn't there. A node is [edges by first byte, leaf]; an edge is [label, node]."""
+    def leaf(self, term: bytes) -> int:
+        """The number of a term's leaf; new leaves get the next one."""
         node, at = self.root, 0
         while at < len(term):
-            edge = node[0].get(term[at])
+            first = term[at]
+            edge = node.get(first)
             if edge is None:
-                node[0][term[at]] = edge = [term[at:], [{}, None]]
-                node, at = edge[1], len(term)
-            elif term.startswith(edge[0], at):
-                node, at = edge[1], at + len(edge[0])
+                number = self._new()
+                node[first] = term[at:], number
+                return number
+            label, below = edge
+            if term.startswith(label, at):
+                at += len(label)
+                if type(below) is int:
+                    if at == len(term):
+                        return below
+                    below = {self.OWN: below}
+                    node[first] = label, below
             else:
-                label, same = edge[0], 1
+                same = 1
                 while at + same < len(term) and label[same] == term[at + same]:
                     same += 1
-                edge[0], edge[1] = label[:same], [{label[same]: [label[same:], edge[1]]}, None]
-                node, at = edge[1], at + same
-        if node[1] is None:
-            node[1] = Leaf()
-            self.size += 1
-        return node[1]
-
-    def walk(self) -> Iterator[tuple[bytes, Leaf]]:
-        """All leaves in the order of their bytes, which is that of UTF-8."""
-        open_ = [(b"", self.root)]
+                below = {label[same]: (label[same:], below)}
+                node[first] = label[:same], below
+                at += same
+            node = below
+        if self.OWN not in node:
+            node[self.OWN] = self._new()
+        return node[self.OWN]
+
+    def walk(self) -> tuple[list[bytes], list[int]]:
+        """(terms, leaves) in the order of their bytes, which is that of UTF-8."""
+        terms, leaves, open_ = [], [], [(b"", self.root)]
         while open_:
-            term, node = open_.pop()
-            if node[1] is not None:
-                yield term, node[1]
-            edges = node[0]
-            open_ += [(term + edges[b][0], edges[b][1]) for b in sorted(edges, reverse=True)]
-
-
-def _rows(lang: str, leaves: list[tuple[bytes, Leaf]]) -> pa.RecordBatch:
-    sources, numbers, at = [], [], [0]
-    for _, leaf in leaves:
-        sources += leaf.counts.keys()
-        numbers += leaf.counts.values()
-        at.append(len(sources))
-    counts = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(sources, pa.string()), pa.array(numbers, pa.int64())], ["source", "n"]))
-    terms = pa.array([t for t, _ in leaves], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(leaves), pa.string()), terms, pa.array([x.n_docs for _, x in leaves], pa.int64()), counts], ["lang", "term", "n_docs", "counts"])
-
-
-def _emitted(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-    for lang in sorted(tries):
-        part: list = []
-        for found in tries[lang].walk():
-            part.append(found)
-            if len(part) == 1 << 14:
-                yield _rows(lang, part)
-                part = []
-        if part:
-            yield _rows(lang, part)
+            term, below = open_.pop()
+            if type(below) is int:
+                terms.append(term)
+                leaves.append(below)
+                continue
+            for first in sorted(below, reverse=True):
+                edge = below[first]
+                open_.append((term, edge) if first == self.OWN else (term + edge[0], edge[1]))
+        return terms, leaves
+
+
+def _table(lang: pa.Array, terms: pa.Array, n_docs: np.ndarray, at: np.ndarray, sources: pa.Array, numbers: np.ndarray) -> pa.RecordBatch:
+    counts = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([sources, pa.array(numbers, pa.int64())], ["source", "n"]))
+    return pa.RecordBatch.from_arrays([lang, terms, pa.array(n_docs, pa.int64()), counts], ["lang", "term", "n_docs", "counts"])
+
+
+def _numbers(values, n: int) -> np.ndarray:
+    return np.fromiter(values, np.int64, n)
+
+
+def _tries(words: dict, holders: dict) -> Iterator[pa.RecordBatch]:
+    """The leaves of one trie a language, in order: documents of each, and occurrences by source."""
+    for lang in sorted(holders):
+        trie, docs = Trie(), holders[lang]
+        leaf = {term: trie.leaf(term) for term in docs}
+        terms, order = trie.walk()
+        place = np.zeros(trie.size, np.int64)
+        place[order] = np.arange(trie.size)
+        sources = sorted(source for of, source in words if of == lang)
+        own = [words[lang, source] for source in sources]
+        at = place[np.concatenate([_numbers(map(leaf.__getitem__, c), len(c)) for c in own])]
+        numbers = np.concatenate([_numbers(c.values(), len(c)) for c in own])
+        origin = np.repeat(np.arange(len(own)), [len(c) for c in own])
+        by_leaf = np.argsort(at, kind="stable")
+        numbers, origin = numbers[by_leaf], pa.array(sources, pa.string()).take(pa.array(origin[by_leaf]))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=trie.size))])
+        n_docs, names = _numbers(docs.values(), len(docs))[order], pa.array(terms, pa.binary()).cast(pa.string())
+        for low in range(0, trie.size, ROWS):
+            high = min(low + ROWS, trie.size)
+            a, b = ends[low], ends[high]
+            yield _table(pa.repeat(lang, high - low), names.slice(low, high - low), n_docs[low:high], ends[low : high + 1] - a, origin.slice(a, b - a), numbers[a:b])
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The leaves of one trie a language over a task's texts; tries that grow large leave early."""
-    tries: dict[str, Trie] = {}
+    """The tries of a task's texts; counters that grow many leave early."""
+    words: dict = {}
+    holders: dict = {}
     for batch in batches:
         lang, source, at = batch.column("lang").to_pylist(), batch.column("source").to_pylist(), 0
         for texts in chunks(batch.column("text"), CHUNK):
-            words: dict = {}
-            holders: dict = {}
             for k, text in enumerate(texts.to_pylist(), at):
                 found = text.encode().translate(TERM_BYTES).split()
                 words.setdefault((lang[k], source[k]), Counter()).update(found)
                 holders.setdefault(lang[k], Counter()).update(set(found))
             at += len(texts)
-            leaves = {}
-            for of, number in holders.items():
-                trie = tries.setdefault(of, Trie())
-                leaves[of] = {term: trie.leaf(term) for term in number}
-                for term, n in number.items():
-                    leaves[of][term].n_docs += n
-            for (of, origin), number in words.items():
-                own = leaves[of]
-                for term, n in number.items():
-                    counts = own[term].counts
-                    counts[origin] = counts.get(origin, 0) + n
-            if sum(t.size for t in tries.values()) > MAX_LEAVES:
-                yield from _emitted(tries)
-                tries = {}
-    yield from _emitted(tries)
+            if sum(map(len, words.values())) > MAX_COUNTERS:
+                yield from _tries(words, holders)
+                words, holders = {}, {}
+    yield from _tries(words, holders)
 
 
 def merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves in the order of (lang, term), those of equal terms merged; terms of too few documents go."""
-    lang, trie, last = None, Trie(), None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        part = [(t, x) for t, x in trie.walk() if x.n_docs >= MIN_DOCS]
-        if part:
-            yield _rows(lang, part)
+    """Tries' leaves in the order of (lang, term), equal ones merged; terms of too few documents go.
 
+    The last term of a batch waits for the next one, which may go on with it.
+    """
+    rest = None
     for batch in batches:
-        langs, terms, numbers = batch.column("lang").to_pylist(), batch.column("term").cast(pa.binary()).to_pylist(), batch.column("n_docs").to_pylist()
-        lists = batch.column("counts")
-        flat, at = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-        sources, counts = flat.field("source").to_pylist(), flat.field("n").to_pylist()
-        for k, term in enumerate(terms):
-            if langs[k] != lang:
-                yield from done()
-                lang, trie = langs[k], Trie()
-            elif trie.size >= MAX_LEAVES // 4 and term != last:
-                yield from done()
-                trie = Trie()
-            last = term
-            trie.leaf(term).add(numbers[k], zip(sources[at[k] : at[k + 1]], counts[at[k] : at[k + 1]], strict=True))
-    yield from done()
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
+            first = _first_of_each(rows)
+            yield from _merged(rows.slice(0, first[-1]), first[:-1])
+            rest = rows.slice(first[-1])
+    if rest is not None:
+        yield from _merged(rest, np.zeros(1, np.int64))
+
+
+def _first_of_each(rows: pa.RecordBatch) -> np.ndarray:
+    """Where a new (lang, term) begins."""
+    n = rows.num_rows
+    other = lambda c: pc.not_equal(rows.column(c).slice(1), rows.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(other("lang") | other("term")) + 1])
+
+
+def _merged(rows: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(first):
+        return
+    n_docs = np.add.reduceat(rows.column("n_docs").to_numpy(), first)
+    kept = n_docs >= MIN_DOCS
+    if not kept.any():
+        return
+    lists = rows.column("counts")
+    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(ends[first], ends[-1])))
+    used = np.flatnonzero(kept[group])
+    source = flat.field("source").take(pa.array(used)).dictionary_encode()
+    n_sources = len(source.dictionary)
+    keys, which = np.unique((np.cumsum(kept) - 1)[group[used]] * n_sources + source.indices.to_numpy(), return_inverse=True)
+    numbers = np.zeros(len(keys), np.int64)
+    np.add.at(numbers, which, flat.field("n").to_numpy()[used])
+    starts, index = np.searchsorted(keys, np.arange(kept.sum() + 1) * n_sources), pa.array(first[kept])
+    yield _table(rows.column("lang").take(index), rows.column("term").take(index), n_docs[kept], starts, source.dictionary.take(pa.array(keys % n_sources)), numbers)
 
 
 def kept_terms(texts: DataFrame) -> DataFrame:
     """``LEAVES`` of the terms that at least three documents of their language have, as a written table.
 
-    Each task's tries leave it in the order of their bytes; ranges of (lang, term) are dealt to tasks,
-    which merge them in that order, so a task holds part of a range, and a term that every text has is
-    one row of each task before.
+    Each task's tries leave it leaf by leaf; ranges of (lang, term) are dealt to tasks, which merge
+    them in the order of their bytes, a batch at a time. A term that every text has is one row of
+    each trie before.
     """
     leaves = written(texts.mapInArrow(count_terms, LEAVES))
     merged = written(leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(merge_ranges, LEAVES))
