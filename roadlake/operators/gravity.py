@@ -1,53 +1,64 @@
-"""Gravity clustering of weighted points: moves, merges, and a parallel merge on a grid."""
+"""Gravity clustering of weighted points: moves, merges in order, and a parallel merge on a grid."""
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import drop_written, written
+from roadlake.operators.components import connected_components
 
-#: Places that go to all tasks at once; more go in as many passes.
-BLOCK_PLACES = 50_000
-#: Points of a zone that one task can merge in order.
-MAX_POINTS = 5_000
+#: Places, and points, that are held against each other at once.
+BLOCK_PLACES, BLOCK_POINTS = 50_000, 4_096
+#: So few points left are moved and merged in one task, by the same steps.
+FEW_POINTS = 4_096
 
 
-def moved(points: DataFrame, block: int = BLOCK_PLACES) -> DataFrame:
-    """(id, dx, dy): the pull of all other points, in thousandths and truncated.
+def moved(points: DataFrame, block: int = BLOCK_PLACES, factor: int = 1000) -> DataFrame:
+    """(id, dx, dy): the pull of all other points, times ``factor`` and truncated.
 
     Each pair pulls with weight over squared distance, 1 for coincident points. Points at the same
-    place are summed first. The places are written and sent in blocks of about ``block``, one
-    at a time; each pass over the points adds up one block's pull, and the passes' sums are
-    added by id.
+    place are summed first. Blocks of about ``block`` places meet blocks of points in a join on the
+    executors, each block of places once for each share of the points; pulls are added by id.
     """
-    spark = points.sparkSession
+    salts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = written(points.groupBy("x", "y").agg(F.sum("w").alias("w")))
-    blocks = max(1, -(-places.count() // block))
-    placed = places.withColumn("b", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)))
-    parts = None
-    for k in range(blocks):
-        sent = spark.sparkContext.broadcast(placed.where(F.col("b") == k).select("x", "y", "w").toPandas().to_numpy(np.int64).reshape(-1, 3))
-
-        def pull(batches, sent=sent):
-            px, py, pw = sent.value.T
-            for batch in batches:
-                for at in range(0, len(batch), 64):
-                    some = batch.iloc[at : at + 64]
-                    dx, dy = px[None, :] - some["x"].to_numpy()[:, None], py[None, :] - some["y"].to_numpy()[:, None]
-                    d2 = np.maximum(dx * dx + dy * dy, 1)
-                    scale = lambda v: (np.sign(v) * (np.abs(v) * pw * 1000 // d2)).sum(1)  # noqa: B023, E731
-                    yield pd.DataFrame({"id": some["id"], "dx": scale(dx), "dy": scale(dy)})
-
-        part = points.select("id", "x", "y").mapInPandas(pull, "id bigint, dx bigint, dy bigint")
-        if blocks > 1:
-            part = written(part)
-            sent.destroy()
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("id").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy")) if blocks > 1 else parts
+    blocks, chunks = max(1, -(-places.count() // block)), max(1, -(-points.count() // BLOCK_POINTS))
+    dealt = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = places.groupBy(dealt(["x", "y"], blocks).alias("b")).agg(F.collect_list(F.struct("x", "y", "w")).alias("places")).select("b", "places", numbers(min(salts, chunks)).alias("salt"))
+    some = points.groupBy(dealt(["id"], chunks).alias("chunk")).agg(F.collect_list(F.struct("id", "x", "y")).alias("points"))
+    some = some.select("points", F.pmod("chunk", F.lit(min(salts, chunks))).alias("salt"), numbers(blocks).alias("b"))
+    met = some.join(held, ["b", "salt"]).select("points", "places")
+
+    def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, other = (batch.column(c).slice(k, 1).flatten() for c in ("points", "places"))
+                ids, x, y = (own.field(c).to_numpy(zero_copy_only=False) for c in ("id", "x", "y"))
+                dx, dy = pulls(x, y, *[other.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "w")], factor)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(dx), pa.array(dy)], ["id", "dx", "dy"])
+
+    return met.mapInArrow(pull, "id bigint, dx bigint, dy bigint").groupBy("id").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
+
+
+def pulls(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, pw: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the places px, py of weight pw pull at each point x, y."""
+    out = np.zeros((2, len(x)), np.int64)
+    for at in range(0, len(x), 64):
+        dx, dy = px[None, :] - x[at : at + 64, None], py[None, :] - y[at : at + 64, None]
+        d2 = np.maximum(dx * dx + dy * dy, 1)
+        for k, d in enumerate((dx, dy)):
+            out[k, at : at + 64] = (np.sign(d) * (np.abs(d) * pw * factor // d2)).sum(1)
+    return out[0], out[1]
 
 
 def mutual_neighbours(points: DataFrame, radius: int) -> DataFrame:
@@ -104,44 +115,182 @@ def grid_clusters(points: DataFrame, radius: int, rounds: int | None = None) ->
     return member
 
 
-def sequential_clusters(points: DataFrame, radius: float, iterations: int, group: str = "zone") -> DataFrame:
-    """(zone, id, leader): move and ordered merge within each zone, until one point is left.
+#: A slot is a place with its ``n`` points: their weight, the lowest id that hasn't acted and its
+#: weight, the heaviest point's weight and id. kind 0: a slot that is left; 1: ``slot`` went into
+#: ``into``; 2: the point ``low`` acted at x, y in round ``at``.
+SLOT = "slot bigint, x bigint, y bigint, n bigint, w bigint, low bigint, low_w bigint, top_w bigint, top bigint"
+STEP = f"kind int, {SLOT}, into bigint, at int"
+SLOT_COLUMNS = [c.split()[0] for c in SLOT.split(", ")]
+
 
-    The merge depends on the order of ids and so runs in one task for each zone; zones are the
-    unit of parallel work and have at most ``MAX_POINTS`` points.
+def act(slots: list[list], radius: int, reach: int, low: tuple[float, float], high: tuple[float, float]) -> tuple[list, list, list]:
+    """(slots left, [slot, into], [id, x, y] of acts) after all points acted that could, by rising id.
+
+    A point that acts takes in all within ``radius``. The heaviest of them leads, the first by id of
+    equal ones, unless none is heavier than the one that acts; it goes to the mean of all their
+    places, rounded down, with their summed weight. A point waits if less than ``reach`` away from it
+    lies a border of the tile from ``low`` to ``high``, or a point that waits.
     """
+    cells, waiting = defaultdict(set), defaultdict(list)
+    cell = lambda s: (s[1] // reach, s[2] // reach)
+    around = lambda s, grid: (j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in grid.get((s[1] // reach + a, s[2] // reach + b), ()))
+    near = lambda s, o, limit: (s[1] - o[1]) ** 2 + (s[2] - o[2]) ** 2 < limit * limit
+    for k, s in enumerate(slots):
+        cells[cell(s)].add(k)
+    heap = [(s[5], k) for k, s in enumerate(slots) if s[5] is not None]
+    heapq.heapify(heap)
+    gone, went, acts = set(), [], []
+    while heap:
+        own, k = heapq.heappop(heap)
+        s = slots[k]
+        if k in gone or s[5] != own:
+            continue
+        inside = all(low[i] <= s[i + 1] - reach and s[i + 1] + reach < high[i] for i in (0, 1))
+        if not inside or any(near(s, slots[j], reach) for j in around(s, waiting)):
+            waiting[cell(s)].append(k)
+            continue
+        acts.append([own, s[1], s[2]])
+        taken = [j for j in around(s, cells) if near(s, slots[j], radius)]
+        if len(taken) == 1 and s[3] == 1:
+            s[5] = None
+            continue
+        heaviest = max(slots[j][7] for j in taken)
+        lead, name, may_act = k, own, False
+        if heaviest > s[6]:
+            lead = min((j for j in taken if slots[j][7] == heaviest), key=lambda j: slots[j][8])
+            name, may_act = slots[lead][8], slots[lead][3] > 1 or slots[lead][5] is not None
+        n, w = sum(slots[j][3] for j in taken), sum(slots[j][4] for j in taken)
+        x, y = (sum(slots[j][3] * slots[j][i] for j in taken) // n for i in (1, 2))
+        for j in taken:
+            cells[cell(slots[j])].discard(j)
+            if j != lead:
+                gone.add(j)
+                went.append([slots[j][0], slots[lead][0]])
+        slots[lead][1:] = [x, y, 1, w, name if may_act else None, w, w, name]
+        cells[cell(slots[lead])].add(lead)
+        if may_act:
+            heapq.heappush(heap, (name, lead))
+    return [s for k, s in enumerate(slots) if k not in gone], went, acts
+
+
+def _as_lists(rows: pd.DataFrame) -> list[list]:
+    return [[None if v is None or v != v else int(v) for v in r] for r in rows[SLOT_COLUMNS].astype(object).itertuples(index=False)]
+
+
+def _tile_step(radius: int, reach: int, at: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, went, acts = act(_as_lists(rows), radius, reach, key, tuple(k + 16 * reach for k in key))
+        out = [(0, *s, None, None) for s in left] + [(1, a, *[None] * 8, b, None) for a, b in went] + [(2, None, x, y, None, None, i, *[None] * 3, None, at) for i, x, y in acts]
+        names = ["kind", *SLOT_COLUMNS, "into", "at"]
+        return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names})
+
+    return run
+
+
+def _in_order(state: DataFrame, radius: int, reach: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(slots left, pointers, whether it was right): rounds over shifted tiles until every point has acted.
+
+    A tile is 16 reaches wide, so that in one of four shifts any point is far from its borders, and
+    the lowest id that hasn't acted always can. Points act out of order only where ``act`` saw
+    nothing that waits within ``reach``; since those that wait may come closer later, all acts are
+    held against each other at the end: two whose circles are apart can be swapped, and if any
+    two out of order are less than two radii apart the rounds were wrong.
+    """
+    side, round_, steps = 16 * reach, 0, []
+    while True:
+        shift = [(0, 0), (side // 2, 0), (0, side // 2), (side // 2, side // 2)][round_ % 4]
+        corner = lambda c, by: F.floor((F.col(c) - by) / side) * side + by
+        step = written(state.groupBy(corner("x", shift[0]).alias("tx"), corner("y", shift[1]).alias("ty")).applyInPandas(_tile_step(radius, reach, round_), STEP))
+        steps.append(step)
+        state = step.where("kind = 0").select(*SLOT_COLUMNS)
+        round_ += 1
+        if state.where("low is not null").isEmpty():
+            break
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionByName(step.where("kind > 0"))
+    acts = every.where("kind = 2").select("low", "x", "y", "at", F.floor(F.col("x") / (2 * radius)).alias("cx"), F.floor(F.col("y") / (2 * radius)).alias("cy"))
+    around = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    other = acts.select(F.col("low").alias("i"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("at").alias("t"), F.explode(around).alias("c")).select("i", "ox", "oy", "t", "c.*")
+    apart = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    right = round_ == 1 or acts.join(other, ["cx", "cy"]).where((F.col("low") < F.col("i")) & (F.col("at") > F.col("t")) & (apart < 4 * radius * radius)).isEmpty()
+    pointers = written(every.where("kind = 1").select("slot", "into"))
+    state = written(state)
+    drop_written(*steps)
+    return state, pointers, right
+
+
+def merged_in_order(points: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """((id, x, y, w) of the points left, (id, leader) of all): each point, by rising id, takes in those within ``radius``.
+
+    The same as a loop over all points (see ``act``), run in tiles: a point acts once every lower id
+    within reach has acted. Points at one place are one slot from the start, so a tile holds at most
+    as many as it has whole-number places. Should points come closer that were out of reach, the
+    pass is repeated with twice the reach. Ids are distinct; coordinates and weights whole numbers.
+    """
+    first = F.min(F.struct((-F.col("w")).alias("v"), "id"))
+    slots = points.groupBy("x", "y").agg(F.min("id").alias("slot"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.min_by("w", "id").alias("low_w"), first.alias("t"))
+    slots = written(slots.select("slot", "x", "y", "n", "w", F.col("slot").alias("low"), "low_w", (-F.col("t.v")).alias("top_w"), F.col("t.id").alias("top")))
+    reach = 2 * radius
+    left, pointers, right = _in_order(slots, radius, reach)
+    while not right:
+        drop_written(left, pointers)
+        reach *= 2
+        left, pointers, right = _in_order(slots, radius, reach)
+    roots = connected_components(pointers, "slot", "into")
+    rooted = slots.select("slot", F.col("x").alias("px"), F.col("y").alias("py")).join(roots.withColumnRenamed("node", "slot"), "slot", "left").withColumn("root", F.coalesce("root", "slot"))
+    leaders = left.join(rooted.select("slot", "root"), "slot").select("root", F.col("top").alias("leader"))
+    at = rooted.join(leaders, "root").select(F.col("px").alias("x"), F.col("py").alias("y"), "leader")
+    return left.select(F.col("top").alias("id"), "x", "y", "w"), written(points.join(at, ["x", "y"]).select("id", "leader"))
+
+
+def ordered_clusters(points: DataFrame, radius: float, iterations: int = 200, few: int = FEW_POINTS) -> DataFrame:
+    """(id, leader): all points move and merge in order, ``iterations`` times or until one is left.
+
+    Coordinates count in thousandths from here on. Each iteration moves every point by the pull of all
+    others (``moved``), then merges (``merged_in_order``). Where at most ``few`` points are left, the
+    rest of the iterations takes the same steps in one task.
+    """
+    wide = round(radius * 1000)
+    now = written(points.select("id", (F.col("x") * 1000).alias("x"), (F.col("y") * 1000).alias("y"), "w"))
+    member = written(points.select("id", F.col("id").alias("leader")))
+    for k in range(iterations):
+        if now.count() <= few:
+            rest = now.groupBy().applyInPandas(_few(wide, iterations - k), "old bigint, leader bigint")
+            return member.withColumnRenamed("leader", "old").join(rest, "old").select("id", "leader")
+        placed = written(now.join(moved(now, factor=10**6), "id").select("id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "w"))
+        new, to = merged_in_order(placed, wide)
+        joined = written(member.withColumnRenamed("leader", "old").join(to.withColumnRenamed("id", "old"), "old").select("id", "leader"))
+        drop_written(now, placed, member, to)
+        now, member = written(new), joined
+        drop_written(new)
+    return member
+
+
+def _few(radius: int, iterations: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """(old, leader) of a few points after all iterations."""
+    everywhere = (float("-inf"),) * 2, (float("inf"),) * 2
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MAX_POINTS:
-            raise ValueError(f"a zone has more than {MAX_POINTS} points")
         rows = rows.sort_values("id")
-        ids, at, weight = rows["id"].to_numpy(), rows[["x", "y"]].to_numpy(float), rows["w"].to_numpy(float)
-        lead = {int(i): int(i) for i in ids}
+        lead = {int(i): int(i) for i in rows["id"]}
+        ids, x, y, w = (rows[c].to_numpy(np.int64) for c in ("id", "x", "y", "w"))
         for _ in range(iterations):
             if len(ids) < 2:
                 break
-            d = at[None, :, :] - at[:, None, :]
-            d2 = (d**2).sum(2)
-            np.fill_diagonal(d2, 1.0)
-            at = at + np.round((d * (weight[None, :] / np.maximum(d2, 1e-12))[:, :, None]).sum(1), 5)
-            k = 0
-            while k < len(ids):
-                near = np.flatnonzero(((at - at[k]) ** 2).sum(1) < radius * radius)
-                if len(near) < 2:
-                    k += 1
-                    continue
-                top = near[np.argmax(weight[near])] if weight[near].max() > weight[k] else k
-                at[top], weight[top] = at[near].mean(0), weight[near].sum()
-                for j in near:
-                    for i, l in list(lead.items()) if j != top else ():
-                        if l == ids[j]:
-                            lead[i] = int(ids[top])
-                gone = near[near != top]
-                k = k + 1 - int((gone <= k).sum())
-                ids, at, weight = np.delete(ids, gone), np.delete(at, gone, 0), np.delete(weight, gone)
-        return pd.DataFrame({group: rows[group].iloc[0], "id": list(lead), "leader": list(lead.values())})
-
-    return points.groupBy(group).applyInPandas(run, f"{group} bigint, id bigint, leader bigint")
+            dx, dy = pulls(x, y, x, y, w, 10**6)
+            slots = [[i, a, b, 1, v, i, v, v, i] for i, a, b, v in zip(ids.tolist(), (x + dx).tolist(), (y + dy).tolist(), w.tolist(), strict=True)]
+            left, went, _ = act(slots, radius, 2 * radius, *everywhere)
+            into = dict(went)
+            for old, now in lead.items():
+                while now in into:
+                    now = into[now]
+                lead[old] = now
+            left.sort()
+            ids, x, y, w = (np.array([s[c] for s in left], np.int64) for c in (0, 1, 2, 4))
+        return pd.DataFrame({"old": list(lead), "leader": list(lead.values())}, dtype="int64")
+
+    return run
 
 
 def cluster_sizes(member: DataFrame, over: int) -> DataFrame:

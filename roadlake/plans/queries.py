@@ -521,7 +521,7 @@ def gravity_grid_clusters(spark, sf):
 
 @query()
 def gravity_clusters(spark, sf):
-    return gravity.sequential_clusters(v.point(spark, sf).withColumn("zone", F.floor(F.col("x") / 100) * 1000000 + F.floor(F.col("y") / 100)), 25.0, 200)
+    return gravity.ordered_clusters(v.point(spark, sf), 25.0, 200)
 
 
 BORDERS = """, lab as (select edge_id, edge_id % 12 as leader from v_edge), x as (select c.*, a.leader as la, b.leader as lb from v_connection c join lab a on a.edge_id = from_edge join lab b on b.edge_id = to_edge where a.leader <> b.leader) """

@@ -155,13 +155,85 @@ def test_density_clusters(spark):
     assert rows(picks, "id", "rank") == [(2, 1), (3, 1)]
 
 
+def plain_merge(points, radius):
+    """Each point in turn takes in all that are near; (points left, leader of each)."""
+    now = {i: [x, y, w] for i, x, y, w in points}
+    lead = {i: i for i in now}
+    for i in sorted(now):
+        if i not in now:
+            continue
+        near = [j for j in now if (now[j][0] - now[i][0]) ** 2 + (now[j][1] - now[i][1]) ** 2 < radius * radius]
+        if len(near) > 1:
+            top = min((j for j in near), key=lambda j: (-now[j][2], j))
+            top = i if now[i][2] >= now[top][2] else top
+            n = len(near)
+            new = [sum(now[j][0] for j in near) // n, sum(now[j][1] for j in near) // n, sum(now[j][2] for j in near)]
+            for j in near:
+                if j != top:
+                    del now[j]
+                    lead = {k: top if v == j else v for k, v in lead.items()}
+            now[top] = new
+    return sorted((i, *p) for i, p in now.items()), lead
+
+
+def plain_clusters(points, radius, iterations):
+    now = [(r["id"], r["x"] * 1000, r["y"] * 1000, r["w"]) for r in points.collect()]
+    lead = {p[0]: p[0] for p in now}
+    for _ in range(iterations):
+        pull = lambda p, k: sum((1 if o[k] >= p[k] else -1) * (abs(o[k] - p[k]) * o[3] * 10**6 // max(1, (o[1] - p[1]) ** 2 + (o[2] - p[2]) ** 2)) for o in now)  # noqa: B023, E731
+        now, to = plain_merge([(p[0], p[1] + pull(p, 1), p[2] + pull(p, 2), p[3]) for p in now] if len(now) > 1 else now, round(radius * 1000))
+        lead = {i: to[j] for i, j in lead.items()}
+    return sorted(lead.items(), key=repr)
+
+
+@pytest.mark.parametrize("seed, n, size, radius, order", [(1, 2000, 3000, 20, "random"), (2, 1200, 700, 15, "random"), (3, 400, 3000, 30, "line"), (4, 600, 60, 3, "line")])
+def test_merge_in_order_is_that_of_a_loop(spark, seed, n, size, radius, order):
+    """Points over many tiles, dense ones, ids along a line, equal places and weights."""
+    rnd = random.Random(seed)
+    place = sorted((rnd.randint(-size, size), rnd.randint(-size, size) if order == "random" else rnd.randint(0, 9)) for _ in range(n))
+    if order == "random":
+        rnd.shuffle(place)
+    points = [(3 * k, *p, rnd.randint(1, 4)) for k, p in enumerate(place)] + [(3 * k + 1, 5, 5, 2) for k in range(20)]
+    left, to = gravity.merged_in_order(spark.createDataFrame(points, "id bigint, x bigint, y bigint, w bigint").repartition(3), radius)
+    want, lead = plain_merge(points, radius)
+    assert rows(left, "id", "x", "y", "w") == sorted(want, key=repr)
+    assert dict(rows(to, "id", "leader")) == lead
+
+
+def test_a_pass_that_was_out_of_order_is_repeated(spark, monkeypatch):
+    """With a reach below two radii acts do get out of order; the check sees it."""
+    rnd = random.Random(11)
+    points = [(k, rnd.randint(0, 900), rnd.randint(0, 900), rnd.randint(1, 9)) for k in range(900)]
+    table = spark.createDataFrame(points, "id bigint, x bigint, y bigint, w bigint")
+    tried = []
+    real = gravity._in_order
+
+    def first_too_short(slots, radius, reach):
+        out = real(slots, radius, 30 if not tried else reach)
+        tried.append(out[2])
+        return out
+
+    monkeypatch.setattr(gravity, "_in_order", first_too_short)
+    left, _ = gravity.merged_in_order(table, 30)
+    assert tried[0] is False and tried[-1] is True
+    assert rows(left, "id", "x", "y", "w") == sorted(plain_merge(points, 30)[0], key=repr)
+
+
+def test_ordered_clusters_in_tiles_and_in_one_task(spark):
+    rnd = random.Random(12)
+    points = spark.createDataFrame([(k, rnd.randint(0, 120), rnd.randint(0, 120), rnd.randint(1, 3)) for k in range(150)], "id bigint, x bigint, y bigint, w bigint")
+    want = plain_clusters(points, 4.0, 3)
+    assert rows(gravity.ordered_clusters(points, 4.0, 3), "id", "leader") == want
+    assert rows(gravity.ordered_clusters(points, 4.0, 3, few=20), "id", "leader") == want
+
+
 def test_gravity(spark):
     points = spark.createDataFrame([(1, 0, 0, 1), (2, 3, 4, 5), (3, 100, 100, 1), (4, 104, 100, 2), (5, 108, 100, 2)], "id bigint, x bigint, y bigint, w bigint")
     assert rows(gravity.mutual_neighbours(points, 10)) == [(1, 2, 25), (3, 4, 16)]
     near = rows(gravity.moved(points.where("id < 3")))
     assert near == [(1, 600, 800), (2, -120, -160)]
     assert rows(gravity.grid_clusters(points, 10, 5)) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)]
-    assert rows(gravity.sequential_clusters(points.withColumn("zone", F.lit(0).cast("bigint")), 6.0, 5), "id", "leader") == [(1, 2), (2, 2), (3, 4), (4, 4), (5, 4)]
+    assert rows(gravity.ordered_clusters(points, 6.0, 5), "id", "leader") == plain_clusters(points, 6.0, 5)
 
 
 def test_grid_clusters_merge_all_there_is(spark):
