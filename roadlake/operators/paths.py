@@ -2,46 +2,141 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import drop_written, written
 
+PAIR = ("first_edge", "last_edge")
 
-def best_ways(keys: DataFrame, edges: DataFrame, connections: DataFrame, k: int = 1, stretch: float = 1.0) -> DataFrame:
-    """(first_edge, last_edge, rank, milli, path): up to ``k`` shortest loop-free ways of each pair of edges.
 
-    A frontier of ways grows by one allowed turn a round. Of the ways of a pair that end on one
-    edge only the k shortest go on, and none that is longer than ``stretch`` times the k-th way
-    found for its pair; rounds end when no way is left. Each distinct pair is sought once, and
-    each round is joins and aggregates over a written table. Pairs without a way have no row; for
-    them all that the first edge reaches is searched.
+def distances(pairs: DataFrame, turns: DataFrame, stretch: float = 1.0) -> DataFrame:
+    """(last_edge, at, left, m): the least length from the end of ``at`` to the end of ``last_edge``, as a written table.
+
+    One search a last edge, whatever the number of pairs that share it, backwards from it by one turn
+    a round. It goes on as far as ``stretch`` times the longest of its pairs' shortest ways, once
+    all of these are found. After 8 rounds, 16, 32 and so on, pairs still without a way are also sought
+    forwards for as many rounds: those whose first edge leads no farther have none and are given
+    up, so that the search ends with the smaller of what leads to the last edge and what the first
+    one leads to. Only the least length of each (last_edge, at) is kept. m is the length of ``at`` where
+    it begins a pair, else null; such rows stay without ``left`` until they are reached.
     """
-    sized = edges.select(F.col("edge_id").alias("next"), F.floor(F.col("length") * 1000).alias("m"))
-    turns = connections.select(F.col("from_edge").alias("at"), F.col("to_edge").alias("next")).join(sized, "next")
-    pair, state = ("first_edge", "last_edge"), W.partitionBy("first_edge", "last_edge", "at").orderBy("milli", "path")
-    first = sized.withColumnsRenamed({"next": "first_edge", "m": "milli"})
-    known = edges.select(F.col("edge_id").alias("last_edge"))
-    start = keys.select(*pair).distinct().join(first, "first_edge").join(known, "last_edge", "left_semi")
-    front = written(start.select(*pair, F.col("first_edge").alias("at"), "milli", F.array("first_edge").alias("path")))
-    best = front
+    none, wide = F.lit(None).cast("bigint"), W.partitionBy("last_edge")
+    begin = pairs.select("last_edge", F.col("first_edge").alias("at"), none.alias("left"), "m").distinct()
+    ends = pairs.select("last_edge", F.col("last_edge").alias("at"), F.lit(0).cast("bigint").alias("left"), none.alias("m")).distinct()
+    best, front, rounds = None, begin.unionByName(ends), 0
     while True:
-        done = best.where("at = last_edge").groupBy(*pair).agg(F.sort_array(F.collect_list("milli")).alias("found"))
-        bound = done.select(*pair, F.when(F.size("found") >= k, F.get("found", F.lit(k - 1))).alias("kth"), (F.array_min("found") * stretch).alias("most"))
-        open_ = front.where("at <> last_edge").join(bound, list(pair), "left")
-        grown = open_.join(turns, "at").where(~F.array_contains("path", F.col("next")))
-        grown = grown.withColumn("milli", F.col("milli") + F.col("m")).where((F.col("kth").isNull() | (F.col("milli") < F.col("kth"))) & ((F.lit(k) == 1) | F.col("most").isNull() | (F.col("milli") <= F.col("most"))))
-        grown = grown.select(*pair, F.col("next").alias("at"), "milli", F.concat("path", F.array("next")).alias("path"), F.lit(True).alias("new"))
-        ranked = best.withColumn("new", F.lit(False)).unionByName(grown).withColumn("r", F.row_number().over(state)).where(F.col("r") <= k)
-        both = written(ranked.drop("r"))
-        going = both.where("new").drop("new")
-        if going.isEmpty():
-            break
-        if best is not front:
+        old = [] if best is None else [best.select("last_edge", "at", "left", "m", F.col("left").alias("old"))]
+        both = reduce(DataFrame.unionByName, old, front.withColumn("old", none))
+        # searches are dealt whole, so that the bounds need no exchange of their own
+        least = both.repartition("last_edge").groupBy("last_edge", "at").agg(F.min("left").alias("left"), F.max("m").alias("m"), F.min("old").alias("old"))
+        lacking = F.max(F.col("m").isNotNull() & F.col("left").isNull()).over(wide)
+        bound = F.when(~lacking, F.max(F.col("m") + F.col("left")).over(wide) * stretch)
+        better = F.col("left").isNotNull() & (F.col("old").isNull() | (F.col("left") < F.col("old")))
+        marked = least.withColumn("most", bound).select("last_edge", "at", "left", "m", (better & (F.col("most").isNull() | (F.col("left") <= F.col("most")))).alias("new"))
+        now = written(marked)
+        if best is not None:
             drop_written(best)
-        best, front = both.drop("new"), going
-    order = W.partitionBy(*pair).orderBy("milli", "path")
-    found = best.where("at = last_edge").withColumn("rank", F.row_number().over(order).cast("bigint")).withColumn("low", F.min("milli").over(W.partitionBy(*pair)))
+        best, rounds = now, rounds + 1
+        if best.where("new").isEmpty():
+            return best.drop("new")
+        if rounds >= 8 and rounds & (rounds - 1) == 0:
+            lacking = best.where("m is not null and left is null")
+            if not lacking.isEmpty():
+                shut = _exhausted(lacking.select(F.col("at").alias("first")).distinct(), turns, rounds)
+                best = best.join(shut, (F.col("at") == F.col("first")) & F.col("m").isNotNull() & F.col("left").isNull(), "left_anti")
+        grown = best.where("new").select("last_edge", F.col("at").alias("next"), "left").join(turns.withColumnRenamed("m", "length"), "next")
+        front = grown.groupBy("last_edge", "at").agg(F.min(F.col("left") + F.col("length")).alias("left")).withColumn("m", none)
+
+
+def _exhausted(firsts: DataFrame, turns: DataFrame, rounds: int) -> DataFrame:
+    """Those first edges from which no further edge can be reached after so many rounds."""
+    front = firsts.select("first", F.col("first").alias("at"))
+    reach = written(front.withColumn("new", F.lit(True)))
+    for _ in range(rounds):
+        grown = reach.where("new").join(turns, "at").select("first", F.col("next").alias("at"), F.lit(True).alias("new"))
+        now = written(reach.withColumn("new", F.lit(False)).unionByName(grown).groupBy("first", "at").agg(F.min("new").alias("new")))
+        drop_written(reach)
+        reach = now
+    return reach.groupBy("first").agg(F.max("new").alias("open")).where("not open").select("first")
+
+
+def _parts(keys: DataFrame, edges: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs with the first edge's length m, turns with the next edge's), as written tables."""
+    ids = edges.select(F.col("edge_id").cast("bigint").alias("next"), F.floor(F.col("length") * 1000).alias("m"))
+    turns = written(connections.select(F.col("from_edge").cast("bigint").alias("at"), F.col("to_edge").cast("bigint").alias("next")).distinct().join(ids, "next"))
+    asked = keys.select(*[F.col(c).cast("bigint").alias(c) for c in PAIR]).distinct()
+    known = ids.select(F.col("next").alias("last_edge"))
+    return written(asked.join(ids.withColumnRenamed("next", "first_edge"), "first_edge").join(known, "last_edge", "left_semi").select(*PAIR, "m")), turns
+
+
+def least_lengths(keys: DataFrame, edges: DataFrame, connections: DataFrame) -> DataFrame:
+    """(first_edge, last_edge, milli): the length of the shortest way of each pair that has one."""
+    found = distances(*_parts(keys, edges, connections)).where("m is not null and left is not null")
+    return found.select(F.col("at").alias("first_edge"), "last_edge", (F.col("m") + F.col("left")).alias("milli"))
+
+
+def _from_roots(roots: DataFrame, turns: DataFrame, left: DataFrame) -> DataFrame:
+    """The least way, by (milli, path), of each root: PAIR, spur, most, milli, path.
+
+    ``roots`` has these and ``barred``, edges that mustn't follow the root. A way grows by one turn a
+    round, never onto an edge that it has, and only where the length so far and ``left`` together are
+    at most ``most``; of the ways of a root to one edge only the least goes on.
+    """
+    search = [*PAIR, "spur", "most"]
+    front = roots.select(*search, F.element_at("path", -1).alias("at"), "milli", "path", "barred")
+    best = written(front.where("at = last_edge").select(*search, "at", "milli", "path"))
+    while True:
+        ahead = front.where("at <> last_edge").join(turns, "at").where(~F.array_contains("path", F.col("next")) & ~F.array_contains("barred", F.col("next")))
+        ahead = ahead.select(*search, F.col("next").alias("at"), (F.col("milli") + F.col("m")).alias("milli"), F.concat("path", F.array("next")).alias("path"))
+        grown = ahead.join(left, ["last_edge", "at"]).where(F.col("milli") + F.col("left") <= F.col("most"))
+        both = best.withColumn("new", F.lit(False)).unionByName(grown.select(*best.columns, F.lit(True).alias("new")))
+        least = both.groupBy(*search, "at").agg(F.min(F.struct("milli", "path", "new")).alias("s"))
+        now = written(least.select(*search, "at", "s.*"))
+        drop_written(best)
+        best, front = now.drop("new"), now.where("new").drop("new").withColumn("barred", F.array().cast("array<bigint>"))
+        if front.isEmpty():
+            return best.where("at = last_edge").drop("at")
+
+
+def best_ways(keys: DataFrame, edges: DataFrame, connections: DataFrame, k: int = 1, stretch: float = 1.0) -> DataFrame:
+    """(first_edge, last_edge, rank, milli, path): the ``k`` shortest loop-free ways of each pair of edges.
+
+    Ways longer than ``stretch`` times the shortest are left out; ties go by the edges' ids in order.
+    A way has no edge twice. After the shortest, each rank's way is the least that deviates from those
+    before it: for every place at or after the one where the last way left its own parent, the way up
+    there is a root, the edges that found ways take from that root are barred, and the least way from
+    the root is a candidate. Every other way is in the class of just one such root, so none is missed.
+    A rank's roots of all pairs are searched at once. Each distinct pair is sought once; pairs
+    without a way, or with unknown edges, have no row. Edges have lengths of a thousandth at least.
+    """
+    pairs, turns = _parts(keys, edges, connections)
+    ids = edges.select(F.col("edge_id").cast("bigint").alias("next"), F.floor(F.col("length") * 1000).alias("m"))
+    found = distances(pairs, turns, stretch if k > 1 else 1.0)
+    shortest = found.where("m is not null and left is not null").select(F.col("at").alias("first_edge"), "last_edge", "m", (F.col("m") + F.col("left")).alias("low"))
+    left = found.where("left is not null").select("last_edge", "at", "left")
+    none = F.array().cast("array<bigint>")
+    first = shortest.select(*PAIR, F.lit(0).alias("spur"), F.col("low").cast("double").alias("most"), F.col("m").alias("milli"), F.array("first_edge").alias("path"), none.alias("barred"))
+    last = written(_from_roots(first, turns, left).withColumn("rank", F.lit(1).cast("bigint")).withColumn("most", F.col("milli") * F.lit(stretch)))
+    found, candidates = last, last.where("false").drop("rank")
+    for rank in range(2, k + 1):
+        places = F.sequence(F.col("spur"), F.size("path") - 2)
+        open_ = last.where(F.size("path") - 2 >= F.col("spur")).withColumn("spur", F.explode(places))
+        open_ = open_.select(*PAIR, "spur", "most", F.slice("path", 1, F.col("spur") + 1).alias("path"))
+        before = found.select(*PAIR, F.col("path").alias("way"))
+        taken = open_.join(before, list(PAIR)).where((F.size("way") > F.size("path")) & (F.slice("way", 1, F.size("path")) == F.col("path")))
+        barred = taken.groupBy(*PAIR, "spur", "most", "path").agg(F.collect_set(F.get("way", F.size("path"))).alias("barred"))
+        lengths = barred.select(*PAIR, "spur", F.explode("path").alias("next")).join(ids, "next").groupBy(*PAIR, "spur").agg(F.sum("m").alias("milli"))
+        roots = written(barred.join(lengths, [*PAIR, "spur"]))
+        candidates = written(candidates.unionByName(_from_roots(roots, turns, left)))
+        least = candidates.groupBy(*PAIR).agg(F.min(F.struct("milli", "path", "spur", "most")).alias("s"))
+        last = written(least.select(*PAIR, "s.*", F.lit(rank).cast("bigint").alias("rank")))
+        if last.isEmpty():
+            break
+        found = found.unionByName(last)
+        candidates = candidates.join(last.select(*PAIR, "path"), [*PAIR, "path"], "left_anti")
     path = F.array_join(F.transform("path", lambda e: e.cast("string")), " ")
-    return found.where((F.col("rank") <= k) & ((F.col("rank") == 1) | (F.col("milli") <= F.col("low") * stretch))).select(*pair, "rank", "milli", path.alias("path"))
+    return found.select(*PAIR, "rank", "milli", path.alias("path"))

@@ -11,21 +11,27 @@ from roadlake.plans.queries import LISTS, PAIRS, RING, RUNS, query
 #: From every edge to the one that leads on to the next block, three blocks ahead.
 AHEAD = ", keys as (select edge_id as first_edge, (edge_id // 9 + 3) * 9 + 5 as last_edge from v_edge) "
 
+#: Least lengths by the number of turns; no pair's shortest way has 30.
+WALKS = """, walks(first_edge, last_edge, at_, milli, n) as (select first_edge, last_edge, first_edge, floor(length * 1000)::bigint, 0 from keys join v_edge on edge_id = first_edge
+union all select w.first_edge, w.last_edge, c.to_edge, min(w.milli + floor(e.length * 1000)::bigint), w.n + 1 from walks w join v_connection c on c.from_edge = w.at_ join v_edge e on e.edge_id = c.to_edge
+where w.n < 30 and w.at_ <> w.last_edge group by w.first_edge, w.last_edge, c.to_edge, w.n)"""
+
 
 def _ahead(edges):
     return edges.select(F.col("edge_id").alias("first_edge"), ((F.floor(F.col("edge_id") / 9) + 3) * 9 + 5).alias("last_edge"))
 
 
-@query(AHEAD + """, walks(first_edge, last_edge, at_, milli, n) as (select first_edge, last_edge, first_edge, floor(length * 1000)::bigint, 0 from keys join v_edge on edge_id = first_edge
-union all select w.first_edge, w.last_edge, c.to_edge, min(w.milli + floor(e.length * 1000)::bigint), w.n + 1 from walks w join v_connection c on c.from_edge = w.at_ join v_edge e on e.edge_id = c.to_edge
-where w.n < 14 and w.at_ <> w.last_edge group by w.first_edge, w.last_edge, c.to_edge, w.n)
-select first_edge, last_edge, min(milli) as milli from walks where at_ = last_edge group by all""")
+@query(AHEAD + WALKS + """ select first_edge, last_edge, min(milli) as milli from walks where at_ = last_edge group by all""")
 def shortest_paths(spark, sf):
     edges = v.edge(spark, sf)
-    return paths.best_ways(_ahead(edges), edges, graph.connections(edges)).select("first_edge", "last_edge", "milli")
+    return paths.least_lengths(_ahead(edges), edges, graph.connections(edges))
 
 
-@query()
+@query(AHEAD + WALKS + """, low as (select first_edge, last_edge, min(milli) as low from walks where at_ = last_edge group by all),
+ways(first_edge, last_edge, at_, milli, path, low) as (select first_edge, last_edge, first_edge, floor(length * 1000)::bigint, [first_edge], low from low join v_edge on edge_id = first_edge
+union all select w.first_edge, w.last_edge, c.to_edge, w.milli + floor(e.length * 1000)::bigint, list_append(path, c.to_edge), low from ways w join v_connection c on c.from_edge = w.at_ join v_edge e on e.edge_id = c.to_edge
+where w.at_ <> w.last_edge and not list_contains(path, c.to_edge) and w.milli + floor(e.length * 1000)::bigint <= 1.5 * low)
+select first_edge, last_edge, row_number() over (partition by first_edge, last_edge order by milli, path) as rank, milli, array_to_string(path, ' ') as path from ways where at_ = last_edge qualify rank <= 3""")
 def topk_shortest_paths(spark, sf):
     edges = v.edge(spark, sf)
     return paths.best_ways(_ahead(edges), edges, graph.connections(edges), 3, 1.5)

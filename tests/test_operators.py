@@ -319,30 +319,59 @@ def test_moves_in_blocks_are_those_of_all(spark):
     assert rows(gravity.moved(points, 40)) == rows(gravity.moved(points))
 
 
-def test_best_ways_are_the_shortest_loop_free_ones(spark):
+def all_ways(net, turns, first, last):
+    """(milli, path) of every way without an edge twice, least first."""
+    after = {}
+    for a, b in turns:
+        after.setdefault(a, []).append(b)
+
+    def go(path):
+        if path[-1] == last:
+            yield sum(int(net[e] * 1000) for e in path), path
+            return
+        for b in after.get(path[-1], ()):
+            if b not in path:
+                yield from go([*path, b])
+
+    return sorted(go([first])) if first in net and last in net else []
+
+
+@pytest.mark.parametrize("seed, k, stretch", [(1, 1, 1.0), (2, 2, 3.0), (3, 5, 100.0), (4, 5, 1.6)])
+def test_best_ways_are_the_k_shortest(spark, seed, k, stretch):
     from roadlake.operators import paths
 
-    rnd = random.Random(9)
-    net = [(k, rnd.randint(0, 5), rnd.randint(0, 5), float(rnd.randint(1, 9))) for k in range(12)]
+    rnd = random.Random(seed)
+    net = [(e, rnd.randint(0, 4), rnd.randint(0, 4), float(rnd.randint(1, 4))) for e in range(16)]
     edges = spark.createDataFrame(net, "edge_id bigint, fj bigint, tj bigint, length double")
-    turns = {(a[0], b[0]) for a in net for b in net if a[2] == b[1] and a[0] != b[0]}
-    keys = [(rnd.randrange(12), rnd.randrange(12)) for _ in range(5)]
+    turns = {(a[0], b[0]) for a in net for b in net if a[2] == b[1] and a[0] != b[0] and rnd.random() < 0.8}
+    keys = {(rnd.randrange(16), rnd.randrange(16)) for _ in range(12)} | {(3, 3), (2, 99), (98, 2)}
+    got = paths.best_ways(spark.createDataFrame(list(keys) * 2, "first_edge int, last_edge int"), edges, spark.createDataFrame(list(turns), "from_edge bigint, to_edge bigint"), k, stretch)
+    want = []
+    for a, b in keys:
+        ways = all_ways({e[0]: e[3] for e in net}, turns, a, b)
+        want += [(a, b, r, m, " ".join(map(str, p))) for r, (m, p) in enumerate(ways[:k], 1) if m <= ways[0][0] * stretch]
+    assert rows(got) == sorted(want, key=repr) and len(want) >= 6
+
+
+def test_a_pair_without_a_way_ends_with_what_its_first_edge_leads_to(spark):
+    """A road of 60 edges leads to the last edge; what leads away from it can't come back."""
+    from roadlake.operators import paths
 
-    def ways(at, last, seen):
-        if at == last:
-            yield sum(net[e][3] for e in seen)
-            return
-        for a, b in turns:
-            if a == at and b not in seen:
-                yield from ways(b, last, [*seen, b])
-
-    got = {}
-    for r in paths.best_ways(spark.createDataFrame(keys, "first_edge bigint, last_edge bigint"), edges, graph.connections(edges)).collect():
-        got[r["first_edge"], r["last_edge"]] = r["milli"]
-        steps = list(map(int, r["path"].split()))
-        assert all(p in turns for p in zip(steps, steps[1:]))
-    want = {k: min(ways(k[0], k[1], [k[0]]), default=None) for k in keys}
-    assert got == {k: int(x * 1000) for k, x in want.items() if x is not None}
+    net = [(e, e, e + 1, 1.0) for e in range(60)] + [(100 + e, 60 + e, 61 + e, 1.0) for e in range(3)]
+    edges = spark.createDataFrame(net, "edge_id bigint, fj bigint, tj bigint, length double")
+    keys = spark.createDataFrame([(101, 59), (57, 59), (40, 59), (102, 102)], "first_edge bigint, last_edge bigint")
+    assert rows(paths.least_lengths(keys, edges, graph.connections(edges)), "first_edge", "milli") == [(102, 1000), (40, 20000), (57, 3000)]
+    assert rows(paths.best_ways(keys, edges, graph.connections(edges), 2, 2.0), "first_edge", "milli") == [(102, 1000), (40, 20000), (57, 3000)]
+
+
+def test_second_way_over_an_edge_that_shorter_ways_reach(spark):
+    """Both shortest ways to edge 7 have edge 1; the second way of the pair reaches it later."""
+    from roadlake.operators import paths
+
+    net = [(0, 0, 1, 1.0), (1, 1, 2, 1.0), (2, 1, 4, 50.0), (3, 2, 9, 1.0), (4, 2, 3, 1.0), (5, 2, 3, 2.0), (6, 4, 3, 1.0), (7, 3, 1, 1.0)]
+    edges = spark.createDataFrame(net, "edge_id bigint, fj bigint, tj bigint, length double")
+    got = paths.best_ways(spark.createDataFrame([(0, 3)], "first_edge bigint, last_edge bigint"), edges, graph.connections(edges), 2, 100.0)
+    assert rows(got, "rank", "path") == [(1, "0 1 3"), (2, "0 2 6 7 1 3")]
 
 
 def test_draws_do_not_depend_on_partitions(spark):
