@@ -75,14 +75,14 @@ def merged_junctions(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select("from_edge", "to_edge").unionByName(second.select("from_edge", "to_edge")).distinct()
 
 
-def contracted_rings(edges: DataFrame, rings: DataFrame) -> DataFrame:
+def contracted_rings(edges: DataFrame, rings: DataFrame, kind: str = "bigint") -> DataFrame:
     """(edge_id, fj, tj): the graph with each ring of edges drawn together to one node ``r`` and its least edge.
 
     ``rings`` has ring (the ids of its edges, joined by spaces). Edges of rings vanish, the ends
-    of others move to the node; rings don't share junctions.
+    of others move to the node; rings don't share junctions. ``kind`` is the type of edge ids.
     """
     parts = F.transform(F.split("ring", " "), lambda e: e.cast("bigint"))
-    inside = rings.select(F.concat(F.lit("r"), F.array_min(parts).cast("string")).alias("node"), F.explode(parts).alias("edge_id"))
+    inside = rings.select(F.concat(F.lit("r"), F.array_min(parts).cast("string")).alias("node"), F.explode(parts).alias("edge_id")).withColumn("edge_id", F.col("edge_id").cast(kind))
     places = edges.join(inside, "edge_id").select(F.col("fj").alias("junction"), "node").distinct()
     rest = edges.join(inside.select("edge_id"), "edge_id", "left_anti").select("edge_id", "fj", "tj")
     end = lambda c: places.select(F.col("junction").alias(c), F.col("node").alias(f"n_{c}"))

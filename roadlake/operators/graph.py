@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
+from roadlake.operators import chains
 
 
 def connections(edges: DataFrame) -> DataFrame:
@@ -134,25 +135,50 @@ def removable(edges: DataFrame) -> DataFrame:
 
 
 def contracted(edges: DataFrame, through: DataFrame) -> DataFrame:
-    """(path, fj, tj, n_edges, length): chains of edges through junctions of ``through``.
+    """(path, fj, tj, n_edges, length, closed): chains of edges through junctions of ``through``.
 
-    Each chain starts at an edge from another junction and is followed, without turning back,
-    until it ends at one; the step table shrinks to nothing in as many rounds as the longest
-    chain has edges. Rings of nothing but such junctions have no start and are left out.
+    A junction of ``through`` sends each edge that comes in on to the one that doesn't turn back, so
+    edges form chains, which are ranked by pointer doubling (``chains.positions``). Rings of nothing
+    but such junctions begin at their least edge and are ``closed``.
     """
-    pass_on = through.select(F.col("junction"))
-    base = edges.select("edge_id", "fj", "tj", "length")
-    open_ = base.join(pass_on, base["fj"] == pass_on["junction"], "left_anti").select(F.col("edge_id").cast("string").alias("path"), "fj", F.col("fj").alias("back"), "tj", F.lit(1).cast("bigint").alias("n_edges"), F.col("length"))
-    done = []
-    step = base.select(F.col("edge_id").alias("e"), F.col("fj").alias("at"), F.col("tj").alias("to"), F.col("length").alias("l"))
+    base = written(edges.select("edge_id", "fj", "tj", "length"))
+    passed = through.select(F.col("junction").alias("fj"))
+    into = base.join(through.select(F.col("junction").alias("tj")), "tj", "left_semi").select(F.col("edge_id").alias("before"), F.col("fj").alias("back"), F.col("tj").alias("fj"))
+    led = base.join(passed, "fj", "left_semi").join(into, "fj").where("tj <> back").select(F.col("edge_id").alias("node"), "before")
+    free = base.join(passed, "fj", "left_anti").select(F.col("edge_id").alias("node"), F.lit(None).cast(base.schema["edge_id"].dataType).alias("before"))
+    placed, _ = chains.positions(written(led.unionByName(free)))
+    step = F.struct("rank", F.col("edge_id").cast("string").alias("e"), "fj", "tj")
+    whole = placed.join(base.withColumnRenamed("edge_id", "node"), "node").withColumn("edge_id", F.col("node")).groupBy("start", "closed").agg(F.array_sort(F.collect_list(step)).alias("s"), F.sum("length").alias("length"))
+    path = F.array_join(F.transform("s", lambda x: x["e"]), " ")
+    return whole.select(path.alias("path"), F.get("s", F.lit(0))["fj"].alias("fj"), F.element_at("s", -1)["tj"].alias("tj"), F.size("s").cast("bigint").alias("n_edges"), "length", "closed")
+
+
+def simplified(edges: DataFrame, rings: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """((edge_id, fj, tj, length), passes): chains and roundabouts drawn together until nothing changes.
+
+    edge_id lists the edges of the original in order, by spaces; junctions are strings. Chains end at
+    the junctions of ``rings`` (ring: ids of its edges, see ``edits.contracted_rings``) in the first pass;
+    then each ring becomes one node, which may let further chains through. A pass that finds no
+    junction to remove ends it. Closed rings of removable junctions stay, as one edge from
+    their first junction to itself.
+    """
+    from roadlake.operators import edits
+
+    now = written(edges.select(F.col("edge_id").cast("string").alias("edge_id"), F.col("fj").cast("string").alias("fj"), F.col("tj").cast("string").alias("tj"), "length"))
+    inside, passes = None, 0
+    if rings is not None:
+        inside = rings.select(F.explode(F.split("ring", " ")).alias("edge_id")).join(now, "edge_id").select(F.col("fj").alias("junction")).distinct()
     while True:
-        done.append(open_.join(pass_on, open_["tj"] == pass_on["junction"], "left_anti").drop("back"))
-        going = open_.join(pass_on, open_["tj"] == pass_on["junction"], "left_semi")
-        grown = going.join(step, (going["tj"] == step["at"]) & (step["to"] != going["back"]))
-        open_ = written(grown.select(F.concat_ws(" ", "path", F.col("e").cast("string")).alias("path"), "fj", F.col("at").alias("back"), F.col("to").alias("tj"), (F.col("n_edges") + 1).alias("n_edges"), (F.col("length") + F.col("l")).alias("length")))
-        if open_.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, done)
+        gone = removable(now) if inside is None else removable(now).join(inside, "junction", "left_anti")
+        gone = written(gone)
+        passes += 1
+        if not gone.isEmpty():
+            now = written(contracted(now, gone).select(F.col("path").alias("edge_id"), "fj", "tj", "length"))
+        elif inside is None:
+            return now, passes
+        if inside is not None:
+            drawn = edits.contracted_rings(now, rings, "string")
+            now, inside = written(drawn.join(now.select("edge_id", "length"), "edge_id")), None
 
 
 def bounded_paths(edges: DataFrame, start: Column, hops: int) -> DataFrame:

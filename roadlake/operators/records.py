@@ -39,15 +39,19 @@ def first_runs(lines: DataFrame) -> DataFrame:
 
 
 def ancestors(log: DataFrame) -> DataFrame:
-    """(name, step, source): the names that each one was made from, step by step back through a log (name, source)."""
+    """(name, step, source): the names that each one was made from, step by step back through a log (name, source).
+
+    Each round goes twice as far back: ways of s steps are joined with all ways of at most s.
+    """
     from roadlake.functions.storage import written
 
-    made = log.select(F.col("name").alias("source"), F.col("source").alias("next"))
-    found = level = written(log.select("name", F.lit(1).cast("bigint").alias("step"), "source"))
-    while not level.isEmpty():
-        level = written(level.join(made, "source").select("name", (F.col("step") + 1).alias("step"), F.col("next").alias("source")))
-        found = found.unionByName(level)
-    return found
+    found, reach = written(log.select("name", F.lit(1).cast("bigint").alias("step"), "source")), 1
+    while True:
+        on = found.select(F.col("name").alias("source"), (F.col("step") + reach).alias("step"), F.col("source").alias("from"))
+        grown = written(found.where(F.col("step") == reach).select("name", "source").join(on, "source").select("name", "step", F.col("from").alias("source")))
+        if grown.isEmpty():
+            return found
+        found, reach = written(found.unionByName(grown)), 2 * reach
 
 
 def phase_order(phases: DataFrame) -> DataFrame:

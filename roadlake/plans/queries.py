@@ -312,15 +312,28 @@ def removable_junctions(spark, sf):
     return graph.removable(_region_graph(spark, sf)[0])
 
 
-@query(REMOVABLE + """, chase(path, fj, back, tj, n_edges, milli) as (
+CHASE = REMOVABLE + """, chase(path, fj, back, tj, n_edges, milli) as (
 select edge_id::varchar, fj, fj, tj, 1::bigint, floor(length * 1000)::bigint from g where fj not in (select junction from rm)
-union all select path || ' ' || g.edge_id, c.fj, g.fj, g.tj, n_edges + 1, milli + floor(g.length * 1000)::bigint from chase c join g on c.tj = g.fj and g.tj <> c.back where c.tj in (select junction from rm))
-select path, fj, tj, n_edges, milli from chase where tj not in (select junction from rm)""")
+union all select path || ' ' || g.edge_id, c.fj, g.fj, g.tj, n_edges + 1, milli + floor(g.length * 1000)::bigint from chase c join g on c.tj = g.fj and g.tj <> c.back where c.tj in (select junction from rm)),
+ring(first_, path, fj, back, tj, n_edges, milli) as (select edge_id, edge_id::varchar, fj, fj, tj, 1::bigint, floor(length * 1000)::bigint from g where fj in (select junction from rm)
+union all select first_, path || ' ' || g.edge_id, r.fj, g.fj, g.tj, n_edges + 1, milli + floor(g.length * 1000)::bigint from ring r join g on r.tj = g.fj and g.tj <> r.back where r.tj in (select junction from rm) and g.edge_id > first_),
+drawn as (select path, fj, tj, n_edges, milli, false as closed from chase where tj not in (select junction from rm)
+union all select r.path, r.fj, r.tj, n_edges, milli, true from ring r join g on g.edge_id = first_ where r.tj = g.fj and g.tj <> r.back) """
+
+
+@query(CHASE + "select * from drawn")
 def contract_chains(spark, sf):
     edges = _region_graph(spark, sf)[0].withColumn("length", F.floor(F.col("length") * 1000))
     return graph.contracted(edges, graph.removable(edges)).withColumnRenamed("length", "milli")
 
 
+@query()
+def simplify_network(spark, sf):
+    """The whole network with its chains and roundabouts drawn together until nothing changes."""
+    edges = v.edge(spark, sf).withColumn("length", F.floor(F.col("length") * 1000))
+    return graph.simplified(edges, graph.rings(edges, 3))[0].withColumnRenamed("length", "milli")
+
+
 @query(", k as (select distinct edge_id from v_route where mark = 0) select edge_id, fj, tj from v_edge semi join k using (edge_id)")
 def subgraph_by_edges(spark, sf):
     return graph.subgraph(v.edge(spark, sf), v.route(spark, sf).where("mark = 0")).select("edge_id", "fj", "tj")

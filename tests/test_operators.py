@@ -87,7 +87,7 @@ def test_graph_parts(spark, tiny):
     assert rows(graph.inner_junctions(tiny, con)) == [(1,), (2,), (3,), (4,), (5,)]
     assert rows(graph.removable(tiny)) == [(1,), (3,)]
     chains = graph.contracted(tiny, graph.removable(tiny))
-    assert rows(chains) == [("2 3", 2, 4, 2, 50.0), ("4 1", 4, 2, 2, 50.0), ("5", 2, 5, 1, 50.0), ("6", 5, 2, 1, 60.0), ("7", 4, 6, 1, 70.0)]
+    assert rows(chains) == [("2 3", 2, 4, 2, 50.0, False), ("4 1", 4, 2, 2, 50.0, False), ("5", 2, 5, 1, 50.0, False), ("6", 5, 2, 1, 60.0, False), ("7", 4, 6, 1, 70.0, False)]
 
 
 def test_set_operations_on_graphs(spark, tiny):
@@ -313,6 +313,73 @@ def test_chains_of_any_length(spark):
     assert chains[(0, 200)] == 200
 
 
+def test_positions_in_chains_and_rings(spark):
+    """A chain of 10,000 in at most 20 rounds, short chains and rings of many sizes, a chain without its start."""
+    from roadlake.operators import chains
+
+    rnd = random.Random(5)
+    order, at, links, want = rnd.sample(range(20_000), 20_000), 0, [], {}
+    for size, closed in [(10_000, False), (1, False), (2, False), (7, False), (1, True), (2, True), (3, True), (64, True), (100, True), (777, True)]:
+        part = order[at : at + size]
+        at += size
+        part = part[part.index(min(part)) :] + part[: part.index(min(part))] if closed else part
+        links += [(n, part[k - 1] if k or closed else None) for k, n in enumerate(part)]
+        want |= {n: (part[0], k, closed) for k, n in enumerate(part)}
+    lost = order[at : at + 5]
+    links += list(zip(lost[1:], lost, strict=False))
+    found, rounds = chains.positions(spark.createDataFrame(links, "node bigint, before bigint"))
+    got = {r["node"]: (r["start"], r["rank"], r["closed"]) for r in found.collect()}
+    assert got == want
+    line = spark.createDataFrame([(k, k - 1 if k else None) for k in range(10_000)], "node bigint, before bigint")
+    assert chains.positions(line)[1] <= 20
+
+
+def test_closed_rings_are_chains_of_their_own(spark):
+    ring = [(10 + k, 100 + k, 100 + (k + 1) % 4, 1.0) for k in range(4)] + [(50, 1, 2, 1.0), (51, 2, 3, 1.0)]
+    edges = spark.createDataFrame(ring, "edge_id bigint, fj bigint, tj bigint, length double")
+    assert rows(graph.contracted(edges, graph.removable(edges))) == [("10 11 12 13", 100, 100, 4, 4.0, True), ("50 51", 1, 3, 2, 2.0, False)]
+
+
+def plain_simplified(net, ring):
+    """One junction after another, then the ring, then junctions again."""
+    edges = {(str(e),): (str(a), str(b)) for e, a, b in net}
+    kept = {edges[(str(e),)][0] for e in ring}
+    while True:
+        while True:
+            into, out = {}, {}
+            for e, (a, b) in edges.items():
+                out.setdefault(a, []).append(e)
+                into.setdefault(b, []).append(e)
+            for j in sorted(into.keys() & out.keys()):
+                sources, targets = [edges[e][0] for e in into[j]], [edges[e][1] for e in out[j]]
+                one = len(sources) == len(targets) == 1 and sources != targets
+                two = len(sources) == len(targets) == 2 == len(set(sources)) and set(sources) == set(targets)
+                if (one or two) and j not in kept and j not in sources:
+                    for e in into[j]:
+                        f = next(f for f in out[j] if edges[f][1] != edges[e][0])
+                        edges[e + f] = (edges[e][0], edges[f][1])
+                    for e in {*into[j], *out[j]}:
+                        del edges[e]
+                    break
+            else:
+                break
+        if not kept:
+            return sorted((" ".join(e), a, b) for e, (a, b) in edges.items())
+        node = f"r{min(ring)}"
+        edges = {e: tuple(node if j in kept else j for j in ends) for e, ends in edges.items() if e not in {(str(x),) for x in ring}}
+        kept = set()
+
+
+def test_simplified_is_that_of_one_junction_after_another(spark):
+    """A roundabout of four with two arms that go on as chains once it is a node, and a two-way road beside."""
+    net = [(1, 1, 2), (2, 2, 3), (3, 3, 4), (4, 4, 1), (5, 50, 51), (6, 51, 1), (7, 3, 60), (8, 60, 61), (9, 61, 62)]
+    net += [(20, 70, 71), (21, 71, 70), (22, 71, 72), (23, 72, 71), (24, 72, 73), (25, 73, 72), (26, 73, 90), (27, 73, 91)]
+    edges = spark.createDataFrame([(*e, 1.0) for e in net], "edge_id bigint, fj bigint, tj bigint, length double")
+    found, passes = graph.simplified(edges, spark.createDataFrame([("1 2 3 4",)], "ring string"))
+    assert rows(found, "edge_id", "fj", "tj") == plain_simplified(net, [1, 2, 3, 4])
+    assert ("5 6 7 8 9", "50", "62") in rows(found, "edge_id", "fj", "tj") and passes == 3
+
+
 def test_moves_in_blocks_are_those_of_all(spark):
     rnd = random.Random(4)
     points = spark.createDataFrame([(k, rnd.randint(0, 50), rnd.randint(0, 50), rnd.randint(1, 5)) for k in range(300)], "id bigint, x bigint, y bigint, w bigint")
