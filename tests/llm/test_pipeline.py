@@ -113,3 +113,27 @@ def test_secret_stage_takes_long_terms_of_many_parts(spark, folder):
     texts = ["ab-" * 350_000 + "1", "12." * 350_000 + "1"]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert {r["doc_id"]: r["text"] for r in pipeline.secret_stage(spark, docs, folder).collect()} == dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("small, block, shingles", [(24, 512, 1 << 18), (1, 3, 200)])
+def test_buckets_of_many_unlike_sets_lose_no_pair(spark, monkeypatch, small, block, shingles):
+    """Variants of one text that are 0.5 to 0.95 alike, of many sizes: their groups are those of all pairs."""
+    near_copies = pipeline.near_copies
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(150):
+        text = base[: rnd.choice([60, 60, 48, 40])]
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            text[rnd.randrange(len(text))] = f"x{rnd.randrange(10**6)}"
+        texts.append(text)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    tops = lowest_reachable(list(range(150)), lambda a, b: len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]) or (print_of(" ".join(texts[a])) ^ print_of(" ".join(texts[b]))).bit_count() <= 2)
+    for name, value in (("SMALL_BUCKET", small), ("BLOCK_SETS", block), ("BLOCK_SHINGLES", shingles)):
+        monkeypatch.setattr(near_copies, name, value)
+    docs = spark.createDataFrame([(k, " ".join(t), k) for k, t in enumerate(texts)], "doc_id long, text string, row long")
+    groups = {}
+    for r in near_copies.near_copies(docs, "row").collect():
+        groups.setdefault(r["root"], []).append(r["doc_id"])
+    assert len(set(tops)) > 5
+    assert sorted(map(sorted, groups.values())) == sorted([k for k, t in enumerate(tops) if t == top] for top in set(tops))
