@@ -65,8 +65,9 @@ covered as (select rid, count(distinct p) as n from (select rid, unnest(range(k,
 lines as (select rid, source, text, unnest(string_split(text, chr(10))) as line from docs),
 full_lines as (select *, trim(regexp_replace(translate(line, {LOWER}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as norm, len(regexp_extract_all(line, '{WORD}')) as n from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dups as (select rid, count(*) - count(distinct line) as n from full_lines group by rid),
-hosts as (select source, count(*) as n from docs group by source),
-frequent as (select f.source, norm from full_lines f join hosts h on f.source is not distinct from h.source group by f.source, norm, h.n having count(distinct rid) > 50 and count(distinct rid) > 0.1 * h.n and count(distinct left(md5(text), 1)) > 8),
+keyed as (select rid, source, coalesce('i' || doc_id, 't' || md5(text)) as key from docs),
+hosts as (select source, count(distinct key) as n from keyed group by source),
+frequent as (select f.source, norm from full_lines f join hosts h on f.source is not distinct from h.source join keyed k on k.rid = f.rid group by f.source, norm, h.n having count(distinct key) > 50 and count(distinct key) > 0.1 * h.n and count(distinct text) > 12),
 gone as (select rid, sum(f.n) as n from full_lines f join frequent q on f.norm = q.norm and f.source is not distinct from q.source group by rid),
 counts as (select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
   coalesce(d.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, len(w) - coalesce(g.n, 0) as left_words from worded left join dups d using (rid) left join covered c using (rid) left join gone g using (rid)),

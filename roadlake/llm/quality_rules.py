@@ -19,11 +19,11 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A line is boilerplate of a host if more documents than this, and more than this share of the
-#: host's, contain it, and the md5 sums of their texts begin with more different hex digits than
-#: this: so a line that only the many copies of a few texts hold isn't.
+#: host's, contain it, and more different texts than this: so a line that only the many copies of a
+#: few texts hold isn't.
 MAX_LINE_DOCS = 50
 MAX_LINE_SHARE = 0.10
-MIN_LINE_DIGITS = 8
+MIN_LINE_TEXTS = 12
 #: A document is depleted if fewer words, or a smaller share of them, are left without such lines.
 MIN_LEFT_WORDS = 20
 MIN_LEFT_SHARE = 0.3
@@ -133,48 +133,76 @@ def measured(text: Column) -> Column:
     return F.arrow_udf(run, MEASURED)(text)
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes ``gone``; null where it has none of them."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, hashes in batches:
+            out = []
+            for t, h in zip(texts.to_pylist(), hashes.to_pylist(), strict=True):
+                if not h:
+                    out.append(None)
+                    continue
+                drop, lines = set(h), t.split("\n")
+                own = [line.encode().translate(LOWER.tobytes()).split() for line in lines]
+                kept = [line for line, words in zip(lines, own, strict=True) if not words or np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).astype(np.int64) not in drop]
+                out.append("\n".join(kept))
+            yield pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(text, gone)
+
+
 def frequent_lines(texts: DataFrame) -> DataFrame:
     """(host, frequent): the hashes of the lines that are boilerplate of each host that has any.
 
-    ``texts`` has host, digit (0 to 15) and lines. Every task counts its own rows before the
-    shuffle, so neither a host nor a line that a third of all rows share is one task's work. Each
-    such line is in over a tenth of the host's documents, so a host has at most ten times as many as
-    its documents have lines, on average.
+    ``texts`` has host, key (of the document), content (of the text) and lines. Lines are first counted
+    by rows, in every task before the shuffle, so neither a host nor a line that a third of all rows
+    share is one task's work. Only for those that could be above the limits are distinct documents and
+    distinct texts counted, exactly. Each of these is in over a tenth of the host's documents, so a
+    host has at most ten times as many as its documents have lines, on average.
     """
-    lines = texts.select("host", F.expr("shiftleft(1, digit)").alias("digits"), F.explode("lines.hash").alias("hash"))
-    lines = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs"), F.bit_count(F.bit_or("digits")).alias("n_digits")).where((F.col("n_docs") > MAX_LINE_DOCS) & (F.col("n_digits") > MIN_LINE_DIGITS))
-    hosts = texts.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("n_host"))
-    above = lines.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > MAX_LINE_SHARE * F.col("n_host"))
-    return above.groupBy("host").agg(F.collect_list("hash").alias("frequent"))
+    lines = texts.select("host", F.explode("lines.hash").alias("hash"))
+    often = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > MAX_LINE_DOCS)
+    hosts = texts.groupBy(F.col("host").alias("of")).agg(F.count_distinct("key").alias("n_host"))
+    above = often.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_rows") > MAX_LINE_SHARE * F.col("n_host"))
+    likely = written(above.groupBy(F.col("host").alias("of")).agg(F.collect_list("hash").alias("likely"), F.max("n_host").alias("n_host")))
+    held = texts.join(likely, F.col("host").eqNullSafe(F.col("of"))).select("host", "n_host", "key", "content", F.explode(F.array_intersect("lines.hash", "likely")).alias("hash"))
+    counted = held.groupBy("host", "hash").agg(F.max("n_host").alias("n_host"), F.count_distinct("key").alias("n_docs"), F.count_distinct("content").alias("n_texts"))
+    over = (F.col("n_docs") > MAX_LINE_DOCS) & (F.col("n_docs") > MAX_LINE_SHARE * F.col("n_host")) & (F.col("n_texts") > MIN_LINE_TEXTS)
+    return counted.where(over).groupBy("host").agg(F.collect_list("hash").alias("frequent"))
 
 
 def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(doc, q) of every row of ``docs``: its columns ``keep`` (all of them), and the verdict.
+    """(doc, q, gone) of every row of ``docs``: its columns ``keep`` (all of them), the verdict, and its frequent lines.
 
     ``q`` holds the counts, base_failed and kept. A document fails by its own text (fewer than 20
     words, or over 30 percent of its words in repeated windows), or since too little is left of it
-    without its host's frequent lines. ``source`` is the host; a null source is a host of its own,
-    a null or empty text fails, repeated rows are so many documents, and an empty table gives no
-    rows. Texts are read once: what is measured is written beside ``keep``, and the frequent lines
-    are joined by host, by whichever join their size calls for.
+    without its host's frequent lines; ``gone`` has the hashes of those. ``source`` is the host; a null
+    source is a host of its own, a null or empty text fails, rows of one doc_id are one document (rows
+    without an id are the same if their texts are), and an empty table gives no rows. Texts are read
+    once: what is measured is written beside ``keep``, and the frequent lines are joined by host, by
+    whichever join their size calls for.
     """
-    digit = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 1), 16, 10).cast("int")
-    texts = written(docs.select(F.struct(*(keep or docs.columns)).alias("doc"), F.col("source").alias("host"), digit.alias("digit"), measured(F.col("text")).alias("m")))
-    frequent = written(frequent_lines(texts.select("host", "digit", "m.lines"))).withColumnRenamed("host", "of")
+    content = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.hex(content)))
+    texts = written(docs.select(F.struct(*(keep or docs.columns)).alias("doc"), F.col("source").alias("host"), key.alias("key"), content.alias("content"), measured(F.col("text")).alias("m")))
+    frequent = written(frequent_lines(texts.select("host", "key", "content", "m.lines"))).withColumnRenamed("host", "of")
     joined = texts.join(frequent, F.col("host").eqNullSafe(F.col("of")), "left")
-    gone = F.aggregate(F.filter("m.lines", lambda line: F.array_contains("frequent", line["hash"])), F.lit(0).cast("bigint"), lambda n, line: n + line["n"])
-    left = F.col("m.n_words") - F.coalesce(gone, F.lit(0))
+    hits = joined.select("doc", "m", F.coalesce(F.array_intersect("m.lines.hash", "frequent"), F.array().cast("array<bigint>")).alias("gone"))
+    words = F.aggregate(F.filter("m.lines", lambda line: F.array_contains("gone", line["hash"])), F.lit(0).cast("bigint"), lambda n, line: n + line["n"])
+    left = F.col("m.n_words") - F.when(F.size("gone") > 0, words).otherwise(0)
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
     depleted = (left < MIN_LEFT_WORDS) | (left < MIN_LEFT_SHARE * F.col("m.n_words"))
     counts = [F.col(f"m.{part.split()[0]}") for part in COUNTS.split(", ")]
-    return joined.select("doc", F.struct(*counts, failed.alias("base_failed"), (~failed & ~depleted).alias("kept")).alias("q"))
+    return hits.select("doc", F.struct(*counts, failed.alias("base_failed"), (~failed & ~depleted).alias("kept")).alias("q"), "gone")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    return judged(docs).where("q.kept").select("doc.*")
+    """(doc, text): the rows of ``docs`` that pass, and their texts without their host's frequent lines."""
+    kept = judged(docs).where("q.kept")
+    return kept.select("doc", F.coalesce(without_lines(F.col("doc.text"), F.col("gone")), F.col("doc.text")).alias("text"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_failed and kept of every row of ``docs``."""
+    """doc_id, counts, base_failed and kept of every row of ``docs``; see ``judged`` for nulls, repeated rows and empty tables."""
     return judged(docs, ["doc_id"]).select("doc.doc_id", "q.*")

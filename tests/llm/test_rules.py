@@ -30,16 +30,25 @@ def base(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dups, len(covered), failed
 
 
-def kept(rows):
-    normal = lambda line: re.sub("[\x20\x09-\x0D]+", " ", line.translate(LOWER)).strip(" ")
-    sizes, holders, digits = Counter(), Counter(), {}
-    for _, t, _, s, *_ in rows:
-        sizes[s] += 1
+def normal(line):
+    return re.sub("[\x20\x09-\x0D]+", " ", line.translate(LOWER)).strip(" ")
+
+
+def boilerplate(rows):
+    """Whether a line is one of a host, by sets of documents and of texts."""
+    of_host, holders, texts = {}, {}, {}
+    for i, t, _, s, *_ in rows:
+        key = ("t", t or "") if i is None else ("i", i)
+        of_host.setdefault(s, set()).add(key)
         for line in {normal(x) for x in (t or "").split("\n")} - {""}:
-            holders[s, line] += 1
-            digits.setdefault((s, line), set()).add(hashlib.md5((t or "").encode()).hexdigest()[0])
+            holders.setdefault((s, line), set()).add(key)
+            texts.setdefault((s, line), set()).add(t)
     limits = quality_rules
-    common = lambda s, line: holders[s, line] > max(limits.MAX_LINE_DOCS, limits.MAX_LINE_SHARE * sizes[s]) and len(digits[s, line]) > limits.MIN_LINE_DIGITS
+    return lambda s, line: len(holders[s, line]) > max(limits.MAX_LINE_DOCS, limits.MAX_LINE_SHARE * len(of_host[s])) and len(texts[s, line]) > limits.MIN_LINE_TEXTS
+
+
+def kept(rows):
+    common, limits = boilerplate(rows), quality_rules
     for _, t, _, s, *_ in rows:
         n, *_, failed = base(t)
         gone = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if normal(x) and common(s, normal(x)))
@@ -49,16 +58,16 @@ def kept(rows):
 @pytest.mark.parametrize("limit", [50, 2])
 def test_verdicts(docs, rows, monkeypatch, limit):
     monkeypatch.setattr(quality_rules, "MAX_LINE_DOCS", limit)
-    monkeypatch.setattr(quality_rules, "MIN_LINE_DIGITS", 1 if limit == 2 else 8)
+    monkeypatch.setattr(quality_rules, "MIN_LINE_TEXTS", 1 if limit == 2 else 12)
     want = [(r[0], *base(r[1]), k) for r, k in zip(rows, kept(rows), strict=True)]
     got = quality_rules.verdicts(docs)
     assert plain(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == sorted(want, key=repr)
-    assert quality_rules.kept_documents(docs).columns == docs.columns
+    assert quality_rules.kept_documents(docs).select("doc.*").columns == docs.columns
 
 
 def test_frequent_lines_deplete(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "MAX_LINE_DOCS", 3)
-    monkeypatch.setattr(quality_rules, "MIN_LINE_DIGITS", 1)
+    monkeypatch.setattr(quality_rules, "MIN_LINE_TEXTS", 1)
     common = " ".join(f"menu{k}" for k in range(30))
     own = lambda k: "\n".join(f"w{k}a{j} w{k}b{j} w{k}c{j}" for j in range(12))
     rows = [(k, f"{common.upper()}  \n{'' if k % 2 else own(k)}\nlast {k}", None, "h" if k < 8 else "g", 1) for k in range(10)] + [(50, own(50), None, "h", 1), (51, own(50), None, "h", 1)]
@@ -67,6 +76,31 @@ def test_frequent_lines_deplete(spark, monkeypatch):
     assert got == {r[0]: k for r, k in zip(rows, kept(rows), strict=True)}
 
 
+def test_documents_and_texts_are_counted_exactly(spark):
+    """60 documents of 12 texts share no boilerplate, of 13 they do; repeated rows of a document count once."""
+    filler = lambda k: "\n".join(f"w{k}a{j} w{k}b{j} w{k}c{j} w{k}d{j}" for j in range(10))
+    menu = " ".join(f"menu{k}" for k in range(100))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for n_texts, n_docs, gone in ((12, 60, False), (13, 60, True), (51, 51, True), (13, 50, False)):
+        rows = [(k, f"{menu}\n{filler(k % n_texts)}", None, "h", 1) for k in range(n_docs)]
+        rows += rows[:5] * 4
+        got = {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(spark.createDataFrame(rows, schema)).collect()}
+        assert set(got.values()) == {not gone} and list(kept(rows)) == [not gone] * len(rows)
+
+
+def test_frequent_lines_are_taken_out_of_kept_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MAX_LINE_DOCS", 3)
+    monkeypatch.setattr(quality_rules, "MIN_LINE_TEXTS", 1)
+    own = lambda k: [f"w{k}a{j} é{k}b{j} w{k}c{j}" for j in range(12)]
+    rows = [(k, "\n".join([f"Menu  One{' ' * k}", *own(k), "", "menu one\t", "É é"][: 15 + k % 2]), None, "h", 1) for k in range(8)]
+    common, found = boilerplate(rows), {}
+    for i, t, _, s, *_ in rows:
+        found[i] = "\n".join(x for x in t.split("\n") if not normal(x) or not common(s, normal(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc.doc_id"]: r["text"] for r in quality_rules.kept_documents(df).select("doc.doc_id", "text").withColumnRenamed("doc_id", "doc.doc_id").collect()} == found
+    assert all("enu" not in t and "w" in t for t in found.values()) and found[1].endswith("É é") is False
+
+
 def test_copies_do_not_make_their_own_lines_boilerplate(spark):
     text = "\n".join(f"w{j} x{j} y{j} z{j}" for j in range(10))
     rows = [(k, text, None, "h", 1) for k in range(200)]
