@@ -12,12 +12,12 @@ from roadlake.llm.queries import table, vocabulary_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep.
+    """Documents that the quality rules keep, without the lines that are boilerplate of their host.
 
     Null and empty texts fail; repeated rows pass or fail together; an empty table gives no rows.
     Columns of any name pass through.
     """
-    return quality_rules.kept_documents(docs)
+    return _with_text(quality_rules.kept_documents(docs), F.col("text"), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
