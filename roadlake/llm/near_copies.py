@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadlake.functions.storage import drop_written, written
 from roadlake.llm import simhash
-from roadlake.llm._batch import LOWER, SPACE, each, text_bytes, with_breaks, word_bounds
+from roadlake.llm._batch import LOWER, SPACE, chunks, each, text_bytes, with_breaks, word_bounds
 from roadlake.operators.components import connected_components
 
 WORDS = 5
@@ -81,21 +81,24 @@ def sketch(text: Column) -> Column:
     return F.arrow_udf(run, "struct<fp: bigint, sid: binary, n: bigint, keys: array<bigint>>")(text)
 
 
-def shingles(text: Column) -> Column:
-    """The set of shingles of a text as an ascending array."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in each(batches):
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with ``set``, the ascending shingles of their text, in place of the text; they leave chunk by chunk."""
+    names = ["sid", "fp", "n", "keys"]
+    for batch in batches:
+        at = 0
+        for texts in chunks(batch.column("text")):
             hashes, counts = shingle_sets(texts)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
-
-    return F.arrow_udf(run, "array<bigint>")(text)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
+            rows = batch.slice(at, len(texts))
+            at += len(texts)
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], lists], [*names, "set"])
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, sids: DataFrame, row: str) -> DataFrame:
     """(sid, fp, n, keys, set) of some shingle sets, as a written table."""
     wanted = nodes.join(sids.distinct(), "sid", "left_semi")
-    return written(docs.select(row, "text").join(wanted, row).select("sid", "fp", "n", "keys", shingles(F.col("text")).alias("set")))
+    texts = docs.select(row, "text").join(wanted, row).select("sid", "fp", "n", "keys", "text")
+    return written(texts.mapInArrow(_with_sets, "sid binary, fp bigint, n bigint, keys array<bigint>, set array<bigint>"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:

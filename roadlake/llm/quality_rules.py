@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
-from roadlake.llm._batch import LOWER, SPACE, each, per_text, slices, text_bytes, with_breaks, word_bounds
+from roadlake.llm._batch import LOWER, SPACE, chunks, each, per_text, slices, text_bytes, with_breaks, word_bounds
 
 #: Fixed value: the symbols that are counted.
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
@@ -136,18 +136,18 @@ def measured(text: Column) -> Column:
 def without_lines(text: Column, gone: Column) -> Column:
     """The text without the lines whose normalised form has one of the hashes ``gone``; null where it has none of them."""
 
+    def cut(t: str, drop: set[int]) -> str:
+        lines = t.split("\n")
+        own = (line.encode().translate(LOWER.tobytes()).split() for line in lines)
+        return "\n".join(line for line, words in zip(lines, own, strict=True) if not words or xxhash.xxh64_intdigest(b" ".join(words)) not in drop)
+
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, hashes in batches:
-            out = []
-            for t, h in zip(texts.to_pylist(), hashes.to_pylist(), strict=True):
-                if not h:
-                    out.append(None)
-                    continue
-                drop, lines = set(h), t.split("\n")
-                own = [line.encode().translate(LOWER.tobytes()).split() for line in lines]
-                kept = [line for line, words in zip(lines, own, strict=True) if not words or np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).astype(np.int64) not in drop]
-                out.append("\n".join(kept))
-            yield pa.array(out, pa.string())
+            at = 0
+            for part in chunks(texts):
+                drops = hashes.slice(at, len(part)).to_pylist()
+                at += len(part)
+                yield pa.array([cut(part[k].as_py(), {h % (1 << 64) for h in drop}) if drop else None for k, drop in enumerate(drops)], pa.string())
 
     return F.arrow_udf(run, "string")(text, gone)
 
