@@ -69,7 +69,7 @@ def density_clusters(ids: DataFrame, close: DataFrame, min_samples: int) -> Data
     labels = cores.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
     borders = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
     found = ids.select("id").join(labels, "id", "left").join(borders, "id", "left")
-    return found.select("id", F.coalesce("label", "near", F.lit(-1)).alias("label"))
+    return found.select("id", F.coalesce("label", "near", F.lit(-1).cast(ids.schema["id"].dataType)).alias("label"))
 
 
 def round_robin(clustered: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadlake.operators import edits, graph, paths, planning, scenario, sequences
+from roadlake.operators import edits, graph, paths, planning, scenario, sequences, subnetworks
 from roadlake.plans import views as v
 from roadlake.plans.queries import LISTS, PAIRS, RING, RUNS, query
 
@@ -280,3 +280,11 @@ def bottleneck_penalised(spark, sf):
     edges = v.edge(spark, sf).select("edge_id", "tj", F.floor(F.col("speed") / 15).alias("class"))
     lights = edges.where("tj % 5 = 0").select(F.col("tj").alias("junction")).distinct()
     return scenario.penalised_bottlenecks(v.route(spark, sf), edges, lights)
+
+
+@query()
+def batch_subnetworks(spark, sf):
+    """The edges that vehicles of each two years may use inside the region, one memo of ends serving all batches."""
+    edges = v.edge(spark, sf)
+    found = subnetworks.subnetworks(v.vehicle(spark, sf), v.route(spark, sf), v.region(spark, sf), graph.connections(edges), 2 * 365 * 86400)
+    return found.select("episode", "vehicle_id", "status", F.array_join(F.transform("edges", lambda e: e.cast("string")), " ").alias("edges"))
