@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.formulas import congestion_index
+from roadlake.operators.sequences import placed
 
 
 def per_interval(dump: DataFrame) -> DataFrame:
@@ -54,12 +55,22 @@ def attribute_sum(dump: DataFrame, name: str) -> DataFrame:
     return dump.groupBy("edge_id").agg(total.alias("total"), F.floor(total / F.count_distinct("begin")).alias("per_interval"))
 
 
-def smoothed(dump: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """(edge_id, n, smooth): measurements folded in order of begin and event_id, newest with weight alpha."""
-    seen = F.array_sort(F.collect_list(F.struct("begin", "event_id", "traveltime")))
-    lists = dump.groupBy("edge_id").agg(seen.alias("s"))
-    fold = F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0]["traveltime"], lambda t, x: t * (1 - alpha) + x["traveltime"] * alpha)
-    return lists.select("edge_id", F.size("s").cast("bigint").alias("n"), F.floor(fold * 1000).alias("smooth_milli"))
+def smoothed(dump: DataFrame, alpha: float = 0.5, block: int = 1024) -> DataFrame:
+    """(edge_id, n, smooth): measurements folded in order of begin and event_id, newest with weight alpha.
+
+    A run of measurements turns what was smoothed before it, t, into factor * t + sum; two runs make one.
+    So blocks of measurements are folded by themselves, and an edge's blocks one after another: no
+    array holds all values of an edge.
+    """
+    at = placed(dump.select("edge_id", "begin", "event_id", "traveltime"), "edge_id", ["begin", "event_id"])
+    steps = F.array_sort(F.collect_list(F.struct("place", "traveltime")))
+    blocks = at.groupBy("edge_id", F.floor(F.col("place") / block).alias("b")).agg(steps.alias("s"))
+    first = lambda x: x["place"] == 0
+    step = lambda t, x: F.struct(F.when(first(x), 0.0).otherwise(t["factor"] * (1 - alpha)).alias("factor"), F.when(first(x), x["traveltime"]).otherwise(t["sum"] * (1 - alpha) + x["traveltime"] * alpha).alias("sum"))
+    folded = blocks.select("edge_id", "b", F.size("s").alias("n"), F.aggregate("s", F.struct(F.lit(1.0).alias("factor"), F.lit(0.0).alias("sum")), step).alias("f"))
+    runs = folded.groupBy("edge_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("b", "f"))).alias("r"))
+    total = F.aggregate("r", F.lit(0.0), lambda t, x: t * x["f"]["factor"] + x["f"]["sum"])
+    return runs.select("edge_id", "n", F.floor(total * 1000).alias("smooth_milli"))
 
 
 def contribution(changed: DataFrame, diffs: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadlake.functions.storage import written
 from roadlake.operators.records import draw
+from roadlake.operators.sequences import placed
 
 
 def pareto_front(rows: DataFrame, first: str, second: str) -> DataFrame:
@@ -31,22 +33,34 @@ def pareto_front(rows: DataFrame, first: str, second: str) -> DataFrame:
 def crowding(rows: DataFrame, group: str, objectives: list[str]) -> DataFrame:
     """``rows`` (with id) and their crowding in whole millionths: for each objective the gap
     between neighbours by the range of the group; ends count as one range.
+
+    Neighbours are those of the places before and after (``sequences.placed``), found by joins, so a group
+    that a third of all rows are in isn't one task's work.
     """
     out, total = rows, F.lit(0)
     for name in objectives:
-        order = W.partitionBy(group).orderBy(name, "id")
-        span = F.max(name).over(W.partitionBy(group)) - F.min(name).over(W.partitionBy(group))
-        gap = F.lead(name).over(order) - F.lag(name).over(order)
-        out = out.withColumn(f"_{name}", F.when(span == 0, 0).otherwise(F.coalesce(F.floor(gap * 1_000_000 / span), F.lit(1_000_000))))
+        at = written(placed(rows.select(F.col(group).alias("_g"), F.col(name).alias("_v"), F.col("id").alias("_id")), "_g", ["_v", "_id"]))
+        beside = lambda by, value: at.select(F.col("_g").alias("_h"), (F.col("place") + by).alias("_at"), F.col("_v").alias(value))  # noqa: B023, E731
+        spans = at.groupBy(F.col("_g").alias("_s")).agg((F.max("_v") - F.min("_v")).alias("_span"))
+        found = at
+        for by, value in ((1, "_low"), (-1, "_high")):
+            found = found.join(beside(by, value), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("place") == F.col("_at")), "left").drop("_h", "_at")
+        found = found.join(spans, F.col("_g").eqNullSafe(F.col("_s")))
+        gap = F.when(F.col("_span") == 0, 0).otherwise(F.coalesce(F.floor((F.col("_high") - F.col("_low")) * 1_000_000 / F.col("_span")), F.lit(1_000_000)))
+        out = out.join(found.select(F.col("_id").alias("id"), gap.alias(f"_{name}")), "id")
         total = total + F.col(f"_{name}")
     return out.withColumn("crowding", total).drop(*[f"_{n}" for n in objectives])
 
 
-def bin_offsets(points: DataFrame, width: int) -> DataFrame:
-    """(cell, n, offset): points by cells of the x axis, and how many lie in cells before."""
-    counts = points.groupBy(F.floor(F.col("x") / width).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
-    return counts.select("cell", "n", F.coalesce(before, F.lit(0)).alias("offset"))
+def bin_offsets(points: DataFrame, width: int, block: int = 4096) -> DataFrame:
+    """(cell, n, offset): points by cells of the x axis, and how many lie in cells before.
+
+    Sums run over blocks of ``block`` cells and within each, so no task sees all cells.
+    """
+    counts = points.groupBy(F.floor(F.col("x") / width).alias("cell")).agg(F.count(F.lit(1)).alias("n")).withColumn("_b", F.floor(F.col("cell") / block))
+    up_to = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("_b").agg(F.sum("n").alias("n")).select("_b", up_to(W.orderBy("_b")).alias("_before"))
+    return counts.withColumn("_in", up_to(W.partitionBy("_b").orderBy("cell"))).join(blocks, "_b").select("cell", "n", (F.col("_before") + F.col("_in")).alias("offset"))
 
 
 def uniform_flow(spark: SparkSession, start: int, end: int, count: int) -> DataFrame:

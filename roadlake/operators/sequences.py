@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadlake.functions.storage import written
+
 
 def as_lists(route: DataFrame) -> DataFrame:
     """(route_id, edges) from (route_id, pos, edge_id)."""
@@ -71,6 +73,22 @@ def reindexed(route: DataFrame) -> DataFrame:
     return texts.join(numbered, "edges").select("route_id", "edges", F.concat(F.lit("r"), F.col("id").cast("string")).alias("new_id"))
 
 
+def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` and place: from 0 on within each group, by ``order``, whose last column tells rows of a group apart.
+
+    Rows are dealt in ranges of (group, order), numbered inside each range, and each range begins where
+    the group's rows in those before end. So a group of any size is many tasks' work; only the counts
+    of a group's ranges meet in one place. Null groups are a group; nulls come first.
+    """
+    dealt = written(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    inside = F.row_number().over(W.partitionBy("_part", group).orderBy(*order)) - 1
+    counts = dealt.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_group").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_group", "_of", before.alias("_before"))
+    found = dealt.withColumn("_inside", inside).join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return found.withColumn("place", F.col("_before") + F.col("_inside")).drop("_part", "_group", "_of", "_before", "_inside")
+
+
 def dense_ids(rows: DataFrame, key: str, block: int = 4096) -> DataFrame:
     """``rows`` with id: 0, 1, … in order of a distinct whole-number key."""
     cells = rows.withColumn("_b", F.floor(F.col(key) / block))

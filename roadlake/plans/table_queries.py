@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadlake.functions import formulas as fm
-from roadlake.functions.storage import new_folder
+from roadlake.functions.storage import new_folder, written
 from roadlake.operators import congestion, graph, records, scenario, selection, sequences
 from roadlake.plans import views as v
 from roadlake.plans.queries import CELLS, ETA, LISTS, LOW, RUNS, query
@@ -107,7 +107,8 @@ def graph_provenance(spark, sf):
 
 @query(", lines as (select vtype as file, row_number() over (partition by vtype order by vehicle_id) as line, depart % 7 as vehicle, vehicle_id as value from v_vehicle), b as (select *, lag(vehicle) over (partition by file order by line) as p from lines), s as (select file, vehicle, line, row_number() over (partition by file, vehicle order by line) as k from b where p is distinct from vehicle), again as (select file, vehicle, line as again from s where k = 2) select file, line, vehicle, value from lines left join again using (file, vehicle) where again is null or line < again")
 def first_plan_runs(spark, sf):
-    lines = v.vehicle(spark, sf).select(F.col("vtype").alias("file"), F.row_number().over(W.partitionBy("vtype").orderBy("vehicle_id")).cast("bigint").alias("line"), (F.col("depart") % 7).alias("vehicle"), F.col("vehicle_id").alias("value"))
+    placed = sequences.placed(v.vehicle(spark, sf), "vtype", ["vehicle_id"])
+    lines = written(placed.select(F.col("vtype").alias("file"), (F.col("place") + 1).alias("line"), (F.col("depart") % 7).alias("vehicle"), F.col("vehicle_id").alias("value")))
     return records.first_runs(lines)
 
 
@@ -122,7 +123,8 @@ def append_vehicles(spark, sf):
 
 @query(", s as (select vtype as section, row_number() over (partition by vtype order by vehicle_id) as k, vehicle_id::varchar as line from v_vehicle) select * from s where section <> '5-LOW' union all select '5-LOW', edge_id, etype from v_edge")
 def report_sections(spark, sf):
-    lines = v.vehicle(spark, sf).select(F.col("vtype").alias("section"), F.row_number().over(W.partitionBy("vtype").orderBy("vehicle_id")).cast("bigint").alias("k"), F.col("vehicle_id").cast("string").alias("line"))
+    placed = sequences.placed(v.vehicle(spark, sf), "vtype", ["vehicle_id"])
+    lines = placed.select(F.col("vtype").alias("section"), (F.col("place") + 1).alias("k"), F.col("vehicle_id").cast("string").alias("line"))
     return records.replaced_section(lines, "5-LOW", v.edge(spark, sf).select(F.col("edge_id").alias("k"), F.col("etype").alias("line")))
 
 
@@ -146,8 +148,8 @@ def vehicle_slices(spark, sf):
 @query(", n as (select vehicle_id, 'v' || (row_number() over (partition by vtype order by vehicle_id) - 1) || vtype as name from v_vehicle), asked as (select vehicle_id::varchar as key from v_vehicle union all select name from n union all select 'nobody') select key, coalesce(a.vehicle_id, b.vehicle_id, -1) as vehicle_id from asked left join n a on a.vehicle_id::varchar = key left join n b on b.name = key")
 def vehicle_lookup(spark, sf):
     """Vehicles by their own id or by the name that a planning problem gave them."""
-    place = F.row_number().over(W.partitionBy("vtype").orderBy("vehicle_id")) - 1
-    named = v.vehicle(spark, sf).select("vehicle_id", F.concat(F.lit("v"), place.cast("string"), "vtype").alias("name"))
+    placed = sequences.placed(v.vehicle(spark, sf).select("vtype", "vehicle_id"), "vtype", ["vehicle_id"])
+    named = written(placed.select("vehicle_id", F.concat(F.lit("v"), F.col("place").cast("string"), "vtype").alias("name")))
     asked = named.select(F.col("vehicle_id").cast("string").alias("key")).unionByName(named.select(F.col("name").alias("key"))).unionByName(spark.range(1).select(F.lit("nobody").alias("key")))
     by_id, by_name = named.select(F.col("vehicle_id").cast("string").alias("key"), F.col("vehicle_id").alias("a")), named.select(F.col("name").alias("key"), F.col("vehicle_id").alias("b"))
     return asked.join(by_id, "key", "left").join(by_name, "key", "left").select("key", F.coalesce("a", "b", F.lit(-1)).alias("vehicle_id"))

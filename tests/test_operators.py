@@ -380,6 +380,32 @@ def test_simplified_is_that_of_one_junction_after_another(spark):
     assert ("5 6 7 8 9", "50", "62") in rows(found, "edge_id", "fj", "tj") and passes == 3
 
 
+def test_places_within_groups(spark):
+    rnd = random.Random(6)
+    data = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randint(0, 9), k) for k in range(500)]
+    got = rows(sequences.placed(spark.createDataFrame(data, "g string, v int, id int").repartition(7), "g", ["v", "id"]), "g", "v", "id", "place")
+    want, seen = [], {}
+    for g, v, k in sorted(data, key=lambda r: r[1:]):
+        want.append((g, v, k, seen.get(g, 0)))
+        seen[g] = seen.get(g, 0) + 1
+    assert got == sorted(want, key=repr)
+
+
+def test_smoothing_by_blocks_is_one_fold(spark):
+    rnd = random.Random(7)
+    data = [(rnd.randint(1, 3), rnd.randint(0, 40) * 900, k, rnd.uniform(1, 50)) for k in range(400)] + [(9, 0, 999, 7.25)]
+    dump = spark.createDataFrame(data, "edge_id bigint, begin bigint, event_id bigint, traveltime double")
+    want = []
+    for edge in (1, 2, 3, 9):
+        values = [t for e, _, _, t in sorted(data, key=lambda r: r[1:3]) if e == edge]
+        smooth = values[0]
+        for t in values[1:]:
+            smooth = smooth * 0.75 + t * 0.25
+        want.append((edge, len(values), int(smooth * 1000)))
+    for block in (1, 7, 1024):
+        assert rows(congestion.smoothed(dump, 0.25, block)) == want
+
+
 def test_moves_in_blocks_are_those_of_all(spark):
     rnd = random.Random(4)
     points = spark.createDataFrame([(k, rnd.randint(0, 50), rnd.randint(0, 50), rnd.randint(1, 5)) for k in range(300)], "id bigint, x bigint, y bigint, w bigint")
