@@ -11,6 +11,7 @@ from roadlake.operators import congestion, graph, records, scenario, selection,
 from roadlake.plans import views as v
 from roadlake.plans.queries import CELLS, ETA, LISTS, LOW, RUNS, query
 from roadlake.sources import network, sinks
+from roadlake.streaming import online, queue
 
 
 def _saved_network(spark, sf):
@@ -348,3 +349,47 @@ def congestion_from_network(spark, sf):
     cells = congestion.per_interval(v.dump(spark, sf).drop("free_flow").join(edges, "edge_id"))
     index = F.when(F.col("traveltime") > F.col("free_flow"), F.bround((1 - F.col("free_flow") / F.col("traveltime")) * 1000).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     return cells.join(edges, "edge_id").select("begin", "edge_id", index.alias("ci_milli"))
+
+
+def _queue_changes(spark, sf):
+    """Vehicles are users whose number is a route's; they visit the runs of their route in the region."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in (("view", "departed"), ("click", "entered"), ("purchase", "planned"), ("signup", "arrived")) for x in pair]), F.col("event_type"))
+    stream = online.event_stream(spark, f"{sf}/event[s].parquet").select(F.col("user_id").alias("vehicle_id"), "event_id", "ts", F.coalesce(kind, F.lit("none")).alias("kind"))
+    route = v.route(spark, sf).join(v.table(spark, sf, "events").select(F.col("user_id").alias("route_id")).distinct(), "route_id", "left_semi")
+    seconds = route.join(v.edge(spark, sf).select("edge_id", (F.col("length") / F.col("speed")).alias("s"), (F.col("speed") <= 26).alias("inside")), "edge_id")
+    runs = records.visits(route, v.region(spark, sf))
+    before = W.partitionBy("route_id").orderBy("visit")
+    spans = runs.select("route_id", "visit", "left", F.coalesce(F.lag("left").over(before), F.lit(0)).alias("since"))
+    timed = spans.join(seconds.select("route_id", "pos", "s", "edge_id"), "route_id").groupBy("route_id", "visit", "left").agg(F.floor(F.sum(F.when((F.col("pos") >= F.col("since")) & (F.col("pos") < F.col("left")), F.col("s")).otherwise(0.0))).cast("bigint").alias("seconds"), F.max(F.when(F.col("pos") == F.col("left"), F.col("edge_id"))).alias("region"))
+    listed = written(timed.groupBy(F.col("route_id").alias("vehicle_id")).agg(F.array_sort(F.collect_list(F.struct("visit", "region", "seconds", "left"))).alias("v")))
+    visits = listed.select("vehicle_id", F.transform("v", lambda x: F.struct(x["region"].alias("region"), x["seconds"].alias("seconds"))).alias("visits"))
+    changes = online.drained(queue.queue_changes(stream, visits, "0 seconds"), "append").drop("batch")
+    ways = sequences.as_lists(route).withColumnRenamed("route_id", "vehicle_id").join(listed, "vehicle_id")
+    return changes, ways.select("vehicle_id", "edges", F.transform("v", lambda x: x["left"].cast("int")).alias("indexes"))
+
+
+@query()
+def stream_queue(spark, sf):
+    """Every change of the queue that the stream's watermark has passed."""
+    return _queue_changes(spark, sf)[0]
+
+
+@query()
+def queue_problems(spark, sf):
+    """The vehicles of each planning window, with their ways to the region."""
+    found = queue.problems(*_queue_changes(spark, sf))
+    return found.withColumn("edges", F.array_join(F.transform("edges", lambda e: e.cast("string")), " "))
+
+
+@query(""", old as (select route_id, list(edge_id order by pos) as o from v_route group by 1), new as (select route_id, list(edge_id order by pos) as n from v_planned group by 1), place as (select route_id, min(pos) as i from v_route where mark = 5 group by 1),
+plan as (select route_id, o, n, coalesce(i, -1) as i from old join new using (route_id) left join place using (route_id)),
+judged as (select *, case when o[1] <> n[1] or o[len(o)] <> n[len(n)] then 'ends' when i >= 0 and coalesce(list_position(n, o[i + 1]), 0) = 0 then 'missing' else 'assigned' end as result from plan)
+select route_id as vehicle_id, result, case when result = 'assigned' then array_to_string(case when i < 0 then n else n[list_position(n, o[i + 1]):] end, ' ') end as edges from judged""")
+def route_assignment(spark, sf):
+    """New routes for vehicles on their way: the rest from the edge that they are on, or why not."""
+    old, new = sequences.as_lists(v.route(spark, sf)), sequences.as_lists(v.planned(spark, sf))
+    place = v.route(spark, sf).where("mark = 5").groupBy("route_id").agg(F.min("pos").alias("i"))
+    running = old.join(place, "route_id", "left").select(F.col("route_id").alias("vehicle_id"), "edges", F.coalesce("i", F.lit(-1)).cast("int").alias("index"))
+    plans = old.withColumnRenamed("edges", "original").join(new, "route_id").withColumnRenamed("route_id", "vehicle_id")
+    found = queue.assigned(running, plans)
+    return found.withColumn("edges", F.array_join(F.transform("edges", lambda e: e.cast("string")), " "))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from roadlake.functions.storage import shared_dir
+from roadlake.functions.storage import new_folder
 
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -87,7 +86,7 @@ def vehicle_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """All that a stream gives for what is there now, as a table in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    base = new_folder(spark)
 
     def keep(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
