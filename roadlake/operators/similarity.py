@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
 from roadlake.operators.components import connected_components
+from roadlake.operators.sequences import placed
 
 
 def edge_sets(route: DataFrame) -> DataFrame:
@@ -94,3 +99,88 @@ def average_similarity(clustered: DataFrame, pairs: DataFrame) -> DataFrame:
     sums = both.join(a, "a").join(b, "b").groupBy(F.col("a").alias("id")).agg(part(F.col("la") == F.col("lb")).alias("inside"), part(F.col("la") != F.col("lb")).alias("outside"))
     found = clustered.join(sums, "id", "left").fillna(0, ["inside", "outside"])
     return found.select("id", "label", (F.col("inside") + (F.col("n") - 1) * 1_000_000).alias("inside"), "outside")
+
+
+#: Sets that are held against as many others at once.
+BLOCK_SETS = 2048
+
+
+def similarity_sums(sets: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
+    """(id, label, n, size, everything, inside): sums of a set's similarities to all sets, and to those of its label.
+
+    ``sets`` has id, edges (distinct, in an array), label, and n, how many stand for the same set. A
+    similarity counts in whole millionths, one's own and one's copies' a million each; size is the
+    number of routes of the label. Blocks of sets meet in a join, and a task works out the rows of
+    their product, sparse vectors of edges times sparse vectors, so that no pair becomes a row and all
+    pairs count, however little they share.
+    """
+    salts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = written(sets.select("id", "label", "n", "edges"))
+    blocks = max(1, -(-sets.count() // block))
+    listed = sets.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("id", "label", "n", "edges")).alias("s"))
+    listed = written(listed)
+    share = min(salts, blocks)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = listed.select(F.col("s").alias("own"), F.pmod("b", F.lit(share)).alias("salt"), numbers(blocks).alias("b"))
+    right = listed.select("b", F.col("s").alias("other"), numbers(share).alias("salt"))
+    met = left.join(right, ["b", "salt"]).select("own", "other")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, other = (batch.column(c).slice(k, 1).flatten() for c in ("own", "other"))
+                every, inside = product_sums(*[(x.field("label").to_numpy(zero_copy_only=False), x.field("n").to_numpy(zero_copy_only=False), x.field("edges")) for x in (own, other)])
+                yield pa.RecordBatch.from_arrays([own.field("id"), pa.array(every), pa.array(inside)], ["id", "everything", "inside"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    sums = met.mapInArrow(rows, f"id {kind}, everything bigint, inside bigint").groupBy("id").agg(F.sum("everything").alias("everything"), F.sum("inside").alias("inside"))
+    sizes = sets.groupBy(F.col("label").alias("of")).agg(F.sum("n").alias("size"))
+    return sets.join(sums, "id").join(sizes, F.col("label") == F.col("of")).select("id", "label", "n", "size", "everything", "inside")
+
+
+def product_sums(own: tuple, other: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the own sets, the sums over the others of n times similarity: of all, and of those with its label."""
+    (label, _, lists), (labels, n, others) = own, other
+    counts, widths = (np.diff(x.offsets.to_numpy()) for x in (lists, others))
+    values = np.concatenate([lists.flatten().to_numpy(zero_copy_only=False), others.flatten().to_numpy(zero_copy_only=False)])
+    ids = np.unique(values, return_inverse=True)[1]
+    mine, theirs = ids[: counts.sum()], ids[counts.sum() :]
+    full = widths > 0
+    starts, ends = (np.cumsum(widths) - widths)[full], np.cumsum(counts)
+    flag, out = np.zeros(ids.max(initial=-1) + 1, np.int64), np.zeros((2, len(counts)), np.int64)
+    for k in range(len(counts)) if full.any() else ():
+        edges = mine[ends[k] - counts[k] : ends[k]]
+        flag[edges] = 1
+        shared = np.add.reduceat(flag[theirs], starts)
+        flag[edges] = 0
+        alike = shared * 1_000_000 // (counts[k] + widths[full] - shared) * n[full]
+        out[:, k] = alike.sum(), alike[labels[full] == label[k]].sum()
+    return out[0], out[1]
+
+
+def ranked_by(sums: DataFrame, metric: str) -> DataFrame:
+    """(id, label, score, cluster_rank, rank): the routes of each cluster in order, and the clusters, by one metric.
+
+    ``average_similarity`` (and ``average_dissimilarity``, the other way round) is the mean similarity to the
+    other routes of the cluster, 0 alone, and clusters go by the mean of their routes' scores;
+    ``maximal_similarity`` (``minimal_similarity``) is the sum over the routes of other clusters by the number
+    of all routes, and clusters go by label. Scores are whole millionths, rounded down; ties go by id and
+    label. Copies have the score of their set, and count in the mean of their cluster.
+    """
+    score = {
+        "average": F.when(F.col("size") > 1, F.floor((F.col("inside") - 1_000_000) / (F.col("size") - 1))).otherwise(0),
+        "outer": F.floor((F.col("everything") - F.col("inside")) / F.col("total")),
+    }
+    kinds = {"average_similarity": ("average", True), "average_dissimilarity": ("average", False), "maximal_similarity": ("outer", True), "minimal_similarity": ("outer", False)}
+    if metric not in kinds:
+        raise ValueError(f"unknown metric {metric}")
+    kind, down = kinds[metric]
+    total = sums.agg(F.sum("n").alias("total"))
+    scored = written(sums.crossJoin(F.broadcast(total)).withColumn("score", score[kind].cast("bigint")))
+    means = scored.groupBy("label").agg(F.floor(F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"))
+    by = lambda c: F.desc(c) if down else F.asc(c)
+    place = W.orderBy(by("mean"), "label") if kind == "average" else W.orderBy("label")
+    clusters = means.select(F.col("label").alias("of"), F.row_number().over(place).cast("bigint").alias("cluster_rank"))
+    key = F.col("score") if not down else -F.col("score")
+    inside = placed(scored.withColumn("_key", key), "label", ["_key", "id"])
+    return inside.join(clusters, F.col("label") == F.col("of")).select("id", "label", "score", "cluster_rank", (F.col("place") + 1).cast("bigint").alias("rank"))

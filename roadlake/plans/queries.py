@@ -505,6 +505,24 @@ sums as (select a as id, (sum(case when x.label = y.label then s else 0 end))::b
 select id, label, coalesce(inside, 0) as inside, coalesce(outside, 0) as outside from lab left join sums using (id)"""
 
 
+@query(LABELS + """, equal as (select route_id as id, min(route_id) over (partition by list_sort(s)) as root from sets), copies as (select root as id, count(*) as n from equal group by 1),
+own as (select id, label, n from copies join lab using (id)), w as (select a, b, shared * 1000000 // (na + nb - shared) as s from shared union all select b, a, shared * 1000000 // (na + nb - shared) from shared),
+sums as (select o.id, o.label, any_value(o.n) as n, 1000000 * any_value(o.n) + coalesce(sum(w.s * p.n), 0) as everything, 1000000 * any_value(o.n) + coalesce(sum(case when p.label = o.label then w.s * p.n end), 0) as inside
+  from own o left join w on w.a = o.id left join own p on p.id = w.b group by o.id, o.label),
+sizes as (select label, sum(n) as size from own group by 1), whole as (select sum(n) as total from own),
+scored as (select 'average_similarity' as metric, id, label, n, case when size > 1 then (inside - 1000000) // (size - 1) else 0 end as score from sums join sizes using (label) union all select 'maximal_similarity', id, label, n, (everything - inside) // total from sums, whole),
+means as (select metric, label, case when metric = 'average_similarity' then sum(score * n) // sum(n) else 0 end as mean from scored group by metric, label),
+places as (select metric, label, row_number() over (partition by metric order by mean desc, label) as cluster_rank from means)
+select metric, id, label, score::bigint as score, cluster_rank, row_number() over (partition by metric, label order by score desc, id) as rank from scored join places using (metric, label)""")
+def similarity_ranking(spark, sf):
+    """Routes in their clusters and clusters by two metrics, from one product of all routes with all."""
+    _, of_roots, _, _ = _labels(spark, sf)
+    sets = _equal(spark, sf)[1].groupBy(F.col("route_id").alias("id")).agg(F.collect_set("edge_id").alias("edges")).join(of_roots, "id")
+    sums = written(similarity.similarity_sums(sets))
+    first, second = (similarity.ranked_by(sums, m).select(F.lit(m).alias("metric"), "*") for m in ("average_similarity", "maximal_similarity"))
+    return first.unionByName(second)
+
+
 @query(AVERAGE)
 def cluster_avg_similarity(spark, sf):
     _, of_roots, pairs, equal = _labels(spark, sf)

@@ -146,6 +146,32 @@ def test_average_similarity_counts_copies(spark):
     assert rows(similarity.average_similarity(roots, pairs), "id", "label", "inside", "outside") == want
 
 
+def test_rankings_by_all_similarities(spark):
+    """Every pair counts, whatever it shares, in blocks of any size; copies stand for themselves."""
+    rnd = random.Random(8)
+    sets = [(k, rnd.choice([-1, 1, 2, 3]), rnd.randint(1, 3), sorted(rnd.sample(range(12), rnd.randint(1, 6)))) for k in range(50)] + [(90, 9, 1, [3, 4])]
+    frame = spark.createDataFrame(sets, "id bigint, label bigint, n bigint, edges array<bigint>")
+    sim = lambda a, b: len({*a} & {*b}) * 1_000_000 // len({*a} | {*b})
+    want = []
+    for i, label, n, e in sets:
+        size = sum(x[2] for x in sets if x[1] == label)
+        want.append((i, label, n, size, sum(sim(e, x[3]) * x[2] for x in sets), sum(sim(e, x[3]) * x[2] for x in sets if x[1] == label)))
+    for block in (7, 2048):
+        sums = similarity.similarity_sums(frame, block)
+        assert rows(sums) == sorted(want, key=repr)
+    total = sum(x[2] for x in sets)
+    for metric, down in (("average_similarity", True), ("average_dissimilarity", False), ("maximal_similarity", True), ("minimal_similarity", False)):
+        score = {w[0]: ((w[5] - 10**6) // (w[3] - 1) if w[3] > 1 else 0) if "average" in metric else (w[4] - w[5]) // total for w in want}
+        members = {}
+        for w in want:
+            members.setdefault(w[1], []).append(w)
+        mean = {c: sum(score[w[0]] * w[2] for w in m) // sum(w[2] for w in m) for c, m in members.items()}
+        sign = -1 if down else 1
+        order = sorted(members, key=lambda c: (sign * mean[c] if "average" in metric else 0, c))
+        out = [(w[0], c, score[w[0]], order.index(c) + 1, k) for c, m in members.items() for k, w in enumerate(sorted(m, key=lambda w: (sign * score[w[0]], w[0])), 1)]
+        assert rows(similarity.ranked_by(sums, metric)) == sorted(out, key=repr)
+
+
 def test_density_clusters(spark):
     ids = spark.range(10).withColumn("id", F.col("id"))
     close = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6), (6, 7), (5, 7)], "a bigint, b bigint")
