@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -393,3 +396,26 @@ def route_assignment(spark, sf):
     plans = old.withColumnRenamed("edges", "original").join(new, "route_id").withColumnRenamed("route_id", "vehicle_id")
     found = queue.assigned(running, plans)
     return found.withColumn("edges", F.array_join(F.transform("edges", lambda e: e.cast("string")), " "))
+
+
+@query(""", e as (select edge_id, fj, case when lanes = 3 and speed > 26 then tj + 1000000000 else tj end as tj, case when etype = 'Brand#11' then 0 else length end as length from v_edge), j as (select fj as j from v_edge union select tj from v_edge),
+good as (select * from e where tj in (from j) and length > 0),
+c as (select distinct from_edge, case b.etype when 'Brand#22' then to_edge + 1000000000 when 'Brand#33' then to_edge + 1 else to_edge end as to_edge from v_connection join v_edge b on b.edge_id = to_edge),
+p as (select c.*, a.tj as x, b.fj as y from c left join good a on a.edge_id = from_edge left join good b on b.edge_id = to_edge), turns as (select * from p where x = y),
+used as (select fj as j from good union select tj from good)
+select 'edge' as kind, edge_id::varchar as key, row_number() over (order by edge_id) - 1 as id from good union all select 'junction', j::varchar, row_number() over (order by j) - 1 from j union all select 'turn', from_edge || '>' || to_edge, -1 from turns
+union all select 'junction_twin', j::varchar, -1 from j where j * 37 % 101 > 90 union all select 'edge_end', edge_id::varchar, -1 from e where tj not in (from j) union all select 'edge_measure', edge_id::varchar, -1 from e where length = 0
+union all select 'connection_edge', from_edge || '>' || to_edge, -1 from p where x is null or y is null union all select 'connection_meet', from_edge || '>' || to_edge, -1 from p where x <> y
+union all select 'junction_unused', j::varchar, -1 from j where j not in (from used) union all select 'junction_closed', j::varchar, -1 from j where j in (select fj from good) and j in (select tj from good) and j not in (select x from turns)""")
+def load_and_verify(spark, sf):
+    """A network file with planted faults of every kind: what is loaded, numbered in file order, and the quarantine."""
+    edges, path = v.edge(spark, sf), new_folder(spark)
+    places = graph.junctions(edges).select("junction", F.lit("priority").alias("kind"), (F.col("junction") * 37 % 101).alias("x"), (F.col("junction") * 53 % 97).alias("y"))
+    broken = edges.withColumn("tj", F.when((F.col("lanes") == 3) & (F.col("speed") > 26), F.col("tj") + 1000000000).otherwise(F.col("tj"))).withColumn("length", F.when(F.col("etype") == "Brand#11", 0.0).otherwise(F.col("length")))
+    to = graph.connections(edges).join(edges.select(F.col("edge_id").alias("to_edge"), F.col("etype").alias("t")), "to_edge")
+    turns = to.select("from_edge", F.when(F.col("t") == "Brand#22", F.col("to_edge") + 1000000000).when(F.col("t") == "Brand#33", F.col("to_edge") + 1).otherwise(F.col("to_edge")).alias("to_edge"))
+    sinks.write_network(broken.orderBy("edge_id"), turns, places.unionByName(places.where("x > 90")).orderBy("junction"), path)
+    net = network.load_network(spark, path)
+    rows = lambda kind, df, key, id_: df.select(F.lit(kind).alias("kind"), key.alias("key"), id_.cast("bigint").alias("id"))
+    parts = [rows("edge", net.tables["edges"], F.col("edge_id"), F.col("id")), rows("junction", net.tables["junctions"], F.col("junction"), F.col("id")), rows("turn", net.tables["connections"], F.concat_ws(">", "from_edge", "to_edge"), F.lit(-1))]
+    return reduce(DataFrame.unionByName, [*parts, net.faults.select(F.col("check").alias("kind"), "key", F.lit(-1).cast("bigint").alias("id"))])

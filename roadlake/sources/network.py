@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadlake.functions.storage import written
+from roadlake.operators.sequences import dense_ids
+
 JUNCTION = "_id string, _type string, _x double, _y double"
 EDGE = "_id string, _from string, _to string, _type string, _function string, _shape string, lane array<struct<_id:string,_length:double,_speed:double,_shape:string>>"
 CONNECTION = "_from string, _to string"
@@ -164,3 +168,108 @@ def documents(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 def of_ids(found: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """The elements whose id is in a set (id)."""
     return found.join(ids.select(F.col("id").alias(column)).distinct(), column, "left_semi")
+
+
+def in_file_order(found: DataFrame) -> DataFrame:
+    """``found``, rows read from files, with position: 0, 1, … in the order in which they lie in the files.
+
+    A row's place is its file, the offset of its block there, and its rank in the block; ranks are
+    numbered inside each block and begin after all rows of the blocks before, so that positions are the
+    same however files are cut into partitions, and no task sees more than a block. Files go by name.
+    """
+    rows = written(found.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_rank")))
+    sizes = rows.groupBy(F.col("_file").alias("_f"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_f", "_b", before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_file", "_block").orderBy("_rank")) - 1
+    placed = rows.withColumn("_inside", inside).join(starts, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return placed.withColumn("position", F.col("_before") + F.col("_inside")).drop("_file", "_block", "_rank", "_f", "_b", "_before", "_inside")
+
+
+def extent(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """(tag, first, last): positions, among all elements of the tag, of the first and the last that isn't internal.
+
+    tag is ``edge`` or ``junction``. Nulls where there is none.
+    """
+    outer = {"edge": F.col("_function").isNull(), "junction": F.col("_type").isNotNull() & (F.col("_type") != "internal")}
+    found = in_file_order(elements(spark, path, tag, {"edge": EDGE, "junction": JUNCTION}[tag])).where(outer[tag])
+    return found.agg(F.min("position").alias("first"), F.max("position").alias("last")).select(F.lit(tag).alias("tag"), "first", "last")
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """``found``, rows with position, with id: 0, 1, … among those that are left, in file order."""
+    return dense_ids(found, "position").drop("position")
+
+
+class Loaded:
+    """A network as it was loaded: tables of junctions, edges, connections, roundabouts; ``faults``, and ``counts`` of the pass.
+
+    faults (check, key) is the quarantine: rows that are out of the tables, with why, and what is wrong
+    with the whole. counts has, for each table, its rows and those with a fault, as observed while
+    it was written.
+    """
+
+    def __init__(self) -> None:
+        self.tables: dict[str, DataFrame] = {}
+        self.counts: dict[str, tuple[int, int]] = {}
+        self.faults: DataFrame | None = None
+
+    def keep(self, name: str, rows: DataFrame, key: Column, checks: dict[str, Column]) -> DataFrame:
+        """Write the rows with their faults in one pass, and count them on the way; those without are the table."""
+        wrong = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), check) for check, bad in checks.items()]), lambda x: x.isNotNull())
+        seen = Observation(name)
+        marked = rows.select("*", key.cast("string").alias("_key"), wrong.alias("_wrong"))
+        whole = written(marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("_wrong") > 0).alias("faulty")))
+        self.counts[name] = (seen.get["rows"], seen.get["faulty"])
+        self.add(whole.where(F.size("_wrong") > 0).select(F.explode("_wrong").alias("check"), F.col("_key").alias("key")))
+        self.tables[name] = whole.where(F.size("_wrong") == 0).drop("_key", "_wrong")
+        return self.tables[name]
+
+    def add(self, faults: DataFrame) -> None:
+        self.faults = faults if self.faults is None else self.faults.unionByName(faults)
+
+
+def load_network(spark: SparkSession, path: str) -> Loaded:
+    """A network from the folders (or files) junctions, edges and connections under ``path``, numbered in file order and verified.
+
+    Junctions and edges without an id, or with one that came before, edges whose ends aren't loaded
+    junctions, without a positive length, speed or lane, and connections of edges that aren't loaded, or
+    that don't meet, go to quarantine; so does what hangs on them. Loaded edges carry their route r0, r1, …;
+    then junctions without an edge, and inner junctions without a connection, are named, which stay.
+    """
+    net = Loaded()
+    first = lambda rows, column: rows.withColumn("_twin", F.row_number().over(W.partitionBy(column).orderBy("position")))
+    found = in_file_order(elements(spark, f"{path}/junctions", "junction", JUNCTION)).where("_type is null or _type <> 'internal'")
+    named = found.select(F.col("_id").alias("junction"), F.col("_type").alias("kind"), F.bround("_x", 2).alias("x"), F.bround("_y", 2).alias("y"), "position")
+    doubled = lambda c: F.col(c).isNotNull() & (F.col("_twin") > 1)
+    places = net.keep("junctions", first(named, "junction"), F.coalesce("junction", F.concat(F.lit("#"), F.col("position").cast("string"))), {"junction_id": F.col("junction").isNull(), "junction_twin": doubled("junction")})
+    places = net.tables["junctions"] = written(numbered(places.drop("_twin")))
+
+    found = in_file_order(elements(spark, f"{path}/edges", "edge", EDGE)).where("_function is null")
+    lane = F.get("lane", F.lit(0))
+    named = found.select(F.col("_id").alias("edge_id"), F.col("_from").alias("fj"), F.col("_to").alias("tj"), F.bround(lane["_length"], 3).alias("length"), lane["_speed"].alias("speed"), F.size("lane").cast("bigint").alias("lanes"), "position")
+    end = lambda c: places.select(F.col("junction").alias(c), F.lit(True).alias(f"has_{c}"))
+    known = first(named, "edge_id").join(end("fj"), "fj", "left").join(end("tj"), "tj", "left")
+    checks = {
+        "edge_id": F.col("edge_id").isNull(),
+        "edge_twin": doubled("edge_id"),
+        "edge_end": F.col("has_fj").isNull() | F.col("has_tj").isNull(),
+        "edge_measure": ~F.coalesce((F.col("length") > 0) & (F.col("speed") > 0) & (F.col("lanes") > 0), F.lit(False)),
+    }
+    roads = net.keep("edges", known, F.coalesce("edge_id", F.concat(F.lit("#"), F.col("position").cast("string"))), checks)
+    roads = written(numbered(roads.drop("_twin", "has_fj", "has_tj")).withColumn("route_id", F.concat(F.lit("r"), F.col("id").cast("string"))))
+    net.tables["edges"] = roads.select("id", "edge_id", "route_id", "fj", "tj", "length", "speed", "lanes")
+
+    pairs = connections(spark, f"{path}/connections")
+    a = roads.select(F.col("edge_id").alias("from_edge"), F.col("tj").alias("x"))
+    b = roads.select(F.col("edge_id").alias("to_edge"), F.col("fj").alias("y"))
+    joined = pairs.join(a, "from_edge", "left").join(b, "to_edge", "left")
+    turns = net.keep("connections", joined, F.concat_ws(">", "from_edge", "to_edge"), {"connection_edge": F.col("x").isNull() | F.col("y").isNull(), "connection_meet": F.col("x") != F.col("y")})
+    net.tables["connections"] = turns.select("from_edge", "to_edge")
+
+    out, into = roads.select(F.col("fj").alias("junction")).distinct(), roads.select(F.col("tj").alias("junction")).distinct()
+    used = out.unionByName(into).distinct()
+    net.add(places.join(used, "junction", "left_anti").select(F.lit("junction_unused").alias("check"), F.col("junction").alias("key")))
+    inner = out.join(into, "junction").join(turns.select(F.col("x").alias("junction")).distinct(), "junction", "left_anti")
+    net.add(inner.select(F.lit("junction_closed").alias("check"), F.col("junction").alias("key")))
+    return net

@@ -85,3 +85,42 @@ def test_map_objects(spark, file):
     assert (way["id"], way["tags"], way["refs"]) == (5, {"highway": "path"}, [1, 2])
     assert network.tagged(spark, path, "relation").first()["refs"] == [5]
     assert network.tagged(spark, path, "node").where(F.col("tags")["a"] == "b").count() == 1
+
+
+def test_positions_are_those_of_the_files(spark, tmp_path):
+    """The same ids from one file, from nine, and however many partitions read them."""
+    from roadlake.sources import network
+
+    names = [f"j{k * 7919 % 1000}" for k in range(900)]
+    line = lambda name: f'<junction id="{name}" type="{"internal" if name.endswith("3") else "priority"}" x="1" y="2">\n</junction>'
+    for parts in (1, 9):
+        (tmp_path / f"of{parts}").mkdir()
+        for k in range(parts):
+            (tmp_path / f"of{parts}" / f"part-{k}.xml").write_text("<net>\n" + "\n".join(map(line, names[k * 900 // parts : (k + 1) * 900 // parts])) + "\n</net>")
+    outer = [n for n in names if not n.endswith("3")]
+    for parts in (1, 9):
+        found = network.in_file_order(network.elements(spark, str(tmp_path / f"of{parts}"), "junction", network.JUNCTION))
+        assert [r["_id"] for r in found.orderBy("position").collect()] == names and found.agg({"position": "max"}).first()[0] == 899
+        kept = network.numbered(found.where("_type <> 'internal'"))
+        assert [(r["id"], r["_id"]) for r in kept.orderBy("id").collect()] == list(enumerate(outer))
+        assert tuple(network.extent(spark, str(tmp_path / f"of{parts}"), "junction").first()) == ("junction", names.index(outer[0]), names.index(outer[-1]))
+
+
+def test_loading_counts_and_quarantines(spark, tmp_path):
+    from roadlake.sources import network
+
+    lane = '<lane id="l" length="{0}" speed="5" shape="0,0"/>'
+    road = lambda i, a, b, length=9: f'<edge id="{i}" from="{a}" to="{b}">{lane.format(length)}</edge>'
+    parts = {
+        "junctions": [f'<junction id="{j}" type="priority" x="0" y="0"/>' for j in ("a", "b", "c", "b", "lone")] + ['<junction type="priority" x="1" y="1"/>', '<junction id=":x" type="internal" x="1" y="1"/>'],
+        "edges": [road("ab", "a", "b"), road("bc", "b", "c"), road("bc", "b", "a"), road("cz", "c", "z"), road("ca", "c", "a", 0), '<edge id=":i" function="internal"/>', '<edge id="none" from="a" to="b"/>', road("cb", "c", "b")],
+        "connections": ['<connection from="ab" to="bc"/>', '<connection from="bc" to="ca"/>', '<connection from="ab" to="cb"/>', '<connection from=":i" to="bc"/>'],
+    }
+    for name, rows in parts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0.xml").write_text("<net>\n" + "\n".join(rows) + "\n</net>")
+    net = network.load_network(spark, str(tmp_path))
+    assert net.counts == {"junctions": (6, 2), "edges": (7, 4), "connections": (3, 2)}
+    assert sorted((r["check"], r["key"]) for r in net.faults.collect()) == sorted([("junction_twin", "b"), ("junction_id", "#5"), ("edge_twin", "bc"), ("edge_end", "cz"), ("edge_measure", "ca"), ("edge_measure", "none"), ("connection_edge", "bc>ca"), ("connection_meet", "ab>cb"), ("junction_unused", "lone"), ("junction_closed", "c")])
+    assert sorted((r["id"], r["edge_id"], r["route_id"]) for r in net.tables["edges"].collect()) == [(0, "ab", "r0"), (1, "bc", "r1"), (2, "cb", "r2")]
+    assert [r["junction"] for r in net.tables["junctions"].orderBy("id").collect()] == ["a", "b", "c", "lone"]
