@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadlake.operators import edits, graph, paths, planning, scenario, sequences, subnetworks
+from roadlake.operators import bitmaps, edits, graph, paths, planning, scenario, sequences, subnetworks
 from roadlake.plans import views as v
 from roadlake.plans.queries import LISTS, PAIRS, RING, RUNS, query
 
@@ -288,3 +288,27 @@ def batch_subnetworks(spark, sf):
     edges = v.edge(spark, sf)
     found = subnetworks.subnetworks(v.vehicle(spark, sf), v.route(spark, sf), v.region(spark, sf), graph.connections(edges), 2 * 365 * 86400)
     return found.select("episode", "vehicle_id", "status", F.array_join(F.transform("edges", lambda e: e.cast("string")), " ").alias("edges"))
+
+
+USED = """, a as (select distinct vtype, edge_id from v_vehicle join v_route using (route_id)), b as (select distinct vtype, edge_id from v_vehicle join v_planned using (route_id)), known as (select edge_id from v_edge) """
+
+
+def _used(spark, sf):
+    """Edges that vehicles of each type use, before and after planning, as bitmaps; and the ids of the bits."""
+    ids = sequences.dense_ids(v.edge(spark, sf).select("edge_id", F.col("edge_id").alias("key")), "key")
+    types = v.vehicle(spark, sf).select("route_id", "vtype")
+    return *[bitmaps.edge_bitmaps(r(spark, sf).join(types, "route_id"), ["vtype"], ids) for r in (v.route, v.planned)], ids
+
+
+@query(USED + """select vtype, (count(a.edge_id))::bigint as "first", (count(b.edge_id))::bigint as "second", count(case when a.edge_id is not null and b.edge_id is not null then 1 end) as "both", count(case when b.edge_id is null then 1 end) as only_first, count(case when a.edge_id is null then 1 end) as only_second
+from (select * from a semi join known using (edge_id)) a full join (select * from b semi join known using (edge_id)) b using (vtype, edge_id) group by vtype""")
+def subgraph_comparison(spark, sf):
+    first, second, _ = _used(spark, sf)
+    return bitmaps.compared(first, second, ["vtype"])
+
+
+@query(USED + "select distinct edge_id from (select * from a union all select * from b) semi join known using (edge_id)")
+def subgraph_union(spark, sf):
+    """The edges that any sub-graph has, from the union of all bitmaps."""
+    first, second, ids = _used(spark, sf)
+    return bitmaps.edges_of(bitmaps.merged(first.unionByName(second), []), [], ids)

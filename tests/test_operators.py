@@ -432,6 +432,23 @@ def test_smoothing_by_blocks_is_one_fold(spark):
         assert rows(congestion.smoothed(dump, 0.25, block)) == want
 
 
+def test_bitmaps_are_sets(spark):
+    """Unions, sizes and differences of many random sub-graphs over several buckets."""
+    from roadlake.operators import bitmaps
+
+    rnd = random.Random(13)
+    edges = [10 * k + 3 for k in range(70_000)]
+    ids = spark.createDataFrame(list(enumerate(edges)), "id bigint, edge_id bigint")
+    some = rnd.sample(edges, 300) + [edges[0], edges[32767], edges[32768], edges[65535], edges[65536], edges[-1]]
+    first, second = ([(rnd.choice(["p", "q", "r"]), rnd.randint(1, 4), rnd.choice(some)) for _ in range(900)] + [(g, 1, 4) for g in "pq"] for _ in range(2))
+    make = lambda data: bitmaps.edge_bitmaps(spark.createDataFrame(data * 2, "g string, k int, edge_id bigint"), ["g", "k"], ids)
+    sets = lambda data: {g: {e for h, _, e in data if h == g and e in set(some)} for g in "pqr"}
+    a, b = sets(first), sets(second)
+    want = sorted((g, len(a[g]), len(b[g]), len(a[g] & b[g]), len(a[g] - b[g]), len(b[g] - a[g])) for g in "pqr")
+    assert rows(bitmaps.compared(make(first), make(second), ["g"])) == want
+    assert rows(bitmaps.edges_of(bitmaps.merged(make(first), ["g"]), ["g"], ids), "g", "edge_id") == sorted(((g, e) for g in a for e in a[g]), key=repr)
+
+
 def test_moves_in_blocks_are_those_of_all(spark):
     rnd = random.Random(4)
     points = spark.createDataFrame([(k, rnd.randint(0, 50), rnd.randint(0, 50), rnd.randint(1, 5)) for k in range(300)], "id bigint, x bigint, y bigint, w bigint")
