@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadlake.functions.formulas import fact, light_units, medium_units, penalised_cost, route_capacity
+from roadlake.functions.storage import written
 
 #: How much a road costs when it is lightly, moderately or heavily used, and beyond.
 COST_FACTORS = {"light": 1, "medium": 10, "heavy": 100}
@@ -202,3 +204,95 @@ def checked(original: DataFrame, plan: DataFrame, connections: DataFrame, run: D
     good = whole.join(bad, "route_id", "left_anti")
     joined = original.join(good, "route_id", "left")
     return joined.select("route_id", F.coalesce("whole", "edges").alias("edges"), F.col("whole").isNotNull().alias("planned"))
+
+
+def junction_parts(net: DataFrame, turns: DataFrame, by: str = "episode") -> tuple[DataFrame, DataFrame]:
+    """((by, edge_id, part), (by, edge_id, start)): the part of its last junction that an edge leads into, and those that it leaves from.
+
+    ``net`` has by, edge_id, fj, tj; ``turns`` by, from_edge, to_edge inside it. An incoming edge that may turn to
+    all edges out of a junction, or to none, leads to the junction itself. Of the others each leads to a
+    part of its own, s0, s1, … by edge_id, from which only its turns leave; but if none may turn to
+    all, the first of them has the junction itself. An edge leaves from every part that a turn to it
+    comes from, or from the junction if nothing leads there.
+    """
+    out = net.groupBy(by, F.col("fj").alias("j")).agg(F.count(F.lit(1)).alias("n_out"))
+    reach = turns.groupBy(by, F.col("from_edge").alias("edge_id")).agg(F.count_distinct("to_edge").alias("n"))
+    into = net.select(by, "edge_id", F.col("tj").alias("j")).join(reach, [by, "edge_id"], "left").join(out, [by, "j"], "left").fillna(0, ["n", "n_out"])
+    some = (F.col("n") > 0) & (F.col("n") < F.col("n_out"))
+    here = W.partitionBy(by, "j")
+    marked = into.withColumn("some", some).withColumn("full", F.max((F.col("n") > 0) & ~some).over(here))
+    rank = F.row_number().over(W.partitionBy(by, "j", "some").orderBy("edge_id")) - 1
+    number = F.when(F.col("full"), F.col("r")).otherwise(F.col("r") - 1)
+    base = F.concat(F.lit("j"), F.col("j").cast("string"))
+    parts = written(marked.withColumn("r", rank).select(by, "edge_id", "j", F.when(F.col("some") & (number >= 0), F.concat(base, F.lit("s"), number.cast("string"))).otherwise(base).alias("part")))
+    led = turns.join(parts.select(by, F.col("edge_id").alias("from_edge"), F.col("part").alias("start")), [by, "from_edge"]).select(by, F.col("to_edge").alias("edge_id"), "start").distinct()
+    free = net.join(parts.select(by, F.col("j").alias("fj")).distinct(), [by, "fj"], "left_anti").select(by, "edge_id", F.concat(F.lit("j"), F.col("fj").cast("string")).alias("start"))
+    return parts.select(by, "edge_id", "part"), written(led.unionByName(free))
+
+
+def assembled(vehicles: DataFrame, edges: DataFrame, connections: DataFrame, occupied: DataFrame | None = None) -> DataFrame:
+    """(episode, section, fact): whole problems, objects by type, initial state, goal and metric of each episode.
+
+    ``vehicles`` has episode, name, firsts, lasts and allowed (arrays of edges), as sub-networks give them. An
+    episode's network is what any of its vehicles may use. Junctions are split by their turns
+    (``junction_parts``), and a road connects each part that it leaves from with the one it leads to. A vehicle
+    starts at a junction of its own, js and its name, which leads over each of its firsts, and ends at
+    je and its name. ``occupied`` (episode, edge_id, n) are vehicles that are on roads at the start, at most
+    the road's capacity. A vehicle none of whose firsts, or lasts, is in the network has no way there: it is
+    left out, as is an episode without vehicles.
+    """
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    use = lambda c: F.concat(F.lit("use"), c.cast("string"))
+    cars = vehicles.select("episode", "name", *[F.array_distinct(c).alias(c) for c in ("firsts", "lasts", "allowed")])
+    use_of = written(cars.select("episode", "name", F.explode("allowed").alias("edge_id")).join(edges.select("edge_id"), "edge_id", "left_semi"))
+    net = written(use_of.select("episode", "edge_id").distinct().join(edges.select("edge_id", "fj", "tj"), "edge_id"))
+    inside = lambda c: net.select("episode", F.col("edge_id").alias(c))
+    turns = written(inside("from_edge").join(connections.select("from_edge", "to_edge").distinct(), "from_edge").join(inside("to_edge"), ["episode", "to_edge"]))
+    ends, starts = junction_parts(net, turns)
+    begin = cars.select("episode", "name", F.explode("firsts").alias("edge_id")).join(net.select("episode", "edge_id"), ["episode", "edge_id"])
+    close = cars.select("episode", "name", F.explode("lasts").alias("edge_id")).join(net.select("episode", "edge_id"), ["episode", "edge_id"])
+    able = written(begin.select("episode", "name").distinct().join(close.select("episode", "name").distinct(), ["episode", "name"]))
+    begin, close, use_of = (x.join(able, ["episode", "name"], "left_semi") for x in (begin, close, use_of))
+    road = text("r", "edge_id")
+    sized = net.select("episode", "edge_id").join(roads(edges), "edge_id")
+    if occupied is not None:
+        sized = sized.join(occupied.groupBy("episode", "edge_id").agg(F.sum("n").alias("there")), ["episode", "edge_id"], "left")
+    sized = written(sized.withColumn("there", F.least("capacity", F.coalesce("there", F.lit(0))) if occupied is not None else F.lit(0)))
+    level = lambda k: F.when(k <= F.col("light"), "light").when(k <= F.col("light") + F.col("medium"), "medium").otherwise("heavy")
+    levels = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("capacity")), lambda k: F.concat(F.lit("("), level(k), F.lit(" "), road, F.lit(" "), use(k), F.lit(")")))
+    own = F.array(*[F.concat(F.lit(f"(= (length-{n} "), road, F.lit(") "), F.col(f"cost_{n}").cast("string"), F.lit(")")) for n in COST_FACTORS], fact("cap", road, use(F.col("capacity"))), fact("using", road, use(F.col("there"))))
+    top = sized.groupBy("episode").agg(F.max("capacity").alias("c"))
+    steps = F.when(F.col("c") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).otherwise(F.array().cast("array<bigint>"))
+    link = lambda df, a, b: df.select("episode", fact("connected", a, road, b).alias("fact"))
+    init = [
+        link(starts.join(ends, ["episode", "edge_id"]), F.col("start"), F.col("part")),
+        link(begin.join(ends, ["episode", "edge_id"]), text("js", "name"), F.col("part")),
+        link(close.join(starts, ["episode", "edge_id"]), F.col("start"), text("je", "name")),
+        sized.select("episode", F.explode(F.concat(own, levels)).alias("fact")),
+        top.select("episode", F.explode(F.transform(steps, lambda k: fact("next", use(k), use(k + 1)))).alias("fact")),
+        use_of.select("episode", fact("allowed", F.col("name"), road).alias("fact")),
+        able.select("episode", F.explode(F.array(fact("at", F.col("name"), text("js", "name")), fact("togo", F.col("name"), text("je", "name")))).alias("fact")),
+        able.select("episode", F.lit("(= (total-cost) 0)").alias("fact")).distinct(),
+    ]
+    typed = lambda df, name, kind: df.select("episode", F.concat(name, F.lit(f" - {kind}")).alias("fact"))
+    places = ends.select("episode", F.col("part").alias("p")).unionByName(starts.select("episode", F.col("start").alias("p"))).distinct()
+    objects = [
+        typed(places, F.col("p"), "junction"),
+        typed(able.select("episode", F.explode(F.array(text("js", "name"), text("je", "name"))).alias("p")), F.col("p"), "junction"),
+        typed(net, road, "road"),
+        typed(able, F.col("name"), "car"),
+        top.select("episode", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("c")), lambda k: F.concat(use(k), F.lit(" - use")))).alias("fact")),
+    ]
+    goal = able.select("episode", fact("at", F.col("name"), text("je", "name")).alias("fact"))
+    metric = able.select("episode", F.lit("minimize (total-cost)").alias("fact")).distinct()
+    sections_ = {"objects": objects, "init": init, "goal": [goal], "metric": [metric]}
+    rows = [part.select("episode", F.lit(name).alias("section"), "fact") for name, parts in sections_.items() for part in parts]
+    return reduce(DataFrame.unionByName, rows).join(able.select("episode").distinct(), "episode", "left_semi")
+
+
+def grouped_objects(problems: DataFrame) -> DataFrame:
+    """(episode, text): the objects of each problem, those of a type on one line, by type."""
+    parts = F.split("fact", " - ")
+    named = problems.where("section = 'objects'").select("episode", F.get(parts, F.lit(1)).alias("kind"), F.get(parts, F.lit(0)).alias("name"))
+    lines = named.groupBy("episode", "kind").agg(F.concat_ws(" ", F.array_sort(F.collect_list("name"))).alias("names"))
+    return lines.groupBy("episode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "names"))), lambda x: F.concat(x["names"], F.lit(" - "), x["kind"])), "\n").alias("text"))

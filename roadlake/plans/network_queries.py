@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from roadlake.functions.storage import written
 from roadlake.operators import bitmaps, edits, graph, paths, planning, scenario, sequences, subnetworks
 from roadlake.plans import views as v
-from roadlake.plans.queries import LISTS, PAIRS, RING, RUNS, query
+from roadlake.plans.queries import LISTS, PAIRS, RING, ROADS, RUNS, query
 
 #: From every edge to the one that leads on to the next block, three blocks ahead.
 AHEAD = ", keys as (select edge_id as first_edge, (edge_id // 9 + 3) * 9 + 5 as last_edge from v_edge) "
@@ -312,3 +313,47 @@ def subgraph_union(spark, sf):
     """The edges that any sub-graph has, from the union of all bitmaps."""
     first, second, ids = _used(spark, sf)
     return bitmaps.edges_of(bitmaps.merged(first.unionByName(second), []), [], ids)
+
+
+ASSEMBLED = ROADS + NAMED + """, q as (select distinct episode, name, edge_id from planned p join v_route r on r.route_id = p.vehicle_id semi join v_edge using (edge_id)), net as (select distinct episode, edge_id, fj, tj from q join v_edge using (edge_id)),
+turn as (select c.* from v_connection c join v_edge a on a.edge_id = from_edge join v_edge b on b.edge_id = to_edge where not (a.lanes = 1 and b.lanes = 3)),
+tn as (select a.episode, from_edge, to_edge from net a join turn on from_edge = a.edge_id join net b on b.episode = a.episode and b.edge_id = to_edge),
+outs as (select episode, fj as j, count(*) as n_out from net group by all), ins as (select n.episode, n.edge_id, n.tj as j, count(tn.to_edge) as n from net n left join tn on tn.episode = n.episode and tn.from_edge = n.edge_id group by all),
+judged as (select i.*, n > 0 and n < coalesce(n_out, 0) as lacks from ins i left join outs using (episode, j)), ranked as (select *, bool_or(n > 0 and not lacks) over (partition by episode, j) as any_full, row_number() over (partition by episode, j, lacks order by edge_id) - 1 as r from judged),
+part as (select episode, edge_id, j, 'j' || j || case when not lacks then '' when any_full then 's' || r when r = 0 then '' else 's' || (r - 1) end as p from ranked),
+starts as (select distinct tn.episode, tn.to_edge as edge_id, p from tn join part on part.episode = tn.episode and part.edge_id = tn.from_edge union select episode, edge_id, 'j' || fj from net n where not exists (select 1 from ins i where i.episode = n.episode and i.j = n.fj)),
+sized as (select net.episode, roads.* from net join roads using (edge_id)), top as (select episode, max(capacity) as c from sized group by 1),
+init as (select s.episode, '(connected ' || s.p || ' r' || s.edge_id || ' ' || e.p || ')' as fact from starts s join part e using (episode, edge_id) union all select planned.episode, '(connected js' || name || ' r' || edge_id || ' ' || p || ')' from planned join part on part.episode = planned.episode and edge_id = first_edge
+union all select pl.episode, '(connected ' || s.p || ' r' || edge_id || ' je' || name || ')' from planned pl join starts s on s.episode = pl.episode and edge_id = last_edge
+union all select episode, '(= (length-light r' || edge_id || ') ' || cost_light || ')' from sized union all select episode, '(= (length-medium r' || edge_id || ') ' || cost_medium || ')' from sized union all select episode, '(= (length-heavy r' || edge_id || ') ' || cost_heavy || ')' from sized
+union all select episode, '(cap r' || edge_id || ' use' || capacity || ')' from sized union all select s.episode, '(using r' || edge_id || ' use' || least(capacity, coalesce(n, 0)) || ')' from sized s left join (select episode, edge_id, count(*) as n from planned p join v_route r on r.route_id = p.vehicle_id where pos = 0 group by all) o using (episode, edge_id)
+union all select episode, '(' || case when k <= light then 'light' when k <= light + medium then 'medium' else 'heavy' end || ' r' || edge_id || ' use' || k || ')' from (select *, unnest(range(capacity + 1)) as k from sized)
+union all select episode, '(next use' || k || ' use' || (k + 1) || ')' from (select episode, unnest(range(c)) as k from top) union all select episode, '(allowed ' || name || ' r' || edge_id || ')' from q
+union all select episode, '(at ' || name || ' js' || name || ')' from planned union all select episode, '(togo ' || name || ' je' || name || ')' from planned union all select distinct episode, '(= (total-cost) 0)' from planned),
+objects as (select episode, p || ' - junction' as fact from (select episode, p from part union select episode, p from starts) union all select episode, 'js' || name || ' - junction' from planned union all select episode, 'je' || name || ' - junction' from planned
+union all select episode, 'r' || edge_id || ' - road' from net union all select episode, name || ' - car' from planned union all select episode, 'use' || k || ' - use' from (select episode, unnest(range(c + 1)) as k from top)),
+facts as (select episode, 'init' as section, fact from init union all select episode, 'objects', fact from objects union all select episode, 'goal', '(at ' || name || ' je' || name || ')' from planned union all select distinct episode, 'metric', 'minimize (total-cost)' from planned) """
+
+
+def _assembled(spark, sf):
+    """Problems of each week whose vehicles may use their routes, with vehicles on the first edges of routes, and turns that narrow roads lack."""
+    edges, planned = v.edge(spark, sf), written(_planned(spark, sf))
+    lists = planned.join(v.route(spark, sf).withColumnRenamed("route_id", "vehicle_id"), "vehicle_id")
+    allowed = lists.groupBy("episode", "name").agg(F.collect_set("edge_id").alias("allowed"))
+    cars = planned.select("episode", "name", F.array("first_edge").alias("firsts"), F.array("last_edge").alias("lasts")).join(allowed, ["episode", "name"])
+    lanes = edges.select("edge_id", "lanes")
+    turns = graph.connections(edges).join(lanes.toDF("from_edge", "a"), "from_edge").join(lanes.toDF("to_edge", "b"), "to_edge").where("not (a = 1 and b = 3)")
+    return planning.assembled(cars, edges, turns, lists.where("pos = 0").groupBy("episode", "edge_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(ASSEMBLED + "select episode, section, count(*) as facts, sha256(string_agg(fact, chr(10) order by fact)) as digest from facts group by episode, section")
+def assembled_problems(spark, sf):
+    """How many facts each section of each problem has, and the digest of its text."""
+    text = F.array_join(F.array_sort(F.collect_list("fact")), "\n")
+    return _assembled(spark, sf).groupBy("episode", "section").agg(F.count(F.lit(1)).alias("facts"), F.sha2(text, 256).alias("digest"))
+
+
+@query(ASSEMBLED + """, kinds as (select episode, string_split(fact, ' - ')[2] as kind, string_agg(string_split(fact, ' - ')[1], ' ' order by string_split(fact, ' - ')[1]) as names from objects group by 1, 2)
+select episode, string_agg(names || ' - ' || kind, chr(10) order by kind) as text from kinds group by 1""")
+def problem_objects(spark, sf):
+    return planning.grouped_objects(_assembled(spark, sf))
