@@ -37,7 +37,8 @@ def moved(points: DataFrame, block: int = BLOCK_PLACES, factor: int = 1000) -> D
     held = places.groupBy(dealt(["x", "y"], blocks).alias("b")).agg(F.collect_list(F.struct("x", "y", "w")).alias("places")).select("b", "places", numbers(min(salts, chunks)).alias("salt"))
     some = points.groupBy(dealt(["id"], chunks).alias("chunk")).agg(F.collect_list(F.struct("id", "x", "y")).alias("points"))
     some = some.select("points", F.pmod("chunk", F.lit(min(salts, chunks))).alias("salt"), numbers(blocks).alias("b"))
-    met = some.join(held, ["b", "salt"]).select("points", "places")
+    # a number of its own, since few bytes are much work here
+    met = some.repartition(blocks * min(salts, chunks), "b", "salt").join(held, ["b", "salt"]).select("points", "places")
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -123,7 +123,8 @@ def similarity_sums(sets: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = listed.select(F.col("s").alias("own"), F.pmod("b", F.lit(share)).alias("salt"), numbers(blocks).alias("b"))
     right = listed.select("b", F.col("s").alias("other"), numbers(share).alias("salt"))
-    met = left.join(right, ["b", "salt"]).select("own", "other")
+    # a number of its own, since few bytes are much work here
+    met = left.repartition(blocks * share, "b", "salt").join(right, ["b", "salt"]).select("own", "other")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
