@@ -40,6 +40,9 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct pieces whose merges a worker remembers; more are merged again when met.
 CACHE_PIECES = 100_000
 
+#: Bytes of text whose tokens are held at once where only numbers or digests of them leave; fewer, larger chunks are quicker.
+DIGEST_BYTES = 1 << 20
+
 
 @cache
 def class_table() -> np.ndarray:
@@ -326,7 +329,7 @@ def digested(spark, path: str, text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = vocabulary(ranks)
-        for texts in each(batches):
+        for texts in each(batches, DIGEST_BYTES):
             hashes, backs = [], []
             got = words.encode(texts)
             ids = pa.array(got.ids)
@@ -347,7 +350,7 @@ def token_lengths(spark, path: str, text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = vocabulary(ranks)
-        for texts in each(batches):
+        for texts in each(batches, DIGEST_BYTES):
             yield pa.array(words.encode(texts).counts, pa.int64())
 
     return F.arrow_udf(run, "bigint")(text)
