@@ -110,8 +110,12 @@ def tag_condition(text: str, tags: str = "tags") -> Column:
 
     ``and`` binds closer than ``or``; brackets stand between spaces. ``=`` and ``!=`` take *
     at either end, an empty value means any; order is numeric where both sides are numbers.
+    Further values of one key may follow it without the key (``amenity=bar =pub``): one of them must
+    hold. A key takes * at either end too, and the first key of the map that fits counts. ``@id``,
+    ``@uid`` and ``@user`` are the columns of these names.
     """
     tokens = text.split()
+    sign = r"(!=|<=|>=|=|<|>)(.*)"
 
     def any_of(at: int) -> tuple[Column, int]:
         parts, at = (lambda p: ([p[0]], p[1]))(all_of(at))
@@ -135,10 +139,15 @@ def tag_condition(text: str, tags: str = "tags") -> Column:
             if at >= len(tokens) or tokens[at] != ")":
                 raise ValueError(f"a bracket is open in {text!r}")
             return inner, at + 1
-        m = re.fullmatch(r"([^=!<>]+)(!=|<=|>=|=|<|>)(.*)", tokens[at])
+        m = re.fullmatch(r"([^=!<>]+)" + sign, tokens[at])
         if not m:
             raise ValueError(f"{tokens[at]!r} is no condition")
-        return _compared(F.try_element_at(F.col(tags), F.lit(m[1])), m[2], m[3]), at + 1
+        value, at = _value_of(m[1], tags), at + 1
+        parts = [_compared(value, m[2], m[3])]
+        while at < len(tokens) and (more := re.fullmatch(sign, tokens[at])):
+            parts.append(_compared(value, more[1], more[2]))
+            at += 1
+        return reduce(lambda a, b: a | b, parts), at
 
     out, end = any_of(0)
     if end != len(tokens):
@@ -146,6 +155,16 @@ def tag_condition(text: str, tags: str = "tags") -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _value_of(key: str, tags: str) -> Column:
+    if key in ("@id", "@uid", "@user"):
+        return F.col(key[1:]).cast("string")
+    if "*" not in key[:1] + key[-1:]:
+        return F.try_element_at(F.col(tags), F.lit(key))
+    inner = key.strip("*")
+    test = {(True, True): "contains", (True, False): "endswith", (False, True): "startswith"}[key[0] == "*", key[-1] == "*"]
+    return F.get(F.filter(F.map_entries(tags), lambda e: getattr(e["key"], test)(inner)), F.lit(0))["value"]
+
+
 def _compared(value: Column, sign: str, want: str) -> Column:
     if sign in ("=", "!="):
         if want in ("", "*"):

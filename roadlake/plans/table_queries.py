@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from roadlake.functions import formulas as fm
 from roadlake.functions.storage import new_folder, written
-from roadlake.operators import congestion, graph, records, scenario, selection, sequences
+from roadlake.operators import congestion, flows, graph, records, scenario, selection, sequences
 from roadlake.plans import views as v
-from roadlake.plans.queries import CELLS, ETA, LISTS, LOW, RUNS, query
-from roadlake.sources import network, sinks
+from roadlake.plans.queries import CELLS, ETA, HALF, LISTS, LOW, RUNS, drawn, query
+from roadlake.sources import changes, network, sinks
 from roadlake.streaming import online, queue
 
 
@@ -419,3 +419,117 @@ def load_and_verify(spark, sf):
     rows = lambda kind, df, key, id_: df.select(F.lit(kind).alias("kind"), key.alias("key"), id_.cast("bigint").alias("id"))
     parts = [rows("edge", net.tables["edges"], F.col("edge_id"), F.col("id")), rows("junction", net.tables["junctions"], F.col("junction"), F.col("id")), rows("turn", net.tables["connections"], F.concat_ws(">", "from_edge", "to_edge"), F.lit(-1))]
     return reduce(DataFrame.unionByName, [*parts, net.faults.select(F.col("check").alias("kind"), "key", F.lit(-1).cast("bigint").alias("id"))])
+
+
+ENDS = """, ends as (select route_id, arg_min(fj, pos) as a, arg_max(tj, pos) as b from v_route join v_edge using (edge_id) group by 1),
+pairs as (select a, b, min(route_id) as id, count(*)::bigint as w from ends group by 1, 2)
+"""
+
+
+def _pairs(spark, sf):
+    """(from_junction, to_junction, id, weight): each two ends with their first route and how many have them."""
+    ends = flows.route_ends(v.route(spark, sf), v.edge(spark, sf))
+    return ends.groupBy("from_junction", "to_junction").agg(F.min("route_id").alias("id"), F.count(F.lit(1)).alias("weight"))
+
+
+@query(ENDS + f""", net as (select sum(floor(length * 1000)::bigint * lanes) // 1000 as metres from v_edge), clock as (select greatest(round_even(round_even(3600 / (metres / 1000.0) / 1, 3) * 1000, 0)::bigint, 1) as period from net where metres > 0),
+ways as (select id, row_number() over (order by id) - 1 as dense, count(*) over () as n from pairs),
+trips as (select period, unnest(range(3600000 // period)) as trip from clock)
+select trip, 25200000 + trip * period as depart, id as way from (select *, {drawn('23', 'trip')} as d from trips) join ways on d % n = dense""")
+def random_trips(spark, sf):
+    """Trips of an hour over drawn pairs of ends, as many as the network's kilometres of lanes ask for."""
+    return flows.random_trips(_pairs(spark, sf), v.edge(spark, sf), 25200, 28800, 1, 23)
+
+
+@query(ENDS + """, js as (select id, list(distinct j) as js from (select id, unnest([fj, tj]) as j from pairs join v_route on route_id = id join v_edge using (edge_id)) group by 1),
+cand as materialized (select id, a, w, js from pairs join js using (id)),
+pick(n, chosen, most, covered, starts) as (select 1, id, gain, js, [a] from (select *, w * len(js) as gain from cand order by gain desc, id limit 1)
+union all select n + 1, id, gain, list_distinct(covered || js), list_append(starts, a) from (select n, covered, starts, id, a, js, w * (len(js) - len(list_intersect(js, covered))) as gain, row_number() over (order by w * (len(js) - len(list_intersect(js, covered))) desc, id) as k
+from pick, cand where n < 12 and not list_contains(starts, a) and list_has_any(js, covered)) where k = 1)
+select n as rank, chosen as id, most::bigint as gain from pick""")
+def meeting_flows(spark, sf):
+    """Twelve flows that each meet one before, the most vehicles by junctions that none passes yet."""
+    pairs, edges = _pairs(spark, sf), v.edge(spark, sf)
+    way = v.route(spark, sf).withColumnRenamed("route_id", "id").join(pairs.select("id"), "id", "left_semi").join(edges.select("edge_id", "fj", "tj"), "edge_id")
+    passes = way.select("id", F.explode(F.array("fj", "tj")).alias("junction"))
+    return flows.meeting_flows(pairs.select("id", F.col("from_junction").alias("start"), "weight"), passes, 12)
+
+
+@query(ENDS + f""", d as (select *, {", ".join(f"{drawn(str(31 + k), 'a', 'b')} as d{k}" for k in range(5))} from pairs),
+cmd as (select a, b, id, ['exponential_flow', 'random_flow', 'uniform_flow'][d0 % 3 + 1] as flow_name, d1 % 15 as x, d2 % 15 as y, d3, d4 from d), n as (select user_id as id, count(*) as n from events group by 1)
+select a as from_junction, b as to_junction, flow_name, 25200::bigint as start_time, 28800::bigint as end_time, 3600::bigint as duration, case flow_name when 'random_flow' then least(x, y) || ' ' || greatest(x, y) || ' 20' when 'uniform_flow' then (720 + d3 % 480)::varchar else (75 + 10 * (d4 % 8))::varchar end as arguments,
+coalesce(n, 0)::bigint as total, round_even(coalesce(n, 0) / 60.0::double * 10, 0)::bigint as per_minute_tenths from cmd left join n using (id)""")
+def flow_report(spark, sf):
+    """A command of a drawn kind for each two ends, with the vehicles that drove their route, in all and a minute."""
+    edges, routes = v.edge(spark, sf), v.route(spark, sf)
+    ends = flows.route_ends(routes, edges)
+    commands = flows.drawn_flows(ends.select("from_junction", "to_junction").distinct(), 25200, 28800, 31)
+    found = flows.flow_report(commands, ends, v.table(spark, sf, "events").select(F.col("user_id").alias("route_id")))
+    own = ["least", "most", "period", "vehicles", "rise"]
+    return found.withColumn("arguments", F.concat_ws(" ", *[F.col(c).cast("string") for c in own])).drop(*own)
+
+
+def _map_objects(rows, **own):
+    """``rows`` in the form of ``changes.OBJECT``; columns that aren't given are null."""
+    types = dict(c.split(" ", 1) for c in changes.OBJECT.split(", "))
+    return rows.select(*[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()], *[c.alias(n) for n, c in own.items() if n not in types])
+
+
+def _snapshot(spark, sf):
+    """Edges as ways of a map with their ends and tags; versions are microseconds."""
+    tags = F.create_map(F.lit("highway"), F.col("etype"), F.lit("lanes"), F.col("lanes").cast("string"))
+    version = (HALF + F.col("lanes") * 100000) * F.lit(1000000)
+    return _map_objects(v.edge(spark, sf), kind=F.lit("way"), id=F.col("edge_id"), version=version, tags=tags, refs=F.array("fj", "tj"), visible=F.lit(True))
+
+
+def _map_changes(spark, sf):
+    """Events as changes to the way of the user's number; of one microsecond the event's number decides."""
+    action = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "purchase", "delete").otherwise("modify")
+    tags = F.create_map(F.lit("highway"), F.col("event_type"), F.lit("lanes"), F.get_json_object("props", "$.k"))
+    number = F.lpad(F.col("event_id").cast("string"), 20, "0")
+    events = v.table(spark, sf, "events")
+    return _map_objects(events, kind=F.lit("way"), id=F.col("user_id"), version=F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"), timestamp=number, uid=F.col("user_id"), user=F.col("event_type"), tags=tags, refs=F.array("user_id", "event_id"), action=action)
+
+
+MAP = f""", c as (select user_id as id, epoch_us(ts) as version, event_type as highway, json_extract_string(props, '$.k') as lanes, user_id || ' ' || event_id as refs, event_type <> 'purchase' as visible, row_number() over (partition by user_id order by epoch_us(ts) desc, event_type = 'purchase' desc, event_id desc) as k from events),
+s as (select edge_id as id, ({HALF} + lanes * 100000) * 1000000 as version, etype as highway, lanes::varchar as lanes, fj || ' ' || tj as refs, true as visible from v_edge),
+m as (select s.* from s left join (select * from c where k = 1) c using (id) where c.id is null or s.version > c.version union all
+select c.id, c.version, c.highway, c.lanes, c.refs, c.visible from c left join s using (id) where k = 1 and (s.id is null or s.version <= c.version))
+"""
+
+
+def _merged_map(spark, sf):
+    """The snapshot after the changes, both read from files of theirs."""
+    base, path = new_folder(spark), new_folder(spark)
+    changes.write_objects(_snapshot(spark, sf).drop("visible"), base, ["way"])
+    changes.write_changes(_map_changes(spark, sf), path)
+    kinds = {changes.map_format(spark, f"{base}/way"): changes.objects(spark, f"{base}/way", ["way"]), changes.map_format(spark, f"{path}/*"): changes.changes(spark, f"{path}/*")}
+    return changes.merged(kinds["osm"].withColumn("visible", F.lit(True)), kinds["osc"])
+
+
+def _shown(rows, *more):
+    refs = F.array_join(F.transform("refs", lambda r: r.cast("string")), " ")
+    return rows.select(*more, "id", "version", F.col("tags")["highway"].alias("highway"), F.col("tags")["lanes"].alias("lanes"), refs.alias("refs"))
+
+
+@query(MAP + "select visible, id, version, highway, lanes, refs from m")
+def map_changes(spark, sf):
+    """A map after a file of changes: the highest version of each way, deleted ones as tombstones."""
+    return _shown(_merged_map(spark, sf), "visible")
+
+
+@query(MAP + """select case when s.id is null then 'create' else 'modify' end as action, m.id, m.version, m.highway, m.lanes, m.refs from m left join s using (id) where m.visible and (s.id is null or m.version > s.version)
+union all select 'delete', s.id, s.version + 1, s.highway, s.lanes, s.refs from s join m using (id) where not m.visible""")
+def map_difference(spark, sf):
+    """The changes between a map before and after, as a file of them says."""
+    path = new_folder(spark)
+    changes.write_changes(changes.changes_between(_snapshot(spark, sf), written(_merged_map(spark, sf))), path)
+    return _shown(changes.changes(spark, f"{path}/*"), "action")
+
+
+@query(""", o as (select event_id, user_id, event_type, json_extract_string(props, '$.k') as k from events) select event_id as id from o
+where (event_type in ('click', 'view') and k::bigint > 2) or (user_id < 100 and event_type <> 'view') or (event_type like '%up' and event_id::varchar like '%1')""")
+def object_filter(spark, sf):
+    """Changes by a filter with several values of a key, a key that takes any beginning, and the object's own id and author."""
+    rows = _map_changes(spark, sf).withColumns({"event_id": F.col("refs")[1], "id": F.col("refs")[1]})
+    return rows.where(selection.tag_condition("( highway=click =view and *anes>2 ) or ( @uid<100 and @user!=view ) or ( high*=*up and @id=*1 )")).select("id")
