@@ -4,10 +4,11 @@ Each 400-byte window is dealt to one 200-byte string in it, the one of the lowes
 equal windows are dealt alike, so only these strings stand for the windows around them. Strings of
 one identifier are the initial buckets. A member that is alone leaves; members whose whole
 surroundings agree are done together, and one of them goes on for all. The rest are refined:
-first by the identifier of 300 bytes that half of their windows share, then, byte by byte to
-either side, by pairs of the own bucket's identifier and the symbol at the next offset. Each round
-starts from the identifiers that the last one left, and rounds end when no bucket has two members.
-A window occurs twice if two members are in one bucket to its left end and to its right end.
+first by the identifier of 300 bytes that half of their windows share, then, to either side, by pairs
+of the own bucket's identifier and the bucket identifier at a later offset. Those of 2, 4, 8, …
+bytes at an offset come from pairs of identifiers of half as many bytes at that offset and a later
+one, are worked out once, and serve all widths that end there. Rounds end when no bucket has two
+members. A window occurs twice if two members are in one bucket to its left end and to its right end.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ TASK_MEMBERS = 20_000
 
 #: Odd multiplier of the rolling identifiers, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
+#: Prime moduli and multipliers of the second identifiers.
+PRIMES, PRIME_BASES = (2147483647, 2147483629), (1103515245, 1220703125)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -50,13 +53,25 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def _residue_powers(base: int, modulus: int, n: int) -> np.ndarray:
+    """The first n powers of ``base`` modulo a prime under 2^31, each run from the one before."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), modulus)) % np.uint64(modulus)))
+    return out[:n]
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
 class Rolling:
-    """Identifiers of any slices of some bytes; equal slices have equal ones anywhere."""
+    """Identifiers of any slices of some bytes; equal slices have equal ones anywhere.
+
+    They choose and bucket strings. Being sums modulo 2^64, unequal slices with equal ones can be made
+    up, so nothing is removed by them alone (see ``anchors`` and ``Residues``).
+    """
 
     def __init__(self, data: np.ndarray) -> None:
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -67,6 +82,22 @@ class Rolling:
         return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
 
+class Residues:
+    """Identifiers of any slices of some bytes by sums modulo two primes; equal slices have equal ones anywhere."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.lanes = []
+        for modulus, base in zip(PRIMES, PRIME_BASES, strict=True):
+            m = np.uint64(modulus)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTES[data] % m * _residue_powers(base, modulus, len(data)) % m, out=sums[1:])
+            self.lanes.append((m, sums, _residue_powers(pow(base, -1, modulus), modulus, len(data) + 1)))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        one, two = ((sums[end] - sums[start]) % m * back[start] % m for m, sums, back in self.lanes)
+        return _mixed(one << np.uint64(32) | two)
+
+
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, offset in it, bytes, offsets): whole texts, or overlapping parts of a long one."""
     first = 0
@@ -85,7 +116,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, at, low, high, gram, around) of the strings that windows are dealt to.
 
     ``at`` is where the string starts; the windows that are dealt to it start ``low`` to ``high``
-    bytes before. ``around`` identifies the bytes of all of them together.
+    bytes before. ``around`` identifies the bytes of all of them together, by a hash of the bytes
+    themselves, so members of equal (gram, around) are equal but for a chance of 2^-64 a pair.
     """
     n = len(data) - GRAM + 1
     if n < SPREAD:
@@ -109,7 +141,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]))))
     last = np.append(first[1:], len(chosen)) - 1
     at, low, high = chosen[first], chosen[first] - inside[last], chosen[first] - inside[first]
-    around = rolling(at - high, at + WINDOW - low) ^ _mixed((low * WINDOW + high + 1).astype(np.uint64))
+    view, spans = memoryview(np.ascontiguousarray(data)), zip((at - high).tolist(), (at + WINDOW - low).tolist(), strict=True)
+    names = b"".join([hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in spans])
+    around = np.frombuffer(names, np.uint64) ^ _mixed((low * WINDOW + high + 1).astype(np.uint64))
     return text[first], at - offsets[text[first]], low, high, gram[at], around
 
 
@@ -159,22 +193,36 @@ def _surroundings(text: Column, members: Column) -> Column:
     return F.arrow_udf(run, "array<struct<half:int,key:binary,at:bigint,low:int,high:int,bytes:binary>>")(text, members)
 
 
-def _split(bucket: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Identifiers of the buckets after one refinement: members stay together if they also agree in ``symbol``."""
-    return np.unique(bucket * 257 + symbol, return_inverse=True)[1].astype(np.int64)
+def _paired(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Identifiers of the buckets after one refinement: members stay together if they agree in both."""
+    return np.unique(bucket * (int(later.max()) + 1) + later, return_inverse=True)[1].astype(np.int64)
 
 
-def _refined(bucket: np.ndarray, data: np.ndarray, place: np.ndarray, step: int, reach: np.ndarray, width: int) -> Iterator[np.ndarray]:
+def _refined(bucket: np.ndarray, data: np.ndarray, place: np.ndarray, step: int, reach: np.ndarray, width: int) -> list[np.ndarray]:
     """Bucket identifiers after 0, 1, … ``width`` bytes from ``place`` on in steps of 1 or -1.
 
-    Member k has ``reach[k]`` bytes there; beyond, its symbol is one that no byte has.
+    Member k has ``reach[k]`` bytes there; beyond, its symbol is one that no byte has. The buckets of
+    w bytes are those of w less its lowest binary digit, refined by the identifiers of that many
+    bytes from there on, which halve down to symbols.
     """
-    yield bucket
-    for k in range(width):
-        if bucket.max() + 1 < len(bucket):
-            inside = reach > k
-            bucket = _split(bucket, np.where(inside, data[np.where(inside, place + step * k, 0)], 256).astype(np.int64))
-        yield bucket
+    known: dict[tuple[int, int], np.ndarray] = {}
+
+    def pointer(size: int, offset: int) -> np.ndarray:
+        if (size, offset) not in known:
+            if size == 1:
+                inside = reach > offset
+                known[size, offset] = np.where(inside, data[np.where(inside, place + step * offset, 0)], 256).astype(np.int64)
+            else:
+                known[size, offset] = _paired(pointer(size // 2, offset), pointer(size // 2, offset + size // 2))
+        return known[size, offset]
+
+    out = [bucket]
+    for w in range(1, width + 1):
+        if out[-1].max() + 1 == len(bucket):
+            out.append(out[-1])
+        else:
+            out.append(_paired(out[w - (w & -w)], pointer(w & -w, w - (w & -w))))
+    return out
 
 
 def _repeated_windows(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +239,8 @@ def _repeated_windows(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         bucket = np.unique(keys[own], return_inverse=True)[1].astype(np.int64)
         begin, lo, hi = offsets[own], low[own], high[own]
         width = last - first
-        left = list(_refined(bucket, data, begin + hi - first - 1, -1, hi - first, width))
-        right = list(_refined(bucket, data, begin + hi + WINDOW - last, 1, last - lo, width))
+        left = _refined(bucket, data, begin + hi - first - 1, -1, hi - first, width)
+        right = _refined(bucket, data, begin + hi + WINDOW - last, 1, last - lo, width)
         for d in range(first, last + 1):
             here = np.flatnonzero((lo <= d) & (d <= hi))
             _, which, times = np.unique(left[d - first][here] * (len(own) + 1) + right[last - d][here], return_inverse=True, return_counts=True)
@@ -227,7 +275,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             member = np.repeat(np.arange(len(each_)), each_)
             step = np.arange(len(member)) - np.repeat(np.cumsum(each_) - each_, each_)
             place = offsets[:-1][member] + step
-            name = Rolling(data)(place, place + WINDOW)
+            name = Rolling(data)(place, place + WINDOW) ^ Residues(data)(place, place + WINDOW)
             index = pa.array(member)
             yield pa.RecordBatch.from_arrays([some.column("key").take(index), pa.array(name.view(np.int64)), some.column("row").take(index), pa.array((some.column("at").to_numpy() - high)[member] + step)], ["key", "name", "row", "start"])
 

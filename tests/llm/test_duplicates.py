@@ -136,3 +136,42 @@ def test_components_of_chains_and_loops(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {99: 99, 100: 99, 500: 500}
     assert connected_components(spark.createDataFrame([], "a long, b long")).where(F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_refinement_groups_by_the_bytes_of_every_width(step):
+    rnd = np.random.default_rng(3)
+    data = rnd.choice(np.frombuffer(b"ab", np.uint8), 4000, p=[0.9, 0.1])
+    place, reach, bucket = rnd.integers(200, 3800, 300), rnd.integers(0, 120, 300), rnd.integers(0, 4, 300)
+    bucket = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
+    found = repeated_strings._refined(bucket, data, place, step, reach, 100)
+    assert len(found) == 101
+    seen = lambda k, w: (bucket[k], tuple(data[place[k] + step * i] if i < reach[k] else 256 for i in range(w)))
+    for w in range(101):
+        pairs = {(int(found[w][k]), seen(k, w)) for k in range(300)}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_made_up_strings_of_equal_rolling_names_stay_apart():
+    """Thue-Morse words of 1,024 bytes have equal names modulo 2^64; nothing that removes bytes has."""
+    word = [0]
+    while len(word) < 1024:
+        word += [1 - x for x in word]
+    one = np.array([97 + x for x in word], np.uint8)
+    two = np.array([98 - x for x in word], np.uint8)
+    both, at = np.concatenate((one, two)), np.array([0, 1024])
+    rolling, residues = (kind(both)(at, at + 1024) for kind in (repeated_strings.Rolling, repeated_strings.Residues))
+    assert rolling[0] == rolling[1] and residues[0] != residues[1]
+    twice = np.concatenate((one, one))
+    assert np.ptp(repeated_strings.Residues(twice)(at, at + 1024)) == 0
+    assert np.ptp(repeated_strings.Residues(one)(np.arange(600), np.arange(600) + 400)) > 0
+
+
+def test_equal_surroundings_have_equal_identifiers():
+    rnd = np.random.default_rng(4)
+    text = rnd.integers(97, 100, 3000).astype(np.uint8)
+    other = rnd.integers(97, 100, 500).astype(np.uint8)
+    data = np.concatenate((text, other, text))
+    of, at, low, high, gram, around = repeated_strings.anchors(data, np.array([0, 3000, 3500, 6500]))
+    rows = lambda k: [(a, lo, hi, g, x) for t, a, lo, hi, g, x in zip(of, at, low, high, gram, around, strict=True) if t == k]
+    assert rows(0) == rows(2) and not {x for *_, x in rows(0)} & {x for *_, x in rows(1)}
