@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import drop_written, written
 from roadlake.operators.records import draw
+from roadlake.operators.selection import LEVELS
 from roadlake.operators.sequences import dense_ids
 
 #: Candidates that one round of ``meeting_flows`` looks at, and how many of their junctions in all.
 BATCH, ROOM = 256, 1_000_000
+#: Numbers that one row counts out.
+BLOCK = 65536
 #: Kinds of flows that ``drawn_flows`` deals.
 KINDS = ["exponential_flow", "random_flow", "uniform_flow"]
 
@@ -22,6 +25,61 @@ def route_ends(routes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends
 
 
+def counted(rows: DataFrame, n: Column, into: str) -> DataFrame:
+    """Each row once for each ``into`` from 0 to ``n`` - 1; none where ``n`` is null or below 1.
+
+    Rows are dealt anew by blocks of numbers, so one row of a great ``n`` is many tasks' work.
+    """
+    blocks = rows.withColumn("_n", n.cast("bigint")).where("_n > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / BLOCK))))
+    dealt = blocks.repartition(F.xxhash64(*[F.col(c) for c in rows.columns], "_b"))
+    last = F.least((F.col("_b") + 1) * BLOCK, F.col("_n")) - 1
+    return dealt.select(*rows.columns, F.explode(F.sequence(F.col("_b") * BLOCK, last)).alias(into))
+
+
+def fixed_flows(flows: DataFrame) -> DataFrame:
+    """(flow_id, vehicle, depart): ``amount`` vehicles at ``depart`` (whole hundredths of a second) of each flow."""
+    return counted(flows.select("flow_id", "depart", "amount"), F.col("amount"), "vehicle").select("flow_id", "vehicle", "depart")
+
+
+def uniform_flows(flows: DataFrame) -> DataFrame:
+    """(flow_id, vehicle, depart): ``amount`` vehicles of each flow, spread evenly over [start, end], in whole hundredths of a second."""
+    rows = counted(flows.select("flow_id", "start", "end", "amount"), F.col("amount"), "vehicle")
+    step = F.floor(F.col("vehicle") * ((F.col("end") - F.col("start")) * 100) / F.greatest(F.col("amount") - 1, F.lit(1)))
+    return rows.select("flow_id", "vehicle", (F.col("start") * 100 + step).alias("depart"))
+
+
+def _in_periods(periods: DataFrame, seed: int, *more: str) -> DataFrame:
+    """(flow_id, more, vehicle, depart): from ``low`` to ``high`` vehicles of each period, at drawn times in it."""
+    n = F.col("low") + draw(seed, F.col("flow_id"), F.col("p")) % (F.col("high") - F.col("low") + 1)
+    rows = counted(periods, n, "k")
+    depart = (F.col("start") + F.col("p") * F.col("period")) * 100 + draw(seed + 1, F.col("flow_id"), F.col("p"), F.col("k")) % (F.col("period") * 100)
+    return rows.select("flow_id", *more, F.concat_ws("-", "p", "k").alias("vehicle"), depart.alias("depart"))
+
+
+def random_flows(flows: DataFrame, seed: int) -> DataFrame:
+    """(flow_id, vehicle, depart): in each ``period`` of [start, end) of a flow ``low`` to ``high`` vehicles at drawn times.
+
+    A last period that isn't whole has none. Draws depend on the flow, the period and the vehicle's
+    place in it, so they are the same on any cluster.
+    """
+    periods = counted(flows.select("flow_id", "start", "end", "period", "low", "high"), F.floor((F.col("end") - F.col("start")) / F.col("period")), "p")
+    return _in_periods(periods, seed)
+
+
+def exponential_flows(flows: DataFrame, seed: int) -> DataFrame:
+    """(flow_id, phase, vehicle, depart): light traffic in the first third of a flow's periods, then medium, then heavy.
+
+    A drawn tenth of the periods goes one level up; ``LEVELS`` says how many vehicles each has.
+    """
+    whole = F.floor((F.col("end") - F.col("start")) / F.col("period"))
+    periods = counted(flows.select("flow_id", "start", "end", "period"), whole, "p")
+    third = F.least(F.floor(F.col("p") * 3 / whole), F.lit(2))
+    level = third + (draw(seed, F.col("flow_id"), F.col("p")) % 10 == 0).cast("bigint")
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("_level") + 1).cast("int"))
+    leveled = periods.withColumn("_level", level).withColumns({"phase": pick(LEVELS), "low": pick(x for x, _ in LEVELS.values()), "high": pick(x for _, x in LEVELS.values())}).drop("_level")
+    return _in_periods(leveled, seed + 1, "phase")
+
+
 def random_trips(ways: DataFrame, edges: DataFrame, start: int, end: int, amount: int, seed: int) -> DataFrame:
     """(trip, depart, way): trips at even times, each over a drawn row of ``ways`` (id).
 
@@ -34,12 +92,8 @@ def random_trips(ways: DataFrame, edges: DataFrame, start: int, end: int, amount
     millis = edges.agg(metres.alias("metres")).where("metres > 0").select(F.greatest(F.bround(period * 1000).cast("bigint"), F.lit(1)).alias("period"))
     numbered = written(dense_ids(ways.select(F.col("id").alias("way")), "way"))
     count = numbered.agg(F.count(F.lit(1)).alias("ways")).where("ways > 0")
-    per_block = 65536
     total = F.floor(F.lit((end - start) * 1000) / F.col("period"))
-    blocks = millis.crossJoin(F.broadcast(count)).select("period", "ways", total.alias("n")).where("n > 0")
-    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / per_block))).alias("b")).repartition("b")
-    last = F.least((F.col("b") + 1) * per_block, "n") - 1
-    trips = blocks.select("period", "ways", F.explode(F.sequence(F.col("b") * per_block, last)).alias("trip"))
+    trips = counted(millis.crossJoin(F.broadcast(count)), total, "trip")
     drawn = trips.select("trip", (F.lit(start * 1000) + F.col("trip") * F.col("period")).alias("depart"), (draw(seed, F.col("trip")) % F.col("ways")).alias("id"))
     return drawn.join(numbered, "id").select("trip", "depart", "way")
 

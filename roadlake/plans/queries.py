@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadlake.functions import formulas as fm
 from roadlake.functions.storage import written
-from roadlake.operators import congestion, graph, gravity, planning, scenario, selection, sequences, similarity
+from roadlake.operators import congestion, flows, graph, gravity, planning, scenario, selection, sequences, similarity
 from roadlake.operators.components import connected_components
 from roadlake.plans import views as v
 from roadlake.streaming import online
@@ -707,9 +707,22 @@ def weighted_matrix_unpivot(spark, sf):
     return selection.unpivoted(matrix.toDF("etype", "lanes1", "lanes2", "lanes3"), "etype").select("destination", "origin", "weight")
 
 
-@query("select id as vehicle_id, (floor(id * 360000.0 / 999) + 2520000)::bigint as depart from range(1000) t(id)")
+def _flows(spark, sf, **columns):
+    """A flow for each edge."""
+    return v.edge(spark, sf).select(F.col("edge_id").alias("flow_id"), *[F.lit(c).cast("bigint").alias(n) if isinstance(c, int) else c.cast("bigint").alias(n) for n, c in columns.items()])
+
+
+@query("select edge_id as flow_id, k as vehicle, (floor(k * 360000.0 / greatest(n - 1, 1)) + 2520000)::bigint as depart from (select edge_id, 10 * lanes as n, unnest(range(10 * lanes)) as k from v_edge)")
 def uniform_flow(spark, sf):
-    return selection.uniform_flow(spark, 25200, 28800, 1000)
+    """Ten vehicles a lane of each edge, evenly over an hour."""
+    return flows.uniform_flows(_flows(spark, sf, start=25200, end=28800, amount=10 * F.col("lanes")))
+
+
+@query("select route_id as flow_id, unnest(range(count(*) % 4)) as vehicle, any_value(depart) * 100 as depart from v_route join v_vehicle using (route_id) group by 1")
+def fixed_flow(spark, sf):
+    """Vehicles on each route at one time, as many as its length says; some have none."""
+    amounts = v.route(spark, sf).groupBy("route_id").agg((F.count(F.lit(1)) % 4).alias("amount")).join(v.vehicle(spark, sf), "route_id")
+    return flows.fixed_flows(amounts.select(F.col("route_id").alias("flow_id"), (F.col("depart") * 100).alias("depart"), "amount"))
 
 
 def drawn(seed: str, *keys: str) -> str:
@@ -720,16 +733,17 @@ def drawn(seed: str, *keys: str) -> str:
     return f"(({value}) * 48271) % 2147483647"
 
 
-FLOW = """(select p || '-' || k as vehicle_id, ({start} + p * {period}) * 100 + {second} % ({period} * 100) as depart, p from (select p, unnest(range(1, {low} + {number} % ({high} - {low} + 1) + 1)) as k from range({n}) t(p)))"""
-
-
-def flow_sql(start: int, end: int, period: int, low: int, high: int, seed: int) -> str:
-    return FLOW.format(start=start, period=period, low=low, high=high, n=(end - start) // period, number=drawn(str(seed), "p"), second=drawn(str(seed + 1), "p", "k"))
+def flow_sql(levels: str, start: int, period: int, seed: int, more: str = "") -> str:
+    """Vehicles of ``levels`` (f, p, low, high): so many of each period, at drawn times in it."""
+    n, second = drawn(str(seed), "f", "p"), drawn(str(seed + 1), "f", "p", "k")
+    return f"select f as flow_id, {more} p || '-' || k as vehicle, (({start} + p * {period}) * 100 + {second} % {period * 100})::bigint as depart from (select *, unnest(range(low + {n} % (high - low + 1))) as k from ({levels}))"
 
 
-@query(f"select vehicle_id, depart::bigint as depart from {flow_sql(25200, 32400, 300, 5, 15, 11)}")
+@query(flow_sql("select edge_id as f, p, lanes as low, lanes * 5 as high from v_edge, range(4) t(p)", 25200, 1800, 11))
 def random_flow(spark, sf):
-    return selection.random_flow(spark, 25200, 32400, 300, 5, 15, 11)
+    """One to five vehicles a lane of each edge in each half of an hour, at drawn times."""
+    lanes = F.col("lanes")
+    return flows.random_flows(_flows(spark, sf, start=25200, end=32400, period=1800, low=lanes, high=lanes * 5), 11)
 
 
 @query('select floor(x / 20.0)::bigint as cell, count(*) as n, coalesce(sum(count(*)) over (order by floor(x / 20.0) rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from v_point group by 1, floor(x / 20.0)')
@@ -887,18 +901,13 @@ def ordered_lookup(spark, sf):
     return asked.join(v.edge(spark, sf).select("edge_id", "fj", "tj"), "edge_id", "left").select("pos", "edge_id", "fj", "tj").fillna(-1)
 
 
-def _exponential() -> str:
-    names, parts = list(selection.LEVELS), []
-    for k in range(3):
-        for up in (0, 1):
-            rises = f"{drawn('20', 'p', str(k))} % 10 {'=' if up else '<>'} 0"
-            parts.append(f"select '{names[k + up]}' as phase, '{k}-' || vehicle_id as vehicle_id, depart::bigint as depart from {flow_sql(k * 3600, (k + 1) * 3600, 300, *selection.LEVELS[names[k + up]], 20 + 2 * k + up)} where {rises}")
-    return " union all ".join(parts)
+LEVEL = f"select *, {list(selection.LEVELS)}[level + 1] as phase, {[a for a, _ in selection.LEVELS.values()]}[level + 1] as low, {[b for _, b in selection.LEVELS.values()]}[level + 1] as high from (select edge_id as f, p, p * 3 // 6 + ({drawn('20', 'edge_id', 'p')} % 10 = 0)::int as level from v_edge, range(6) t(p))"
 
 
-@query(_exponential())
+@query(flow_sql(LEVEL, 0, 1800, 21, "phase,"))
 def exponential_flow(spark, sf):
-    return selection.exponential_flow(spark, 0, 10800, 300, 20)
+    """Traffic of each edge that grows over three hours."""
+    return flows.exponential_flows(_flows(spark, sf, start=0, end=10800, period=1800), 20)
 
 
 @query(""", keys as (select edge_id as first_edge, edge_id + 9 as last_edge from v_edge),

@@ -71,3 +71,29 @@ def test_drawn_arguments_fit_their_kind(spark):
             assert 720 <= r["vehicles"] < 1200 and r["rise"] is None
         else:
             assert 75 <= r["rise"] <= 145 and r["least"] is None
+
+
+def test_flows_of_a_table(spark, monkeypatch):
+    monkeypatch.setattr(flows, "BLOCK", 4)
+    table = spark.createDataFrame([(1, 0, 10, 5), (2, 100, 100, 1), (3, 0, 5, 0), (4, 0, 9, None), (5, 0, 100, 11)], "flow_id bigint, start bigint, end bigint, amount bigint")
+    got = {}
+    for r in flows.uniform_flows(table).orderBy("flow_id", "vehicle").collect():
+        got.setdefault(r["flow_id"], []).append(r["depart"])
+    assert got == {1: [0, 250, 500, 750, 1000], 2: [10000], 5: [1000 * k for k in range(11)]}
+    fixed = flows.fixed_flows(table.select("flow_id", F.col("start").alias("depart"), "amount"))
+    assert [tuple(r) for r in fixed.where("flow_id = 1").orderBy("vehicle").collect()] == [(1, k, 0) for k in range(5)]
+    assert fixed.count() == 17 and flows.fixed_flows(table.where("flow_id > 9").withColumn("depart", F.lit(0))).count() == 0
+
+
+def test_random_and_exponential_flows_of_a_table(spark):
+    table = spark.createDataFrame([(k, 0, 3000, 300, k % 3, 4 + k % 3) for k in range(30)], "flow_id bigint, start bigint, end bigint, period bigint, low bigint, high bigint")
+    sizes = flows.random_flows(table, 5).groupBy("flow_id", F.floor(F.col("depart") / 30000).alias("p")).count().collect()
+    assert all(max(r["flow_id"] % 3, 1) <= r["count"] <= 4 + r["flow_id"] % 3 and 0 <= r["p"] < 10 for r in sizes) and len(sizes) > 250
+    phases = flows.exponential_flows(table, 5).groupBy("flow_id", "phase", F.floor(F.col("depart") / 30000).alias("p")).count().collect()
+    assert len(phases) == 300 and {r["phase"] for r in phases} == set(flows.LEVELS)
+    order = list(flows.LEVELS)
+    for r in phases:
+        low, high = flows.LEVELS[r["phase"]]
+        assert low <= r["count"] <= high and order.index(r["phase"]) - min(r["p"] * 3 // 10, 2) in (0, 1)
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(flows.exponential_flows(table, 5)) == same(flows.exponential_flows(table.repartition(5), 5))
