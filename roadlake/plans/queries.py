@@ -344,12 +344,13 @@ def subgraph_by_junctions(spark, sf):
     return graph.induced(v.edge(spark, sf), graph.junctions(v.region(spark, sf))).select("edge_id", "fj", "tj")
 
 
-TWO = ", ga as (select edge_id, fj, tj from v_edge where edge_id % 3 > 0), gb as (select edge_id, fj, tj from v_edge where edge_id % 3 < 2) "
+TWO = ", ga as (select edge_id, fj, tj from v_edge where speed >= 12), gb as (select edge_id, fj, tj from v_edge where speed <= 40) "
 
 
 def _two(spark, sf):
-    edges = v.edge(spark, sf).select("edge_id", "fj", "tj")
-    return edges.where("edge_id % 3 > 0"), edges.where("edge_id % 3 < 2")
+    """The graphs of the roads that aren't slow and of those that aren't fast."""
+    edges, own = v.edge(spark, sf), ["edge_id", "fj", "tj"]
+    return edges.where("speed >= 12").select(own), edges.where("speed <= 40").select(own)
 
 
 @query(TWO + ", j as (select junction from (select fj as junction from ga union select tj from ga) where junction in (select fj from gb union select tj from gb)) select * from ga where fj in (select junction from j) and tj in (select junction from j)")
@@ -603,10 +604,13 @@ def penalized_costs(spark, sf):
     return planning.roads(v.edge(spark, sf)).select("edge_id", "cost_light", "cost_medium", "cost_heavy")
 
 
-@query(", o as (select fj as junction, count(*) as n from v_edge group by 1), c as (select from_edge, to_edge from v_connection where (from_edge + to_edge) % 7 > 0), r as (select from_edge as edge_id, count(distinct to_edge) as k from c group by 1) select edge_id, e.tj as junction, row_number() over (partition by e.tj order by edge_id) - 1 as part from v_edge e join o on o.junction = e.tj left join r using (edge_id) where coalesce(k, 0) < n")
+@query(", o as (select fj as junction, count(*) as n from v_edge group by 1), c as (select from_edge, to_edge from v_connection join v_edge a on a.edge_id = from_edge join v_edge b on b.edge_id = to_edge where abs(a.speed - b.speed) < 30), r as (select from_edge as edge_id, count(distinct to_edge) as k from c group by 1) select edge_id, e.tj as junction, row_number() over (partition by e.tj order by edge_id) - 1 as part from v_edge e join o on o.junction = e.tj left join r using (edge_id) where coalesce(k, 0) < n")
 def split_junctions(spark, sf):
+    """Junctions by the turns between roads of like speed."""
     edges = v.edge(spark, sf)
-    return planning.split_junctions(edges, graph.connections(edges).where("(from_edge + to_edge) % 7 > 0"))
+    speeds = [edges.select(F.col("edge_id").alias(f"{side}_edge"), F.col("speed").alias(f"_{side}")) for side in ("from", "to")]
+    turns = graph.connections(edges).join(speeds[0], "from_edge").join(speeds[1], "to_edge").where(F.abs(F.col("_from") - F.col("_to")) < 30)
+    return planning.split_junctions(edges, turns.select("from_edge", "to_edge"))
 
 
 @query(ROADS + """, p as (select 'r' || edge_id as r, fj, tj, roads.* from roads join v_edge using (edge_id))
@@ -649,9 +653,14 @@ def plan_replay(spark, sf):
     return planning.replayed(facts.unionByName(own), plans)
 
 
-@query(LISTS + ", d as (select * from plans where route_id % 3 = 0) select route_id, array_to_string(coalesce(d.edges, lists.edges), ' ') as edges, d.edges is not null as planned from lists left join d using (route_id)")
+def _of_kind(lists, spark, sf, *kinds):
+    """The routes of vehicles of some kinds."""
+    return lists.join(v.vehicle(spark, sf).where(F.col("vtype").isin(*kinds)).select("route_id"), "route_id", "left_semi")
+
+
+@query(LISTS + ", d as (select * from plans where route_id in (select route_id from v_vehicle where vtype = '1-URGENT')) select route_id, array_to_string(coalesce(d.edges, lists.edges), ' ') as edges, d.edges is not null as planned from lists left join d using (route_id)")
 def decode_with_fallback(spark, sf):
-    plan = sequences.as_lists(v.planned(spark, sf)).where("route_id % 3 = 0")
+    plan = _of_kind(sequences.as_lists(v.planned(spark, sf)), spark, sf, "1-URGENT")
     found = planning.decoded(sequences.as_lists(v.route(spark, sf)), plan)
     return found.select("route_id", F.array_join("edges", " ").alias("edges"), "planned")
 
@@ -669,11 +678,11 @@ def scenario_merge(spark, sf):
     return scenario.merged(parts).select("scenario", "vehicle_id", F.array_join("edges", " ").alias("edges"))
 
 
-@query(LISTS + ", a as (select * from plans where route_id % 2 = 0), b as (select route_id, list_reverse(edges) as edges from lists where route_id % 5 = 0 and edges <> list_reverse(edges)) select l.route_id, array_to_string(case when b.edges is not null then b.edges when a.edges is not null and a.edges <> l.edges then a.edges else l.edges end, ' ') as edges from lists l left join a using (route_id) left join b using (route_id)")
+@query(LISTS + ", a as (select * from plans where route_id in (select route_id from v_vehicle where vtype in ('1-URGENT', '2-HIGH'))), b as (select route_id, list_reverse(edges) as edges from lists where route_id in (select route_id from v_vehicle where vtype in ('2-HIGH', '5-LOW')) and edges <> list_reverse(edges)) select l.route_id, array_to_string(case when b.edges is not null then b.edges when a.edges is not null and a.edges <> l.edges then a.edges else l.edges end, ' ') as edges from lists l left join a using (route_id) left join b using (route_id)")
 def scenario_merge_planned(spark, sf):
     original = sequences.as_lists(v.route(spark, sf))
-    one = sequences.as_lists(v.planned(spark, sf)).where("route_id % 2 = 0")
-    two = original.where("route_id % 5 = 0").withColumn("edges", F.reverse("edges"))
+    one = _of_kind(sequences.as_lists(v.planned(spark, sf)), spark, sf, "1-URGENT", "2-HIGH")
+    two = _of_kind(original, spark, sf, "2-HIGH", "5-LOW").withColumn("edges", F.reverse("edges"))
     return scenario.merged_changes(original, [one, two]).select("route_id", F.array_join("edges", " ").alias("edges"))
 
 
