@@ -192,6 +192,20 @@ def _without(state: DataFrame, passed: DataFrame, new: set, starts: list) -> Dat
     return after
 
 
+def end_faults(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pairs`` (from_junction, to_junction) whose ends don't fit the network, with (starts, ends).
+
+    A flow starts at a junction that edges leave and none enters, and ends at one that edges enter
+    and none leaves. Pairs of which both hold are left out, so a valid table gives no rows.
+    """
+    leave, enter = edges.select(F.col("fj").alias("j")).distinct(), edges.select(F.col("tj").alias("j")).distinct()
+    first = leave.join(enter, "j", "left_anti").select(F.col("j").alias("from_junction"), F.lit(True).alias("starts"))
+    last = enter.join(leave, "j", "left_anti").select(F.col("j").alias("to_junction"), F.lit(True).alias("ends"))
+    found = pairs.join(first, "from_junction", "left").join(last, "to_junction", "left")
+    judged = found.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("starts", "ends")})
+    return judged.where(~(F.col("starts") & F.col("ends")))
+
+
 def drawn_flows(pairs: DataFrame, start: int, end: int, seed: int) -> DataFrame:
     """``pairs`` (from_junction, to_junction) with a drawn kind of flow and the arguments of that kind.
 

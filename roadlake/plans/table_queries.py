@@ -533,3 +533,41 @@ def object_filter(spark, sf):
     """Changes by a filter with several values of a key, a key that takes any beginning, and the object's own id and author."""
     rows = _map_changes(spark, sf).withColumns({"event_id": F.col("refs")[1], "id": F.col("refs")[1]})
     return rows.where(selection.tag_condition("( highway=click =view and *anes>2 ) or ( @uid<100 and @user!=view ) or ( high*=*up and @id=*1 )")).select("id")
+
+
+@query(ENDS + ", f as (select fj as j from v_edge where fj not in (select tj from v_edge)), l as (select tj as j from v_edge where tj not in (select fj from v_edge)), x as (select a as from_junction, b as to_junction, a in (select j from f) as starts, b in (select j from l) as ends from pairs) select * from x where not (starts and ends)")
+def flow_end_faults(spark, sf):
+    """Pairs of ends at which no flow could start or end."""
+    return flows.end_faults(_pairs(spark, sf).select("from_junction", "to_junction"), v.edge(spark, sf))
+
+
+@query(", m as (select etype, lanes, count(*) as n from v_edge group by all) select x.etype as destination, 'lanes' || x.l as origin, coalesce(n, 0)::bigint as weight from (select distinct e.etype, l.l from v_edge e, (select unnest([1, 2, 3]) as l) l) x left join m on m.etype = x.etype and m.lanes = x.l")
+def weight_matrix_file(spark, sf):
+    """Edges by kind and lanes as a matrix in a text, read back."""
+    path = new_folder(spark)
+    counts = v.edge(spark, sf).groupBy("etype", "lanes").agg(F.count(F.lit(1)).alias("weight"))
+    sinks.write_weight_matrix(counts.select(F.concat(F.lit("lanes"), F.col("lanes").cast("string")).alias("origin"), F.col("etype").alias("destination"), "weight"), path)
+    return network.weight_matrix(spark, path).select("destination", "origin", "weight")
+
+
+@query(LISTS + "select 'v' || route_id as vehicle, array_to_string(edges, ' ') as edges from lists")
+def plan_lists(spark, sf):
+    """Plans as texts of bracketed steps, read back as the list of each vehicle, wherever its steps stand."""
+    path = new_folder(spark)
+    rows = v.route(spark, sf).repartition("route_id").sortWithinPartitions("pos", "route_id")
+    sinks.write_lines(rows.select(F.format_string("(v%d drive r%d)", "route_id", "edge_id").alias("value")), path)
+    steps = network.plan_steps(network.plans(spark, path), prefixed=True)
+    ordered = F.array_sort(F.collect_list(F.struct("line", "route")))
+    return steps.groupBy("vehicle").agg(F.array_join(F.transform(ordered, lambda s: s["route"]), " ").alias("edges"))
+
+
+@query("select distinct '/maps/' || vtype || '.net.xml' as network, 'x.add.xml ' || vtype || '.rou.xml' as additional, 'd/' || vtype || '.rou.xml' as routes_file, vtype || '.rou.xml' as routes from v_vehicle")
+def configuration_paths(spark, sf):
+    """Files of configurations as whole paths, seen from the configuration's own folder."""
+    path = new_folder(spark)
+    kinds = v.vehicle(spark, sf).groupBy("vtype").agg(F.min("depart").alias("begin"), F.max("depart").alias("end"))
+    named = {"network": F.concat(F.lit("/maps/a/../"), "vtype", F.lit(".net.xml")), "additional": F.concat(F.lit("../x.add.xml, .././"), "vtype", F.lit(".rou.xml")), "routes_file": F.concat(F.lit("../b/c/../../d/"), "vtype", F.lit(".rou.xml"))}
+    sinks.write_configuration(kinds.select(*[c.alias(n) for n, c in named.items()], "begin", "end"), f"{path}/configurations")
+    found = network.configuration_paths(spark, f"{path}/configurations")
+    short = lambda c: F.regexp_replace(F.url_decode(c), "^.*/tables/[^/]+/", "")
+    return found.select(F.col("network"), F.array_join(F.transform("additional", short), " ").alias("additional"), short(F.col("routes_file")).alias("routes_file"), short(F.col("routes")).alias("routes"))

@@ -117,6 +117,16 @@ def plans(spark: SparkSession, path: str) -> DataFrame:
     return text.where(F.col("value").startswith("(") & F.col("value").endswith(")"))
 
 
+def plan_steps(lines: DataFrame, prefixed: bool = False) -> DataFrame:
+    """(file, line, vehicle, route) of plan lines (file, line, value): the first and the third token in the brackets.
+
+    ``prefixed`` names have one character before the number, which goes. Lines of fewer tokens are errors.
+    """
+    tokens = F.split(F.trim(F.expr("substring(value, 2, length(value) - 2)")), r"\s+")
+    route = F.when(F.size(tokens) < 3, F.raise_error(F.concat(F.lit("no step of a plan: "), "value"))).otherwise(F.get(tokens, F.lit(2)))
+    return lines.select("file", "line", F.get(tokens, F.lit(0)).alias("vehicle"), F.substring(route, 2 if prefixed else 1, 1 << 30).alias("route"))
+
+
 def weight_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(origin, destination, weight) of a text matrix: a header of origins, then a destination and weights a line."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("line", "value"))
@@ -129,6 +139,28 @@ def weight_matrix(spark: SparkSession, path: str) -> DataFrame:
 CONFIGURATION = "input struct<`net-file`:struct<_value:string>,`additional-files`:struct<_value:string>,`route-files`:struct<_value:string>>, time struct<begin:struct<_value:double>,end:struct<_value:double>,`step-length`:struct<_value:double>>"
 
 
+def resolved_path(folder: Column, name: Column) -> Column:
+    """``name`` as seen from ``folder``, without ``.`` and ``..``; names that begin with / or a scheme stay."""
+    whole = F.when(name.rlike("^(/|[a-z]+:)"), name).otherwise(F.concat(folder, F.lit("/"), name))
+    head = F.regexp_extract(whole, "^([a-z]+:/*|/)", 1)
+    parts = F.split(F.substring(whole, F.length(head) + 1, F.length(whole)), "/")
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(head, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def configuration_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(network, additional, routes_file, routes) of each configuration as whole paths, seen from its own folder."""
+    found = elements(spark, path, "configuration", CONFIGURATION)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    files = F.filter(F.transform(F.split(F.coalesce("input.additional-files._value", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    seen = found.select(
+        resolved_path(folder, F.col("input.net-file._value")).alias("network"),
+        F.transform(files, lambda x: resolved_path(folder, x)).alias("additional"),
+        resolved_path(folder, F.col("input.route-files._value")).alias("routes_file"),
+    )
+    return seen.withColumn("routes", F.get(F.filter("additional", lambda x: x.endswith(".rou.xml")), F.lit(0)))
+
+
 def configurations(spark: SparkSession, path: str) -> DataFrame:
     """(network, additional, routes_file, routes, begin, end, step) of each simulation configuration.
 

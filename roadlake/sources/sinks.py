@@ -13,9 +13,9 @@ def write_routes(lists: DataFrame, path: str) -> None:
 
 
 def write_vehicles(vehicles: DataFrame, path: str) -> None:
-    """Vehicles by depart; departs have two digits, and negative ones are left out."""
+    """Vehicles by depart; departs have two digits, negative ones are left out, and one without a type is an error."""
     depart = F.when(F.col("depart") >= 0, F.bround("depart", 2))
-    rows = vehicles.orderBy("depart", "vehicle_id").select(F.col("vehicle_id").alias("_id"), depart.alias("_depart"), F.col("route_id").alias("_route"), F.col("vtype").alias("_type"))
+    rows = vehicles.orderBy("depart", "vehicle_id").select(F.col("vehicle_id").alias("_id"), depart.alias("_depart"), F.col("route_id").alias("_route"), F.coalesce("vtype", F.raise_error(F.concat(F.lit("no type: vehicle "), F.col("vehicle_id").cast("string")))).alias("_type"))
     rows.write.format("xml").option("rootTag", "additional").option("rowTag", "vehicle").mode("errorifexists").save(path)
 
 
@@ -32,6 +32,20 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.orderBy(rows.columns[0]).write.option("header", True).mode("errorifexists").csv(path)
 
 
+def write_weight_matrix(weights: DataFrame, path: str) -> None:
+    """(origin, destination, weight) as one text: a line of all origins, then each destination with its weights; 0 where there is none.
+
+    The form is one file with all origins in its first line, so one task writes it; the lines are made by all.
+    """
+    origins = weights.select("origin").distinct().agg(F.array_sort(F.collect_list("origin")).alias("origins"))
+    cells = weights.groupBy("origin", "destination").agg(F.sum("weight").alias("weight"))
+    rows = cells.groupBy("destination").agg(F.map_from_entries(F.collect_list(F.struct("origin", "weight"))).alias("w")).crossJoin(F.broadcast(origins))
+    line = F.array_join(F.transform("origins", lambda o: F.coalesce(F.try_element_at("w", o), F.lit(0)).cast("string")), " ")
+    body = rows.select(F.lit(1).alias("k"), "destination", F.concat_ws(" ", "destination", line).alias("value"))
+    head = origins.select(F.lit(0).alias("k"), F.lit("").alias("destination"), F.concat(F.lit("  "), F.array_join("origins", " ")).alias("value"))
+    head.unionByName(body).repartition(1).sortWithinPartitions("k", "destination").select("value").write.mode("errorifexists").text(path)
+
+
 def write_elements(rows: DataFrame, path: str, root: str, tag: str) -> None:
     """Rows as elements of a tag; columns that start with _ are attributes, structs and arrays of them elements within."""
     rows.write.format("xml").option("rootTag", root).option("rowTag", tag).option("declaration", 'version="1.0" encoding="UTF-8"').mode("errorifexists").save(path)
@@ -47,9 +61,9 @@ def write_network(edges: DataFrame, connections: DataFrame, junctions: DataFrame
 
 
 def write_configuration(rows: DataFrame, path: str) -> None:
-    """(network, additional, begin, end) as simulation configurations."""
+    """(network, additional, begin, end, and routes_file if it is there) as simulation configurations."""
     value = lambda c: F.struct(F.col(c).cast("string").alias("_value"))
-    inside = rows.select(F.struct(value("network").alias("net-file"), value("additional").alias("additional-files")).alias("input"), F.struct(value("begin").alias("begin"), value("end").alias("end")).alias("time"))
+    inside = rows.select(F.struct(value("network").alias("net-file"), value("additional").alias("additional-files"), *[value(c).alias("route-files") for c in rows.columns if c == "routes_file"]).alias("input"), F.struct(value("begin").alias("begin"), value("end").alias("end")).alias("time"))
     write_elements(inside, path, "configurations", "configuration")
 
 

@@ -124,3 +124,31 @@ def test_loading_counts_and_quarantines(spark, tmp_path):
     assert sorted((r["check"], r["key"]) for r in net.faults.collect()) == sorted([("junction_twin", "b"), ("junction_id", "#5"), ("edge_twin", "bc"), ("edge_end", "cz"), ("edge_measure", "ca"), ("edge_measure", "none"), ("connection_edge", "bc>ca"), ("connection_meet", "ab>cb"), ("junction_unused", "lone"), ("junction_closed", "c")])
     assert sorted((r["id"], r["edge_id"], r["route_id"]) for r in net.tables["edges"].collect()) == [(0, "ab", "r0"), (1, "bc", "r1"), (2, "cb", "r2")]
     assert [r["junction"] for r in net.tables["junctions"].orderBy("id").collect()] == ["a", "b", "c", "lone"]
+
+
+def test_paths_seen_from_a_folder(spark):
+    cases = [("/a/b", "../c.xml", "/a/c.xml"), ("file:///a/b", "./x/../c.xml", "file:///a/b/c.xml"), ("/a", "/z/../q.xml", "/q.xml"), ("/a", "../../../c", "/c"), ("/a", "hdfs://h/p/../c", "hdfs://h/c"), ("/a", None, None)]
+    df = spark.createDataFrame(cases, "folder string, name string, want string")
+    got = df.select("want", network.resolved_path(F.col("folder"), F.col("name")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_matrix_of_weights_survives_its_file(spark, tmp_path):
+    df = spark.createDataFrame([("b", "x", 3), ("a", "x", 2), ("a", "y", 1), ("a", "y", 4)], "origin string, destination string, weight bigint")
+    sinks.write_weight_matrix(df, str(tmp_path / "m"))
+    got = {(r["origin"], r["destination"]): r["weight"] for r in network.weight_matrix(spark, str(tmp_path / "m")).collect()}
+    assert got == {("a", "x"): 2, ("b", "x"): 3, ("a", "y"): 5, ("b", "y"): 0}
+
+
+def test_steps_of_plans(spark):
+    lines = spark.createDataFrame([("f", 0, "(car1 drive r12 x)"), ("f", 1, "(car2 drive r3)")], "file string, line int, value string")
+    found = lambda p: [(r["vehicle"], r["route"]) for r in network.plan_steps(lines, p).orderBy("line").collect()]
+    assert found(False) == [("car1", "r12"), ("car2", "r3")] and found(True) == [("car1", "12"), ("car2", "3")]
+    with pytest.raises(Exception, match="no step"):
+        network.plan_steps(spark.createDataFrame([("f", 0, "(car1 r)")], "file string, line int, value string")).collect()
+
+
+def test_vehicles_need_a_type(spark, tmp_path):
+    cars = spark.createDataFrame([(1, 2.0, 5, None)], "vehicle_id bigint, depart double, route_id bigint, vtype string")
+    with pytest.raises(Exception, match="no type"):
+        sinks.write_vehicles(cars, str(tmp_path / "v"))
