@@ -71,7 +71,9 @@ def changes(spark: SparkSession, path: str) -> DataFrame:
     parts = []
     for action in ACTIONS:
         blocks = spark.read.format("xml").option("rowTag", action).option("mode", "FAILFAST").schema(schema).load(path)
-        parts += [blocks.select(F.explode(kind).alias("o")).select(F.lit(action).alias("action"), *_columns(F.col("o"), kind)) for kind in KINDS]
+        of = lambda kind: F.transform(kind, lambda o: F.struct(*_columns(o, kind)))
+        every = F.flatten(F.array_compact(F.array(*map(of, KINDS))))
+        parts.append(blocks.select(F.explode(every).alias("o")).select(F.lit(action).alias("action"), "o.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
