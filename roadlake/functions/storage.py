@@ -49,7 +49,9 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -60,8 +62,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop_written(*tables: DataFrame) -> None:
     """Delete the files of tables that ``written`` returned and that nothing reads any more."""
     for df in tables:
-        for name in df.inputFiles()[:1]:
-            folder = name.rsplit("/", 1)[0]
+        own = getattr(df, "_written_to", None)
+        folders = [own] if own else [name.rsplit("/", 1)[0] for name in df.inputFiles()[:1]]
+        for folder in folders:
             if "/tables/" in folder:
                 _delete(df.sparkSession, folder)
                 _kept[:] = [k for k in _kept if k.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]

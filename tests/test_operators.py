@@ -1,6 +1,7 @@
 """Operators on small frames whose results are worked out by hand."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -330,6 +331,11 @@ def test_written_tables_can_be_dropped(spark):
     drop_written(df)
     with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
         df.count()
+    empty = written(spark.range(0))
+    folder = Path(empty._written_to)
+    assert folder.exists()
+    drop_written(empty)
+    assert not folder.exists()
 
 
 def test_chains_of_any_length(spark):
