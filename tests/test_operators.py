@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,23 @@ def test_jaccard_same_as_all_pairs(spark):
         assert rows(similarity.jaccard_at_least(routes(spark, **sets), least)) == want
 
 
+def test_similar_routes_meet_at_edges(spark):
+    """Pairs are counted inside tasks, at the first edge that both have, in blocks of any size; no candidate is a row."""
+    rnd = random.Random(5)
+    sets = {k: sorted(rnd.sample(range(30), rnd.randint(1, 5))) + [100] for k in range(60)}
+    frame = similarity.rarest_first(routes(spark, **{f"r{k:02}": s for k, s in sets.items()}))
+
+    def emit(batch, chunks):
+        for i, j, shared, total in chunks:
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(i)), batch.column("id").take(pa.array(j)), pa.array(shared), pa.array(total)], ["a", "b", "shared", "total"])
+
+    want = sorted((f"r{a:02}", f"r{b:02}", len({*x} & {*y}), len({*x} | {*y})) for a, x in sets.items() for b, y in sets.items() if a < b)
+    for block in (7, 1024):
+        assert rows(similarity.of_sharing(frame, F.size("edges"), emit, "a string, b string, shared bigint, total bigint", block=block)) == want
+    plan = similarity.jaccard_at_least(routes(spark, a=[1, 2], b=[1, 2, 3]), 0.5)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Aggregate [a#" not in plan, "candidates are rows"
+
+
 def test_equal_sets_stand_for_their_copies(spark):
     rnd = random.Random(3)
     sets = {k: sorted(rnd.sample(range(8), 4)) for k in range(60)}
