@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,24 +73,50 @@ def phase_order(phases: DataFrame) -> DataFrame:
     return placed.groupBy("junction").agg(F.count(F.lit(1)).alias("phases"), F.sum("wrong").alias("wrong"))
 
 
-def fronts(rows: DataFrame, group: str, first: str, second: str) -> DataFrame:
+#: Points of a group that a task takes in turn.
+FRONT_BLOCK = 1 << 17
+
+
+def fronts(rows: DataFrame, group: str, first: str, second: str, block: int = FRONT_BLOCK) -> DataFrame:
     """``rows`` (with id) and front: 1 for what nothing in its group dominates, 2 for what only those do, and so on.
 
-    Fronts of two objectives to minimise are taken off one by one until none is left.
+    Of two objectives to minimise, in order of both, a point is dominated by those before it that aren't above it
+    in the second. Its front is then one more than the last of theirs, and all that later points need is the least
+    second objective of each front. Points of a group are taken in blocks of ``block`` different ones, a round
+    for each; groups side by side.
     """
-    from roadlake.functions.storage import written
-
-    left, found, k = written(rows), None, 0
-    while not left.isEmpty():
-        k += 1
-        least = left.groupBy(group, first).agg(F.min(second).alias("low"))
-        before = F.min("low").over(W.partitionBy(group).orderBy(first).rowsBetween(W.unboundedPreceding, -1))
-        best = least.withColumn("before", before).where("before is null or before > low").select(group, first, F.col("low").alias(second))
-        front = written(left.join(best, [group, first, second], "left_semi"))
-        left = written(left.join(front.select("id"), "id", "left_anti"))
-        front = front.withColumn("front", F.lit(k).cast("bigint"))
-        found = front if found is None else found.unionByName(front)
-    return rows.withColumn("front", F.lit(1).cast("bigint")).where("false") if found is None else found
+    from roadlake.functions.storage import drop_written, written
+    from roadlake.operators.sequences import placed
+
+    points = rows.select(F.col(group).alias("_g"), F.col(first).alias("_a"), F.col(second).alias("_b")).distinct()
+    points = written(placed(points, "_g", ["_a", "_b"]).withColumn("_k", F.floor(F.col("place") / block)))
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    schema = f"_g {kind(group)}, _a {kind(first)}, _b {kind(second)}, _front bigint, _low boolean"
+    rounds, steps = (points.agg(F.max("_k")).first()[0] or 0) + 1, []
+    for k in range(rounds):
+        own = points.where(F.col("_k") == k).select("_g", "_a", "_b", F.lit(None).cast("bigint").alias("_front"))
+        if steps:
+            own = own.unionByName(steps[-1].where("_low").select("_g", F.lit(0).cast(kind(first)).alias("_a"), "_b", "_front"))
+        steps.append(written(own.groupBy("_g").applyInPandas(_front_block, schema)))
+    found = written(reduce(DataFrame.unionByName, [step.where("not _low") for step in steps]))
+    drop_written(points, *steps)
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col(first) == F.col("_a")) & (F.col(second) == F.col("_b"))
+    return rows.join(found, same).select(*rows.columns, F.col("_front").alias("front"))
+
+
+def _front_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Fronts of a block's points, and the least second objective of each front after it."""
+    known = rows["_front"].notna()
+    low = rows[known].sort_values("_front")["_b"].tolist()
+    points = rows[~known].sort_values(["_a", "_b"])
+    out = []
+    for b in points["_b"].tolist():
+        k = bisect_right(low, b)
+        low[k : k + 1] = [b]
+        out.append(k + 1)
+    points = points.assign(_front=out, _low=False)
+    ends = rows.iloc[[0] * len(low)].assign(_b=low, _front=range(1, len(low) + 1), _low=True)
+    return pd.concat([points, ends], ignore_index=True)
 
 
 def visits(route: DataFrame, region: DataFrame) -> DataFrame:

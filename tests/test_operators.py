@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadlake.functions import formulas as fm
 from roadlake.functions.storage import drop_written, written
-from roadlake.operators import congestion, graph, gravity, planning, scenario, selection, sequences, similarity
+from roadlake.operators import congestion, graph, gravity, planning, records, scenario, selection, sequences, similarity
 from roadlake.operators.components import connected_components
 
 
@@ -541,3 +541,19 @@ def test_draws_do_not_depend_on_partitions(spark):
         assert rows(one.repartition(7)) == rows(selection.random_flow(spark, 0, 3000, 300, 2, 4, 1))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_fronts_in_blocks(spark):
+    """Fronts of blocks of any size are those that are taken off one by one."""
+    rnd = random.Random(4)
+    points = [(k, k % 3, rnd.randrange(9), rnd.randrange(30)) for k in range(150)]
+    left, front, k = list(points), {}, 0
+    beats = lambda p, q: p[1] == q[1] and p[2] <= q[2] and p[3] <= q[3] and p[2:] != q[2:]
+    while left:
+        k += 1
+        best = [p for p in left if not any(beats(q, p) for q in left)]
+        front |= {p[0]: k for p in best}
+        left = [p for p in left if p not in best]
+    frame = spark.createDataFrame(points, "id bigint, g bigint, a bigint, b bigint")
+    for block in (7, 1000):
+        assert dict(rows(records.fronts(frame, "g", "a", "b", block), "id", "front")) == front
