@@ -343,14 +343,13 @@ def _assembled(spark, sf):
     cars = planned.select("episode", "name", F.array("first_edge").alias("firsts"), F.array("last_edge").alias("lasts")).join(allowed, ["episode", "name"])
     lanes = edges.select("edge_id", "lanes")
     turns = graph.connections(edges).join(lanes.toDF("from_edge", "a"), "from_edge").join(lanes.toDF("to_edge", "b"), "to_edge").where("not (a = 1 and b = 3)")
-    return planning.assembled(cars, edges, turns, lists.where("pos = 0").groupBy("episode", "edge_id").agg(F.count(F.lit(1)).alias("n")))
+    return planning.packed_problems(cars, edges, turns, lists.where("pos = 0").groupBy("episode", "edge_id").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query(ASSEMBLED + "select episode, section, count(*) as facts, sha256(string_agg(fact, chr(10) order by fact)) as digest from facts group by episode, section")
 def assembled_problems(spark, sf):
     """How many facts each section of each problem has, and the digest of its text."""
-    text = F.array_join(F.array_sort(F.collect_list("fact")), "\n")
-    return _assembled(spark, sf).groupBy("episode", "section").agg(F.count(F.lit(1)).alias("facts"), F.sha2(text, 256).alias("digest"))
+    return planning.digests(_assembled(spark, sf))
 
 
 @query(ASSEMBLED + """, kinds as (select episode, string_split(fact, ' - ')[2] as kind, string_agg(string_split(fact, ' - ')[1], ' ' order by string_split(fact, ' - ')[1]) as names from objects group by 1, 2)
