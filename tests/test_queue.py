@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from roadlake.streaming import online, queue
@@ -98,3 +99,29 @@ def test_assigned_routes(spark):
     running = spark.createDataFrame([(1, [1, 2, 3, 4], 1), (2, [1, 2, 3], -1), (3, [1, 2, 3], 1), (4, [1, 9, 3], 0), (5, [1, 2, 3], 0)], "vehicle_id bigint, edges array<bigint>, index int")
     plans = spark.createDataFrame([(1, [1, 2, 3, 4], [1, 2, 7, 4]), (2, [1, 2, 3], [1, 5, 3]), (3, [1, 2, 3], [1, 5, 3]), (4, [1, 2, 3], [1, 3]), (5, [1, 2, 3], [1, 4]), (6, [1], [1]), (5, [1, 2, 3], [])], "vehicle_id bigint, original array<bigint>, edges array<bigint>")
     assert rows(queue.assigned(running, plans)) == [(1, "assigned", [2, 7, 4]), (2, "assigned", [1, 5, 3]), (3, "missing", None), (4, "changed", None), (5, "ends", None), (5, "ends", None), (6, "unknown", None)]
+
+
+def test_one_timer_for_the_events_of_a_batch():
+    """A hundred events that wait are one list and one timer, not a call each."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            return lambda *args: calls.append((self.name, what, args))
+
+        def exists(self):
+            return self.name == "queue"
+
+    class Handle:
+        def __getattr__(self, what):
+            return (lambda name, *args: State(name)) if what.startswith("get") else (lambda *args: calls.append(("handle", what, args)))
+
+    vehicle = queue.VehicleQueue()
+    vehicle.init(Handle())
+    frame = pd.DataFrame({"at": range(50, 150), "event_id": range(100), "kind": ["entered"] * 100, "visits": [None] * 100})
+    assert list(vehicle.handleInputRows((1,), iter([frame]), None)) == []
+    assert [c for c in calls if c[1] == "registerTimer"] == [("handle", "registerTimer", (50000,))]
+    assert [len(c[2][0]) for c in calls if c[1] == "appendList"] == [100]
