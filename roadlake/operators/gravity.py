@@ -18,6 +18,8 @@ from roadlake.operators.components import connected_components
 
 #: Places, and points, that are held against each other at once.
 BLOCK_PLACES, BLOCK_POINTS = 50_000, 4_096
+#: Pairs of places whose distance is taken at once.
+CANDIDATES = 1_000_000
 #: So few points left are moved and merged in one task, by the same steps.
 FEW_POINTS = 4_096
 
@@ -65,22 +67,69 @@ def pulls(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, pw: np.n
 def mutual_neighbours(points: DataFrame, radius: int) -> DataFrame:
     """(a, b, d2): pairs a < b that are each other's nearest point within ``radius``.
 
-    A point meets those of its own and the eight cells around it; cells are as wide as the
-    radius, so no closer point can lie elsewhere. Ties go to the lower id. Of one place only the
-    two lowest ids can be in a mutual pair, and no other point names more than the lowest, so a
-    cell holds at most two points for each place of the whole-number plane.
+    Ties go to the lower id. Of points at one place the two lowest ids are a pair, and no other pair has
+    a point of that place; all others are places of one point, which ``_mutual`` looks for.
     """
-    place = W.partitionBy("x", "y").orderBy("id")
-    points = points.select("id", "x", "y").withColumn("_rank", F.row_number().over(place)).where("_rank <= 2")
-    cell = lambda c: F.floor(F.col(c) / radius)
-    here = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    near = here.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(around).alias("c")).select("a", "ax", "ay", "c.*")
-    d2 = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
-    pairs = near.join(here, ["cx", "cy"]).where("a <> id").select("a", F.col("id").alias("b"), d2.alias("d2")).where(F.col("d2") <= radius * radius)
-    nearest = pairs.groupBy("a").agg(F.min(F.struct("d2", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d2").alias("d2"))
-    back = nearest.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return nearest.join(back, ["a", "b"]).where("a < b")
+    first, second = F.min("id").alias("id"), F.max("id").alias("next")
+    ranked = points.select("id", "x", "y").dropna().withColumn("_rank", F.row_number().over(W.partitionBy("x", "y").orderBy("id"))).where("_rank <= 2")
+    places = written(ranked.groupBy("x", "y").agg(first, second).withColumn("next", F.when(F.col("next") > F.col("id"), F.col("next"))))
+    same = places.where("next is not null").select(F.col("id").alias("a"), F.col("next").alias("b"), F.lit(0).cast("bigint").alias("d2"))
+    return same.unionByName(_mutual(places.select("id", "x", "y", F.col("next").isNull().alias("single")), radius))
+
+
+def _mutual(places: DataFrame, radius: int) -> DataFrame:
+    """(a, b, d2) of ``single`` places (id, x, y, single), no two alike, that are each other's nearest.
+
+    Tiles are eight radii wide and see two radii beyond their borders, where the nearest place of a
+    nearest place lies. Each pair is found in the tile of its lower id. Tiles are dealt into groups of
+    about ``BLOCK_PLACES`` places, and no tile has more than whole-number places in it.
+    """
+    side, groups = 8 * radius, max(1, -(-places.count() // BLOCK_PLACES))
+    tiles = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + by) / side) for by in (-2 * radius, 2 * radius)])))
+    seen = places.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, x, y = (rows[c].to_numpy() for c in ("id", "x", "y"))
+        tile = rows.groupby(["tx", "ty"], sort=False).ngroup().to_numpy()
+        near, d2 = nearest(tile, x - rows["tx"].to_numpy() * side, y - rows["ty"].to_numpy() * side, ids, radius)
+        own = (x // side == rows["tx"]) & (y // side == rows["ty"]) & rows["single"] & (near >= 0)
+        k = np.flatnonzero(own.to_numpy())
+        k = k[(near[near[k]] == k) & rows["single"].to_numpy()[near[k]] & (ids[k] < ids[near[k]])]
+        return pd.DataFrame({"a": ids[k], "b": ids[near[k]], "d2": d2[k]})
+
+    return seen.groupBy(F.pmod(F.xxhash64("tx", "ty"), F.lit(groups)).alias("group")).applyInPandas(run, "a bigint, b bigint, d2 bigint")
+
+
+def nearest(tile: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each place's nearest of the same tile within ``radius`` stands, -1 if it has none, and the squared distance.
+
+    Those without one at 1, 2, 4 and so on are sought twice as far. Around such a place half of the reach is
+    empty, so that few of them are near each other and the candidates stay in proportion to the places.
+    """
+    near, least = np.full(len(x), -1), np.zeros(len(x), np.int64)
+    todo, reach = np.arange(len(x)), min(1, radius)
+    while len(todo):
+        cx, cy = ((v // reach - (v // reach).min() + 1).astype(np.int64) for v in (x, y))
+        tall = cy.max() + 2
+        key = (tile * (cx.max() + 2) + cx) * tall + cy
+        order = np.argsort(key, kind="stable")
+        ranges = [np.searchsorted(key[order], key[todo] + by * tall + (-1, 1)[side == "right"], side) for by in (-1, 0, 1) for side in ("left", "right")]
+        low, high = np.stack(ranges[::2], 1), np.stack(ranges[1::2], 1)
+        total = np.cumsum((high - low).sum(1))
+        cuts = np.unique(np.searchsorted(total, np.arange(CANDIDATES, total[-1], CANDIDATES)))
+        for part in np.split(np.arange(len(todo)), cuts):
+            n = (high[part] - low[part]).ravel()
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low[part].ravel(), n)
+            one, other = np.repeat(todo[part], n.reshape(-1, 3).sum(1)), order[at]
+            d2 = (x[one] - x[other]) ** 2 + (y[one] - y[other]) ** 2
+            fit = np.flatnonzero((d2 <= reach * reach) & (one != other))
+            fit = fit[np.lexsort((ids[other[fit]], d2[fit], one[fit]))]
+            fit = fit[np.unique(one[fit], return_index=True)[1]]
+            near[one[fit]], least[one[fit]] = other[fit], d2[fit]
+        if reach == radius:
+            break
+        todo, reach = todo[near[todo] < 0], min(2 * reach, radius)
+    return near, least
 
 
 def merged_pairs(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -101,7 +150,7 @@ def grid_clusters(points: DataFrame, radius: int, rounds: int | None = None) ->
     done = 0
     while rounds is None or done < rounds:
         places = written(now.groupBy("x", "y").agg(F.min("id").alias("id"), F.sum("w").alias("w")).select("id", "x", "y", "w"))
-        pairs = written(mutual_neighbours(places, radius))
+        pairs = written(_mutual(places.select("id", "x", "y", F.lit(True).alias("single")), radius))
         at = places.select("x", "y", F.col("id").alias("up"))
         same = now.join(at, ["x", "y"]).select("id", "up").join(pairs.select(F.col("b").alias("up"), "a"), "up", "left")
         to = written(same.select(F.col("id").alias("leader"), F.coalesce("a", "up").alias("up")).where("leader <> up"))

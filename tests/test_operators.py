@@ -281,6 +281,22 @@ def test_gravity(spark):
     assert rows(gravity.ordered_clusters(points, 6.0, 5), "id", "leader") == plain_clusters(points, 6.0, 5)
 
 
+def test_mutual_neighbours_of_dense_points_without_pair_rows(spark, monkeypatch):
+    drawn = random.Random(8)
+    table = [(i, drawn.randint(-wide, wide), drawn.randint(-wide, wide)) for i, wide in enumerate([30] * 700 + [900] * 200)]
+
+    def closest(i, x, y):
+        return min(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in table if j != i)
+
+    near = {i: closest(i, x, y) for i, x, y in table}
+    want = sorted(((i, j, d) for i, (d, j) in near.items() if i < j and d <= 20 * 20 and near[j][1] == i), key=repr)
+    monkeypatch.setattr(gravity, "BLOCK_PLACES", 100)
+    monkeypatch.setattr(gravity, "CANDIDATES", 50)
+    found = gravity.mutual_neighbours(spark.createDataFrame(table, "id bigint, x bigint, y bigint").repartition(5), 20)
+    assert rows(found) == want
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_grid_clusters_merge_all_there_is(spark):
     same = [(k, 5, 5, 1) for k in range(100)]
     row = [(100 + k, 1000 + 3 * k, 0, 1) for k in range(40)]
