@@ -112,7 +112,8 @@ def meeting_flows(candidates: DataFrame, passes: DataFrame, amount: int, batch:
     as thresholds, and chooses among them while what it chooses beats the thresholds: since gains
     only fall, so would the plain choice over all. Only the batch (at most 2 * ``batch`` candidates,
     of ``room`` junctions but for the first) and what is chosen leave for the driver; what a round newly
-    covers is subtracted from all candidates by one join with ``passes``, whose table is written once.
+    covers goes to all tasks and is subtracted from all candidates by a pass over ``passes``, whose table
+    is written once and never dealt anew.
     """
     spark = candidates.sparkSession
     passed = written(passes.where("id is not null and junction is not null").distinct())
@@ -184,7 +185,7 @@ def _without(state: DataFrame, passed: DataFrame, new: set, starts: list) -> Dat
     """The candidates that are left after a round: fewer open junctions, more that meet, no start twice."""
     spark = state.sparkSession
     junctions = spark.createDataFrame([(j,) for j in new], passed.select("junction").schema)
-    taken = passed.join(junctions, "junction", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    taken = passed.join(F.broadcast(junctions), "junction", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
     used = spark.createDataFrame([(s,) for s in starts], state.select("start").schema)
     rest = state.join(F.broadcast(used), "start", "left_anti").join(taken, "id", "left")
     after = written(rest.select("id", "start", "weight", (F.col("left") - F.coalesce("_n", F.lit(0))).alias("left"), (F.col("meets") | F.col("_n").isNotNull()).alias("meets")))

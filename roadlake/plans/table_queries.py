@@ -449,7 +449,7 @@ from pick, cand where n < 12 and not list_contains(starts, a) and list_has_any(j
 select n as rank, chosen as id, most::bigint as gain from pick""")
 def meeting_flows(spark, sf):
     """Twelve flows that each meet one before, the most vehicles by junctions that none passes yet."""
-    pairs, edges = _pairs(spark, sf), v.edge(spark, sf)
+    pairs, edges = written(_pairs(spark, sf)), v.edge(spark, sf)
     way = v.route(spark, sf).withColumnRenamed("route_id", "id").join(pairs.select("id"), "id", "left_semi").join(edges.select("edge_id", "fj", "tj"), "edge_id")
     passes = way.select("id", F.explode(F.array("fj", "tj")).alias("junction"))
     return flows.meeting_flows(pairs.select("id", F.col("from_junction").alias("start"), "weight"), passes, 12)
