@@ -187,7 +187,7 @@ union all select distinct episode, 'init', '(= (total-cost) 0)' from planned uni
 
 
 def _problem(spark, sf):
-    planned = _planned(spark, sf)
+    planned = written(_planned(spark, sf))
     pairs = v.route(spark, sf).select(F.col("route_id").alias("vehicle_id"), "edge_id").distinct()
     allowed = planned.join(pairs, "vehicle_id").select("episode", F.format_string("(allowed %s r%d)", "name", "edge_id").alias("fact"))
     return planning.problem(planned, v.edge(spark, sf), allowed)

@@ -20,3 +20,8 @@ def test_passes_are_not_dealt_anew_for_what_a_round_covers(spark, monkeypatch):
     assert flows.meeting_flows(candidates, passes, 4, batch=1).count() == 4
     joins = [line for text in plans for line in text.splitlines() if "LeftSemi" in line]
     assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+@pytest.mark.parametrize("name", ["planning_problem", "planning_totals"])
+def test_runs_of_vehicles_are_found_once_for_all_facts(spark, name):
+    assert plan(QUERIES[name](spark, SMALL)).count("lineitem.parquet") == 1
