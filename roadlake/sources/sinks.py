@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Elements of a file; XML files are read whole, each by one task.
+FILE_ELEMENTS = 50_000
+
 
 def write_routes(lists: DataFrame, path: str) -> None:
     """(route_id, edges) as <route id= edges=> elements; edges are joined by spaces."""
     rows = lists.select(F.col("route_id").alias("_id"), F.concat_ws(" ", F.transform("edges", lambda e: e.cast("string"))).alias("_edges"))
-    rows.write.format("xml").option("rootTag", "routes").option("rowTag", "route").mode("errorifexists").save(path)
+    rows.write.format("xml").option("maxRecordsPerFile", FILE_ELEMENTS).option("rootTag", "routes").option("rowTag", "route").mode("errorifexists").save(path)
 
 
 def write_vehicles(vehicles: DataFrame, path: str) -> None:
     """Vehicles by depart; departs have two digits, negative ones are left out, and one without a type is an error."""
     depart = F.when(F.col("depart") >= 0, F.bround("depart", 2))
     rows = vehicles.orderBy("depart", "vehicle_id").select(F.col("vehicle_id").alias("_id"), depart.alias("_depart"), F.col("route_id").alias("_route"), F.coalesce("vtype", F.raise_error(F.concat(F.lit("no type: vehicle "), F.col("vehicle_id").cast("string")))).alias("_type"))
-    rows.write.format("xml").option("rootTag", "additional").option("rowTag", "vehicle").mode("errorifexists").save(path)
+    rows.write.format("xml").option("maxRecordsPerFile", FILE_ELEMENTS).option("rootTag", "additional").option("rowTag", "vehicle").mode("errorifexists").save(path)
 
 
 def write_problems(facts: DataFrame, path: str) -> None:
@@ -48,7 +51,7 @@ def write_weight_matrix(weights: DataFrame, path: str) -> None:
 
 def write_elements(rows: DataFrame, path: str, root: str, tag: str) -> None:
     """Rows as elements of a tag; columns that start with _ are attributes, structs and arrays of them elements within."""
-    rows.write.format("xml").option("rootTag", root).option("rowTag", tag).option("declaration", 'version="1.0" encoding="UTF-8"').mode("errorifexists").save(path)
+    rows.write.format("xml").option("maxRecordsPerFile", FILE_ELEMENTS).option("rootTag", root).option("rowTag", tag).option("declaration", 'version="1.0" encoding="UTF-8"').mode("errorifexists").save(path)
 
 
 def write_network(edges: DataFrame, connections: DataFrame, junctions: DataFrame, path: str) -> None:
