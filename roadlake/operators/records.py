@@ -172,13 +172,17 @@ def changed_tags(tags: Column, key: str, old: str | None, to: tuple[str, str] |
 def needed_members(relations: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id): what the relations ``seeds`` (id) hold, and what the relations among those hold, until nothing new comes.
 
-    ``relations`` has id and member.
+    ``relations`` has id and member. Rounds may be many, so none broadcasts a table, which would pass
+    through the driver each time; tables of rounds that are over go.
     """
-    from roadlake.functions.storage import written
+    from roadlake.functions.storage import drop_written, written
 
+    relations = written(relations.where("id is not null").select("id", "member").distinct())
     found = new = written(seeds.select("id").distinct())
     while not new.isEmpty():
-        reached = relations.join(new, "id", "left_semi").select(F.col("member").alias("id")).distinct()
-        new = written(reached.join(found, "id", "left_anti"))
+        reached = relations.join(new.hint("merge"), "id", "left_semi").select(F.col("member").alias("id")).distinct()
+        old, new = (found, new), written(reached.join(found.hint("merge"), "id", "left_anti"))
         found = written(found.unionByName(new))
+        drop_written(*{id(t): t for t in old}.values())
+    drop_written(relations, *([new] if new is not found else []))
     return found

@@ -2,7 +2,7 @@
 
 import pytest
 
-from roadlake.operators import flows
+from roadlake.operators import flows, records
 from roadlake.plans.queries import QUERIES
 from roadlake.sources import network, sinks
 
@@ -35,3 +35,16 @@ def test_elements_lie_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "edges").glob("part-*"))) == 10
     found = network.in_file_order(network.elements(spark, f"{tmp_path}/edges", "edge", network.EDGE))
     assert [r["_id"] for r in found.orderBy("position").collect()] == [str(k) for k in range(95)]
+
+
+def test_members_do_not_pass_through_the_driver(spark, monkeypatch):
+    import roadlake.functions.storage as storage
+
+    plans, real = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df: plans.append(plan(df)) or real(df))
+    relations = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6), (3, None)], "id bigint, member bigint")
+    seeds = spark.createDataFrame([(1,)], "id bigint")
+    found = records.needed_members(relations, seeds)
+    assert sorted(r["id"] or 0 for r in found.collect()) == [0, 1, 2, 3]
+    assert not any("Broadcast" in text for text in plans)
+    assert records.needed_members(relations, seeds.where("id > 1")).collect() == []
