@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
+from heapq import heappop, heappush
+from itertools import groupby, islice
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +17,9 @@ from pyspark.sql import functions as F
 from roadlake.functions.storage import drop_written, written
 
 PAIR = ("first_edge", "last_edge")
+#: What a task gets of a pair, or of a turn near a last edge; so many pairs share the turns at most, and so many ways leave at once.
+WAY_ROW = ["last_edge", "part", "at", "next", "m", "rest"]
+PAIRS_TOGETHER, WAYS_AT_ONCE = 256, 4096
 
 
 def distances(pairs: DataFrame, turns: DataFrame, stretch: float = 1.0) -> DataFrame:
@@ -79,64 +88,95 @@ def least_lengths(keys: DataFrame, edges: DataFrame, connections: DataFrame) ->
     return found.select(F.col("at").alias("first_edge"), "last_edge", (F.col("m") + F.col("left")).alias("milli"))
 
 
-def _from_roots(roots: DataFrame, turns: DataFrame, left: DataFrame) -> DataFrame:
-    """The least way, by (milli, path), of each root: PAIR, spur, most, milli, path.
+def _least_from(path: tuple, milli: int, barred: set, last: int, steps: dict, most: float) -> tuple[int, tuple] | None:
+    """The least (milli, path) to ``last`` that begins with ``path``, goes on by none of ``barred`` and is at most ``most``.
 
-    ``roots`` has these and ``barred``, edges that mustn't follow the root. A way grows by one turn a
-    round, never onto an edge that it has, and only where the length so far and ``left`` together are
-    at most ``most``; of the ways of a root to one edge only the least goes on.
+    ``steps`` has (next, m, rest) of each edge; rest is the exact least length after next, so that
+    what is popped goes towards the end, and each edge is left once at most.
     """
-    search = [*PAIR, "spur", "most"]
-    front = roots.select(*search, F.element_at("path", -1).alias("at"), "milli", "path", "barred")
-    best = written(front.where("at = last_edge").select(*search, "at", "milli", "path"))
-    while True:
-        ahead = front.where("at <> last_edge").join(turns, "at").where(~F.array_contains("path", F.col("next")) & ~F.array_contains("barred", F.col("next")))
-        ahead = ahead.select(*search, F.col("next").alias("at"), (F.col("milli") + F.col("m")).alias("milli"), F.concat("path", F.array("next")).alias("path"))
-        grown = ahead.join(left, ["last_edge", "at"]).where(F.col("milli") + F.col("left") <= F.col("most"))
-        both = best.withColumn("new", F.lit(False)).unionByName(grown.select(*best.columns, F.lit(True).alias("new")))
-        least = both.groupBy(*search, "at").agg(F.min(F.struct("milli", "path", "new")).alias("s"))
-        now = written(least.select(*search, "at", "s.*"))
-        drop_written(best)
-        best, front = now.drop("new"), now.where("new").drop("new").withColumn("barred", F.array().cast("array<bigint>"))
-        if front.isEmpty():
-            return best.where("at = last_edge").drop("at")
-
-
-def best_ways(keys: DataFrame, edges: DataFrame, connections: DataFrame, k: int = 1, stretch: float = 1.0) -> DataFrame:
+    heap, shut = [(milli, path, milli)], set(path[:-1])
+    while heap:
+        _, way, milli = heappop(heap)
+        at = way[-1]
+        if at == last:
+            return milli, way
+        if at in shut:
+            continue
+        shut.add(at)
+        for edge, m, rest in steps.get(at, ()):
+            if edge not in shut and milli + m + rest <= most and not (edge in barred and len(way) == len(path)):
+                heappush(heap, (milli + m + rest, (*way, edge), milli + m))
+    return None
+
+
+def _least_ways(first: int, m: int, low: int, last: int, steps: dict, k: int, stretch: float) -> Iterator[tuple[int, tuple]]:
+    """The ``k`` least (milli, path) from ``first`` to ``last``, in order.
+
+    What is left to find is in classes (root, barred): ways that begin with the root and go on by none of the
+    barred edges. A way that is taken splits its class by the place where others leave it, so each way is in
+    just one. A class is searched only once no other can have a lesser way.
+    """
+    most, heap, n = low * stretch, [(low, (first,), False, 1, m, frozenset())], 0
+    while heap and n < k:
+        milli, path, whole, spur, own, barred = heappop(heap)
+        if not whole:
+            found = _least_from(path, own, barred, last, steps, most)
+            if found:
+                heappush(heap, (*found, True, spur, own, barred))
+            continue
+        yield milli, path
+        n += 1
+        for at in range(spur, len(path)):
+            shut, root = barred | {path[at]}, path[:at]
+            least = min((own + m + rest for edge, m, rest in steps[path[at - 1]] if edge not in shut and edge not in root), default=most + 1)
+            if least <= most:
+                heappush(heap, (least, root, False, at, own, shut))
+            own, barred = own + next(m for edge, m, _ in steps[path[at - 1]] if edge == path[at]), frozenset()
+
+
+def _ways_in_task(k: int, stretch: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by (last_edge, part), the ways of each part's pairs; rows of pairs have no next."""
+    schema = pa.schema([("first_edge", pa.int64()), ("last_edge", pa.int64()), ("rank", pa.int64()), ("milli", pa.int64()), ("path", pa.string())])
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        rows = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in WAY_ROW], strict=True))
+        for (last, _), group in groupby(rows, itemgetter(0, 1)):
+            pairs, steps = [], defaultdict(list)
+            for _, _, at, edge, m, rest in group:
+                if edge is None:
+                    pairs.append((at, m, m + rest))
+                else:
+                    steps[at].append((edge, m, rest))
+            for first, m, low in pairs:
+                for rank, (milli, path) in enumerate(_least_ways(first, m, low, last, steps, k, stretch), 1):
+                    yield first, last, rank, milli, " ".join(map(str, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ways(batches)
+        while some := list(islice(found, WAYS_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def best_ways(keys: DataFrame, edges: DataFrame, connections: DataFrame, k: int = 1, stretch: float = 1.0, together: int = PAIRS_TOGETHER) -> DataFrame:
     """(first_edge, last_edge, rank, milli, path): the ``k`` shortest loop-free ways of each pair of edges.
 
     Ways longer than ``stretch`` times the shortest are left out; ties go by the edges' ids in order.
-    A way has no edge twice. After the shortest, each rank's way is the least that deviates from those
-    before it: for every place at or after the one where the last way left its own parent, the way up
-    there is a root, the edges that found ways take from that root are barred, and the least way from
-    the root is a candidate. Every other way is in the class of just one such root, so none is missed.
-    A rank's roots of all pairs are searched at once. Each distinct pair is sought once; pairs
+    A way has no edge twice. Least lengths to the last edges are sought for all pairs at once (``distances``). The
+    turns that lie within ``stretch`` of a last edge go to a task once for each ``together`` of its pairs, and there
+    each way after the shortest is the least that deviates from those before it (``_least_ways``), so that
+    no partial way is a row. Each distinct pair is sought once; pairs
     without a way, or with unknown edges, have no row. Edges have lengths of a thousandth at least.
     """
     pairs, turns = _parts(keys, edges, connections)
-    ids = edges.select(F.col("edge_id").cast("bigint").alias("next"), F.floor(F.col("length") * 1000).alias("m"))
     found = distances(pairs, turns, stretch if k > 1 else 1.0)
-    shortest = found.where("m is not null and left is not null").select(F.col("at").alias("first_edge"), "last_edge", "m", (F.col("m") + F.col("left")).alias("low"))
-    left = found.where("left is not null").select("last_edge", "at", "left")
-    none = F.array().cast("array<bigint>")
-    first = shortest.select(*PAIR, F.lit(0).alias("spur"), F.col("low").cast("double").alias("most"), F.col("m").alias("milli"), F.array("first_edge").alias("path"), none.alias("barred"))
-    last = written(_from_roots(first, turns, left).withColumn("rank", F.lit(1).cast("bigint")).withColumn("most", F.col("milli") * F.lit(stretch)))
-    found, candidates = last, last.where("false").drop("rank")
-    for rank in range(2, k + 1):
-        places = F.sequence(F.col("spur"), F.size("path") - 2)
-        open_ = last.where(F.size("path") - 2 >= F.col("spur")).withColumn("spur", F.explode(places))
-        open_ = open_.select(*PAIR, "spur", "most", F.slice("path", 1, F.col("spur") + 1).alias("path"))
-        before = found.select(*PAIR, F.col("path").alias("way"))
-        taken = open_.join(before, list(PAIR)).where((F.size("way") > F.size("path")) & (F.slice("way", 1, F.size("path")) == F.col("path")))
-        barred = taken.groupBy(*PAIR, "spur", "most", "path").agg(F.collect_set(F.get("way", F.size("path"))).alias("barred"))
-        lengths = barred.select(*PAIR, "spur", F.explode("path").alias("next")).join(ids, "next").groupBy(*PAIR, "spur").agg(F.sum("m").alias("milli"))
-        roots = written(barred.join(lengths, [*PAIR, "spur"]))
-        candidates = written(candidates.unionByName(_from_roots(roots, turns, left)))
-        least = candidates.groupBy(*PAIR).agg(F.min(F.struct("milli", "path", "spur", "most")).alias("s"))
-        last = written(least.select(*PAIR, "s.*", F.lit(rank).cast("bigint").alias("rank")))
-        if last.isEmpty():
-            break
-        found = found.unionByName(last)
-        candidates = candidates.join(last.select(*PAIR, "path"), [*PAIR, "path"], "left_anti")
-    path = F.array_join(F.transform("path", lambda e: e.cast("string")), " ")
-    return found.select(*PAIR, "rank", "milli", path.alias("path"))
+    asked = found.where("m is not null and left is not null").select("last_edge", "at", F.lit(None).cast("bigint").alias("next"), "m", F.col("left").alias("rest"))
+    bound = asked.groupBy("last_edge").agg((F.max(F.col("m") + F.col("rest")) * stretch).alias("most"), F.ceil(F.count(F.lit(1)) / together).alias("parts"))
+    near = found.where("left is not null").select("last_edge", F.col("at").alias("next"), F.col("left").alias("rest")).join(bound, "last_edge").where("rest <= most")
+    steps = near.join(turns, "next").where("m + rest <= most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    dealt = asked.join(bound, "last_edge").withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")))
+    # a number of its own, since few bytes are much work here
+    salts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.select(*WAY_ROW).unionByName(steps.select(*WAY_ROW)).repartition(salts, "last_edge", "part").sortWithinPartitions("last_edge", "part")
+    return rows.mapInArrow(_ways_in_task(k, stretch), "first_edge bigint, last_edge bigint, rank bigint, milli bigint, path string")

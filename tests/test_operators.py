@@ -550,6 +550,23 @@ def test_second_way_over_an_edge_that_shorter_ways_reach(spark):
     assert rows(got, "rank", "path") == [(1, "0 1 3"), (2, "0 2 6 7 1 3")]
 
 
+def test_further_ways_take_no_further_jobs(spark):
+    """A rank more is no round more, and pairs of one last edge that are dealt to several tasks have the same ways."""
+    from roadlake.operators import paths
+
+    rnd = random.Random(9)
+    net = [(e, rnd.randint(0, 4), rnd.randint(0, 4), float(rnd.randint(1, 4))) for e in range(18)]
+    edges = spark.createDataFrame(net, "edge_id bigint, fj bigint, tj bigint, length double")
+    keys, jobs = spark.createDataFrame([(e, 3 + e % 2) for e in range(18)], "first_edge bigint, last_edge bigint"), {}
+    for k in (2, 9):
+        spark.sparkContext.setJobGroup(f"ways {k}", "")
+        found = rows(paths.best_ways(keys, edges, graph.connections(edges), k, 9.0, together=2))
+        jobs[k] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ways {k}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == rows(paths.best_ways(keys, edges, graph.connections(edges), 9, 9.0)) and any(r[2] == 9 for r in found)
+    assert jobs[9] <= jobs[2]
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     one = selection.random_flow(spark, 0, 3000, 300, 2, 4, 1)
     spark.conf.set("spark.sql.shuffle.partitions", "3")
