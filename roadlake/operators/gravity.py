@@ -17,7 +17,9 @@ from roadlake.functions.storage import drop_written, written
 from roadlake.operators.components import connected_components
 
 #: Places, and points, that are held against each other at once.
-BLOCK_PLACES, BLOCK_POINTS = 50_000, 4_096
+BLOCK_PLACES, BLOCK_POINTS = 50_000, 1_024
+#: Of these, so many points and places whose pulls are taken at once.
+AT_ONCE = 32, 1_024
 #: Pairs of places whose distance is taken at once.
 CANDIDATES = 1_000_000
 #: So few points left are moved and merged in one task, by the same steps.
@@ -39,8 +41,8 @@ def moved(points: DataFrame, block: int = BLOCK_PLACES, factor: int = 1000) -> D
     held = places.groupBy(dealt(["x", "y"], blocks).alias("b")).agg(F.collect_list(F.struct("x", "y", "w")).alias("places")).select("b", "places", numbers(min(salts, chunks)).alias("salt"))
     some = points.groupBy(dealt(["id"], chunks).alias("chunk")).agg(F.collect_list(F.struct("id", "x", "y")).alias("points"))
     some = some.select("points", F.pmod("chunk", F.lit(min(salts, chunks))).alias("salt"), numbers(blocks).alias("b"))
-    # a number of its own, since few bytes are much work here
-    met = some.repartition(blocks * min(salts, chunks), "b", "salt").join(held, ["b", "salt"]).select("points", "places")
+    # a number of its own, since few bytes are much work here, and large enough that few pairs of b and salt share a task
+    met = some.repartition(4 * blocks * min(salts, chunks), "b", "salt").join(held, ["b", "salt"]).select("points", "places")
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,16 +56,41 @@ def moved(points: DataFrame, block: int = BLOCK_PLACES, factor: int = 1000) -> D
 
 
 def pulls(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, pw: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
-    """What the places px, py of weight pw pull at each point x, y."""
+    """What the places px, py of weight pw pull at each point x, y.
+
+    Few points meet few places at once, so that they stay in the processor's cache. Places light enough for it
+    are divided as doubles: a quotient of whole numbers below 2^52 is never rounded up to a whole one.
+    """
     out = np.zeros((2, len(x)), np.int64)
-    for at in range(0, len(x), 64):
-        dx, dy = px[None, :] - x[at : at + 64, None], py[None, :] - y[at : at + 64, None]
-        d2 = np.maximum(dx * dx + dy * dy, 1)
-        for k, d in enumerate((dx, dy)):
-            out[k, at : at + 64] = (np.sign(d) * (np.abs(d) * pw * factor // d2)).sum(1)
+    if not len(x) or not len(px):
+        return out[0], out[1]
+    wide = max(int(max(o.max(), p.max()) - min(o.min(), p.min())) for o, p in ((x, px), (y, py)))
+    # of two sides and a sum over the places that are taken at once
+    light = pw < min(2**52 // max(1, wide * factor), 2**52 // (factor * AT_ONCE[1])) if 2 * wide * wide < 2**52 else np.zeros(len(px), bool)
+    for kind, mine, pull in ((np.float64, light, _as_doubles), (np.int64, ~light, _as_integers)):
+        (ox, oy), (qx, qy, w) = ((v.astype(kind) for v in some) for some in ((x, y), (px[mine], py[mine], pw[mine] * factor)))
+        for at in range(0, len(qx), AT_ONCE[1]):
+            place = slice(at, at + AT_ONCE[1])
+            for own in (slice(k, k + AT_ONCE[0]) for k in range(0, len(ox), AT_ONCE[0])):
+                dx, dy = qx[None, place] - ox[own, None], qy[None, place] - oy[own, None]
+                d2 = dx * dx
+                d2 += dy * dy
+                np.maximum(d2, 1, out=d2)
+                for k, d in enumerate((dx, dy)):
+                    out[k, own] += pull(d, w[place], d2).sum(1).astype(np.int64)
     return out[0], out[1]
 
 
+def _as_doubles(d: np.ndarray, w: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    d *= w
+    d /= d2
+    return np.trunc(d, out=d)
+
+
+def _as_integers(d: np.ndarray, w: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    return np.sign(d) * (np.abs(d) * w // d2)
+
+
 def mutual_neighbours(points: DataFrame, radius: int) -> DataFrame:
     """(a, b, d2): pairs a < b that are each other's nearest point within ``radius``.
 

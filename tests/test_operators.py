@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -495,6 +496,22 @@ def test_moves_in_blocks_are_those_of_all(spark):
     assert rows(gravity.moved(points, 40)) == rows(gravity.moved(points))
 
 
+def test_pulls_are_whole_and_taken_in_few_places_at_once(monkeypatch):
+    """Light and heavy places, near and far, as the plain sum has them; no array is larger than what is taken at once."""
+    largest, real = [0], np.maximum
+    monkeypatch.setattr(gravity.np, "maximum", lambda a, *rest, **out: (largest.append(a.size), real(a, *rest, **out))[1])
+    rnd = random.Random(6)
+    for span, heavy, factor in ((40, 3, 1000), (10**6, 10**5, 10**6), (10**8, 5, 1000)):
+        x, y, w = ([rnd.randint(a, b) for _ in range(1500)] for a, b in ((-span, span), (-span, span), (0, heavy)))
+        want = []
+        for k in range(40):
+            near = [(x[j] - x[k], y[j] - y[k], w[j]) for j in range(1500)]
+            want.append(tuple(sum((1 if d[c] >= 0 else -1) * (abs(d[c]) * d[2] * factor // max(d[0] ** 2 + d[1] ** 2, 1)) for d in near) for c in (0, 1)))
+        got = gravity.pulls(np.array(x[:40]), np.array(y[:40]), np.array(x), np.array(y), np.array(w), factor)
+        assert list(zip(*(g.tolist() for g in got), strict=True)) == want
+    assert 0 < max(largest) <= 32 * 1024
+
+
 def all_ways(net, turns, first, last):
     """(milli, path) of every way without an edge twice, least first."""
     after = {}
