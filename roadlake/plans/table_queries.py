@@ -16,6 +16,9 @@ from roadlake.plans.queries import CELLS, ETA, HALF, LISTS, LOW, RUNS, drawn, qu
 from roadlake.sources import changes, network, sinks
 from roadlake.streaming import online, queue
 
+#: Positions of routes that one task sorts or sums up, about.
+TASK_ROWS = 1_000_000
+
 
 def _saved_network(spark, sf):
     edges, path = v.edge(spark, sf), new_folder(spark)
@@ -184,7 +187,11 @@ def ci_mean_plain(spark, sf):
 @query(", t as (select edge_id, sum(trunc(traveltime * 1000)::bigint)::bigint // count(*) as ms from v_dump group by 1) select route_id, sum(coalesce(ms, 0))::bigint as observed from v_route left join t using (edge_id) group by 1")
 def route_observed_time(spark, sf):
     times = v.dump(spark, sf).groupBy("edge_id").agg(F.expr("sum(cast(traveltime * 1000 as bigint)) div count(1)").alias("ms"))
-    return v.route(spark, sf).join(times, "edge_id", "left").groupBy("route_id").agg(F.sum(F.coalesce("ms", F.lit(0))).alias("observed"))
+    route = v.route(spark, sf).select("route_id", "edge_id")
+    # dealt to tasks of so many rows each, whatever the size of the table; a partial sum by edge would hold nearly all routes
+    tasks = max(1, -(-v.table(spark, sf, "lineitem").count() // TASK_ROWS))
+    timed = route.repartition(tasks, "edge_id").join(times.repartition(tasks, "edge_id"), "edge_id", "left")
+    return timed.repartition(tasks, "route_id").groupBy("route_id").agg(F.sum(F.coalesce("ms", F.lit(0))).alias("observed"))
 
 
 STARTS = ", c as (select vec_id as id, (label + 1)::bigint as w, floor(list_sum(list_transform(range(1, len(embedding), 2), lambda k: floor(embedding[k]::double * 1000)::bigint))::double / (len(embedding) // 2) / 20)::bigint as x, floor(list_sum(list_transform(range(2, len(embedding) + 1, 2), lambda k: floor(embedding[k]::double * 1000)::bigint))::double / (len(embedding) // 2) / 20)::bigint as y from embeddings) "

@@ -38,3 +38,12 @@ def test_others_have_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_observed_times_are_summed_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """More positions are more tasks, not larger ones."""
+    from roadlake.plans import table_queries
+
+    monkeypatch.setattr(table_queries, "TASK_ROWS", 500, raising=False)
+    found = QUERIES["route_observed_time"](spark, str(DATA))
+    assert found.rdd.getNumPartitions() >= spark.read.parquet(str(DATA / "lineitem.parquet")).count() / 500
