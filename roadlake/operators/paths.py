@@ -57,7 +57,7 @@ def distances(pairs: DataFrame, turns: DataFrame, stretch: float = 1.0) -> DataF
             if not lacking.isEmpty():
                 shut = _exhausted(lacking.select(F.col("at").alias("first")).distinct(), turns, rounds)
                 best = best.join(shut, (F.col("at") == F.col("first")) & F.col("m").isNotNull() & F.col("left").isNull(), "left_anti")
-        grown = best.where("new").select("last_edge", F.col("at").alias("next"), "left").join(turns.withColumnRenamed("m", "length"), "next")
+        grown = best.where("new").select("last_edge", F.col("at").alias("next"), "left").join(turns.withColumnRenamed("m", "length").hint("merge"), "next")
         front = grown.groupBy("last_edge", "at").agg(F.min(F.col("left") + F.col("length")).alias("left")).withColumn("m", none)
 
 
@@ -66,7 +66,7 @@ def _exhausted(firsts: DataFrame, turns: DataFrame, rounds: int) -> DataFrame:
     front = firsts.select("first", F.col("first").alias("at"))
     reach = written(front.withColumn("new", F.lit(True)))
     for _ in range(rounds):
-        grown = reach.where("new").join(turns, "at").select("first", F.col("next").alias("at"), F.lit(True).alias("new"))
+        grown = reach.where("new").join(turns.hint("merge"), "at").select("first", F.col("next").alias("at"), F.lit(True).alias("new"))
         now = written(reach.withColumn("new", F.lit(False)).unionByName(grown).groupBy("first", "at").agg(F.min("new").alias("new")))
         drop_written(reach)
         reach = now
@@ -173,9 +173,9 @@ def best_ways(keys: DataFrame, edges: DataFrame, connections: DataFrame, k: int
     found = distances(pairs, turns, stretch if k > 1 else 1.0)
     asked = found.where("m is not null and left is not null").select("last_edge", "at", F.lit(None).cast("bigint").alias("next"), "m", F.col("left").alias("rest"))
     bound = asked.groupBy("last_edge").agg((F.max(F.col("m") + F.col("rest")) * stretch).alias("most"), F.ceil(F.count(F.lit(1)) / together).alias("parts"))
-    near = found.where("left is not null").select("last_edge", F.col("at").alias("next"), F.col("left").alias("rest")).join(bound, "last_edge").where("rest <= most")
-    steps = near.join(turns, "next").where("m + rest <= most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    dealt = asked.join(bound, "last_edge").withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")))
+    near = found.where("left is not null").select("last_edge", F.col("at").alias("next"), F.col("left").alias("rest")).join(bound.hint("merge"), "last_edge").where("rest <= most")
+    steps = near.join(turns.hint("merge"), "next").where("m + rest <= most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    dealt = asked.join(bound.hint("merge"), "last_edge").withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")))
     # a number of its own, since few bytes are much work here
     salts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = dealt.select(*WAY_ROW).unionByName(steps.select(*WAY_ROW)).repartition(salts, "last_edge", "part").sortWithinPartitions("last_edge", "part")

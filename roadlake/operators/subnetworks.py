@@ -9,13 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
-from roadlake.operators import paths, sequences, similarity
+from roadlake.operators import paths, sequences
 
 #: Fewer edges inside the region are only counted.
 LEAST_EDGES = 3
 ENDS = ["firsts", "lasts"]
 
 
+def _merging(df: DataFrame) -> DataFrame:
+    """``df``, which grows with the vehicles, is joined by merging, so that no batch's rows pass the driver in a broadcast."""
+    return df.hint("merge")
+
+
 def allowed_ends(route: DataFrame, region: DataFrame, connections: DataFrame) -> DataFrame:
     """(route_id, status, left, right, firsts, lasts): where a route is in the region, and the edges it may begin and end on there.
 
@@ -29,7 +34,7 @@ def allowed_ends(route: DataFrame, region: DataFrame, connections: DataFrame) ->
     n = F.col("right") - F.col("left")
     marked = runs.withColumn("status", F.when(n == 0, "invalid").when(n < LEAST_EDGES, "short").otherwise("open"))
     open_ = written(marked.where("status = 'open'").select("route_id", "left", "right"))
-    at = lambda pos, name: route.join(open_, "route_id").where(F.col("pos") == pos).select("route_id", F.col("edge_id").alias(name))
+    at = lambda pos, name: _merging(route.join(_merging(open_), "route_id").where(F.col("pos") == pos).select("route_id", F.col("edge_id").alias(name)))
     own = open_.join(at(F.col("left"), "first"), "route_id").join(at(F.col("right") - 1, "last"), "route_id")
     own = own.join(at(F.col("left") - 1, "before"), "route_id", "left").join(at(F.col("right"), "after"), "route_id", "left")
     own = written(own.withColumn("before", F.when(F.col("left") > 1, F.col("before"))))
@@ -37,14 +42,14 @@ def allowed_ends(route: DataFrame, region: DataFrame, connections: DataFrame) ->
 
     def side(end: str, outer: str, junction: str, turn: tuple[str, str], name: str) -> DataFrame:
         place = inside.select(F.col("edge_id").alias(end), F.col(junction).alias("j"))
-        near = own.where(F.col(outer).isNotNull()).join(place, end).join(inside.select("edge_id", F.col(junction).alias("j")), "j")
+        near = own.where(F.col(outer).isNotNull()).join(_merging(place), end).join(_merging(inside.select("edge_id", F.col(junction).alias("j"))), "j")
         turns = connections.select(F.col(turn[0]).alias(outer), F.col(turn[1]).alias("edge_id"))
-        free = near.join(turns, [outer, "edge_id"], "left_semi").select("route_id", "edge_id")
+        free = near.join(_merging(turns), [outer, "edge_id"], "left_semi").select("route_id", "edge_id")
         fixed = own.where(F.col(outer).isNull()).select("route_id", F.col(end).alias("edge_id"))
         return free.unionByName(fixed).groupBy("route_id").agg(F.array_sort(F.collect_set("edge_id")).alias(name))
 
-    ends = side("first", "before", "fj", ("from_edge", "to_edge"), "firsts").join(side("last", "after", "tj", ("to_edge", "from_edge"), "lasts"), "route_id")
-    return marked.join(ends, "route_id", "left").select("route_id", "status", "left", "right", *ENDS)
+    ends = side("first", "before", "fj", ("from_edge", "to_edge"), "firsts").join(_merging(side("last", "after", "tj", ("to_edge", "from_edge"), "lasts")), "route_id")
+    return marked.join(_merging(ends), "route_id", "left").select("route_id", "status", "left", "right", *ENDS)
 
 
 def ways_of_ends(keys: DataFrame, region: DataFrame, connections: DataFrame, k: int, stretch: float) -> DataFrame:
@@ -53,33 +58,46 @@ def ways_of_ends(keys: DataFrame, region: DataFrame, connections: DataFrame, k:
     Pairs of edges that several keys share are sought once. None is longer than ``stretch`` times the key's shortest.
     """
     pairs = written(keys.select(*ENDS, F.explode("firsts").alias("first_edge")).select(*ENDS, "first_edge", F.explode("lasts").alias("last_edge")))
-    inside = connections.join(region.select(F.col("edge_id").alias("from_edge")), "from_edge", "left_semi").join(region.select(F.col("edge_id").alias("to_edge")), "to_edge", "left_semi")
+    within = lambda name: _merging(region.select(F.col("edge_id").alias(name)))
+    inside = connections.join(within("from_edge"), "from_edge", "left_semi").join(within("to_edge"), "to_edge", "left_semi")
     found = paths.best_ways(pairs, region, inside, k, stretch)
     by_key = W.partitionBy(*ENDS)
     order = by_key.orderBy("milli", F.transform(F.split("path", " "), lambda e: e.cast("bigint")))
-    joined = pairs.join(found.drop("rank"), list(paths.PAIR)).withColumn("rank", F.row_number().over(order).cast("bigint")).withColumn("low", F.min("milli").over(by_key))
+    joined = pairs.join(_merging(found.drop("rank")), list(paths.PAIR)).withColumn("rank", F.row_number().over(order).cast("bigint")).withColumn("low", F.min("milli").over(by_key))
     return joined.where((F.col("rank") <= k) & (F.col("milli") <= F.col("low") * stretch)).select(*ENDS, "rank", "milli", "path")
 
 
+def _taken(ways: list[str], eps: float, min_samples: int, picks: int) -> list[int]:
+    """Which of a key's ways, in order of their length, ``picked`` takes: places from 0 on."""
+    sets, every = [set(w.split(" ")) for w in ways], range(len(ways))
+    near = [[b for b in every if len(sets[a] & sets[b]) >= (1 - eps) * len(sets[a] | sets[b]) - 1e-9] for a in every]
+    name = lambda k: str(k + 1)
+    label = {a: a for a in every if len(near[a]) >= min_samples}
+    cores, moved = list(label), True
+    while moved:
+        low = {a: min((label[b] for b in near[a] if b in label), key=name) for a in cores}
+        moved, label = low != label, low
+    placed = label | {a: min((label[b] for b in near[a] if b in label), key=name) for a in every if a not in label and any(b in label for b in near[a])}
+    turn, before = [], dict.fromkeys(placed.values(), 0)
+    for k in sorted(placed):
+        turn.append((before[placed[k]], k))
+        before[placed[k]] += 1
+    return [k for _, k in sorted(turn)[:picks]] or list(every)
+
+
 def picked(ways: DataFrame, eps: float, min_samples: int, least: int, picks: int) -> DataFrame:
-    """``ways`` of each key that stay: of ``least`` ways or more only the ``picks`` best, in turn from each density cluster.
+    """``ways`` of each key that stay, and n_ways: of ``least`` ways or more only the ``picks`` best, in turn from each density cluster.
 
     Two ways are close if the Jaccard similarity of their edges is at least 1 - ``eps``. The best of a
-    cluster are its shortest; ways outside all clusters go, unless there is no cluster.
+    cluster are its shortest; ways outside all clusters go, unless there is no cluster. Clusters
+    lie within a key, which has no more ways than were sought, so they are found where its ways are.
     """
-    many = ways.groupBy(*ENDS).agg(F.count(F.lit(1)).alias("n"))
-    name = F.concat_ws("|", F.array_join("firsts", " "), F.array_join("lasts", " "))
-    listed = written(ways.join(many, ENDS).withColumn("key", name).withColumn("id", F.concat_ws("|", "key", "rank")))
-    large = listed.where(F.col("n") >= least)
-    routes = large.select(F.col("id").alias("route_id"), "key", F.explode(F.split("path", " ")).alias("e")).select("route_id", F.concat_ws("|", "key", "e").alias("edge_id"))
-    labels = similarity.density_clusters(large.select("id"), similarity.jaccard_at_least(routes, 1 - eps), min_samples).where("label <> '-1'")
-    placed = large.join(labels, "id")
-    in_cluster = F.row_number().over(W.partitionBy(*ENDS, "label").orderBy("milli", "rank"))
-    in_turn = F.row_number().over(W.partitionBy(*ENDS).orderBy("turn", "milli", "rank"))
-    best = written(placed.withColumn("turn", in_cluster).withColumn("r", in_turn).where(F.col("r") <= picks).select("id", *ENDS))
-    loose = large.join(best.select(*ENDS).distinct(), ENDS, "left_anti").select("id")
-    kept = listed.where(F.col("n") < least).select("id").unionByName(best.select("id")).unionByName(loose)
-    return listed.join(kept, "id", "left_semi").select(*ENDS, "rank", "milli", "path")
+    taken = F.udf(lambda paths: _taken(paths, eps, min_samples, picks), "array<int>")
+    listed = ways.groupBy(*ENDS).agg(F.array_sort(F.collect_list(F.struct("rank", "milli", "path"))).alias("ways"))
+    # ways of fewer give no rows to the function
+    many = F.when(F.size("ways") >= least, taken(F.when(F.size("ways") >= least, F.col("ways.path")).otherwise(F.array().cast("array<string>"))))
+    kept = F.coalesce(F.transform(many, lambda k: F.get("ways", k)), F.col("ways"))
+    return listed.select(*ENDS, F.size("ways").alias("n_ways"), F.explode(kept).alias("way")).select(*ENDS, "n_ways", "way.*")
 
 
 class Memo:
@@ -99,13 +117,13 @@ class Memo:
         """The distinct keys that aren't known, written."""
         known = self.known()
         keys = keys.select(*ENDS).distinct()
-        return written(keys if known is None else keys.join(known.select(*ENDS), ENDS, "left_anti"))
+        return written(keys if known is None else keys.join(_merging(known.select(*ENDS)), ENDS, "left_anti"))
 
     def add(self, keys: DataFrame, ways: DataFrame) -> None:
         """Append new ``keys`` with the edges of their ``ways``; a key with fewer than two is invalid."""
         edges = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(F.split("path", " "), lambda e: e.cast("bigint"))))))
         found = ways.groupBy(*ENDS).agg(F.max("n_ways").alias("n_ways"), edges.alias("edges"))
-        self.tables.append(written(keys.join(found, ENDS, "left").select(*ENDS, F.when(F.col("n_ways") > 1, F.col("edges")).alias("edges"))))
+        self.tables.append(written(keys.join(_merging(found), ENDS, "left").select(*ENDS, F.when(F.col("n_ways") > 1, F.col("edges")).alias("edges"))))
 
 
 def batch_subnetworks(route: DataFrame, region: DataFrame, connections: DataFrame, memo: Memo, k: int = 10, stretch: float = 1.5, eps: float = 0.26, min_samples: int = 2, least: int = 10, picks: int = 5) -> DataFrame:
@@ -119,13 +137,12 @@ def batch_subnetworks(route: DataFrame, region: DataFrame, connections: DataFram
     keys = memo.new(ends.where("status = 'open' and firsts is not null and lasts is not null"))
     if not keys.isEmpty():
         ways = written(ways_of_ends(keys, region, connections, k, stretch))
-        counts = ways.groupBy(*ENDS).agg(F.count(F.lit(1)).alias("n_ways"))
-        memo.add(keys, picked(ways, eps, min_samples, least, picks).join(counts, ENDS))
+        memo.add(keys, picked(ways, eps, min_samples, least, picks))
     known = memo.known()
     if known is None:
         known = ends.select(*ENDS, F.col("firsts").alias("edges")).where("false")
     status = F.when(F.col("status") != "open", F.col("status")).when(F.col("edges").isNull(), "invalid").otherwise("found")
-    return written(ends.join(known, ENDS, "left").select("route_id", status.alias("status"), *ENDS, "edges"))
+    return written(ends.join(_merging(known), ENDS, "left").select("route_id", status.alias("status"), *ENDS, "edges"))
 
 
 def subnetworks(vehicle: DataFrame, route: DataFrame, region: DataFrame, connections: DataFrame, length: int, episode: Column | None = None, **options) -> DataFrame:
@@ -136,10 +153,10 @@ def subnetworks(vehicle: DataFrame, route: DataFrame, region: DataFrame, connect
     """
     start = vehicle.agg(F.min("depart").alias("s")).first()["s"] or 0
     placed = written(vehicle.select("vehicle_id", "route_id", (F.floor((F.col("depart") - start) / length) if episode is None else episode).cast("bigint").alias("episode")))
-    memo, found = Memo(), None
+    region, connections, memo, found = written(region), written(connections), Memo(), None
     for number in [r["episode"] for r in placed.select("episode").distinct().orderBy("episode").collect()]:
         own = placed.where(F.col("episode") == number)
-        batch = batch_subnetworks(route.join(own.select("route_id").distinct(), "route_id", "left_semi"), region, connections, memo, **options)
-        part = own.join(batch, "route_id").select("episode", "vehicle_id", "status", "edges")
+        batch = batch_subnetworks(route.join(_merging(own.select("route_id").distinct()), "route_id", "left_semi"), region, connections, memo, **options)
+        part = own.join(_merging(batch), "route_id").select("episode", "vehicle_id", "status", "edges")
         found = part if found is None else found.unionByName(part)
     return found if found is not None else placed.select("episode", "vehicle_id", F.lit("").alias("status"), F.array().cast("array<bigint>").alias("edges"))

@@ -122,3 +122,18 @@ def test_episodes(spark):
     assert rows(found, "episode", "vehicle_id", "status", "edges") == sorted(((7 * r // 210, 100 + r, want[r][0], want[r][3]) for r in routes), key=repr)
     none = sub.subnetworks(vehicle.where("false"), route, inside, connections, 210)
     assert none.count() == 0
+
+
+def test_ways_are_picked_where_they_are(spark):
+    """No job and no join takes part, and keys with few ways keep all."""
+    rnd = random.Random(8)
+    keys = {(key, 90 + key): sorted((rnd.randint(10, 40), rnd.sample(range(8), 5)) for _ in range(n)) for key, n in ((1, 12), (2, 12), (3, 9), (4, 2))}
+    table = [([a], [b], r, m, " ".join(map(str, p))) for (a, b), ways in keys.items() for r, (m, p) in enumerate(ways, 1)]
+    ways = spark.createDataFrame(table, "firsts array<bigint>, lasts array<bigint>, rank bigint, milli bigint, path string")
+    spark.sparkContext.setJobGroup("picked", "")
+    found = sub.picked(ways, 0.5, 3, 9, 5)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("picked")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = [(a, n, m, " ".join(map(str, p))) for (a, _), w in keys.items() for n in [len(w)] for m, p in chosen(w, 0.5, 3, 9, 5)]
+    assert sorted((r["firsts"][0], r["n_ways"], r["milli"], r["path"]) for r in found.collect()) == sorted(want)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and len(want) < len(table)
