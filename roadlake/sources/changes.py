@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from roadlake.functions.storage import written
 from roadlake.sources.sinks import write_elements
 
 KINDS, ACTIONS = ["node", "way", "relation"], ["create", "modify", "delete"]
@@ -46,7 +47,7 @@ def _columns(o: Column, kind: str) -> list[Column]:
 def map_format(spark: SparkSession, path: str) -> str:
     """``osm`` or ``osc`` by the root element of the files; an error for any other and for both at once."""
     root = F.regexp_extract("value", r"<(osm|osmChange)[\s>]", 1)
-    found = sorted(r[0] for r in spark.read.text(path).select(root.alias("r")).where("r <> ''").distinct().collect())
+    found = sorted(r[0] for r in spark.read.text(path).where(F.col("value").contains("<osm")).select(root.alias("r")).where("r <> ''").distinct().collect())
     if found not in (["osm"], ["osmChange"]):
         raise ValueError(f"{path} holds no map objects and no changes, or both: {found}")
     return {"osm": "osm", "osmChange": "osc"}[found[0]]
@@ -92,12 +93,12 @@ def merged(snapshot: DataFrame, change: DataFrame) -> DataFrame:
     not visible, so an older change that comes in a later file doesn't bring it back; the result is the
     same in any order of files. Rows without an id or version go; repeated changes are one.
 
-    The changes of each object become one row first. Then the snapshot meets the changed ids only,
+    The changes of each object become one row first, as a written table, so that files of changes are read once. Then the snapshot meets the changed ids only,
     which Spark may broadcast where they are few, so a large snapshot needn't be shuffled.
     """
     known = change.where("kind is not null and id is not null and version is not null")
     whole = F.xxhash64(F.to_json(F.struct(*[c for c in COLUMNS if c != "tags"], F.array_sort(F.map_entries("tags")).alias("t"))))
-    last = newest(known.select(*COLUMNS, (F.col("action") == "delete").alias("_gone"), whole.alias("_row")), ["version", "_gone", "timestamp", "_row"])
+    last = written(newest(known.select(*COLUMNS, (F.col("action") == "delete").alias("_gone"), whole.alias("_row")), ["version", "_gone", "timestamp", "_row"]))
     key = ["kind", "id"]
     versions = last.select(*key, F.col("version").alias("_new"))
     base = snapshot.where("kind is not null and id is not null and version is not null")

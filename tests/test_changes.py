@@ -99,3 +99,13 @@ def test_filters_by_author_by_key_pattern_and_by_several_values(spark):
     with pytest.raises(ValueError):
         pick("=bar")
     assert df.where(F.lit(True)).count() == 3
+
+
+def test_files_of_changes_are_read_once(spark, tmp_path):
+    """What is merged reads the newest change of each object, not the files again."""
+    rows = objects(spark, [("way", 1, 2, "modify"), ("way", 1, 3, "delete"), ("way", 2, 1, "modify")], ", action string")
+    rows.drop("tags").write.json(str(tmp_path / "c"))
+    change = spark.read.schema(rows.drop("tags").schema).json(str(tmp_path / "c")).withColumn("tags", F.create_map(F.lit("a"), F.lit("b")))
+    found = changes.merged(objects(spark, [("way", 1, 1, True), ("way", 2, 5, True)], ", visible boolean"), change)
+    assert " json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert state(found) == [("way", 1, 3, False), ("way", 2, 5, True)]
