@@ -26,6 +26,8 @@ CHUNK, MAX_COUNTERS = 1 << 20, 1 << 20
 ROWS = 1 << 14
 #: Sources whose sums a task holds at once, and the numbers that it compares at once.
 SOURCE_BLOCK, CELLS = 64, 1 << 18
+#: Numbers that a task compares in all, as far as there are partitions to deal more to.
+TASK_CELLS = 1 << 34
 #: Fixed value: bytes of terms, A to Z in lower case; all others separate.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LEAVES = "lang string, term string, n_docs bigint, counts array<struct<source:string,n:bigint>>"
@@ -283,6 +285,20 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from now.rows()
 
 
+def _dealing(heads: DataFrame, partitions: int) -> DataFrame:
+    """``heads`` with a language's blocks of sources, and its salts, by which a block's terms are dealt.
+
+    For each salt a block gives back its pairs and best terms. So many terms go to a salt that these are no
+    more rows than it reads, however many partitions there are; only a language of so many sources
+    that a task would compare above ``TASK_CELLS`` numbers has more.
+    """
+    n = F.size("sources")
+    wide = F.least(n, F.lit(SOURCE_BLOCK))
+    terms = F.least(wide * (n + TOP), F.lit(TASK_CELLS) / (wide * n))
+    salts = F.greatest(F.lit(1), F.least(F.lit(partitions), F.floor(F.col("n_terms") / terms)))
+    return heads.withColumns({"blocks": F.ceil(n / SOURCE_BLOCK).cast("int"), "salts": salts.cast("int")})
+
+
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank: how each source of a language differs from the others.
 
@@ -291,7 +307,7 @@ def audit(docs: DataFrame) -> DataFrame:
     empty; every row is a document, repeated ones too; sources without terms take part; ties go by
     the bytes of the item; an empty table gives no rows. Kept terms are dealt by hash to tasks with
     their language's sources before them, in blocks of 64 sources, so neither a language nor a
-    source is one task's work; what tasks give back is added up by pair.
+    source is one task's work; what tasks give back is no more than they read, and is added up by pair.
     """
     spark = docs.sparkSession
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -300,13 +316,13 @@ def audit(docs: DataFrame) -> DataFrame:
     used = terms.select("lang", F.explode("counts").alias("c")).groupBy("lang", "c.source").agg(F.sum("c.n").alias("n"))
     groups = texts.groupBy("lang", "source").agg(F.lit(0).cast("bigint").alias("n")).unionByName(used).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"))
-    heads = written(groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources")).join(sizes, "lang", "left").select("lang", "sources", F.coalesce("n_terms", F.lit(0)).alias("n_terms")))
-    widest = heads.agg(F.max(F.size("sources"))).first()[0] or 1
-    blocks, salts = -(-widest // SOURCE_BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    heads = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources")).join(sizes, "lang", "left").select("lang", "sources", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    heads = written(_dealing(heads, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = F.lit(None)
-    first = heads.select("lang", to(blocks).alias("block"), "sources", "n_terms").withColumn("salt", to(salts)).select("lang", "block", "salt", none.cast("string").alias("term"), none.cast("array<struct<source:string,n:bigint>>").alias("counts"), "sources", "n_terms")
-    dealt = terms.select("lang", to(blocks).alias("block"), F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt"), "term", "counts", none.cast("array<struct<source:string,n:bigint>>").alias("sources"), none.cast("bigint").alias("n_terms"))
+    first = heads.withColumn("block", to("blocks")).withColumn("salt", to("salts")).select("lang", "block", "salt", none.cast("string").alias("term"), none.cast("array<struct<source:string,n:bigint>>").alias("counts"), "sources", "n_terms")
+    own = terms.join(heads.select("lang", "blocks", "salts"), "lang")
+    dealt = own.select("lang", to("blocks").alias("block"), F.pmod(F.xxhash64("term"), F.col("salts")).cast("int").alias("salt"), "term", "counts", none.cast("array<struct<source:string,n:bigint>>").alias("sources"), none.cast("bigint").alias("n_terms"))
     order = [F.col("lang"), F.col("block"), F.col("salt"), F.col("term").asc_nulls_first()]
     sorted_ = first.unionByName(dealt).repartition("lang", "block", "salt").sortWithinPartitions(*order)
     found = written(sorted_.mapInArrow(compare, "lang string, source string, part string, item string, value bigint"))

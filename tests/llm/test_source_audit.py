@@ -83,6 +83,17 @@ def test_cuts_change_nothing(monkeypatch):
     assert sorted(out, key=repr) == plain_audit(odd_texts())
 
 
+def test_partitions_do_not_multiply_partial_sums(spark, monkeypatch):
+    """Few terms go to one task a language, whatever the number of partitions; more tasks' sums add up to the same."""
+    df, tables = spark.createDataFrame(odd_texts(), "text string, lang string, source string"), []
+    monkeypatch.setattr(source_audit, "written", lambda t, of=source_audit.written: tables.append(of(t)) or tables[-1])
+    monkeypatch.setattr(spark.conf, "get", lambda key, *a, of=spark.conf.get: "37" if key == "spark.sql.shuffle.partitions" else of(key, *a))
+    found = plain(audit(df), *COLUMNS)
+    assert found == plain_audit(odd_texts()) and tables[-1].count() == len(found)
+    monkeypatch.setattr(source_audit, "TASK_CELLS", 1, raising=False)
+    assert plain(audit(df), *COLUMNS) == found and tables[-1].count() > 2 * len(found)
+
+
 def test_trie_walks_in_order():
     rnd = random.Random(5)
     terms = ["".join(rnd.choices("abé中", k=rnd.randint(0, 7))).encode() for _ in range(900)]
