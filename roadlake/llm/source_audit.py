@@ -289,8 +289,8 @@ def _dealing(heads: DataFrame, partitions: int) -> DataFrame:
     """``heads`` with a language's blocks of sources, and its salts, by which a block's terms are dealt.
 
     For each salt a block gives back its pairs and best terms. So many terms go to a salt that these are no
-    more rows than it reads, however many partitions there are; only a language of so many sources
-    that a task would compare above ``TASK_CELLS`` numbers has more.
+    more rows than it reads, however many partitions there are; a language of fewer terms has one salt.
+    Only one of so many sources that a task would compare above ``TASK_CELLS`` numbers has more.
     """
     n = F.size("sources")
     wide = F.least(n, F.lit(SOURCE_BLOCK))
@@ -307,7 +307,7 @@ def audit(docs: DataFrame) -> DataFrame:
     empty; every row is a document, repeated ones too; sources without terms take part; ties go by
     the bytes of the item; an empty table gives no rows. Kept terms are dealt by hash to tasks with
     their language's sources before them, in blocks of 64 sources, so neither a language nor a
-    source is one task's work; what tasks give back is no more than they read, and is added up by pair.
+    source is one task's work; what tasks give back is added up by pair.
     """
     spark = docs.sparkSession
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)

@@ -94,6 +94,13 @@ def test_partitions_do_not_multiply_partial_sums(spark, monkeypatch):
     assert plain(audit(df), *COLUMNS) == found and tables[-1].count() > 2 * len(found)
 
 
+def test_languages_of_few_and_of_many_sources(spark):
+    """One language has two blocks of sources, another one a single source."""
+    rnd = random.Random(7)
+    texts = [(" ".join(rnd.choices("abcdefgh", k=4)), "many", f"s{k % 70}") for k in range(140)] + [("a b c", "one", "s1")] * 3
+    assert plain(audit(spark.createDataFrame(texts, "text string, lang string, source string")), *COLUMNS) == plain_audit(texts)
+
+
 def test_trie_walks_in_order():
     rnd = random.Random(5)
     terms = ["".join(rnd.choices("abé中", k=rnd.randint(0, 7))).encode() for _ in range(900)]
