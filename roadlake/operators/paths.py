@@ -20,15 +20,17 @@ PAIR = ("first_edge", "last_edge")
 #: What a task gets of a pair, or of a turn near a last edge; so many pairs share the turns at most, and so many ways leave at once.
 WAY_ROW = ["last_edge", "part", "at", "next", "m", "rest"]
 PAIRS_TOGETHER, WAYS_AT_ONCE = 256, 4096
+#: Turns that searches take in one job; fewer jobs, but what the first of them reach goes on even where it is no nearer.
+TURNS_A_ROUND = 2
 
 
 def distances(pairs: DataFrame, turns: DataFrame, stretch: float = 1.0) -> DataFrame:
     """(last_edge, at, left, m): the least length from the end of ``at`` to the end of ``last_edge``, as a written table.
 
-    One search a last edge, whatever the number of pairs that share it, backwards from it by one turn
-    a round. It goes on as far as ``stretch`` times the longest of its pairs' shortest ways, once
-    all of these are found. After 8 rounds, 16, 32 and so on, pairs still without a way are also sought
-    forwards for as many rounds: those whose first edge leads no farther have none and are given
+    One search a last edge, whatever the number of pairs that share it, backwards from it by ``TURNS_A_ROUND``
+    turns a round. It goes on as far as ``stretch`` times the longest of its pairs' shortest ways, once
+    all of these are found. After 8 turns, 16, 32 and so on, pairs still without a way are also sought
+    forwards by as many turns: those whose first edge leads no farther have none and are given
     up, so that the search ends with the smaller of what leads to the last edge and what the first
     one leads to. Only the least length of each (last_edge, at) is kept. m is the length of ``at`` where
     it begins a pair, else null; such rows stay without ``left`` until they are reached.
@@ -36,38 +38,48 @@ def distances(pairs: DataFrame, turns: DataFrame, stretch: float = 1.0) -> DataF
     none, wide = F.lit(None).cast("bigint"), W.partitionBy("last_edge")
     begin = pairs.select("last_edge", F.col("first_edge").alias("at"), none.alias("left"), "m").distinct()
     ends = pairs.select("last_edge", F.col("last_edge").alias("at"), F.lit(0).cast("bigint").alias("left"), none.alias("m")).distinct()
-    best, front, rounds = None, begin.unionByName(ends), 0
+    best, front, done, due = None, begin.unionByName(ends).withColumn("gone_on", F.lit(False)), 0, 8
     while True:
-        old = [] if best is None else [best.select("last_edge", "at", "left", "m", F.col("left").alias("old"))]
+        old = [] if best is None else [best.select("last_edge", "at", "left", "m", F.lit(True).alias("gone_on"), F.col("left").alias("old"))]
         both = reduce(DataFrame.unionByName, old, front.withColumn("old", none))
-        # searches are dealt whole, so that the bounds need no exchange of their own
-        least = both.repartition("last_edge").groupBy("last_edge", "at").agg(F.min("left").alias("left"), F.max("m").alias("m"), F.min("old").alias("old"))
+        # searches are dealt whole, so that the bounds need no exchange of their own; of equal lengths one that has gone on already counts
+        kept = F.min(F.when(F.col("left").isNotNull(), F.struct("left", (~F.col("gone_on")).alias("open"))))
+        least = both.repartition("last_edge").groupBy("last_edge", "at").agg(kept.alias("k"), F.max("m").alias("m"), F.min("old").alias("old")).select("last_edge", "at", "k.left", "k.open", "m", "old")
         lacking = F.max(F.col("m").isNotNull() & F.col("left").isNull()).over(wide)
         bound = F.when(~lacking, F.max(F.col("m") + F.col("left")).over(wide) * stretch)
-        better = F.col("left").isNotNull() & (F.col("old").isNull() | (F.col("left") < F.col("old")))
-        marked = least.withColumn("most", bound).select("last_edge", "at", "left", "m", (better & (F.col("most").isNull() | (F.col("left") <= F.col("most")))).alias("new"))
+        better = F.col("open") & (F.col("old").isNull() | (F.col("left") < F.col("old")))
+        marked = least.withColumn("most", bound).select("last_edge", "at", "left", "m", F.coalesce(better & (F.col("most").isNull() | (F.col("left") <= F.col("most"))), F.lit(False)).alias("new"))
         now = written(marked)
         if best is not None:
             drop_written(best)
-        best, rounds = now, rounds + 1
+        best = now
         if best.where("new").isEmpty():
             return best.drop("new")
-        if rounds >= 8 and rounds & (rounds - 1) == 0:
+        if done >= due:
+            due *= 2
             lacking = best.where("m is not null and left is null")
             if not lacking.isEmpty():
-                shut = _exhausted(lacking.select(F.col("at").alias("first")).distinct(), turns, rounds)
+                shut = _exhausted(lacking.select(F.col("at").alias("first")).distinct(), turns, done)
                 best = best.join(shut, (F.col("at") == F.col("first")) & F.col("m").isNotNull() & F.col("left").isNull(), "left_anti")
-        grown = best.where("new").select("last_edge", F.col("at").alias("next"), "left").join(turns.withColumnRenamed("m", "length").hint("merge"), "next")
-        front = grown.groupBy("last_edge", "at").agg(F.min(F.col("left") + F.col("length")).alias("left")).withColumn("m", none)
+        steps = [best.where("new").select("last_edge", "at", "left")]
+        for _ in range(TURNS_A_ROUND):
+            grown = steps[-1].select("last_edge", F.col("at").alias("next"), "left").join(turns.withColumnRenamed("m", "length").hint("merge"), "next")
+            steps.append(grown.groupBy("last_edge", "at").agg(F.min(F.col("left") + F.col("length")).alias("left")))
+        done += TURNS_A_ROUND
+        front = reduce(DataFrame.unionByName, [step.withColumn("m", none).withColumn("gone_on", F.lit(step is not steps[-1])) for step in steps[1:]])
 
 
-def _exhausted(firsts: DataFrame, turns: DataFrame, rounds: int) -> DataFrame:
-    """Those first edges from which no further edge can be reached after so many rounds."""
+def _exhausted(firsts: DataFrame, turns: DataFrame, most: int) -> DataFrame:
+    """Those first edges from which no further edge can be reached after so many turns."""
     front = firsts.select("first", F.col("first").alias("at"))
     reach = written(front.withColumn("new", F.lit(True)))
-    for _ in range(rounds):
-        grown = reach.where("new").join(turns.hint("merge"), "at").select("first", F.col("next").alias("at"), F.lit(True).alias("new"))
-        now = written(reach.withColumn("new", F.lit(False)).unionByName(grown).groupBy("first", "at").agg(F.min("new").alias("new")))
+    for _ in range(-(-most // TURNS_A_ROUND)):
+        steps = [reach.where("new").select("first", "at")]
+        for _ in range(TURNS_A_ROUND):
+            steps.append(steps[-1].join(turns.hint("merge"), "at").select("first", F.col("next").alias("at")).distinct())
+        grown = [step.withColumn("new", F.lit(step is steps[-1])) for step in steps[1:]]
+        # what the turns before the last reach has gone on already
+        now = written(reduce(DataFrame.unionByName, grown, reach.withColumn("new", F.lit(False))).groupBy("first", "at").agg(F.min("new").alias("new")))
         drop_written(reach)
         reach = now
     return reach.groupBy("first").agg(F.max("new").alias("open")).where("not open").select("first")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadlake.functions.storage import written
-from roadlake.operators import paths, sequences
+from roadlake.operators import paths
 
 #: Fewer edges inside the region are only counted.
 LEAST_EDGES = 3
@@ -30,26 +30,42 @@ def allowed_ends(route: DataFrame, region: DataFrame, connections: DataFrame) ->
     the edge after it can be reached; it begins or ends on its own edge where the route does (or
     where only one edge comes before). firsts and lasts are ascending arrays, null unless open.
     """
-    runs = sequences.longest_run(route, region)
+    runs = _runs(route, region)
     n = F.col("right") - F.col("left")
-    marked = runs.withColumn("status", F.when(n == 0, "invalid").when(n < LEAST_EDGES, "short").otherwise("open"))
-    open_ = written(marked.where("status = 'open'").select("route_id", "left", "right"))
-    at = lambda pos, name: _merging(route.join(_merging(open_), "route_id").where(F.col("pos") == pos).select("route_id", F.col("edge_id").alias(name)))
-    own = open_.join(at(F.col("left"), "first"), "route_id").join(at(F.col("right") - 1, "last"), "route_id")
-    own = own.join(at(F.col("left") - 1, "before"), "route_id", "left").join(at(F.col("right"), "after"), "route_id", "left")
-    own = written(own.withColumn("before", F.when(F.col("left") > 1, F.col("before"))))
+    marked = written(runs.withColumn("status", F.when(n == 0, "invalid").when(n < LEAST_EDGES, "short").otherwise("open")).withColumn("before", F.when(F.col("left") > 1, F.col("before"))))
     inside = region.select("edge_id", "fj", "tj").distinct()
 
-    def side(end: str, outer: str, junction: str, turn: tuple[str, str], name: str) -> DataFrame:
+    def side(own: DataFrame, end: str, outer: str, junction: str, turn: tuple[str, str], name: str) -> DataFrame:
         place = inside.select(F.col("edge_id").alias(end), F.col(junction).alias("j"))
-        near = own.where(F.col(outer).isNotNull()).join(_merging(place), end).join(_merging(inside.select("edge_id", F.col(junction).alias("j"))), "j")
-        turns = connections.select(F.col(turn[0]).alias(outer), F.col(turn[1]).alias("edge_id"))
-        free = near.join(_merging(turns), [outer, "edge_id"], "left_semi").select("route_id", "edge_id")
-        fixed = own.where(F.col(outer).isNull()).select("route_id", F.col(end).alias("edge_id"))
-        return free.unionByName(fixed).groupBy("route_id").agg(F.array_sort(F.collect_set("edge_id")).alias(name))
+        turns = connections.select(F.col(turn[0]).alias(outer), F.col(turn[1]).alias("edge_id")).join(_merging(inside.select("edge_id", F.col(junction).alias("j"))), "edge_id")
+        free = turns.groupBy(outer, "j").agg(F.array_sort(F.collect_set("edge_id")).alias(name))
+        near = own.join(_merging(place), end, "left").join(_merging(free), [outer, "j"], "left").drop("j")
+        return near.withColumn(name, F.when(F.col(outer).isNull(), F.array(end)).otherwise(F.col(name)))
 
-    ends = side("first", "before", "fj", ("from_edge", "to_edge"), "firsts").join(_merging(side("last", "after", "tj", ("to_edge", "from_edge"), "lasts")), "route_id")
-    return marked.join(_merging(ends), "route_id", "left").select("route_id", "status", "left", "right", *ENDS)
+    own = side(marked.where("status = 'open'"), "first", "before", "fj", ("from_edge", "to_edge"), "firsts")
+    own = side(own, "last", "after", "tj", ("to_edge", "from_edge"), "lasts")
+    both = F.col("firsts").isNotNull() & F.col("lasts").isNotNull()
+    none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ENDS]
+    found = own.select("route_id", "status", "left", "right", *[F.when(both, F.col(c)).alias(c) for c in ENDS])
+    return found.unionByName(marked.where("status <> 'open'").select("route_id", "status", "left", "right", *none))
+
+
+def _runs(route: DataFrame, region: DataFrame) -> DataFrame:
+    """(route_id, left, right, first, last, before, after): ``sequences.longest_run``, its edges at both ends and those next to it.
+
+    All is found where a route's positions are, so that positions are dealt by route only once.
+    """
+    known = region.select("edge_id").distinct().withColumn("in", F.lit(True))
+    order = W.partitionBy("route_id").orderBy("pos")
+    beside = lambda at, by: F.when(at("pos").over(order) == F.col("pos") + by, at("edge_id").over(order))
+    rank = F.sum(F.col("in").cast("bigint")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    steps = route.join(_merging(known), "edge_id", "left").withColumns({"before": beside(F.lag, -1), "after": beside(F.lead, 1), "island": F.when(F.col("in"), F.col("pos") - rank)})
+    ends = [at(name, "pos").alias(of) for at, name, of in ((F.min_by, "edge_id", "first"), (F.max_by, "edge_id", "last"), (F.min_by, "before", "before"), (F.max_by, "after", "after"))]
+    islands = steps.groupBy("route_id", "island").agg(F.min("pos").alias("left"), (F.max("pos") + 1).alias("right"), *ends)
+    run = F.when(F.col("island").isNotNull(), F.struct((F.col("right") - F.col("left")).alias("n"), (-F.col("left")).alias("l"), "right", "first", "last", "before", "after"))
+    best = islands.groupBy("route_id").agg(F.max(run).alias("b"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return best.select("route_id", zero(-F.col("b.l")).alias("left"), zero(F.col("b.right")).alias("right"), "b.first", "b.last", "b.before", "b.after")
 
 
 def ways_of_ends(keys: DataFrame, region: DataFrame, connections: DataFrame, k: int, stretch: float) -> DataFrame:
@@ -145,18 +161,16 @@ def batch_subnetworks(route: DataFrame, region: DataFrame, connections: DataFram
     return written(ends.join(_merging(known), ENDS, "left").select("route_id", status.alias("status"), *ENDS, "edges"))
 
 
-def subnetworks(vehicle: DataFrame, route: DataFrame, region: DataFrame, connections: DataFrame, length: int, episode: Column | None = None, **options) -> DataFrame:
-    """(episode, vehicle_id, status, edges): the sub-network of each vehicle, batch by batch in order of departure.
+def subnetworks(vehicle: DataFrame, route: DataFrame, region: DataFrame, connections: DataFrame, length: int, episode: Column | None = None, memo: Memo | None = None, **options) -> DataFrame:
+    """(episode, vehicle_id, status, edges): the sub-network of each vehicle, with the episode that it departs in.
 
     An episode has all departures of ``length`` seconds from the first one on, or is given; each is a
-    batch, and one memo serves all.
+    batch. What is found of a key doesn't depend on its batch, so the batches of a table are taken at
+    once, each key of theirs is sought once, and the jobs don't grow in number with the episodes. A
+    ``memo`` has what earlier tables taught, and learns from this one.
     """
     start = vehicle.agg(F.min("depart").alias("s")).first()["s"] or 0
     placed = written(vehicle.select("vehicle_id", "route_id", (F.floor((F.col("depart") - start) / length) if episode is None else episode).cast("bigint").alias("episode")))
-    region, connections, memo, found = written(region), written(connections), Memo(), None
-    for number in [r["episode"] for r in placed.select("episode").distinct().orderBy("episode").collect()]:
-        own = placed.where(F.col("episode") == number)
-        batch = batch_subnetworks(route.join(_merging(own.select("route_id").distinct()), "route_id", "left_semi"), region, connections, memo, **options)
-        part = own.join(_merging(batch), "route_id").select("episode", "vehicle_id", "status", "edges")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else placed.select("episode", "vehicle_id", F.lit("").alias("status"), F.array().cast("array<bigint>").alias("edges"))
+    used = route.join(_merging(placed.where("episode is not null").select("route_id").distinct()), "route_id", "left_semi")
+    batch = batch_subnetworks(used, written(region), written(connections), Memo() if memo is None else memo, **options)
+    return placed.where("episode is not null").join(_merging(batch), "route_id").select("episode", "vehicle_id", "status", "edges")

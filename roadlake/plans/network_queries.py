@@ -285,7 +285,7 @@ def bottleneck_penalised(spark, sf):
 
 @query()
 def batch_subnetworks(spark, sf):
-    """The edges that vehicles of each two years may use inside the region, one memo of ends serving all batches."""
+    """The edges that vehicles of each two years may use inside the region; batches that share ends share what was found."""
     edges = v.edge(spark, sf)
     found = subnetworks.subnetworks(v.vehicle(spark, sf), v.route(spark, sf), v.region(spark, sf), graph.connections(edges), 2 * 365 * 86400)
     return found.select("episode", "vehicle_id", "status", F.array_join(F.transform("edges", lambda e: e.cast("string")), " ").alias("edges"))

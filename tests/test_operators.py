@@ -584,6 +584,31 @@ def test_further_ways_take_no_further_jobs(spark):
     assert jobs[9] <= jobs[2]
 
 
+def test_more_turns_a_round_find_the_same_lengths_in_fewer_jobs(spark, monkeypatch):
+    """Ways of more turns may be shorter, and a pair without a way is given up."""
+    from roadlake.operators import paths
+
+    rnd = random.Random(14)
+    net = [(e, rnd.randint(0, 7), rnd.randint(0, 7), float(rnd.choice((1, 2, 30)))) for e in range(20)] + [(100 + e, 50 + e, 51 + e, 1.0) for e in range(18)]
+    edges, turns = spark.createDataFrame(net, "edge_id bigint, fj bigint, tj bigint, length double"), [(a[0], b[0]) for a in net for b in net if a[2] == b[1] and a[0] != b[0]]
+    asked, milli, want = [(rnd.randrange(20), rnd.randrange(20)) for _ in range(25)] + [(100, 117), (117, 100), (5, 110)], {e[0]: int(e[3] * 1000) for e in net}, set()
+    for first, last in asked:
+        least = {first: milli[first]}
+        for a, b in turns * len(net):
+            if a in least:
+                least[b] = min(least.get(b, 10**9), least[a] + milli[b])
+        want |= {(first, last, least[last])} if last in least else set()
+    jobs = {}
+    for n in (1, 3):
+        monkeypatch.setattr(paths, "TURNS_A_ROUND", n)
+        spark.sparkContext.setJobGroup(f"turns {n}", "")
+        found = paths.least_lengths(spark.createDataFrame(asked, "first_edge bigint, last_edge bigint"), edges, spark.createDataFrame(turns, "from_edge bigint, to_edge bigint"))
+        assert rows(found, "first_edge", "last_edge", "milli") == sorted(want, key=repr) and (100, 117, 18000) in want
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"turns {n}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[3] < jobs[1]
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     one = selection.random_flow(spark, 0, 3000, 300, 2, 4, 1)
     spark.conf.set("spark.sql.shuffle.partitions", "3")

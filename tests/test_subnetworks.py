@@ -137,3 +137,44 @@ def test_ways_are_picked_where_they_are(spark):
     want = [(a, n, m, " ".join(map(str, p))) for (a, _), w in keys.items() for n in [len(w)] for m, p in chosen(w, 0.5, 3, 9, 5)]
     assert sorted((r["firsts"][0], r["n_ways"], r["milli"], r["path"]) for r in found.collect()) == sorted(want)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and len(want) < len(table)
+
+
+def test_more_episodes_take_no_more_jobs(spark, monkeypatch):
+    """All batches of a table are sought at once; what a memo knows is not sought again."""
+    net, turns, region, routes = network(5)
+    route, inside, connections = frames(spark, net, turns, region, routes)
+    vehicle = spark.createDataFrame([(100 + r, r, 50 + 7 * r) for r in routes], "vehicle_id bigint, route_id bigint, depart bigint")
+    sought, real = [], sub.ways_of_ends
+    monkeypatch.setattr(sub, "ways_of_ends", lambda keys, *rest: (sought.append(keys.count()), real(keys, *rest))[1])
+    jobs, got, memo = {}, {}, sub.Memo()
+    for length, kept in ((1000, None), (50, None), (100, memo), (60, memo)):
+        spark.sparkContext.setJobGroup(f"episodes {length}", "")
+        found = sub.subnetworks(vehicle, route, inside, connections, length, memo=kept, k=4, stretch=2.0)
+        got[length] = rows(found, "vehicle_id", "status", "edges")
+        jobs[length] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"episodes {length}"))
+        assert found.select("episode").distinct().count() == -(-7 * len(routes) // length)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got[1000] == got[50] == got[100] == got[60] and len(sought) == 3 and len(set(sought)) == 1
+    assert jobs[50] <= jobs[1000] + 2 and jobs[60] < jobs[50]
+
+
+def test_ends_of_routes_with_gaps_and_turns_that_are_not_there(spark):
+    """Positions that are missing end a run; a junction without an allowed edge leaves no ends on either side."""
+    net = {e: (e, e + 1, 1.0) for e in range(8)} | {20: (2, 3, 1.0)}
+    turns = {(e, e + 1) for e in range(7)} | {(1, 20), (20, 3)}
+    routes = {0: range(8), 1: [7, 5, 2, 3, 4], 2: [2, 3, 4, 9], 3: [0], 4: [1, 2, 3, 4, 0]}
+    steps = [(r, p, e) for r, es in routes.items() for p, e in enumerate(es)] + [(5, p, e) for p, e in ((0, 2), (1, 3), (3, 2), (4, 3), (5, 4), (7, 5))]
+    route = spark.createDataFrame(steps, "route_id bigint, pos bigint, edge_id bigint")
+    _, inside, connections = frames(spark, net, turns, {e: net[e] for e in (2, 3, 4, 20)}, {0: []} | routes)
+    found = sub.allowed_ends(route, inside, connections)
+    assert rows(found, "route_id", "status", "left", "right", "firsts", "lasts") == sorted(
+        [
+            (0, "open", 2, 5, [2, 20], [4]),
+            (1, "open", 2, 5, None, None),
+            (2, "open", 0, 3, None, None),
+            (3, "invalid", 0, 0, None, None),
+            (4, "open", 1, 4, None, None),
+            (5, "open", 3, 6, [2], [4]),
+        ],
+        key=repr,
+    )
