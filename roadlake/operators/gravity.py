@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from roadlake.functions.storage import drop_written, written
 from roadlake.operators.components import connected_components
 
-#: Places, and points, that are held against each other at once.
+#: Places that are held against each other at once, and that a task takes at least.
 BLOCK_PLACES, BLOCK_POINTS = 50_000, 1_024
+#: Cells on a side of a tile of dense places, and pairs that cost as much as a cell of a transform. Weights that share a task.
+SIDE, PAIRS_A_CELL, WEIGHTS_TOGETHER = 1_280, 20, 4
 #: Of these, so many points and places whose pulls are taken at once.
 AT_ONCE = 32, 1_024
 #: Pairs of places whose distance is taken at once.
@@ -30,35 +32,104 @@ def moved(points: DataFrame, block: int = BLOCK_PLACES, factor: int = 1000) -> D
     """(id, dx, dy): the pull of all other points, times ``factor`` and truncated.
 
     Each pair pulls with weight over squared distance, 1 for coincident points. Points at the same
-    place are summed first. Blocks of about ``block`` places meet blocks of points in a join on the
-    executors, each block of places once for each share of the points; pulls are added by id.
+    place are summed first, and pulled alike, so only places meet. Where they are dense, tiles of ``SIDE`` cells
+    meet the places of some weights of each tile, and a task may take a weight's pulls as a convolution
+    (``place_pulls``); else blocks of about ``block`` places meet blocks. Pulls are added by place.
     """
     salts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = written(points.groupBy("x", "y").agg(F.sum("w").alias("w")))
-    blocks, chunks = max(1, -(-places.count() // block)), max(1, -(-points.count() // BLOCK_POINTS))
-    dealt = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n))
+    places = written(points.where("x is not null and y is not null").groupBy("x", "y").agg(F.sum("w").alias("w")))
+    has = places.agg(F.count(F.lit(1)).alias("n"), *[at(c).alias(f"{at.__name__}_{c}") for at in (F.min, F.max) for c in "xy"]).first()
+    nx, ny = ((has[f"max_{c}"] - has[f"min_{c}"]) // SIDE + 1 if has["n"] else 1 for c in "xy")
+    dealt = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    if nx * ny <= max(1, 8 * has["n"] // block):
+        tile = (F.floor((F.col("x") - (has["min_x"] or 0)) / SIDE) * ny + F.floor((F.col("y") - (has["min_y"] or 0)) / SIDE)).cast("int")
+        some = max(1, -(-places.select("w").distinct().count() // WEIGHTS_TOGETHER))
+        targets, sources, t, s = nx * ny, nx * ny * some, tile, tile * some + dealt(["w"], some)
+    else:
+        sources = max(1, -(-has["n"] // block))
+        targets = max(sources, min(salts, -(-has["n"] // BLOCK_POINTS)))
+        t, s = dealt(["x", "y"], targets), dealt(["x", "y"], sources)
+    # a number of its own, since few bytes are much work here, and large enough that few pairs of t and s share a task
+    tasks = max(salts, min(4 * targets * sources, 4096))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = places.groupBy(dealt(["x", "y"], blocks).alias("b")).agg(F.collect_list(F.struct("x", "y", "w")).alias("places")).select("b", "places", numbers(min(salts, chunks)).alias("salt"))
-    some = points.groupBy(dealt(["id"], chunks).alias("chunk")).agg(F.collect_list(F.struct("id", "x", "y")).alias("points"))
-    some = some.select("points", F.pmod("chunk", F.lit(min(salts, chunks))).alias("salt"), numbers(blocks).alias("b"))
-    # a number of its own, since few bytes are much work here, and large enough that few pairs of b and salt share a task
-    met = some.repartition(4 * blocks * min(salts, chunks), "b", "salt").join(held, ["b", "salt"]).select("points", "places")
+    left = places.select("x", "y", t.alias("t"), numbers(sources).alias("s")).repartition(tasks, "t", "s")
+    right = places.where("w is not null").select("x", "y", "w", s.alias("s"), numbers(targets).alias("t")).repartition(tasks, "t", "s")
 
-    def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                own, other = (batch.column(c).slice(k, 1).flatten() for c in ("points", "places"))
-                ids, x, y = (own.field(c).to_numpy(zero_copy_only=False) for c in ("id", "x", "y"))
-                dx, dy = pulls(x, y, *[other.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "w")], factor)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(dx), pa.array(dy)], ["id", "dx", "dy"])
+    def pull(own: pa.Table, other: pa.Table) -> pa.Table:
+        (x, y), (px, py, pw) = ([some.column(c).to_numpy() for c in names] for some, names in ((own, ("x", "y")), (other, ("x", "y", "w"))))
+        return pa.table([x, y, *place_pulls(x, y, px, py, pw, factor)], ["x", "y", "dx", "dy"])
 
-    return met.mapInArrow(pull, "id bigint, dx bigint, dy bigint").groupBy("id").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
+    met = left.groupBy("t", "s").cogroup(right.groupBy("t", "s")).applyInArrow(pull, "x bigint, y bigint, dx bigint, dy bigint")
+    return points.select("id", "x", "y").join(met.groupBy("x", "y").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy")), ["x", "y"], "left").select("id", "dx", "dy")
+
+
+def place_pulls(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, pw: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``pulls``, for distinct places; weights that many places have are taken by convolution where that is less work.
+
+    The pull of a place depends on its weight and on how far off it is in x and y, so over the cells of both boxes the
+    places of a weight times the pulls of one such place are all its pulls. Sums of whole numbers are rounded; the error of the
+    transforms is bounded by the norms of what is transformed, and what could be off by a quarter is left to ``pulls``.
+    """
+    out = np.zeros((2, len(x)), np.int64)
+    if not len(x) or not len(px):
+        return out[0], out[1]
+    spans = [(int(o.min()), int(o.max()) - int(o.min()) + 1, int(p.min()), int(p.max()) - int(p.min()) + 1) for o, p in ((x, px), (y, py))]
+    shape = [_fast(o + p - 1) for _, o, _, p in spans]
+    cells = shape[0] * shape[1]
+    weights, counts = np.unique(pw, return_counts=True)
+    wide = max(abs(c - a) + o + p for a, o, c, p in spans)
+    rest = np.ones(len(pw), bool)
+    many = weights[(counts * len(x) > PAIRS_A_CELL * cells) & (weights > 0) & (weights < 2**52 // (wide * factor))] if 2 * wide * wide < 2**52 else weights[:0]
+    if len(many):
+        # how far off a place is from a point of cell k, on a ring of cells
+        (dx, dy), total, error = _offsets(spans, shape), np.zeros((2, shape[0], shape[1] // 2 + 1), np.complex128), 0.0
+        d2 = dx * dx + dy * dy
+        d2[d2 == 0] = 1
+        for w in many:
+            mine = pw == w
+            held = np.zeros(shape)
+            held[px[mine] - spans[0][2], py[mine] - spans[1][2]] = 1
+            pulled = [np.trunc(d * float(w * factor) / d2) for d in (dx, dy)]
+            off = 64 * np.finfo(float).eps * np.log2(cells) * np.sqrt(mine.sum()) * max(np.linalg.norm(k) for k in pulled)
+            if error + off >= 0.25:
+                continue
+            error, rest = error + off, rest & ~mine
+            held = np.fft.rfft2(held)
+            for k in (0, 1):
+                total[k] += held * np.fft.rfft2(pulled[k])
+        for k in (0, 1):
+            out[k] = np.rint(np.fft.irfft2(total[k], shape)[x - spans[0][0], y - spans[1][0]]).astype(np.int64)
+    other = pulls(x, y, px[rest], py[rest], pw[rest], factor)
+    return out[0] + other[0], out[1] + other[1]
+
+
+def _fast(n: int) -> int:
+    """The least number from n on that has only 2, 3 and 5 as factors, as transforms like it."""
+    fits = [2**a * 3**b * 5**c for a in range(n.bit_length() + 1) for b in range(n.bit_length() + 1) for c in range(n.bit_length() + 1) if n <= 2**a * 3**b * 5**c < 2 * n]
+    return min(fits, default=n)
+
+
+def _offsets(spans: list[tuple], shape: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The way from a point to a place, in x and in y, by the point's cell less the place's."""
+    ways = []
+    for (a, o, c, _), n in zip(spans, shape, strict=True):
+        m = np.arange(n)
+        ways.append((c - a - np.where(m < o, m, m - n)).astype(float))
+    return ways[0][:, None], ways[1][None, :]
+
+
+def _near_first(x: np.ndarray, y: np.ndarray, some: int, by: np.ndarray | None = None) -> np.ndarray:
+    """An order in which runs of ``some`` are close to each other, and of similar weights ``by``."""
+    strips = max(1, int(np.sqrt(len(x) / some)))
+    strip = (x - x.min()) * strips // (int(x.max()) - int(x.min()) + 1)
+    return np.lexsort((y, strip) if by is None else (y, strip, np.log2(np.clip(np.abs(by), 1, None)).astype(int)))
 
 
 def pulls(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, pw: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
     """What the places px, py of weight pw pull at each point x, y.
 
-    Few points meet few places at once, so that they stay in the processor's cache. Places light enough for it
+    Few points meet few places at once, so that they stay in the processor's cache, and not at all where the places are so far
+    off that each pull is below one: farther than their weight times ``factor``. Places light enough for it
     are divided as doubles: a quotient of whole numbers below 2^52 is never rounded up to a whole one.
     """
     out = np.zeros((2, len(x)), np.int64)
@@ -67,17 +138,25 @@ def pulls(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, pw: np.n
     wide = max(int(max(o.max(), p.max()) - min(o.min(), p.min())) for o, p in ((x, px), (y, py)))
     # of two sides and a sum over the places that are taken at once
     light = pw < min(2**52 // max(1, wide * factor), 2**52 // (factor * AT_ONCE[1])) if 2 * wide * wide < 2**52 else np.zeros(len(px), bool)
+    turn = _near_first(x, y, AT_ONCE[0])
+    starts = np.arange(0, len(x), AT_ONCE[0])
+    box = [(np.minimum.reduceat(v[turn], starts), np.fmax.reduceat(v[turn], starts)) for v in (x, y)]
     for kind, mine, pull in ((np.float64, light, _as_doubles), (np.int64, ~light, _as_integers)):
-        (ox, oy), (qx, qy, w) = ((v.astype(kind) for v in some) for some in ((x, y), (px[mine], py[mine], pw[mine] * factor)))
+        if not mine.any():
+            continue
+        places = np.flatnonzero(mine)[_near_first(px[mine], py[mine], AT_ONCE[1], pw[mine])]
+        (ox, oy), (qx, qy, w) = ((v.astype(kind) for v in some) for some in ((x[turn], y[turn]), (px[places], py[places], pw[places] * factor)))
         for at in range(0, len(qx), AT_ONCE[1]):
             place = slice(at, at + AT_ONCE[1])
-            for own in (slice(k, k + AT_ONCE[0]) for k in range(0, len(ox), AT_ONCE[0])):
+            gaps = [np.clip(np.where(low > q[place].max(), low - q[place].max(), q[place].min() - high), 0, None).astype(float) for (low, high), q in zip(box, (qx, qy), strict=True)]
+            for n in np.flatnonzero(np.hypot(*gaps) * (1 - 1e-9) <= float(np.abs(w[place]).max())):
+                own = slice(starts[n], starts[n] + AT_ONCE[0])
                 dx, dy = qx[None, place] - ox[own, None], qy[None, place] - oy[own, None]
                 d2 = dx * dx
                 d2 += dy * dy
                 np.maximum(d2, 1, out=d2)
                 for k, d in enumerate((dx, dy)):
-                    out[k, own] += pull(d, w[place], d2).sum(1).astype(np.int64)
+                    out[k, turn[own]] += pull(d, w[place], d2).sum(1).astype(np.int64)
     return out[0], out[1]
 
 

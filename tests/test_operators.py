@@ -512,6 +512,38 @@ def test_pulls_are_whole_and_taken_in_few_places_at_once(monkeypatch):
     assert 0 < max(largest) <= 32 * 1024
 
 
+def test_dense_places_are_pulled_without_meeting_each_other(monkeypatch):
+    """The pulls of weights that many places have come from a convolution; those of the others, and of far places, are as plain."""
+    met, real = [0], np.maximum
+    monkeypatch.setattr(gravity.np, "maximum", lambda a, *rest, **out: (met.append(a.size), real(a, *rest, **out))[1])
+    rnd = random.Random(7)
+    dense = sorted({(rnd.randint(-40, 50), rnd.randint(-60, 20)) for _ in range(3000)})
+    for mine, other, factor in ((dense, dense, 1000), (dense[:700], [(x + 90, y - 31) for x, y in dense[500:]], 1000), (dense[:50], [(10**6 + 9 * x, y) for x, y in dense], 1000)):
+        w = [rnd.choice((1, 2, 2, 7, 90 + k % 50)) if k % 30 == 0 else rnd.randint(1, 2) for k in range(len(other))]
+        met[:] = [0]
+        monkeypatch.setattr(gravity, "PAIRS_A_CELL", 2)
+        got = gravity.place_pulls(*[np.array(v) for v in (*zip(*mine), *zip(*other), w)], factor)
+        for k in range(0, len(mine), 97):
+            near = [(x - mine[k][0], y - mine[k][1], v) for (x, y), v in zip(other, w, strict=True)]
+            want = [sum((1 if d[c] >= 0 else -1) * (abs(d[c]) * d[2] * factor // max(d[0] ** 2 + d[1] ** 2, 1)) for d in near) for c in (0, 1)]
+            assert [int(g[k]) for g in got] == want
+        assert sum(met) < len(mine) * len(other) / 10
+
+
+def test_moves_in_tiles_and_of_odd_points(spark, monkeypatch):
+    """Tiles or blocks, many points at a place or one, places that are not known: the same pulls."""
+    rnd = random.Random(4)
+    points = [(k, rnd.randint(0, 50), rnd.randint(0, 50), rnd.randint(1, 5)) for k in range(300)] + [(300 + k, 7, 7, 1) for k in range(200)]
+    table = spark.createDataFrame(points + [(900, None, None, 3), (901, None, None, None)], "id bigint, x bigint, y bigint, w bigint")
+    plain = lambda p, c: sum((1 if q[c] >= p[c] else -1) * (abs(q[c] - p[c]) * q[3] * 1000 // max((q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2, 1)) for q in at)
+    at = [(0, *xy, sum(p[3] for p in points if p[1:3] == xy)) for xy in {p[1:3] for p in points}]
+    want = sorted([(p[0], plain(p, 1), plain(p, 2)) for p in points] + [(900, None, None), (901, None, None)], key=repr)
+    for side, block in ((10**4, 50_000), (20, 300), (20, 50_000)):
+        monkeypatch.setattr(gravity, "SIDE", side)
+        assert rows(gravity.moved(table, block)) == want
+    assert rows(gravity.moved(table.where("id = 1"))) == [(1, 0, 0)] and gravity.moved(table.where("false")).count() == 0
+
+
 def all_ways(net, turns, first, last):
     """(milli, path) of every way without an edge twice, least first."""
     after = {}
