@@ -24,8 +24,10 @@ SIDE, PAIRS_A_CELL, WEIGHTS_TOGETHER = 1_280, 20, 4
 AT_ONCE = 32, 1_024
 #: Pairs of places whose distance is taken at once.
 CANDIDATES = 1_000_000
+#: Slots of a tile, about, and of the fullest tile at most where smaller tiles can help.
+TILE_SLOTS, MOST_SLOTS = 2_048, 16_384
 #: So few points left are moved and merged in one task, by the same steps.
-FEW_POINTS = 4_096
+FEW_POINTS = 16_384
 
 
 def moved(points: DataFrame, block: int = BLOCK_PLACES, factor: int = 1000) -> DataFrame:
@@ -333,9 +335,9 @@ def _as_lists(rows: pd.DataFrame) -> list[list]:
     return [[None if v is None or v != v else int(v) for v in r] for r in rows[SLOT_COLUMNS].astype(object).itertuples(index=False)]
 
 
-def _tile_step(radius: int, reach: int, at: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _tile_step(radius: int, reach: int, at: int, side: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, went, acts = act(_as_lists(rows), radius, reach, key, tuple(k + 16 * reach for k in key))
+        left, went, acts = act(_as_lists(rows), radius, reach, key, tuple(k + side for k in key))
         out = [(0, *s, None, None) for s in left] + [(1, a, *[None] * 8, b, None) for a, b in went] + [(2, None, x, y, None, None, i, *[None] * 3, None, at) for i, x, y in acts]
         names = ["kind", *SLOT_COLUMNS, "into", "at"]
         return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names})
@@ -346,17 +348,20 @@ def _tile_step(radius: int, reach: int, at: int) -> Callable[[tuple, pd.DataFram
 def _in_order(state: DataFrame, radius: int, reach: int) -> tuple[DataFrame, DataFrame, bool]:
     """(slots left, pointers, whether it was right): rounds over shifted tiles until every point has acted.
 
-    A tile is 16 reaches wide, so that in one of four shifts any point is far from its borders, and
+    A tile is 16 reaches wide at least (``_side``), so that in one of four shifts any point is far from its borders, and
     the lowest id that hasn't acted always can. Points act out of order only where ``act`` saw
     nothing that waits within ``reach``; since those that wait may come closer later, all acts are
     held against each other at the end: two whose circles are apart can be swapped, and if any
     two out of order are less than two radii apart the rounds were wrong.
     """
-    side, round_, steps = 16 * reach, 0, []
+    (side, n), round_, steps = _side(state, 16 * reach), 0, []
+    # a number of its own, since few bytes are much work here
+    tasks = max(1, min(4 * int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * n // TILE_SLOTS))
     while True:
         shift = [(0, 0), (side // 2, 0), (0, side // 2), (side // 2, side // 2)][round_ % 4]
         corner = lambda c, by: F.floor((F.col(c) - by) / side) * side + by
-        step = written(state.groupBy(corner("x", shift[0]).alias("tx"), corner("y", shift[1]).alias("ty")).applyInPandas(_tile_step(radius, reach, round_), STEP))
+        dealt = state.withColumns({"tx": corner("x", shift[0]), "ty": corner("y", shift[1])}).repartition(tasks, "tx", "ty")
+        step = written(dealt.groupBy("tx", "ty").applyInPandas(_tile_step(radius, reach, round_, side), STEP))
         steps.append(step)
         state = step.where("kind = 0").select(*SLOT_COLUMNS)
         round_ += 1
@@ -376,6 +381,24 @@ def _in_order(state: DataFrame, radius: int, reach: int) -> tuple[DataFrame, Dat
     return state, pointers, right
 
 
+def _side(slots: DataFrame, least: int) -> tuple[int, int]:
+    """How wide tiles are: ``least``, or so many times two that they hold about ``TILE_SLOTS`` slots; and the number of slots.
+
+    Few slots a tile are many calls and many that wait at borders. Where a tile would be too full, since slots
+    lie in clusters, tiles are halved.
+    """
+    has = slots.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c) + 1).cast("double").alias(c) for c in "xy"]).first()
+    side = least
+    while has["n"] and 4.0 * side * side * has["n"] <= TILE_SLOTS * has["x"] * has["y"]:
+        side *= 2
+    while side > least:
+        tiles = slots.groupBy(*[F.floor(F.col(c) / side).alias(c) for c in "xy"]).agg(F.count(F.lit(1)).alias("n"))
+        if (tiles.agg(F.max("n").alias("n")).first()["n"] or 0) <= MOST_SLOTS:
+            break
+        side //= 2
+    return side, has["n"]
+
+
 def merged_in_order(points: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """((id, x, y, w) of the points left, (id, leader) of all): each point, by rising id, takes in those within ``radius``.
 
@@ -414,7 +437,9 @@ def ordered_clusters(points: DataFrame, radius: float, iterations: int = 200, fe
         if now.count() <= few:
             rest = now.groupBy().applyInPandas(_few(wide, iterations - k), "old bigint, leader bigint")
             return member.withColumnRenamed("leader", "old").join(rest, "old").select("id", "leader")
-        placed = written(now.join(moved(now, factor=10**6), "id").select("id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "w"))
+        # first all are on whole numbers, where a pull in thousandths is the same, and where they may be dense
+        pulled = moved(now, factor=10**6) if k else moved(points, factor=1000)
+        placed = written(now.join(pulled, "id").select("id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "w"))
         new, to = merged_in_order(placed, wide)
         joined = written(member.withColumnRenamed("leader", "old").join(to.withColumnRenamed("id", "old"), "old").select("id", "leader"))
         drop_written(now, placed, member, to)

@@ -265,6 +265,24 @@ def test_a_pass_that_was_out_of_order_is_repeated(spark, monkeypatch):
     assert rows(left, "id", "x", "y", "w") == sorted(plain_merge(points, 30)[0], key=repr)
 
 
+def test_tiles_are_as_wide_as_their_slots_are_few(spark, monkeypatch):
+    """Slots far apart share tiles instead of having one each; clustered ones don't fill a tile; the merge is that of a loop."""
+    monkeypatch.setattr(gravity, "TILE_SLOTS", 100)
+    monkeypatch.setattr(gravity, "MOST_SLOTS", 300)
+    rnd = random.Random(13)
+    far = [(k, rnd.randint(0, 30_000), rnd.randint(0, 30_000), rnd.randint(1, 9)) for k in range(600)]
+    near = far + [(1000 + k, 9_000 + rnd.randint(0, 2_000), rnd.randint(0, 2_000), rnd.randint(1, 9)) for k in range(600)]
+    for points in (far, near):
+        table = spark.createDataFrame(points, "id bigint, x bigint, y bigint, w bigint")
+        side, n = gravity._side(table, 160)
+        tiles = [r["count"] for r in table.groupBy((F.col("x") / side).cast("int"), (F.col("y") / side).cast("int")).count().collect()]
+        assert n == len(points) and side > 160 and max(tiles) <= 300 and (points is near or len(tiles) <= 32)
+        left, to = gravity.merged_in_order(table, 5)
+        want, lead = plain_merge(points, 5)
+        assert rows(left, "id", "x", "y", "w") == sorted(want, key=repr) and dict(rows(to, "id", "leader")) == lead
+    assert gravity._side(table.where("false"), 160) == (160, 0)
+
+
 def test_ordered_clusters_in_tiles_and_in_one_task(spark):
     rnd = random.Random(12)
     points = spark.createDataFrame([(k, rnd.randint(0, 120), rnd.randint(0, 120), rnd.randint(1, 3)) for k in range(150)], "id bigint, x bigint, y bigint, w bigint")
