@@ -42,12 +42,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     and empty texts stay as they are, as do repeated rows; an empty table gives no rows. Columns
     of any name pass through.
     """
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), cut=True)
     n_hit = F.aggregate("hits.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     left = F.col("hits.n_words") - n_hit
     kept = found.where((n_hit == 0) | ((left >= 20) & (2 * left >= F.col("hits.n_words"))))
-    old = F.col("doc.text")
-    return _with_text(kept, F.when(F.size("hits.spans") > 0, decontamination.without_spans(old, F.col("hits.spans"))).otherwise(old), docs.columns)
+    return _with_text(kept, F.when(F.size("hits.spans") > 0, F.col("hits.left")).otherwise(F.col("doc.text")), docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

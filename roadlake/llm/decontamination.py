@@ -202,17 +202,26 @@ RESULT = T.StructType([
 ])
 
 
-def searched(sent, text: Column) -> Column:
-    """struct(n_words, spans, items) of a text against a broadcast block of items; spans count words."""
-    arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+def searched(sent, text: Column, cut: bool = False) -> Column:
+    """struct(n_words, spans, items) of a text against a broadcast block of items; spans count words.
+
+    With ``cut`` it also has left, the text without its spans (``without``), null where there is none; so no second function
+    needs a worker of its own beside this one.
+    """
+    fields = [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
+    arrow = pa.struct([*fields, ("left", pa.string())] if cut else fields)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in each(batches, SHARD_BYTES):
             counts, spans, found = hits(texts, sent.value)
-            yield pa.array([{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i} for n, s, i in zip(counts.tolist(), spans, found, strict=True)], arrow)
+            rows = [{"n_words": n, "spans": [{"start": a, "end": b} for a, b in s], "items": i} for n, s, i in zip(counts.tolist(), spans, found, strict=True)]
+            if cut:
+                for k, row in enumerate(rows):
+                    row["left"] = without(texts[k].as_py(), spans[k]) if spans[k] else None
+            yield pa.array(rows, arrow)
 
     # so marked, a text is searched once, however many conditions use what was found
-    return F.arrow_udf(run, RESULT).asNondeterministic()(text)
+    return F.arrow_udf(run, T.StructType([*RESULT, T.StructField("left", T.StringType())]) if cut else RESULT).asNondeterministic()(text)
 
 
 def word_count(text: Column) -> Column:
@@ -246,8 +255,8 @@ def merged_spans(spans: Column) -> Column:
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc, hits): every row's columns, and struct(n_words, spans, items) of its text against all items.
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """(doc, hits): every row's columns, and struct(n_words, spans, items) of its text against all items; with ``cut`` also left.
 
     About ``SHARD_BYTES`` of a task's texts are a shard with an index of its own. The benchmark is
     sent in blocks of bounded size, one at a time: what a further block finds in a pass over the
@@ -260,7 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     block, following = next(todo), next(todo, None)
     whole = F.struct(*docs.columns).alias("doc")
     if following is None:
-        return docs.select(whole, searched(spark.sparkContext.broadcast(phrases(block)), F.col("text")).alias("hits"))
+        return docs.select(whole, searched(spark.sparkContext.broadcast(phrases(block)), F.col("text"), cut).alias("hits"))
     row = identity(F.col("doc_id"), F.col("text")).alias("row")
     while block is not None:
         sent = spark.sparkContext.broadcast(phrases(block))
@@ -272,7 +281,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     joined = docs.select(whole, row, word_count(F.col("text")).alias("n")).join(lists, "row", "left")
     spans = F.coalesce(merged_spans(F.flatten("spans")), F.array().cast("array<struct<start:bigint,end:bigint>>"))
     items = F.coalesce(F.array_sort(F.array_distinct(F.flatten("items"))), F.array().cast("array<string>"))
-    return joined.select("doc", F.struct(F.col("n").alias("n_words"), spans.alias("spans"), items.alias("items")).alias("hits"))
+    whole = joined.select("doc", F.col("n").alias("n_words"), spans.alias("spans"), items.alias("items"))
+    left = [F.when(F.size("spans") > 0, without_spans(F.col("doc.text"), F.col("spans"))).alias("left")] if cut else []
+    return whole.select("doc", F.struct("n_words", "spans", "items", *left).alias("hits"))
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of its spans, and without what lies between those of one."""
+    data, offsets = text_bytes(pa.array([text], pa.string()))
+    lowered, ends_at = with_breaks(LOWER[data], offsets)
+    starts, ends, _ = word_bounds(SEPARATOR[lowered], ends_at)
+    keep = np.ones(len(data), bool)
+    for a, b in spans:
+        keep[starts[a] : ends[b - 1]] = False
+    return data[keep].tobytes().decode()
 
 
 def without_spans(text: Column, spans: Column) -> Column:
@@ -283,19 +305,7 @@ def without_spans(text: Column, spans: Column) -> Column:
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, marked in batches:
-            out = []
-            for t, m in zip(texts.to_pylist(), marked.to_pylist(), strict=True):
-                if not m:
-                    out.append(t)
-                    continue
-                data, offsets = text_bytes(pa.array([t], pa.string()))
-                lowered, ends_at = with_breaks(LOWER[data], offsets)
-                starts, ends, _ = word_bounds(SEPARATOR[lowered], ends_at)
-                keep = np.ones(len(data), bool)
-                for s in m:
-                    keep[starts[s["start"]] : ends[s["end"] - 1]] = False
-                out.append(data[keep].tobytes().decode())
-            yield pa.array(out, pa.string())
+            yield pa.array([without(t, [(s["start"], s["end"]) for s in m]) if m else t for t, m in zip(texts.to_pylist(), marked.to_pylist(), strict=True)], pa.string())
 
     return F.arrow_udf(run, "string")(text, spans)
 

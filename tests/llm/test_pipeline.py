@@ -137,3 +137,17 @@ def test_buckets_of_many_unlike_sets_lose_no_pair(spark, monkeypatch, small, blo
         groups.setdefault(r["root"], []).append(r["doc_id"])
     assert len(set(tops)) > 5
     assert sorted(map(sorted, groups.values())) == sorted([k for k, t in enumerate(tops) if t == top] for top in set(tops))
+
+
+def test_passages_are_found_and_cut_in_one_function(spark, folder):
+    """One worker a task, and the same texts as from finding first and cutting then, in one pass or in several."""
+    from roadlake.llm import decontamination
+
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = pipeline.decontamination_stage(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bArrowEvalPython\b", plan)) == 1
+    found = decontamination.contaminated(docs, items)
+    want = plain(found.select("doc.doc_id", decontamination.without_spans(found["doc.text"], found["hits.spans"]).alias("t")).where("t is distinct from doc.text"), "doc_id", "t")
+    for block in (decontamination.BLOCK_BYTES, 100):
+        got = decontamination.contaminated(docs, items, block, cut=True)
+        assert plain(got.where("hits.left is not null").select("doc.doc_id", "hits.left"), "doc_id", "left") == want and want
