@@ -255,7 +255,7 @@ def merged_spans(spans: Column) -> Column:
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, *, cut: bool = False) -> DataFrame:
     """(doc, hits): every row's columns, and struct(n_words, spans, items) of its text against all items; with ``cut`` also left.
 
     About ``SHARD_BYTES`` of a task's texts are a shard with an index of its own. The benchmark is
